@@ -1,10 +1,71 @@
-"""The corpus pipeline: a list of stages over the documents table."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recfeat.llm import decontam, langid, mixing, neardup, sharding
+from recfeat.llm.common import new_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of which one learned language makes up half or more; texts without letters go."""
+    model = langid.fit(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    return langid.reject(docs, *model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    return neardup.deduplicate(docs, shingle=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold ten consecutive words of a benchmark item, or all words of a shorter one."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order that holds each source to its target weight (rows ** 0.7): the written files, read in
+    the order of their names, are the mixture."""
+    return mixing.mixed(docs, alpha=0.7)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of ``documents`` with shard and slot: Hilbert cells cut into 24 shards of equal row counts.  Inside a
+    cell rows keep the order of the mixture, which the files of the stage before hold."""
+    mixture: list[str] = []
+    if docs.inputFiles():
+        docs = docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+        mixture = ["mix_file", "mix_row"]
+    names = [c for c in docs.columns if c not in ("doc_id", *mixture)]
+    rows = sharding.shard_rows(docs, shards=24, keep=tuple(names), then=tuple(mixture))
+    return rows.select("doc_id", *names, "shard", "slot")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("near-duplicates", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: Expectation-maximisation and the period table have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each stage's rows are stored before the next reads them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            path = new_path(spark, f"stage-{at}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

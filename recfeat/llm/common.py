@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Rows of single-key tables that may be broadcast; counted before each use (16 bytes a row in the hash relation).
 BROADCAST_ROWS = 1_000_000
@@ -59,8 +60,8 @@ def ranked(df: DataFrame, order: list[str], name: str, rank: str = "rank") -> Da
     by = [F.col(c).asc_nulls_first() for c in order]
     kept = stash(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), name)
     sizes = kept.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left")
-    starts = starts.groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (
         kept.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
         .withColumn(rank, F.col("_start") + F.col("_at").bitwiseAND(F.lit(low)))

@@ -7,9 +7,9 @@ Stages, each a Spark job over stored tables:
 2. equal sets collapse to the smallest doc_id, so exact copies never meet each other in a bucket;
 3. buckets of two or more get a hub, and star edges hub-member only;
 4. edges are confirmed on the full sets, and components are grown from confirmed links;
-5. a bucket whose members still lie in several components goes on: further members, a bounded number a
-   bucket and round, become hubs against the members of other components, until each bucket is settled.
-   So no pair that shares a bucket goes untested unless its two sides are already joined.
+5. a bucket whose members still lie in several components gets its best-linked member as a further hub; what that
+   leaves goes through an exact filter over the members' own shingles, rarest first, and is confirmed.
+   So no pair that shares a bucket goes untested unless its two sides are already joined or can't be linked.
 
 A pair at the threshold itself shares no bucket with probability (1 - 0.8**6)**48, about 5e-7.
 """
@@ -28,8 +28,8 @@ from . import textbytes as tb
 from .common import checked_broadcast, small_batches, stash
 
 BANDS, ROWS = 48, 6
-#: Further hubs that one bucket gets in one round of stage 5; a matter of pace only, all members get their turn.
-HUBS_A_ROUND = 16
+#: Rounds in which the best-linked member of a bucket becomes its next hub: the originals of copies are found so.
+LEADING_ROUNDS = 2
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TRIES = 24
@@ -150,6 +150,34 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``rest`` (doc, n_shingles, label) with different labels that can reach the threshold.
+
+    Shingles are ordered by the number of documents of ``rest`` that hold them.  Two linked sets meet first in a
+    place that leaves enough shingles behind it in both; so the larger set is probed with its first
+    n - ceil(percent n / 100) + 1 shingles, the smaller indexed by n - ceil(2 percent n / (100 + percent)) + 1, and the
+    place must leave room for the required overlap.  Shingles of one document only come first and match nothing,
+    so a document with enough of its own is in no pair at all.
+    """
+    held = stash(sets.join(rest, "doc").select("doc", F.explode("items").alias("item")).distinct(), "rest-items")
+    shared = stash(held.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "rest-df")
+    lists = held.join(shared, "item").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    own = F.col("n_shingles") - F.size("items")
+    probe = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100.0 - 1e-9) + 1
+    index = F.col("n_shingles") - F.ceil(F.col("n_shingles") * 2 * percent / (100.0 + percent) - 1e-9) + 1
+    lists = lists.join(rest, "doc").select("doc", "n_shingles", "label", "items", own.alias("own"), probe.alias("probe"), index.alias("index")).filter("probe > own")
+    heads = lists.select("doc", "n_shingles", "label", "own", "index", F.posexplode(F.slice("items", F.lit(1), (F.col("probe") - F.col("own")).cast("int"))).alias("at", "x"))
+    heads = stash(heads.select(F.col("x.item").alias("item"), "doc", "n_shingles", "label", (F.col("own") + F.col("at")).alias("place"), "index"), "prefixes")
+    a = heads.select("item", F.col("doc").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("l_a"), F.col("place").alias("p_a"))
+    b = heads.filter("place < index").select("item", F.col("doc").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("l_b"), F.col("place").alias("p_b"))
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    pairs = a.join(b, "item").filter(
+        (F.col("l_a") != F.col("l_b")) & (F.struct("n_b", "b") < F.struct("n_a", "a")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+        & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -169,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     full = rows_.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("far"), F.count(F.lit(1)).alias("n")).filter("hub < far")
     buckets = stash(full, "buckets")
-    members = stash(rows_.join(buckets.filter("n > 2").select("key", "hub"), "key").withColumn("spent", F.lit(False)), "members")
+    members = stash(rows_.join(buckets.filter("n > 2").select("key", "hub"), "key"), "members")
     pairs = buckets.filter("n = 2").select(F.col("hub").alias("a"), F.col("far").alias("b"))
     pairs = pairs.union(members.filter("hub < doc").select("hub", "doc")).distinct()
     members = members.drop("hub")
@@ -180,26 +208,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.filter("linked")
     labels = components(links)
 
-    while True:  # stage 5
+    def unsettled() -> DataFrame:
+        """Members (key, doc, n_shingles, label) of the buckets that still hold several components."""
         at = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "lo")
-        at = stash(at.join(mixed, "key"), "unsettled")
-        hubs = at.filter("label > lo and not spent").groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(HUBS_A_ROUND)).alias("slot"))
-        hubs = stash(hubs.agg(F.min_by(F.struct("doc", "n_shingles", "label"), "doc").alias("h")).select("key", "h.*"), "hubs")
-        if hubs.isEmpty():
-            break
-        star = at.join(hubs.toDF("key", "h_doc", "h_n", "h_label"), "key")
-        star = star.filter(
-            (F.col("label") != F.col("h_label"))
-            & (100 * F.least("n_shingles", "h_n") >= percent * F.greatest("n_shingles", "h_n"))
-        ).select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
+        mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+        return at.join(mixed, "key")
+
+    for _ in range(LEADING_ROUNDS):
+        links = tested.filter("linked")
+        degree = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
+        at = stash(unsettled().join(degree, "doc", "left"), "unsettled")
+        best = F.max_by(F.struct("doc", "n_shingles", "label"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("doc")))
+        hubs = at.groupBy("key").agg(best.alias("h")).select("key", F.col("h.doc").alias("h_doc"), F.col("h.n_shingles").alias("h_n"), F.col("h.label").alias("h_label"))
+        hubs = stash(hubs, "hubs")
+        star = at.join(hubs, "key").filter(
+            (F.col("label") != F.col("h_label")) & (100 * F.least("n_shingles", "h_n") >= percent * F.greatest("n_shingles", "h_n"))
+        )
+        star = star.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
         fresh = stash(_confirm(star.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "tested")
-        more = at.drop("label", "lo").join(hubs.select("key", "doc", F.lit(True).alias("now")), ["key", "doc"], "left")
-        members = stash(more.withColumn("spent", F.col("spent") | F.coalesce("now", F.lit(False))).drop("now"), "members")
+        members = stash(at.join(hubs.select("key", F.col("h_doc").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "n_shingles"), "members")
         tested = tested.union(fresh)
-        if not fresh.filter("linked").isEmpty():
-            labels = components(tested.filter("linked"))
+        if fresh.filter("linked").isEmpty():
+            break
+        labels = components(tested.filter("linked"))
+
+    rest = stash(unsettled().select("doc", "n_shingles", "label").distinct(), "rest")
+    pairs = _prefix_pairs(rest, sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = stash(_confirm(pairs, sets, percent), "tested")
+    if not fresh.filter("linked").isEmpty():
+        labels = components(tested.union(fresh).filter("linked"))
 
     out = base.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left").join(labels.toDF("rep", "label"), "rep", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == comp)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of which ``near_duplicates`` keeps the document; rows without an id stay.
+
+    An id goes if one of its rows is linked to a smaller id."""
+    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(checked_broadcast(stash(gone, "duplicates")), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

@@ -5,26 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import decontam, langid, licenses, mixing, neardup, pii, quality, sharding, tokenfiles, toxicity
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key for the queries; a production run passes its own secret.
+PSEUDONYM_KEY = "recfeat-query-key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfiles.token_files(_table(spark, sf_dir, "documents"), tokenizer)
+
+
+def op5_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    model = langid.fit(docs.filter(~held).select("doc_id", "text", "lang"))
+    return langid.identify(docs, *model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "mix")
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.7, block=32)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = toxicity.held_out()
+    model = toxicity.fit(docs.filter(~held), _table(spark, sf_dir, "labels").filter(~held))
+    return toxicity.score(docs, *model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 _OP8_SQL = rf"""
 with recursive w as materialized (
-    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), x -> x <> '') w
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
     from documents),
 s as materialized (
-    select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])
+    select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
                                       when len(w) = 1 then [w[1]] else [] end) s from w),
 e as materialized (select doc_id, len(s) n, unnest(s) x from s),
 links as materialized (
@@ -37,9 +87,35 @@ select s.doc_id, len(s.s)::bigint n_shingles, least(s.doc_id, coalesce(m, s.doc_
 from s left join least_of on s.doc_id = a
 """
 
+_WORDS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+_OP2_SQL = f"""
+with d as materialized (select doc_id, {_WORDS} w from documents),
+b as materialized (select item_id, {_WORDS} w from benchmark where item_id is not null),
+bw as materialized (
+    select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') g
+    from (select item_id, w, least(10, len(w)) k, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from b where len(w) > 0)),
+dw as materialized (
+    select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') g
+    from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from bw) where len(w) >= k)),
+hit as materialized (select doc_id, i, k, g from dw where (k, g) in (select (k, g) from bw)),
+words as (select doc_id, count(*) n from (select distinct doc_id, unnest(range(i, i + k)) p from hit) group by doc_id),
+items as (
+    select doc_id, count(*) n, sha256(string_agg(item, ',' order by item)) h
+    from (select distinct doc_id, item_id::varchar item from hit join bw using (k, g)) group by doc_id)
+select d.doc_id, len(d.w)::bigint n_words, coalesce(words.n, 0) n_hit, coalesce(items.n, 0) n_items,
+    coalesce(h, sha256('')) items_sha256, coalesce(words.n, 0) > 0 contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_near_duplicates": op8_near_duplicates,
+    f.__name__: f
+    for f in (
+        op1_pii_pseudonyms, op2_decontamination, op3_license_scan, op4_token_files, op5_repetition_quality,
+        op6_language_mixture, op7_hilbert_shards, op8_near_duplicates, op9_mixed_sources, op10_toxicity,
+    )
 }
 ORACLE: dict[str, str] = {
+    "op2_decontamination": _OP2_SQL,
     "op8_near_duplicates": _OP8_SQL,
 }

@@ -29,14 +29,27 @@ MAGIC = b"RFIDS\x01"
 HEADER = 16
 #: Keys wanted in a bucket of the index.
 BUCKET = 20_000
-#: Pieces of text whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a Python worker remembers: about 300 MB, after which it starts afresh.
+REMEMBERED = 1_500_000
 
 _UNSAFE = re.compile(r"\s ")
 
 
+class _Pieces(dict):
+    """Numbers of pieces of text; an unknown piece gets the next number and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self) + 1
+        self.new.append(word)
+        return at
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as bytes.
+    """Ids of whole texts by the tokenizers library.
 
     Byte-level pre-tokenisation never joins a character to a space that follows it, so a text falls into pieces
     before each space that stands after a non-space, and equal pieces have equal ids.  Each worker encodes a piece
@@ -49,24 +62,78 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*(p[1:] for p in parts if p)) - self.known.keys())
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            self.known.update(zip(some, self._ids([" " + w for w in some]), strict=True))
-        whole = [t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]
-        first = self._ids(whole)
-        get = self.known.__getitem__
-        return [f + b"".join(map(get, p[1:])) + self.end if p else f + self.end for f, p in zip(first, parts, strict=True)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.used = _Pieces(), 1
+        self.ids = np.zeros(1 << 20, self.kind)
+        self.ids[0] = END
+        self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.size[0] = 1  # piece 0 is the end of a document
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, ids: np.ndarray) -> int:
+        start, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), self.used), self.kind)))
+        self.ids[start : self.used] = ids
+        return start
+
+    def _learn(self) -> None:
+        """Encode the new pieces " " + word.  Plain words go as one text: each begins at an id that leads with a
+        space, and no other id does."""
+        new, self.pieces.new = self.pieces.new, []
+        while len(self.pieces) + 1 > len(self.at):
+            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
+        for a in range(0, len(new), 1024):
+            some = new[a : a + 1024]
+            number = len(self.pieces) - len(new) + 1 + a
+            if all(w and not w[-1].isspace() for w in some):
+                ids = np.array(self._encode([" " + " ".join(some)])[0], self.kind)
+                at = np.flatnonzero(self.leads[ids])
+                if len(at) == len(some):
+                    self.at[number : number + len(some)] = self._store(ids) + at
+                    self.size[number : number + len(some)] = np.diff(at, append=len(ids))
+                    continue
+            for i, ids in enumerate(self._encode([" " + w for w in some])):
+                self.at[number + i], self.size[number + i] = self._store(np.array(ids, self.kind)), len(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each with the end id, and their numbers."""
+        if len(self.pieces) > REMEMBERED:
+            self._forget()
+        number, counts, whole = self.pieces.__getitem__, [], []
+        seen: list[int] = []
+        for t in texts:
+            before = len(seen)
+            seen.append(0)
+            if _UNSAFE.search(t):
+                whole.append(t)
+            else:
+                parts = t.split(" ")
+                whole.append(parts[0])
+                seen.extend(map(number, parts[1:]))
+            seen.append(0)
+            counts.append(len(seen) - before)
+        self._learn()
+        pieces = np.array(seen, np.int64)
+        counts = np.array(counts, np.int64)
+        ends = np.cumsum(counts)
+        at, size = self.at[pieces], self.size[pieces].astype(np.int64)
+        first = [np.array(ids, self.kind) for ids in self._encode(whole)]
+        used = self.used
+        lead = np.array([self._store(x) for x in first], np.int64)  # for this batch only
+        self.used = used
+        heads = ends - counts
+        at[heads], size[heads] = lead, np.array([len(x) for x in first], np.int64)
+        stop = np.cumsum(size)
+        out = self.ids[np.repeat(at - stop + size, size) + np.arange(int(size.sum()))]
+        return out, np.diff(stop[ends - 1], prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -102,9 +169,8 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_i
             if out is None:
                 out = files.open_output_stream(own)
                 out.write((MAGIC + bytes([encoder.kind.itemsize])).ljust(HEADER, b"\0"))
-            ids = encoder.encode(batch.column(1).to_pylist())
-            out.write(b"".join(ids))
-            n = np.array([len(x) for x in ids], np.int64) // encoder.kind.itemsize
+            ids, n = encoder.encode(batch.column(1).to_pylist())
+            out.write(ids.tobytes())
             keys, copies = batch.column(0).to_pylist(), []
             for k in keys:
                 copy = copy + 1 if k == last else 0

@@ -1 +1,3 @@
-"""plans of recfeat."""
+"""Plans: the library's operators as queries over the given tables."""
+
+from recfeat.plans import features, metrics, streams  # noqa: F401

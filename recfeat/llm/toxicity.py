@@ -17,20 +17,29 @@ from . import textbytes as tb
 from .common import small_batches
 
 BUCKETS = 1 << 20
+#: Bytes of word beginnings that count beside whole words: inflected forms share them.
+BEGINNINGS = (4, 5, 6)
 #: Training documents at most (expected numbers of a hash sample of doc_id); whole texts are read.
 POSITIVES, UNLABELLED = 4000, 16_000
 #: A word counts if this many training documents hold it.
 LEAST_DOCS = 10
-EPOCHS, BATCH, RATE, DECAY = 60, 2000, 0.05, 1e-4
+EPOCHS, BATCH, RATE, DECAY, SPARSE = 40, 4000, 0.05, 1e-4, 0.15
+#: Pace of the steps back when the corrected risk is negative.
+TURN = 1.0
 
 
 def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of each text, one after the other, and n+1 bounds."""
+    """Distinct hashed words and word beginnings of each text, one text after the other, and n+1 bounds."""
     d = tb.FOLD[data]
     starts, ends, first = tb.words(d, bounds, tb.ALNUM)
-    h = (tb.span_hash(tb.prefix_hash(d), starts, ends) >> np.uint64(44)).astype(np.int64)
+    prefix = tb.prefix_hash(d)
     owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(first))
-    seen = np.unique(owner * BUCKETS + h)
+    keys = [owner * BUCKETS + (tb.span_hash(prefix, starts, ends) >> np.uint64(44)).astype(np.int64)]
+    for n in BEGINNINGS:
+        long = np.flatnonzero(ends - starts > n)
+        h = tb.mix(tb.span_hash(prefix, starts[long], starts[long] + n) + np.uint64(n))
+        keys.append(owner[long] * BUCKETS + (h >> np.uint64(44)).astype(np.int64))
+    seen = np.unique(np.concatenate(keys))
     return (seen % BUCKETS).astype(np.int32), np.searchsorted(seen, np.arange(len(bounds), dtype=np.int64) * BUCKETS)
 
 
@@ -49,39 +58,30 @@ class _Rows:
         return np.concatenate(part) if part else np.zeros(0, np.int64), np.repeat(np.arange(len(part)), [len(r) for r in part])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights over BUCKETS hashed words and the bias."""
-    held = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=BUCKETS)
-    words = np.flatnonzero(held >= LEAST_DOCS)
-    place = np.full(BUCKETS, -1, np.int64)
-    place[words] = np.arange(len(words))
-
-    def kept(rows):
-        return _Rows([p[p >= 0] for p in (place[r] for r in rows)], len(words))
-
-    pos, unl = kept(positive), kept(unlabelled)
-    w, m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+def _descend(pos: _Rows, unl: _Rows, prior: float, sparse: float, rng: np.random.Generator) -> np.ndarray:
+    """Weights and, last, the bias that minimise the non-negative risk; ``sparse`` shrinks weights towards 0."""
+    size = pos.size
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    rng = np.random.default_rng(seed)
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(unlabelled))
+    step, total = 0, np.zeros(size + 1)
+    for epoch in range(EPOCHS):
+        order = rng.permutation(len(unl.rows))
         for a in range(0, len(order), BATCH):
             u = order[a : a + BATCH]
-            p = rng.integers(0, len(positive), min(len(positive), BATCH // 2))
-            grad = np.zeros(len(w))
+            p = rng.integers(0, len(pos.rows), min(len(pos.rows), BATCH // 2))
+            grad = np.zeros(size + 1)
 
             def risk(rows, which, sign, weight, grad=grad):
                 idx, owner = rows.take(which)
                 g = np.bincount(owner, w[idx], minlength=len(which)) + w[-1]
                 slope = -sign * _sigmoid(-sign * g) * weight / len(which)
-                grad[: len(words)] += np.bincount(idx, slope[owner], minlength=len(words))
+                grad[:size] += np.bincount(idx, slope[owner], minlength=size)
                 grad[-1] += slope.sum()
                 return weight * np.logaddexp(0, -sign * g).mean()
 
             negative = risk(unl, u, -1, 1.0) + risk(pos, p, -1, -prior)
             if negative < 0:
-                grad *= -1.0
+                grad *= -TURN
             else:
                 risk(pos, p, 1, prior)
             grad[:-1] += DECAY * w[:-1]
@@ -89,6 +89,25 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad**2
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * sparse, 0.0)
+        if epoch >= EPOCHS // 2:
+            total += w
+    return w if sparse else total / (EPOCHS - EPOCHS // 2)
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights over BUCKETS hashed words and the bias.  A first descent with shrinkage finds the words that matter, a
+    second one without it fits those alone."""
+    rng = np.random.default_rng(seed)
+    words = np.flatnonzero(np.bincount(np.concatenate([*positive, *unlabelled]), minlength=BUCKETS) >= LEAST_DOCS)
+    w = np.zeros(1)
+    for sparse in (SPARSE, 0.0):
+        place = np.full(BUCKETS, -1, np.int64)
+        place[words] = np.arange(len(words))
+        pos, unl = (_Rows([p[p >= 0] for p in (place[r] for r in rows)], len(words)) for rows in (positive, unlabelled))
+        w = _descend(pos, unl, prior, sparse, rng)
+        if sparse:
+            words = words[w[:-1] != 0]
     out = np.zeros(BUCKETS, np.float32)
     out[words] = w[:-1]
     return out, float(w[-1])

@@ -191,8 +191,8 @@ def d19(spark, sf):
     return out.join(loyalty, "customer_id").withColumn("brand_loyalty", r6("brand_loyalty"))
 
 
-_CLV = SQL_PURCHASES + """, u as (select customer_id, count(distinct order_id) n, sum(amount) spent, greatest(1, date_diff('day', min(ts)::date, max(ts)::date)) days from purchases group by 1),
-c as (select customer_id, n / greatest(days / 30, 1) freq, spent / greatest(n, 1) aov, least(days / 30 * 2, 24) life from u), v as (select *, aov * freq * life clv from c)"""
+_CLV = SQL_PURCHASES + """, u as (select customer_id, count(distinct order_id) n, sum(amount) spent, greatest(1, date_diff('day', min(ts)::date, max(ts)::date)) as n_days from purchases group by 1),
+c as (select customer_id, n / greatest(n_days / 30, 1) freq, spent / greatest(n, 1) aov, least(n_days / 30 * 2, 24) life from u), v as (select *, aov * freq * life clv from c)"""
 
 
 @register("D20_lifetime_value", _CLV + """ select count(*) customers, round(avg(clv), 2) mean, round(quantile_cont(clv, 0.25), 2) p25, round(quantile_cont(clv, 0.5), 2) median, round(quantile_cont(clv, 0.75), 2) p75, round(quantile_cont(clv, 0.9), 2) p90 from v""")
@@ -215,9 +215,9 @@ def d21(spark, sf):
     return out.select("orders", F.round("revenue", 2).alias("revenue"), F.round("aov", 2).alias("aov"), F.round("p80", 2).alias("p80"), r6("high_value_share").alias("high_value_share"), F.round((F.col("revenue") - cost) / max(cost, 1) * 100, 2).alias("roi"))
 
 
-@register("D22_business_metrics", SQL_INTERACTIONS + """, b as (select user_id, count(distinct ts::date) days, sum(price) spent, count(*) n from interactions where action = 'purchase' group by 1)
+@register("D22_business_metrics", SQL_INTERACTIONS + """, b as (select user_id, count(distinct ts::date) n_days, sum(price) spent, count(*) n from interactions where action = 'purchase' group by 1)
 select round((select sum(spent) from b) / count(*) filter (where action = 'impression'), 6) gmv_per_impression, round((select sum(spent) from b) / count(distinct user_id), 6) arpu, round((select sum(spent) from b) / (select count(*) from b), 6) arppu,
-  round((select count(*) filter (where days >= 2) / count(*) from b), 6) repeat_rate, round((select sum(spent) / sum(n) from b), 6) aov from interactions""")
+  round((select count(*) filter (where n_days >= 2) / count(*) from b), 6) repeat_rate, round((select sum(spent) / sum(n) from b), 6) aov from interactions""")
 def d22(spark, sf):
     by = views.interactions(spark, sf).groupBy("user_id").agg(
         O.n_action("impression").alias("impressions"), F.countDistinct(F.when(F.col("action") == "purchase", F.to_date("ts"))).alias("days"), O.n_action("purchase").alias("n"), F.coalesce(F.sum(F.when(F.col("action") == "purchase", F.col("price"))), F.lit(0.0)).alias("spent"),

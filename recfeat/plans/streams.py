@@ -79,7 +79,7 @@ def i14(spark, sf):
     return views.interactions(spark, sf).groupBy("user_id", "category_id").agg(r6(F.least(F.lit(10.0), F.sum(w))).alias("interest"))
 
 
-@register("I15_active_hours", SQL_INTERACTIONS + """, h as (select user_id, hour(ts) h, count(*) n from interactions group by 1, 2) select user_id, string_agg(h || ':' || n, ',' order by h) hours from h group by 1""")
+@register("I15_active_hours", SQL_INTERACTIONS + """, h as (select user_id, hour(ts) h, count(*) n from interactions group by 1, 2) select user_id, string_agg(h || ':' || n, ',' order by h) as hours from h group by 1""")
 def i15(spark, sf):
     by = views.interactions(spark, sf).groupBy("user_id", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("h", "n"))), lambda x: F.concat_ws(":", x["h"].cast("string"), x["n"].cast("string")))

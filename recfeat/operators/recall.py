@@ -62,7 +62,7 @@ def attention_edges(interactions: DataFrame, as_of) -> DataFrame:
 
 def graph_recall(history: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Summed edge weights from a user's recent items to items that the user lacks."""
-    reached = history.join(edges, history.item_id == edges.src).groupBy("user_id", F.col("dst").alias("item_id")).agg(F.round(F.sum("weight"), 5).alias("score"))
+    reached = history.join(edges, history.item_id == edges.src).groupBy("user_id", F.col("dst").alias("item_id")).agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_k(reached.join(history, ["user_id", "item_id"], "left_anti"), k, "score", "item_id", ["user_id"])
 
 

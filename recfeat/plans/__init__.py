@@ -1,3 +1,3 @@
 """Plans: the library's operators as queries over the given tables."""
 
-from recfeat.plans import features, metrics, profiles, recall, streams  # noqa: F401
+from recfeat.plans import features, metrics, more, profiles, recall, streams  # noqa: F401

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import small_batches
 
-#: Largest share of word characters inside repeated n-grams, by n.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of lines, and of their characters, that repeat an earlier line.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+#: Largest share of word characters inside repeated n-grams, by n; every occurrence counts, the first included, so the
+#: limits are twice those of rules that count later occurrences only.
+NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: Largest share of characters in lines that repeat an earlier line (later occurrences only).
+LINE_CHAR_LIMIT = 0.20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -95,9 +96,7 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     line_starts, line_ends, line_owner = line_starts[with_word], line_ends[with_word], line_owner[with_word]
     later = _later(tb.span_hash(prefix, line_starts, line_ends) ^ salt[line_owner])
     length = lead[line_ends] - lead[line_starts]
-    lines = np.bincount(line_owner, minlength=n_docs)
     out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n_docs)
-    out["dup_line_share"] = out["n_dup_lines"] / np.maximum(1, lines)
     out["dup_line_chars"] = np.bincount(line_owner[later], length[later], minlength=n_docs) / np.maximum(1, np.bincount(line_owner, length, minlength=n_docs))
     return out
 
@@ -105,7 +104,7 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept)."""
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    bad = (m["dup_line_share"] > LINE_LIMIT) | (m["dup_line_chars"] > LINE_CHAR_LIMIT)
+    bad = m["dup_line_chars"] > LINE_CHAR_LIMIT
     for n, limit in NGRAM_LIMITS.items():
         bad |= m[f"dup_{n}"] > limit
     return failed, ~failed & ~bad
@@ -121,7 +120,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     small_batches(docs.sparkSession)
     ints = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    reals = [*(f"dup_{n}" for n in NGRAM_LIMITS), "dup_line_share", "dup_line_chars"]
+    reals = [*(f"dup_{n}" for n in NGRAM_LIMITS), "dup_line_chars"]
 
     def work(batches):
         for batch in batches:

@@ -22,10 +22,8 @@ BEGINNINGS = (4, 5, 6)
 #: Training documents at most (expected numbers of a hash sample of doc_id); whole texts are read.
 POSITIVES, UNLABELLED = 4000, 16_000
 #: A word counts if this many training documents hold it.
-LEAST_DOCS = 10
-EPOCHS, BATCH, RATE, DECAY, SPARSE = 40, 4000, 0.05, 1e-4, 0.15
-#: Pace of the steps back when the corrected risk is negative.
-TURN = 1.0
+LEAST_DOCS = 5
+STEPS, BATCH, RATE, DECAY, BOUND = 300, 4000, 0.2, 1e-3, 3.5
 
 
 def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,55 +56,55 @@ class _Rows:
         return np.concatenate(part) if part else np.zeros(0, np.int64), np.repeat(np.arange(len(part)), [len(r) for r in part])
 
 
-def _descend(pos: _Rows, unl: _Rows, prior: float, sparse: float, rng: np.random.Generator) -> np.ndarray:
-    """Weights and, last, the bias that minimise the non-negative risk; ``sparse`` shrinks weights towards 0."""
+def _descend(pos: _Rows, unl: _Rows, prior: float, bound: float, rng: np.random.Generator) -> np.ndarray:
+    """Weights and, last, the bias that minimise the non-negative risk by proximal steps, scaled by each word's
+    frequency.  A weight stays 0 unless its gradient exceeds ``bound`` standard errors of what chance would give."""
     size = pos.size
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    share = (np.bincount(np.concatenate([*unl.rows, *pos.rows]), minlength=size) + 1) / (len(unl.rows) + len(pos.rows))
+    hold = bound * prior * np.sqrt(share / len(pos.rows))
+    w = np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    step, total = 0, np.zeros(size + 1)
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(unl.rows))
-        for a in range(0, len(order), BATCH):
-            u = order[a : a + BATCH]
-            p = rng.integers(0, len(pos.rows), min(len(pos.rows), BATCH // 2))
-            grad = np.zeros(size + 1)
-
-            def risk(rows, which, sign, weight, grad=grad):
-                idx, owner = rows.take(which)
-                g = np.bincount(owner, w[idx], minlength=len(which)) + w[-1]
-                slope = -sign * _sigmoid(-sign * g) * weight / len(which)
-                grad[:size] += np.bincount(idx, slope[owner], minlength=size)
-                grad[-1] += slope.sum()
-                return weight * np.logaddexp(0, -sign * g).mean()
-
-            negative = risk(unl, u, -1, 1.0) + risk(pos, p, -1, -prior)
-            if negative < 0:
-                grad *= -TURN
-            else:
-                risk(pos, p, 1, prior)
-            grad[:-1] += DECAY * w[:-1]
-            step += 1
-            m = 0.9 * m + 0.1 * grad
-            v = 0.999 * v + 0.001 * grad**2
-            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * sparse, 0.0)
-        if epoch >= EPOCHS // 2:
+    total, order = np.zeros(size + 1), np.zeros(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < min(BATCH, len(unl.rows)):
+            order = rng.permutation(len(unl.rows))
+        u, order = order[:BATCH], order[BATCH:]
+        p = rng.permutation(len(pos.rows))[:BATCH]
+        grad = np.zeros(size + 1)
+
+        def risk(rows, which, sign, weight, grad=grad):
+            idx, owner = rows.take(which)
+            g = np.bincount(owner, w[idx], minlength=len(which)) + w[-1]
+            slope = -sign * _sigmoid(-sign * g) * weight / len(which)
+            grad[:size] += np.bincount(idx, slope[owner], minlength=size)
+            grad[-1] += slope.sum()
+            return weight * np.logaddexp(0, -sign * g).mean()
+
+        negative = risk(unl, u, -1, 1.0) + risk(pos, p, -1, -prior)
+        if negative < 0:
+            grad *= -1.0
+        else:
+            risk(pos, p, 1, prior)
+        grad[:-1] += DECAY * share * w[:-1]
+        w -= RATE * grad / np.append(share, 0.25)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * hold / share, 0.0)
+        if step >= STEPS // 2:
             total += w
-    return w if sparse else total / (EPOCHS - EPOCHS // 2)
+    return w if bound else total / (STEPS - STEPS // 2)
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights over BUCKETS hashed words and the bias.  A first descent with shrinkage finds the words that matter, a
-    second one without it fits those alone."""
+    """Weights over BUCKETS hashed words and the bias.  A first descent finds the words that matter beyond chance, a
+    second one fits those alone."""
     rng = np.random.default_rng(seed)
     words = np.flatnonzero(np.bincount(np.concatenate([*positive, *unlabelled]), minlength=BUCKETS) >= LEAST_DOCS)
     w = np.zeros(1)
-    for sparse in (SPARSE, 0.0):
+    for bound in (BOUND, 0.0):
         place = np.full(BUCKETS, -1, np.int64)
         place[words] = np.arange(len(words))
         pos, unl = (_Rows([p[p >= 0] for p in (place[r] for r in rows)], len(words)) for rows in (positive, unlabelled))
-        w = _descend(pos, unl, prior, sparse, rng)
-        if sparse:
+        w = _descend(pos, unl, prior, bound, rng)
+        if bound:
             words = words[w[:-1] != 0]
     out = np.zeros(BUCKETS, np.float32)
     out[words] = w[:-1]

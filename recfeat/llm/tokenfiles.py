@@ -29,8 +29,8 @@ MAGIC = b"RFIDS\x01"
 HEADER = 16
 #: Keys wanted in a bucket of the index.
 BUCKET = 20_000
-#: Pieces of text whose ids a Python worker remembers: about 300 MB, after which it starts afresh.
-REMEMBERED = 1_500_000
+#: Pieces of text whose ids a Python worker remembers: about 200 MB, after which it starts afresh.
+REMEMBERED = 1_000_000
 
 _UNSAFE = re.compile(r"\s ")
 

@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stash(rows_.join(buckets.filter("n > 2").select("key", "hub"), "key"), "members")
     pairs = buckets.filter("n = 2").select(F.col("hub").alias("a"), F.col("far").alias("b"))
     pairs = pairs.union(members.filter("hub < doc").select("hub", "doc")).distinct()
-    members = members.drop("hub")
+    # One row a document from here on, so that what is known of it is joined once and not once a bucket.
+    members = stash(members.groupBy("doc", "n_shingles").agg(F.collect_list("key").alias("keys")), "members")
 
     ends = stash(pairs.select("a").union(pairs.select("b")).toDF("doc_id").union(members.select("doc")).distinct(), "ends")
     sets = stash(_sets(texts.join(checked_broadcast(ends), "doc_id", "left_semi"), shingle), "sets")
@@ -208,17 +209,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.filter("linked")
     labels = components(links)
 
-    def unsettled() -> DataFrame:
-        """Members (key, doc, n_shingles, label) of the buckets that still hold several components."""
-        at = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    def unsettled(known: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components, a row for each bucket, with label and degree."""
+        at = members.join(known, "doc", "left").select(
+            "doc", "n_shingles", F.coalesce("label", "doc").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"), F.explode("keys").alias("key")
+        )
         mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         return at.join(mixed, "key")
 
+    def linked() -> DataFrame:
+        """(doc, label, degree) of the documents with confirmed links."""
+        ends = tested.filter("linked").select(F.explode(F.array("a", "b")).alias("doc"))
+        return labels.join(ends.groupBy("doc").agg(F.count(F.lit(1)).alias("degree")), "doc")
+
     for _ in range(LEADING_ROUNDS):
-        links = tested.filter("linked")
-        degree = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
-        at = stash(unsettled().join(degree, "doc", "left"), "unsettled")
-        best = F.max_by(F.struct("doc", "n_shingles", "label"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("doc")))
+        at = stash(unsettled(linked()), "unsettled")
+        best = F.max_by(F.struct("doc", "n_shingles", "label"), F.struct("degree", -F.col("doc")))
         hubs = at.groupBy("key").agg(best.alias("h")).select("key", F.col("h.doc").alias("h_doc"), F.col("h.n_shingles").alias("h_n"), F.col("h.label").alias("h_label"))
         hubs = stash(hubs, "hubs")
         star = at.join(hubs, "key").filter(
@@ -226,13 +232,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         star = star.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
         fresh = stash(_confirm(star.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "tested")
-        members = stash(at.join(hubs.select("key", F.col("h_doc").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "n_shingles"), "members")
+        left = at.join(hubs.select("key", F.col("h_doc").alias("doc")), ["key", "doc"], "left_anti")
+        members = stash(left.groupBy("doc", "n_shingles").agg(F.collect_list("key").alias("keys")), "members")
         tested = tested.union(fresh)
         if fresh.filter("linked").isEmpty():
             break
         labels = components(tested.filter("linked"))
 
-    rest = stash(unsettled().select("doc", "n_shingles", "label").distinct(), "rest")
+    rest = stash(unsettled(linked()).select("doc", "n_shingles", "label").distinct(), "rest")
     pairs = _prefix_pairs(rest, sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     fresh = stash(_confirm(pairs, sets, percent), "tested")
     if not fresh.filter("linked").isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from recfeat.functions.exprs import action_weight, clip, count_if, p1, r6, sd, seconds_between
+from recfeat.functions.exprs import action_weight, count_if, p1, r6, sd, seconds_between
 
 #: Seconds of the named windows.
 WINDOWS = {"1h": 3600, "6h": 21_600, "1d": 86_400, "3d": 259_200, "7d": 604_800, "14d": 1_209_600, "30d": 2_592_000}
@@ -65,12 +65,19 @@ def item_stats(interactions: DataFrame, recent: int = 1000) -> DataFrame:
     ).withColumn("conversion_rate", p1(F.col("purchases"), F.col("views")))
 
 
-def user_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, int] | None = None) -> DataFrame:
-    """Per-window user behaviour in one scan.
+def distinct_in_windows(base: DataFrame, key: str, values: dict[str, Column], starts: dict[str, Column], prefix: str) -> DataFrame:
+    """Distinct values of each kind in each window, per key, without one distinct aggregate for every pair.
 
-    Rows are first summed by (user, item, session, day), keeping the latest time, so a window's distinct counts are
-    counts over a small table: a key belongs to the window if its latest time does.
+    Each (key, kind, value) keeps its latest time only; it belongs to a window if that time does.
     """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in values.items()])
+    last = base.select(key, "ts", F.explode(kinds).alias("x")).groupBy(key, "x.kind", "x.value").agg(F.max("ts").alias("last")).filter("value is not null")
+    hits = [count_if((F.col("kind") == k) & (F.col("last") >= start)).alias(f"{prefix}_{k}_{w}") for k in values for w, start in starts.items()]
+    return last.groupBy(key).agg(*hits)
+
+
+def user_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, int] | None = None) -> DataFrame:
+    """Per-window user behaviour from one filtered read: conditional sums, and distinct counts over latest times."""
     windows = windows or WINDOWS
     starts = {w: since(as_of, s) for w, s in windows.items()}
     base = interactions.filter((F.col("ts") >= since(as_of, max(windows.values()))) & (F.col("ts") < F.lit(as_of).cast("timestamp")))
@@ -79,12 +86,11 @@ def user_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, in
     for w, start in starts.items():
         on = F.col("ts") >= start
         aggs += [
-            count_if(on).alias(f"user_interactions_{w}"), F.countDistinct(F.when(on, F.col("item_id"))).alias(f"user_items_{w}"),
-            F.countDistinct(F.when(on, F.col("session_id"))).alias(f"user_sessions_{w}"), F.countDistinct(F.when(on, F.to_date("ts"))).alias(f"user_days_{w}"),
-            F.coalesce(F.sum(F.when(on, weight)), F.lit(0.0)).alias(f"user_engagement_{w}"),
+            count_if(on).alias(f"user_interactions_{w}"), F.coalesce(F.sum(F.when(on, weight)), F.lit(0.0)).alias(f"user_engagement_{w}"),
             *[n_action(a, on).alias(f"user_{a}s_{w}") for a in ("view", "click", "purchase")],
         ]
-    out = base.groupBy("user_id").agg(*aggs)
+    distinct = distinct_in_windows(base, "user_id", {"items": F.col("item_id"), "sessions": F.col("session_id"), "days": F.to_date("ts")}, starts, "user")
+    out = base.groupBy("user_id").agg(*aggs).join(distinct, "user_id")
     for w in windows:
         out = out.withColumns({
             f"user_conversion_{w}": p1(F.col(f"user_purchases_{w}"), F.col(f"user_views_{w}")),
@@ -101,15 +107,16 @@ def user_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, in
 
 
 def item_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, int] | None = None) -> DataFrame:
-    """Per-window item features and trends in one scan."""
+    """Per-window item features and trends from one filtered read."""
     windows = windows or WINDOWS
+    starts = {w: since(as_of, s) for w, s in windows.items()}
     base = interactions.filter((F.col("ts") >= since(as_of, max(windows.values()))) & (F.col("ts") < F.lit(as_of).cast("timestamp")))
     weight = F.when(F.col("action") == "purchase", 10.0).otherwise(1.0)
     aggs = []
-    for w, s in windows.items():
-        on = F.col("ts") >= since(as_of, s)
-        aggs += [count_if(on).alias(f"item_n_{w}"), F.countDistinct(F.when(on, F.col("user_id"))).alias(f"item_users_{w}"), F.coalesce(F.avg(F.when(on, weight)), F.lit(0.0)).alias(f"item_engagement_{w}"), n_action("purchase", on).alias(f"item_purchases_{w}")]
-    out = base.groupBy("item_id").agg(*aggs)
+    for w, start in starts.items():
+        on = F.col("ts") >= start
+        aggs += [count_if(on).alias(f"item_n_{w}"), F.coalesce(F.avg(F.when(on, weight)), F.lit(0.0)).alias(f"item_engagement_{w}"), n_action("purchase", on).alias(f"item_purchases_{w}")]
+    out = base.groupBy("item_id").agg(*aggs).join(distinct_in_windows(base, "item_id", {"users": F.col("user_id")}, starts, "item"), "item_id")
     for w in windows:
         out = out.withColumns({
             f"item_purchase_rate_{w}": p1(F.col(f"item_purchases_{w}"), F.col(f"item_n_{w}")),
@@ -229,7 +236,7 @@ def hourly_usage(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy(F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
 
 
-def cohorts(sessions: DataFrame, interactions: DataFrame) -> DataFrame:
+def cohorts(interactions: DataFrame) -> DataFrame:
     """Users by behaviour, and each cohort's size, share and means.  Users of fewer than two events are left out."""
     c = F.col
     users = gaps(interactions).groupBy("user_id").agg(

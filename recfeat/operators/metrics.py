@@ -40,8 +40,8 @@ def ranking_report(per_user: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Mann-Whitney AUC, ties one half.  Rows are first summed by score, so ranks run over distinct scores only,
-    and those run by range partitions' totals rather than in one sorted task when there are many."""
+    """Mann-Whitney AUC of scores within 0..1, ties one half.  Rows are first summed by score; ranks run inside a
+    thousand bins of scores, and over the bins' totals."""
     by = scored.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
     binned = by.withColumn("bin", F.floor(F.col("s") * 1000))
     below = binned.groupBy("bin").agg(F.sum("n").alias("n_bin"))
@@ -94,12 +94,18 @@ def welch(m1_: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Colum
     }
 
 
-def diversity(counts: DataFrame, value: str, n: str = "n") -> DataFrame:
-    """Simpson, Shannon and Gini of a count table (one row a value)."""
-    total = F.sum(n).over(W.partitionBy())
-    w = W.orderBy(F.col(n), F.col(value))
-    x = counts.select(value, F.col(n).alias("n"), (F.col(n) / total).alias("p"), F.row_number().over(w).alias("i"))
-    out = x.agg(F.count(F.lit(1)).alias("values"), (1 - F.sum(F.col("p") * F.col("p"))).alias("simpson"), (-F.sum(F.col("p") * F.log("p"))).alias("shannon"), F.sum(F.col("i") * F.col("n")).alias("ix"), F.sum("n").alias("sx"))
+def diversity(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Simpson, Shannon and Gini of a count table (one row a value).
+
+    Values with one count have one rank sum, so only the distinct counts are ordered, and there are few of them.
+    """
+    by = counts.groupBy(F.col(n).alias("n")).agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(W.orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.col("m") * before + F.col("m") * (F.col("m") + 1) / 2
+    total = by.agg(F.sum(F.col("n") * F.col("m")).alias("total"))
+    p = F.col("n") / F.col("total")
+    x = by.withColumn("ranks", ranks).crossJoin(F.broadcast(total))  # one row broadcast
+    out = x.agg(F.sum("m").alias("values"), (1 - F.sum(F.col("m") * p * p)).alias("simpson"), (-F.sum(F.col("m") * p * F.log(p))).alias("shannon"), F.sum(F.col("ranks") * F.col("n")).alias("ix"), F.max("total").alias("sx"))
     gini = 2 * F.col("ix") / (F.col("values") * F.col("sx")) - (F.col("values") + 1) / F.col("values")
     return out.select("values", "simpson", "shannon", gini.alias("gini"))
 

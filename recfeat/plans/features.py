@@ -171,7 +171,7 @@ x as (select user_id, e / n eng, c / greatest(v, 1) conv, dwell, dwell / greates
 k as (select case when eng > 0.3 and conv > 0.2 and dwell > 300 then 'power' when per_item > 60 and eng < 0.1 then 'casual' when conv > 0.4 and per_item < 30 then 'quick' when div > 0.7 and eng > 0.1 then 'explorer' else 'passive' end cohort, * from x)
 select cohort, count(*) users, round(avg(conv), 6) conversion, round(avg(div), 6) diversity, round(avg(dwell), 4) dwell, round(count(*) / sum(count(*)) over (), 6) share from k group by 1""")
 def d18(spark, sf):
-    return rounded(O.cohorts(None, views.interactions(spark, sf))).withColumn("dwell", F.round("dwell", 4))
+    return rounded(O.cohorts(views.interactions(spark, sf))).withColumn("dwell", F.round("dwell", 4))
 
 
 @register("E1_last_n_per_item", SQL_INTERACTIONS + """ select event_id, item_id, user_id, action from (select *, row_number() over (partition by item_id order by ts desc, event_id desc) rn from interactions) where rn <= 20""")

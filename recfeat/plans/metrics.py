@@ -143,7 +143,7 @@ def l22(spark, sf):
 select count(*) "values", round(1 - sum(p * p), 6) simpson, round(-sum(p * ln(p)), 6) shannon, round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) gini from x""")
 def l23(spark, sf):
     counts = views.interactions(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(M.diversity(counts, "item_id"))
+    return rounded(M.diversity(counts))
 
 
 @register("L25_arm_statistics", SQL_INTERACTIONS + """, a as (select platform arm, count(*) tries, count(*) filter (where action = 'click') clicks from interactions group by 1)

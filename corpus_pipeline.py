@@ -42,9 +42,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.inputFiles():
         docs = docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
         mixture = ["mix_file", "mix_row"]
-    names = [c for c in docs.columns if c not in ("doc_id", *mixture)]
-    rows = sharding.shard_rows(docs, shards=24, keep=tuple(names), then=tuple(mixture))
-    return rows.select("doc_id", *names, "shard", "slot")
+    return sharding.sharded(docs, shards=24, then=tuple(mixture)).drop("size", "curve")
 
 
 STAGES = [

@@ -119,6 +119,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block:
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int = 32) -> DataFrame:
-    """All rows and columns of ``docs`` in the mixed order: sorted in and across partitions by position."""
-    out = mix(docs, weights, alpha, block, keep=tuple(docs.columns))
-    return out.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """All rows and columns of ``docs``, whatever their names, in the mixed order: sorted in and across partitions."""
+    packed = docs.select("doc_id", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    out = mix(packed, weights, alpha, block, keep=("_row",))
+    return out.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")

@@ -85,12 +85,19 @@ def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), th
     )
 
 
+def sharded(docs: DataFrame, shards: int = 24, then: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` but ``then``, with size, curve, shard and slot; columns of those names are replaced."""
+    made = ("size", "curve", "shard", "slot")
+    own = [c for c in docs.columns if c not in (*made, *then)]
+    packed = docs.select(*[F.col(c) for c in ("doc_id", "text", "lang", "source") if c in docs.columns], *then, F.struct(*[F.col(c) for c in own]).alias("_row"))
+    return shard_rows(packed, shards, keep=("_row",), then=then).select("_row.*", *made)
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:
     """Write all columns of ``docs`` as Parquet under ``path``, a folder a shard, rows in slot order; return the
-    manifest: rows, bytes and the ranges of size by shard and language, which readers prune by."""
-    names = [c for c in docs.columns if c not in ("doc_id",)]
-    rows = shard_rows(docs, shards, keep=tuple(names))
-    rows.select(*docs.columns, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    manifest: rows, bytes and the ranges of size and curve place by shard, which readers prune by."""
+    rows = sharded(docs, shards)
+    rows.drop("size", "curve").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return rows.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("bytes"), F.min("size").alias("least_size"), F.max("size").alias("most_size"),
         F.min("curve").alias("first_curve"), F.max("curve").alias("last_curve"),

@@ -155,7 +155,7 @@ def test_hilbert_curve(spark):
 
 def test_write_shards(odd, tmp_path):
     spark = odd.sparkSession
-    manifest = sharding.write_shards(odd.drop("shard"), str(tmp_path / "out"), 3)
+    manifest = sharding.write_shards(odd, str(tmp_path / "out"), 3)
     assert {r.shard: r.n_rows for r in manifest.collect()} == Counter(r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
 
@@ -171,6 +171,8 @@ def test_mixing(docs, odd, empty):
             blocks = [r.block for r in order if r.source == s]
             assert blocks == sorted(blocks)
     assert mixing.mix(empty).count() == 0
+    clashing = odd.withColumns({c: F.lit(1) for c in ("position", "slot", "block", "phase", "rank", "_at")})
+    assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixed(clashing).count() == odd.count()
     assert [r.doc_id for r in mixing.mixed(odd).collect()] == [r.doc_id for r in sorted(mixing.mix(odd).collect(), key=lambda r: r.position)]
 
 

@@ -30,7 +30,7 @@ def category_recall(interactions: DataFrame, per_user: int = 3, k: int = 30) ->
     cats = top_k(cats, per_user, "n", "category_id", ["user_id"]).select("user_id", "category_id")
     items = interactions.groupBy("category_id", "item_id").agg(F.count(F.lit(1)).alias("popularity"))
     items = top_k(items, k // per_user, "popularity", "item_id", ["category_id"]).drop("rank")
-    return cats.join(F.broadcast(items), "category_id").select("user_id", "item_id", F.col("popularity").cast("double").alias("score"))
+    return cats.join(items, "category_id").select("user_id", "item_id", F.col("popularity").cast("double").alias("score"))
 
 
 def new_items(interactions: DataFrame, as_of, days: int, k: int) -> DataFrame:
@@ -122,10 +122,18 @@ def spread(df: DataFrame, k: int, per_brand: int = 3) -> DataFrame:
     return cols.groupBy("user_id").applyInPandas(walk, "user_id long, item_id int, score double, category_id int, brand_id int, rank long")
 
 
-def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a query set, in blocks: each vector row meets all queries of a bounded broadcast set."""
+def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """Exact cosine top-k of a query set.  Queries go in blocks of ``block`` rows: one block is broadcast; more are
+    joined by block number, each vector row going to every block.  Only k rows a query and task are shuffled for the
+    ranking, as Spark limits the groups before the exchange."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    blocks = -(-q.count() // block)
+    if blocks <= 1:
+        pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    else:
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        pairs = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "_block").filter("vec_id <> query_id")
+    pairs = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     return top_k(pairs, k, "similarity", "vec_id", ["query_id"])
 
 

@@ -70,6 +70,13 @@ def test_greedy_quota_rejects_without_using_quota(spark):
     assert all(a != b for a, b in zip(walk, walk[1:], strict=False))
 
 
+def test_similar_vectors_in_blocks(spark, sf_dir):
+    v = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    one = R.similar_vectors(v.filter("vec_id % 10 = 0"), v, 5)
+    many = R.similar_vectors(v.filter("vec_id % 10 = 0"), v, 5, block=3)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.select(*one.columns).collect()))
+
+
 def test_short_sequences_keep_all_items(spark, sf_dir):
     last = O.last_n(views.interactions(spark, sf_dir), "user_id", 10_000)
     assert last.count() == views.interactions(spark, sf_dir).count()

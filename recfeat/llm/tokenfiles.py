@@ -184,7 +184,12 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_i
             )
         if out is not None:
             out.close()
-            files.move(own, name)
+            try:
+                files.move(own, name)
+            except OSError:  # some stores don't rename onto a file; another attempt has left the same bytes there
+                if files.get_file_info(name).type != fs.FileType.File:
+                    raise
+                files.delete_file(own)
 
     return stash(rows.mapInArrow(work, "doc_id long, copy long, shard int, at long, n_tokens long"), "token-places")
 

@@ -61,10 +61,11 @@ def k8(spark, sf):
     tags = _item_tags(spark, sf).select("item_id", "tag")
     u = views.interactions(spark, sf).join(tags, "item_id").groupBy("user_id", "tag").agg(F.count(F.lit(1)).cast("double").alias("w"))
     un = u.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
-    few = tags.filter("item_id < 60")
-    i = few.groupBy("item_id").agg(F.sqrt(F.count(F.lit(1))).alias("inorm"))
-    both = u.join(few, "tag").groupBy("user_id", "item_id").agg(F.sum("w").alias("dot"))
-    return both.join(un, "user_id").join(i, "item_id").select("user_id", "item_id", r6(F.col("dot") / (F.col("un") * F.col("inorm"))).alias("similarity"))
+    # Items of the same tags have the same similarity: it is computed once a set of tags, then given to all its items.
+    items = tags.groupBy("item_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    each = items.select("tags").distinct().select("tags", F.sqrt(F.size("tags")).alias("inorm"), F.explode("tags").alias("tag"))
+    both = u.join(each, "tag").groupBy("user_id", "tags", "inorm").agg(F.sum("w").alias("dot")).join(un, "user_id")
+    return both.select("user_id", "tags", r6(F.col("dot") / (F.col("un") * F.col("inorm"))).alias("similarity")).join(items, "tags").select("user_id", "item_id", "similarity")
 
 
 @register("K13_tag_ratios", _COUNTS + " select user_id, tag, round(n_7d / greatest(n_30d, 1), 6) recent_share, round(preference / 10, 6) preference_share from c")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from recfeat import views
 from recfeat.operators import models as M
-from recfeat.operators import ranking as K
 from recfeat.plans.catalog import register
 
 
@@ -35,6 +34,6 @@ def p6(spark, sf):
 @register("R10_fm_pairs", """with g as (select label, list(embedding::double[] order by vec_id) e from embeddings where vec_id < 50 group by 1), d as (select label, e, unnest(range(1, len(e[1]) + 1)) i from g),
 s as (select label, list_sum(list_transform(e, lambda v: v[i])) a, list_sum(list_transform(e, lambda v: v[i] * v[i])) b from d) select label, round(sum(0.5::double * (a * a - b)), 4) pairs from s group by 1""")
 def r10(spark, sf):
-    few = views.table(spark, sf, "embeddings").filter("vec_id < 50")
-    g = few.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("e"))
-    return g.select("label", F.round(K.fm_pairs(F.col("e")), 4).alias("pairs"))
+    e = views.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "e"))
+    d = e.groupBy("label", "i").agg(F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"))
+    return d.groupBy("label").agg(F.round(F.sum(0.5 * (F.col("s") * F.col("s") - F.col("q"))), 4).alias("pairs"))

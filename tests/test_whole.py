@@ -25,3 +25,12 @@ def test_tag_similarity_of_all_items(spark, sf_dir):
     rows = catalog.QUERIES["K8_user_item_tag_similarity"](spark, sf_dir).collect()
     assert max(i for _, i in want) >= 60 and len(rows) == len(want)
     assert {(r.user_id, r.item_id): r.similarity for r in rows} == pytest.approx(want, abs=1e-6)
+
+
+def test_fm_pairs_of_all_vectors(spark, sf_dir):
+    groups = defaultdict(list)
+    for r in views.table(spark, sf_dir, "embeddings").select("label", "embedding").collect():
+        groups[r.label].append(r.embedding)
+    want = {k: sum(0.5 * (sum(x) ** 2 - sum(v * v for v in x)) for x in zip(*e, strict=True)) for k, e in groups.items()}
+    rows = catalog.QUERIES["R10_fm_pairs"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {r.label: r.pairs for r in rows} == pytest.approx(want, abs=1e-3)

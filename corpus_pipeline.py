@@ -53,7 +53,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Expectation-maximisation and the period table have no SQL form; tests/llm holds the stages against brute force.
+#: Expectation-maximisation and the mixing schedule have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,79 +1,105 @@
 """Interleaving sources by target weights with Pfair scheduling, with DataFrame operations only.
 
-A source with share a of W slots has the release time floor(j * W / a) and the deadline ceil((j + 1) * W / a) for
-its block j.  Serving the released block with the earliest deadline in each slot keeps every source less than one
-block from its share at all times.  Shares repeat with period W, so one period's table, whose size depends on the
-number of sources only, places every block by a join: block j stands in period j div a at the place of block
-j mod a.  When a source has run out, the rest go on with their weights scaled up, as a new phase.
+A source of weight w, its part of the sum of the weights, has the release time floor(j / w) and the deadline
+ceil((j + 1) / w) for its block j.  Serving the released block with the earliest deadline in each slot keeps every
+source less than one block from its exact target at all times.  The weights are taken as whole numbers, without
+rounding, so the bound holds however long a phase is.  When a source has run out, the rest go on with their weights
+scaled up, as a new phase.  The driver works out the slot of each block (one step of a heap and 8 bytes a block); rows
+find their block's slot by a join.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked
-
-#: Slots of a period; raised to ten a source where there are many.
-PERIOD = 1000
-
-
-def shares(weights: list[float], period: int) -> list[int]:
-    """Whole slots of a period by largest remainder, at least one each."""
-    free = period - len(weights)
-    exact = [w / sum(weights) * free for w in weights]
-    out = [int(x) + 1 for x in exact]
-    for i in sorted(range(len(exact)), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
+from .common import BROADCAST_ROWS, new_path, ranked
+
+
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
+
+
+def serve(parts: list[int], blocks: list[int] | None = None, slots: int | None = None) -> list[array]:
+    """For each source the slots of its blocks, earliest deadline first among released blocks, until a source has
+    served all of its ``blocks`` or ``slots`` are filled."""
+    total = sum(parts)
+    released: dict[int, list[int]] = {0: list(range(len(parts)))}
+    ready: list[tuple[int, int]] = []
+    out = [array("q") for _ in parts]
+    slot = 0
+    while slot != slots:
+        for i in released.pop(slot, ()):
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // parts[i]), i))
+        _, i = heapq.heappop(ready)
+        out[i].append(slot)
+        slot += 1
+        if blocks is not None and len(out[i]) == blocks[i]:
+            break
+        released.setdefault(max(slot, len(out[i]) * total // parts[i]), []).append(i)
     return out
 
 
-def period_table(parts: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks in one period, earliest deadline first among released blocks."""
-    period = sum(parts)
-    releases: list[list[tuple[int, int, int]]] = [[] for _ in range(period)]
-    for i, a in enumerate(parts):
-        for j in range(a):
-            releases[j * period // a].append((-(-(j + 1) * period // a), i, j))
-    ready: list[tuple[int, int, int]] = []
-    out = [[0] * a for a in parts]
-    for slot in range(period):
-        for job in releases[slot]:
-            heapq.heappush(ready, job)
-        _, i, j = heapq.heappop(ready)
-        out[i][j] = slot
-    return out
+def period_table(parts: list[int]) -> list[array]:
+    """For each source the slots of its blocks in one period, in which it has as many as its part."""
+    return serve(parts, slots=sum(parts))
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[dict]:
-    """The phases of the schedule: first slot, period, and for each source its first block, block count and slots.
+def phases(blocks: dict, weights: dict) -> list[dict]:
+    """The phases of the schedule: first slot, and for each source its first block, block count and slots.
 
-    ``blocks`` has the number of blocks of each source; the work is in the number of sources only.
+    ``blocks`` has the number of blocks of each source.
     """
     left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     while active := [s for s in left if left[s] > 0]:
-        parts = shares([max(float(weights.get(s, 0)), 1e-9) for s in active], max(period, 10 * len(active)))
-        length = sum(parts)
-        table = period_table(parts)
-        last = min((left[s] - 1) // a * length + t[(left[s] - 1) % a] for s, a, t in zip(active, parts, table, strict=True))
-        phase = {"base": base, "period": length, "sources": {}}
-        for s, a, t in zip(active, parts, table, strict=True):
-            n = (last + 1) // length * a + sum(x < (last + 1) % length for x in t)
-            phase["sources"][s] = {"first": done[s], "n": n, "slots": t}
-            done[s] += n
-            left[s] -= n
-        base += last + 1
+        table = serve(whole([max(float(weights.get(s, 0)), 1e-9) for s in active]), [left[s] for s in active])
+        phase = {"base": base, "sources": {}}
+        for s, t in zip(active, table, strict=True):
+            phase["sources"][s] = {"first": done[s], "n": len(t), "slots": t}
+            done[s] += len(t)
+            left[s] -= len(t)
+            base += len(t)
         out.append(phase)
     return out
 
 
+def placed_blocks(spark: SparkSession, plan: list[dict], offset: dict, most: int = BROADCAST_ROWS) -> DataFrame:
+    """_g (the block's number over all sources, from ``offset``), phase and slot of each block; broadcast up to
+    ``most`` blocks, else written in pieces of that size for a shuffled join."""
+    pieces = [
+        pa.table({
+            "_g": offset[s] + x["first"] + np.arange(at, min(at + most, x["n"]), dtype=np.int64), "phase": np.full(min(most, x["n"] - at), p, np.int32),
+            "slot": phase["base"] + np.frombuffer(x["slots"], np.int64)[at : at + most],
+        })
+        for p, phase in enumerate(plan) for s, x in phase["sources"].items() for at in range(0, x["n"], most)
+    ]
+    schema = "_g long, phase int, slot long"
+    if sum(x.num_rows for x in pieces) <= most:
+        return F.broadcast(spark.createDataFrame(pa.concat_tables(pieces), schema) if pieces else spark.createDataFrame([], schema))
+    path, held = new_path(spark, "blocks"), []
+    for at, piece in enumerate(pieces):
+        held.append(piece)
+        if at == len(pieces) - 1 or sum(x.num_rows for x in held) + pieces[at + 1].num_rows > most:
+            spark.createDataFrame(pa.concat_tables(held), schema).write.mode("append").parquet(path)
+            held = []
+    return spark.read.schema(schema).parquet(path)
+
+
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int = 32, keep: tuple[str, ...] = (), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """doc_id, source, the columns ``keep``, phase, block, slot and position (0 .. rows-1 in the mixed order).
 
     ``weights`` gives each source's target weight; without it a source of n rows weighs n ** ``alpha``.  A weight of
-    zero or none means as little as the period allows.  No row is dropped or repeated: a source's rows go, in an
+    zero or none counts as 1e-9.  No row is dropped or repeated: a source's rows go, in an
     order that a hash of the id shuffles, into blocks of ``block`` rows (the last may be shorter).  The null source
     is a source of its own; null and repeated ids each keep their row.  An empty table gives an empty result.
     The number of distinct sources is metadata and is brought to the driver with one count each.
@@ -86,33 +112,23 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block:
     target = weights if weights is not None else {s: counts[s][0] ** alpha for s in sources}
     plan = phases({s: -(-counts[s][0] // block) for s in sources}, target)
 
-    spans, places = [], []
-    for p, phase in enumerate(plan):
-        for s, x in phase["sources"].items():
-            if x["n"]:
-                i, a = sources.index(s), len(x["slots"])
-                spans.append((i, p, phase["base"], phase["period"], x["first"], x["n"], a))
-                places += [(i, p, k, t) for k, t in enumerate(x["slots"][: x["n"]])]
-    ids = F.broadcast(spark.createDataFrame([(i, s, counts[s][1]) for i, s in enumerate(sources)], "_i int, _s string, _start long"))
-    spans_df = F.broadcast(spark.createDataFrame(spans, "_i int, phase int, _base long, _period long, _first long, _n long, _a long"))
-    places_df = F.broadcast(spark.createDataFrame(places, "_i int, phase int, _k long, _t long"))
-
+    offset, before = {}, 0
+    for s in sources:
+        offset[s] = before
+        before += -(-counts[s][0] // block)
+    ids = F.broadcast(spark.createDataFrame([(s, counts[s][1], offset[s]) for s in sources], "_s string, _start long, _offset long"))
     placed = (
         order.join(ids, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_at", F.col("rank") - F.col("_start"))
-        .withColumn("block", F.expr(f"_at div {block}L"))
-        .join(spans_df, "_i").filter("block >= _first and block < _first + _n")
-        .withColumn("_k", (F.col("block") - F.col("_first")) % F.col("_a"))
-        .join(places_df, ["_i", "phase", "_k"])
-        .withColumn("slot", F.col("_base") + F.expr("(block - _first) div _a") * F.col("_period") + F.col("_t"))
+        .withColumn("block", F.expr(f"_at div {block}L")).withColumn("_g", F.col("_offset") + F.col("block"))
+        .join(placed_blocks(spark, plan, offset), "_g")
     )
     # The short last blocks, one a source, move everything after them forward.
     short = []
     for phase in plan:
         for s, x in phase["sources"].items():
-            blocks, a = -(-counts[s][0] // block), len(x["slots"])
+            blocks = -(-counts[s][0] // block)
             if x["n"] and x["first"] + x["n"] == blocks and counts[s][0] % block:
-                k = blocks - 1 - x["first"]
-                short.append((phase["base"] + k // a * phase["period"] + x["slots"][k % a], block - counts[s][0] % block))
+                short.append((phase["base"] + x["slots"][blocks - 1 - x["first"]], block - counts[s][0] % block))
     gaps = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(g).cast("long").alias("g")) for t, g in sorted(short)]) if short else None
     lost = F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["t"] < F.col("slot"), x["g"]).otherwise(0)) if short else F.lit(0)
     return placed.select("doc_id", "source", *[c for c in keep if c not in (id_col, source_col)], "phase", "block", "slot", (F.col("slot") * block + F.col("_at") % block - lost).alias("position"))

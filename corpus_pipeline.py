@@ -6,6 +6,8 @@ stage's ``docs``.  All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``documents`` with shard and slot: Hilbert cells cut into 24 shards of equal row counts.  Inside a
-    cell rows keep the order of the mixture, which the files of the stage before hold."""
-    mixture: list[str] = []
-    if docs.inputFiles():
-        docs = docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
-        mixture = ["mix_file", "mix_row"]
-    return sharding.sharded(docs, shards=24, then=tuple(mixture)).drop("size", "curve")
+    """The columns of ``documents`` with shard and slot: the mixture, whose order the files of the stage before hold, is
+    cut into 24 runs of equal row counts, a shard each, so that every shard has the proportions of its part of the
+    mixture.  Inside a shard rows stand along the Hilbert curve, and inside a cell in the order of the mixture."""
+    shards = 24
+    if not docs.inputFiles():
+        return sharding.sharded(docs, shards).drop("size", "curve")
+    docs = docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    files = docs.groupBy("mix_file").agg(F.count(F.lit(1)).alias("n")).orderBy("mix_file").collect()
+    *before, total = accumulate((r.n for r in files), initial=0)
+    starts = [(r.mix_file, n) for r, n in zip(files, before, strict=True)]
+    docs = docs.join(F.broadcast(spark.createDataFrame(starts, "mix_file string, mix_start long")), "mix_file").drop("mix_file")
+    docs = docs.withColumn("mix_at", F.col("mix_start") + F.col("mix_row")).withColumn("mix_run", F.expr(f"mix_at * {shards}L div {max(1, total)}L")).drop("mix_start", "mix_row")
+    return sharding.sharded(docs, shards, first=("mix_run",), then=("mix_at",)).drop("size", "curve")
 
 
 STAGES = [

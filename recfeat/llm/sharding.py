@@ -60,11 +60,11 @@ def curve(size: Column, lang: Column, source: Column, bits: int = BITS) -> Colum
     return hilbert_index([scale, cell(lang), cell(source)], bits)
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), then: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), then: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", first: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, curve, the columns ``keep``, shard (0 .. shards-1) and slot (from 0 in each shard).
 
     Law ``rows``: rank r of N goes to shard floor(r * shards / N), so counts are at most one apart and slots have no
-    gaps.  The order is curve place, then the columns ``then``, the text's checksum (equal texts stand together) and
+    gaps.  The order is the columns ``first``, curve place, then the columns ``then``, the text's checksum (equal texts stand together) and
     doc_id; nulls come first.  Size is the UTF-8 length plus 8; a null text counts as empty.  Null language or
     source share the first cell.  Rows with repeated or null ids each get a slot.  An empty table gives no rows.
     """
@@ -74,9 +74,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), th
     column = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        curve(size, column("lang"), column("source")).alias("curve"), *[F.col(c) for c in dict.fromkeys([*keep, *then]) if c != id_col],
+        curve(size, column("lang"), column("source")).alias("curve"), *[F.col(c) for c in dict.fromkeys([*keep, *first, *then]) if c != id_col],
     )
-    order = ranked(rows, ["curve", *then, "text_crc32", "doc_id"], "curve")
+    order = ranked(rows, [*first, "curve", *then, "text_crc32", "doc_id"], "curve")
     total = max(1, order.count())
     return (
         order.withColumn("shard", F.expr(f"cast(rank * {shards}L div {total}L as int)"))
@@ -85,12 +85,12 @@ def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), th
     )
 
 
-def sharded(docs: DataFrame, shards: int = 24, then: tuple[str, ...] = ()) -> DataFrame:
-    """All columns of ``docs`` but ``then``, with size, curve, shard and slot; columns of those names are replaced."""
+def sharded(docs: DataFrame, shards: int = 24, then: tuple[str, ...] = (), first: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` but ``first`` and ``then``, with size, curve, shard and slot; columns of those names are replaced."""
     made = ("size", "curve", "shard", "slot")
-    own = [c for c in docs.columns if c not in (*made, *then)]
-    packed = docs.select(*[F.col(c) for c in ("doc_id", "text", "lang", "source") if c in docs.columns], *then, F.struct(*[F.col(c) for c in own]).alias("_row"))
-    return shard_rows(packed, shards, keep=("_row",), then=then).select("_row.*", *made)
+    own = [c for c in docs.columns if c not in (*made, *first, *then)]
+    packed = docs.select(*[F.col(c) for c in ("doc_id", "text", "lang", "source") if c in docs.columns], *first, *then, F.struct(*[F.col(c) for c in own]).alias("_row"))
+    return shard_rows(packed, shards, keep=("_row",), then=then, first=first).select("_row.*", *made)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:

@@ -1,11 +1,12 @@
 """The corpus operators' whole jobs on cases that a rounded or capped form gets wrong."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from recfeat.llm import mixing
 
 
@@ -32,3 +33,24 @@ def test_many_blocks_are_joined_without_broadcast(spark, monkeypatch):
     for r in sorted(one, key=lambda r: r.position):
         at[r.source].append(r.block)
     assert all(x == sorted(x) for x in at.values()) and sorted(r.position for r in one) == list(range(500))
+
+
+def _shards(spark, docs, weights, path):
+    mixing.mixed(docs, weights, block=4).write.parquet(path)
+    return corpus_pipeline.shard(spark, spark.read.parquet(path), "").collect()
+
+
+def test_weights_reach_the_shards(spark, tmp_path):
+    """The pipeline's last stage gives each shard the mixture's proportions, and other rows under other weights."""
+    docs = spark.range(2400).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"),
+        F.when(F.col("id") < 1800, "a").otherwise("b").alias("source"), F.lit(8).cast("long").alias("n_chars"),
+    )
+    one, two = _shards(spark, docs, {"a": 3, "b": 1}, str(tmp_path / "1")), _shards(spark, docs, {"a": 1, "b": 1}, str(tmp_path / "2"))
+    n = Counter((r.shard, r.source) for r in one)
+    assert all(abs(n[s, "a"] - 75) <= 8 and abs(n[s, "b"] - 25) <= 8 for s in range(24))
+    n = Counter((r.shard, r.source) for r in two)
+    assert all(abs(n[s, "b"] - 50) <= 8 for s in range(11)) and all(n[s, "a"] == 100 for s in range(13, 24))
+    for rows in (one, two):
+        assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(24) for i in range(100)]
+        assert {r.doc_id for r in rows} == set(range(2400))

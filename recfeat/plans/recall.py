@@ -233,11 +233,29 @@ def c10(spark, sf):
 
 @register("R3_negative_samples")
 def r3(spark, sf):
-    """Four unseen items for each positive, drawn by hash; pairs that the user has met are left out."""
-    it = views.interactions(spark, sf)
+    """Four unseen items for each positive, or all unseen items where there are fewer.
+
+    A user's unseen items, in an order that a hash of the item shuffles, are cut into as many runs of (nearly) equal
+    length as items are due, and a hash draws one of each run; so no draw meets a seen item or an earlier draw.
+    """
+    it = views.interactions(spark, sf).filter("user_id is not null and item_id is not null")
     seen = it.select("user_id", "item_id").distinct()
+    # The place of each item: its place in a bucket of the hash, after the items of the buckets before.
+    items = it.select("item_id").distinct().withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(1024)))
+    sizes = items.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("b", (F.sum("size").over(W.orderBy("b")) - F.col("size")).alias("start"))
+    at = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("item_id"), "item_id")) - 1
+    items = items.withColumn("at", at).join(F.broadcast(starts), "b").select("item_id", (F.col("start") + F.col("at")).alias("place"))
     positives = it.filter("action = 'purchase'").select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    draws = positives.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(400), F.col("n") * 8).cast("int")))).select("user_id", "n", F.pmod(F.xxhash64("user_id", "i"), F.lit(100)).cast("int").alias("item_id")).distinct()
-    left = draws.join(seen, ["user_id", "item_id"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.xxhash64("user_id", "item_id")))
-    return left.withColumn("rn", rank).filter("rn <= 4 * n").select("user_id", "item_id", F.lit(0).alias("label"))
+    met = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("met"))
+    due = positives.join(met, "user_id").crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("all_items")))).withColumn("unseen", F.col("all_items") - F.col("met"))
+    due = due.withColumn("k", F.least(F.col("n") * 4, F.col("unseen"))).filter("k > 0")
+    draws = due.select("user_id", "unseen", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+    draws = draws.withColumn("lo", F.expr("i * unseen div k")).withColumn("hi", F.expr("(i + 1) * unseen div k"))
+    draws = draws.select("user_id", (F.col("lo") + F.pmod(F.xxhash64("user_id", "i"), F.col("hi") - F.col("lo"))).alias("key"), F.lit(0).alias("is_seen"))
+    # Unseen place u stands at place u plus the number of seen places before it.
+    own = seen.join(due.select("user_id"), "user_id", "left_semi").join(items, "item_id")
+    own = own.select("user_id", (F.col("place") - F.row_number().over(W.partitionBy("user_id").orderBy("place")) + 1).alias("key"), F.lit(1).alias("is_seen"))
+    before = F.sum("is_seen").over(W.partitionBy("user_id").orderBy("key", F.desc("is_seen")).rowsBetween(W.unboundedPreceding, 0))
+    places = draws.unionByName(own).withColumn("place", F.col("key") + before).filter("is_seen = 0")
+    return places.join(items, "place").select("user_id", "item_id", F.lit(0).alias("label"))

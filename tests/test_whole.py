@@ -34,3 +34,27 @@ def test_fm_pairs_of_all_vectors(spark, sf_dir):
     want = {k: sum(0.5 * (sum(x) ** 2 - sum(v * v for v in x)) for x in zip(*e, strict=True)) for k, e in groups.items()}
     rows = catalog.QUERIES["R10_fm_pairs"](spark, sf_dir).collect()
     assert len(rows) == len(want) and {r.label: r.pairs for r in rows} == pytest.approx(want, abs=1e-3)
+
+
+def _events(spark, rows, path):
+    """An events table of (user, item, type)."""
+    df = spark.createDataFrame([(n, u, k, i) for n, (u, i, k) in enumerate(rows)], "event_id long, user_id long, event_type string, k int")
+    made = df.selectExpr("event_id", "timestamp '2024-01-30 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, event_id % 3600) ts", "user_id", "event_type", "1.0D value", "concat('{\"k\": ', k, '}') props")
+    made.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_negatives_are_complete(spark, sf_dir, tmp_path):
+    wide = [(u, (u * 37 + i * 11) % 700, "purchase" if i % 3 == 0 else "view") for u in range(1, 8) for i in range(u * u * 3)]
+    wide += [(8, i, "purchase") for i in range(690)] + [(9, i, "view") for i in range(700)] + [(10, i, "purchase") for i in range(700)]
+    for path in (sf_dir, _events(spark, wide, tmp_path)):
+        seen, bought = defaultdict(set), defaultdict(set)
+        for r in views.interactions(spark, path).select("user_id", "item_id", "action").collect():
+            seen[r.user_id].add(r.item_id)
+            if r.action == "purchase":
+                bought[r.user_id].add(r.item_id)
+        items = set().union(*seen.values())
+        rows = catalog.QUERIES["R3_negative_samples"](spark, path).collect()
+        assert len(rows) == len({(r.user_id, r.item_id) for r in rows}) and all(r.item_id in items - seen[r.user_id] for r in rows)
+        want = {u: min(4 * len(b), len(items - seen[u])) for u, b in bought.items()}
+        assert Counter(r.user_id for r in rows) == {u: n for u, n in want.items() if n}

@@ -285,16 +285,21 @@ def running_rates(interactions: DataFrame) -> DataFrame:
     })
 
 
-def item_similarity(matrix: DataFrame, least: int = 5, most_items: int = 500, full_norms: bool = False) -> DataFrame:
+def item_similarity(matrix: DataFrame, least: int = 5, chunk: int = 200, full_norms: bool = False) -> DataFrame:
     """J1 (J2 with ``full_norms``): cosine of item columns over users who have both; norms over the same users, or whole.
 
-    Pairs grow with the square of a user's history, so at most the ``most_items`` best-weighted items of a user count
-    (a documented limit of the recall model, well above ordinary histories).
+    Pairs grow with the square of a user's history, so a longer one is dealt into chunks of about ``chunk`` items by
+    a hash, and each pair of chunks is a join key of its own: every pair of items is formed once, in many tasks.
     """
-    w = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
-    m = matrix.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most_items).select("user_id", "item_id", "score")
-    a, b = m.toDF("user_id", "item1", "s1"), m.toDF("user_id", "item2", "s2")
-    pairs = a.join(b, "user_id").filter("item1 < item2").groupBy("item1", "item2").agg(
+    m = matrix.select("user_id", "item_id", "score")
+    chunks = m.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_n"))
+    dealt = m.join(chunks, "user_id").withColumn("_c", F.pmod(F.xxhash64("item_id"), F.col("_n")).cast("int"))
+    a = dealt.select("user_id", F.col("_c").alias("lo"), F.explode(F.sequence("_c", F.col("_n") - 1)).alias("hi"), F.col("item_id").alias("ia"), F.col("score").alias("sa"))
+    b = dealt.select("user_id", F.explode(F.sequence(F.lit(0), "_c")).alias("lo"), F.col("_c").alias("hi"), F.col("item_id").alias("ib"), F.col("score").alias("sb"))
+    up = F.col("ia") < F.col("ib")
+    pairs = a.join(b, ["user_id", "lo", "hi"]).filter((F.col("lo") < F.col("hi")) | up).select(
+        F.least("ia", "ib").alias("item1"), F.greatest("ia", "ib").alias("item2"), F.when(up, F.col("sa")).otherwise(F.col("sb")).alias("s1"), F.when(up, F.col("sb")).otherwise(F.col("sa")).alias("s2"),
+    ).groupBy("item1", "item2").agg(
         F.count(F.lit(1)).alias("users"), F.sum(F.col("s1") * F.col("s2")).alias("dot"), F.sum(F.col("s1") * F.col("s1")).alias("q1"), F.sum(F.col("s2") * F.col("s2")).alias("q2"),
     ).filter(F.col("users") >= least)
     if full_norms:

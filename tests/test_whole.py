@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from recfeat import views
+from recfeat.operators import features as O
 from recfeat.plans import catalog, profiles
 
 
@@ -58,3 +59,24 @@ def test_negatives_are_complete(spark, sf_dir, tmp_path):
         assert len(rows) == len({(r.user_id, r.item_id) for r in rows}) and all(r.item_id in items - seen[r.user_id] for r in rows)
         want = {u: min(4 * len(b), len(items - seen[u])) for u, b in bought.items()}
         assert Counter(r.user_id for r in rows) == {u: n for u, n in want.items() if n}
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_similarity_of_long_histories(spark, full):
+    """Users with more than 500 items count with all of them."""
+    rows = [(u, i, 1.0 + (u * i) % 7) for u in range(6) for i in range(0, 520, 1 + u % 2)] + [(9, i, 2.0) for i in range(30)]
+    of, norm = defaultdict(list), Counter()
+    for u, i, s in rows:
+        of[u].append((i, s))
+        norm[i] += s * s
+    want = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+    for own in of.values():
+        for a, s in own:
+            for b, t in own:
+                if a < b:
+                    w = want[a, b]
+                    w[:] = w[0] + 1, w[1] + s * t, w[2] + s * s, w[3] + t * t
+    want = {p: (n, d / math.sqrt(norm[p[0]] * norm[p[1]] if full else q * r)) for p, (n, d, q, r) in want.items() if n >= 5}
+    got = O.item_similarity(spark.createDataFrame(rows, "user_id long, item_id int, score double"), full_norms=full).collect()
+    assert {(r.item1, r.item2): r.users for r in got} == {p: n for p, (n, _) in want.items()} and len(got) == len(want)
+    assert all(abs(r.similarity - want[r.item1, r.item2][1]) < 2e-6 for r in got)

@@ -311,7 +311,10 @@ def l31(spark, sf):
 @register("M11_sentiment_trend", _SENT + ", b as (select doc_id // 50 h, avg(score) y from s group by 1), i as (select row_number() over (order by h) - 1 x, y from b) select count(*) buckets, round(regr_slope(y, x), 6) slope from i")
 def m11(spark, sf):
     b = views.table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("h")).agg(F.avg(M.sentiment(F.col("text"))).alias("y"))
-    i = b.select((F.row_number().over(W.orderBy("h")) - 1).alias("x"), "y")  # one row a time bucket
+    b = b.withColumn("run", F.floor(F.col("h") / 4096))  # buckets are numbered in runs, each after the buckets of the runs before
+    runs = b.groupBy(F.col("run").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    starts = runs.select("r", (F.sum("n").over(W.orderBy("r")) - F.col("n")).alias("start"))
+    i = b.join(F.broadcast(starts), F.col("run").eqNullSafe(F.col("r"))).select((F.col("start") + F.row_number().over(W.partitionBy("run").orderBy("h")) - 1).alias("x"), "y")
     return i.agg(F.count(F.lit(1)).alias("buckets"), r6(F.regr_slope("y", "x")).alias("slope"))
 
 

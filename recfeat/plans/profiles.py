@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from recfeat import views
 from recfeat.functions import exprs as X
@@ -264,6 +265,13 @@ def r4(spark, sf):
 
 @register("S1_percentile_element", SQL_INTERACTIONS + " , s as (select item_id, list_sort(list(price)) x from interactions group by 1) select item_id, round(x[least(floor(len(x) * 0.9::double)::bigint, len(x) - 1) + 1], 6) p90 from s")
 def s1(spark, sf):
-    x = views.interactions(spark, sf).groupBy("item_id").agg(F.array_sort(F.collect_list("price")).alias("x"))
-    at = F.least(F.floor(F.size("x") * F.lit(0.9)), F.size("x") - 1).cast("int") + 1
-    return x.select("item_id", F.round(F.element_at("x", at), 6).alias("p90"))
+    # Prices are counted, the whole unit that holds the place is found first, then the price inside it: no list of prices.
+    c = views.interactions(spark, sf).groupBy("item_id", F.floor("price").alias("unit"), "price").agg(F.count("price").alias("n"))
+    whole, upto = W.partitionBy("item_id"), W.partitionBy("item_id").orderBy("unit")
+    units = c.groupBy("item_id", "unit").agg(F.sum("n").alias("n")).withColumns({"total": F.sum("n").over(whole), "end": F.sum("n").over(upto)})
+    at = F.least(F.floor(F.col("total") * F.lit(0.9)), F.col("total") - 1)
+    units = units.withColumn("at", at).filter((F.col("end") > F.col("at")) & (F.col("end") - F.col("n") <= F.greatest("at", F.lit(0))))
+    units = units.select(F.col("item_id").alias("item"), F.col("unit").alias("u"), (F.col("at") - F.col("end") + F.col("n")).alias("at"))
+    x = c.join(units, F.col("item_id").eqNullSafe(F.col("item")) & F.col("unit").eqNullSafe(F.col("u")))
+    x = x.withColumn("end", F.sum("n").over(W.partitionBy("item_id", "unit").orderBy("price")))
+    return x.filter((F.col("end") > F.col("at")) & (F.col("end") - F.col("n") <= F.greatest("at", F.lit(0)))).select("item_id", F.round("price", 6).alias("p90"))

@@ -80,3 +80,10 @@ def test_similarity_of_long_histories(spark, full):
     got = O.item_similarity(spark.createDataFrame(rows, "user_id long, item_id int, score double"), full_norms=full).collect()
     assert {(r.item1, r.item2): r.users for r in got} == {p: n for p, (n, _) in want.items()} and len(got) == len(want)
     assert all(abs(r.similarity - want[r.item1, r.item2][1]) < 2e-6 for r in got)
+
+
+def test_no_list_or_single_window(spark, sf_dir):
+    """No row holds all prices of an item, and no window runs over all time buckets."""
+    plan = lambda q: catalog.QUERIES[q](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan("S1_percentile_element")
+    assert "windowspecdefinition(run" in plan("M11_sentiment_trend")

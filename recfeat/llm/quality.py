@@ -18,6 +18,8 @@ from .common import small_batches
 #: Largest share of word characters inside repeated n-grams, by n; every occurrence counts, the first included, so the
 #: limits are twice those of rules that count later occurrences only.
 NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: Largest share of word characters inside later occurrences of n-grams, by n; the verdict goes by these.
+LATER_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines that repeat an earlier line (later occurrences only).
 LINE_CHAR_LIMIT = 0.20
 
@@ -70,7 +72,9 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         for j in range(1, n - step + 1 if step else 1):
             alive = alive[repeats[np.minimum(alive + j, len(starts))]]
         alive = alive[alive + n <= stop[alive]]
-        again = _repeated(tb.span_hash(grams, alive, alive + n) ^ salt[owner[alive]])
+        key = tb.span_hash(grams, alive, alive + n) ^ salt[owner[alive]]
+        again = _repeated(key)
+        later = alive[_later(key)]
         alive = alive[again]
         repeats = np.zeros(len(starts) + 1, bool)
         repeats[alive] = True
@@ -81,6 +85,10 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         if n == 3:
             out["n_repeat_words"] = per_doc(marked, first)
         else:
+            edge = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(edge, later, 1)
+            np.add.at(edge, later + n, -1)
+            out[f"later_{n}"] = per_doc(chars * (np.cumsum(edge)[:-1] > 0), first) / np.maximum(1, out["word_chars"])
             out[f"dup_{n}"] = per_doc(chars * marked, first) / np.maximum(1, out["word_chars"])
         step = n
 
@@ -105,8 +113,8 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept)."""
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     bad = m["dup_line_chars"] > LINE_CHAR_LIMIT
-    for n, limit in NGRAM_LIMITS.items():
-        bad |= m[f"dup_{n}"] > limit
+    for n, limit in LATER_LIMITS.items():
+        bad |= m[f"later_{n}"] > limit
     return failed, ~failed & ~bad
 
 

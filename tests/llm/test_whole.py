@@ -3,11 +3,12 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recfeat.llm import mixing
+from recfeat.llm import mixing, quality
 
 
 @pytest.mark.parametrize("weights", [{"hot": 10.0 ** 0.7, **{f"s{i:02}": 1.0 for i in range(19)}}, {"a": 0.37, "b": 999.63}, {"a": 1.0, "b": 2.0**0.5, "c": 3.3, "d": 0.01}])
@@ -54,3 +55,18 @@ def test_weights_reach_the_shards(spark, tmp_path):
     for rows in (one, two):
         assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(24) for i in range(100)]
         assert {r.doc_id for r in rows} == set(range(2400))
+
+
+@pytest.mark.parametrize(("copies", "unique", "kept"), [(2, 50, True), (10, 129, False), (10, 400, True)])
+def test_repeated_passage_of_five_words(copies, unique, kept):
+    """Later occurrences count: 25 % of a text in nine later copies fails, though all ten are under 30 %."""
+    words, at = [], 0
+    for i in range(copies):
+        step = unique * (i + 1) // copies
+        words += [*(f"u{j:03}" for j in range(at, step)), "aaaa", "bbbb", "cccc", "dddd", "eeee"]
+        at = step
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    m = quality.measure(data, np.array([0, len(data)]))
+    assert m["later_5"][0] == pytest.approx(5 * (copies - 1) / (unique + 5 * copies))
+    assert m["dup_5"][0] < 0.3 or copies == 2
+    assert bool(quality.verdicts(m)[1][0]) == kept

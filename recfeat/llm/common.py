@@ -16,10 +16,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and the session
+    is local.  On a cluster without that setting this raises: executors would write where nobody else can read."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="recfeat-")
@@ -42,6 +45,18 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def fresh_name(columns: list[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    return next(name for name in (f"{stem}_{i}" for i in range(len(taken) + 1)) if name not in taken)
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose id isn't in the one-column ``ids``."""
+    name = fresh_name(docs.columns, "gone")
+    return docs.join(checked_broadcast(ids.toDF(name)), F.col(id_col).cast("long") == F.col(name), "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches of whole texts small: at most ``rows`` rows and 32 MB a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

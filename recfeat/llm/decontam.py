@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import checked_broadcast, small_batches, stash
+from .common import checked_broadcast, small_batches, stash, without
 
 #: Words of a fingerprinted gram.
 GRAM = 6
@@ -190,6 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id has no contaminated text; rows without an id stay."""
-    dirty = contamination(docs, benchmark, window, id_col).filter("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(checked_broadcast(stash(dirty, "contaminated")), F.col(id_col).cast("long") == F.col("_dirty"), "left_anti")
+    """The rows of ``docs``, all columns whatever their names, whose id has no contaminated text; rows without an id
+    stay."""
+    dirty = contamination(docs, benchmark, window, id_col).filter("contaminated").select("doc_id").distinct()
+    return without(docs, id_col, stash(dirty, "contaminated"))

@@ -5,10 +5,12 @@ Stages, each a Spark job over stored tables:
 1. one Arrow pass: shingle set, its 128-bit key, and band keys of a one-permutation sketch with optimal
    densification (an empty bin copies the bin that its own probe sequence finds first);
 2. equal sets collapse to the smallest doc_id, so exact copies never meet each other in a bucket;
-3. buckets of two or more get a hub, and star edges hub-member only;
-4. edges are confirmed on the full sets, and components are grown from confirmed links;
-5. a bucket whose members still lie in several components gets its best-linked member as a further hub; what that
-   leaves goes through an exact filter over the members' own shingles, rarest first, and is confirmed.
+3. a bucket's hub is the member with the most bucket mates, and its centre is what one reaches from the hub by going
+   twice to the best hub in reach: the buckets of a family share one centre, so a document has few of them;
+4. star edges centre-member are confirmed on the full sets, and components are grown from confirmed links; buckets
+   whose members still lie in several components get star edges from their hub and from a second one;
+5. for what that leaves, members are compared by their differences from the centre, which are small and mostly their
+   own: prefix, position and bitmap filters over the differences leave next to no pair that isn't linked.
    So no pair that shares a bucket goes untested unless its two sides are already joined or can't be linked.
 
 A pair at the threshold itself shares no bucket with probability (1 - 0.8**6)**48, about 5e-7.
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import checked_broadcast, small_batches, stash
+from .common import checked_broadcast, small_batches, stash, without
 
 BANDS, ROWS = 48, 6
-#: Rounds in which the best-linked member of a bucket becomes its next hub: the originals of copies are found so.
-LEADING_ROUNDS = 2
+#: Star edges of one hub up to which they stay together; the edges of a larger star are spread over SALTS groups.
+STAR, SALTS = 1000, 64
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 8
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TRIES = 24
@@ -110,16 +114,26 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
+def parity_bits(u: np.ndarray) -> np.ndarray:
+    """The parities of a set's items in BITMAP x 64 bins: two sets differ in no fewer items than in bits."""
+    odd = np.bincount((u >> np.uint64(20)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             for a, b, data, bounds in tb.slices(batch.column(1)):
                 sets = list(shingle_sets(data, bounds, size))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], names=["doc", "items"]
+                    [
+                        batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()),
+                        pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array([parity_bits(u) for u in sets], pa.list_(pa.int64())),
+                    ],
+                    names=["doc", "n", "items", "bits"],
                 )
 
-    return docs.mapInArrow(work, "doc long, items array<long>")
+    return docs.mapInArrow(work, "doc long, n long, items array<long>, bits array<long>")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -140,42 +154,86 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         labels = new.select("doc", "label")
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, hub: str, doc: str) -> DataFrame:
+    """``pairs`` with items_a (of ``hub``) and items_b (of ``doc``), the sizes n_a and n_b, and bits_b.
+
+    A hub's set goes to each group of its edges once: large stars are spread over SALTS groups by the other end.
+    """
+    large = checked_broadcast(pairs.groupBy(hub).agg(F.count(F.lit(1)).alias("edges")).filter(F.col("edges") > STAR).select(hub, F.lit(SALTS).alias("salts")))
+    salt = F.pmod(F.xxhash64(doc), F.coalesce("salts", F.lit(1)))
+    spread = pairs.join(large, hub, "left").withColumn("salt", salt).drop("salts")
+    ends = pairs.select(hub).distinct().join(large, hub, "left").select(F.col(hub), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
+    hubs = ends.join(sets.select(F.col("doc").alias(hub), F.col("n").alias("n_a"), F.col("items").alias("items_a")), hub)
+    members = sets.select(F.col("doc").alias(doc), F.col("n").alias("n_b"), F.col("items").alias("items_b"), F.col("bits").alias("bits_b"))
+    return spread.withColumn("salt", F.col("salt").cast("long")).join(members, doc).join(hubs, [hub, "salt"]).drop("salt")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with the verdict ``linked``, taken from the full sets."""
-    left, right = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
+    """``pairs`` (a, b), a being the hub, with the verdict ``linked``, taken from the full sets."""
     both = F.size(F.array_intersect("items_a", "items_b"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .select("a", "b", (100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).alias("linked"))
-    )
+    return _beside(pairs, sets, "a", "b").select("a", "b", (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).alias("linked"))
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of ``rest`` (doc, n_shingles, label) with different labels that can reach the threshold.
+def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``rest`` (centre, centre_label, doc, label) with one centre and different labels that can
+    reach the threshold.
 
-    Shingles are ordered by the number of documents of ``rest`` that hold them.  Two linked sets meet first in a
-    place that leaves enough shingles behind it in both; so the larger set is probed with its first
-    n - ceil(percent n / 100) + 1 shingles, the smaller indexed by n - ceil(2 percent n / (100 + percent)) + 1, and the
-    place must leave room for the required overlap.  Shingles of one document only come first and match nothing,
-    so a document with enough of its own is in no pair at all.
+    With D(x) the items in which x differs from the centre, x and y differ in d(x) + d(y) - 2 |D(x) & D(y)| items, which
+    the threshold bounds by most = (n(x) + n(y)) (100 - percent) / (100 + percent).  So they share at least
+    t = (d(x) + d(y) - most) / 2 differences, one or more: documents that both lie as near to the centre as a link
+    asks have its label.  Differences are ordered by the number of documents that have them, so two linked
+    documents meet first in a place that leaves t of them in both; the one with more differences is probed with its first
+    most + 1, the other indexed by its first d - t + 1 for the least t that a partner of the centre's family allows.
+    Pairs that meet there must also pass the bitmaps: sets differ in no fewer items than their bitmaps in bits.
     """
-    held = stash(sets.join(rest, "doc").select("doc", F.explode("items").alias("item")).distinct(), "rest-items")
-    shared = stash(held.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "rest-df")
-    lists = held.join(shared, "item").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
-    own = F.col("n_shingles") - F.size("items")
-    probe = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100.0 - 1e-9) + 1
-    index = F.col("n_shingles") - F.ceil(F.col("n_shingles") * 2 * percent / (100.0 + percent) - 1e-9) + 1
-    lists = lists.join(rest, "doc").select("doc", "n_shingles", "label", "items", own.alias("own"), probe.alias("probe"), index.alias("index")).filter("probe > own")
-    heads = lists.select("doc", "n_shingles", "label", "own", "index", F.posexplode(F.slice("items", F.lit(1), (F.col("probe") - F.col("own")).cast("int"))).alias("at", "x"))
-    heads = stash(heads.select(F.col("x.item").alias("item"), "doc", "n_shingles", "label", (F.col("own") + F.col("at")).alias("place"), "index"), "prefixes")
-    a = heads.select("item", F.col("doc").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("l_a"), F.col("place").alias("p_a"))
-    b = heads.filter("place < index").select("item", F.col("doc").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("l_b"), F.col("place").alias("p_b"))
-    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    pairs = a.join(b, "item").filter(
-        (F.col("l_a") != F.col("l_b")) & (F.struct("n_b", "b") < F.struct("n_a", "a")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-        & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+    q = (100.0 - percent) / (100.0 + percent)
+    apart = _beside(rest, sets, "centre", "doc").select(
+        "centre", "doc", "label", (F.col("label") == F.col("centre_label")).alias("near"), F.col("n_a").alias("n_c"), F.col("n_b").alias("n"), F.col("bits_b").alias("bits"),
+        F.concat(F.array_except("items_b", "items_a"), F.array_except("items_a", "items_b")).alias("items"),
+    )
+    apart = stash(apart.withColumn("d", F.size("items")).filter("d > 0"), "apart")
+    sizes = apart.groupBy("centre").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    each = apart.select("centre", "doc", "bits", F.explode("items").alias("item"))
+    shared = stash(each.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "apart-df")
+    lists = each.join(shared, ["centre", "item"]).groupBy("centre", "doc", "bits").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
+    lo = F.greatest(F.col("n") * percent / 100.0, F.col("n_lo"))
+    hi = F.least(F.col("n") * 100.0 / percent, F.col("n_hi"))
+    most = (F.col("n") + hi) * q
+    partner = F.greatest(F.col("d"), F.when(F.col("near"), F.floor((lo + F.col("n_c")) * q + 1e-6) + 1).otherwise(0))
+    least = F.greatest(F.lit(1), F.ceil((F.col("d") + partner - most) / 2 - 1e-6))
+    lists = lists.join(apart.drop("items"), ["centre", "doc", "bits"]).join(sizes, "centre").select(
+        "centre", "doc", "label", "n", "d", "bits", "held", (F.col("d") - F.size("held")).alias("own"),
+        F.least(F.col("d"), F.floor(most + 1e-6) + 1).alias("probe"), (F.col("d") - least + 1).alias("index"),
     )
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    lead = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.greatest("probe", "index") - F.col("own")).cast("int"))
+    heads = lists.select("centre", "doc", "label", "n", "d", "bits", "own", "probe", "index", F.posexplode(lead).alias("at", "x"))
+    heads = stash(heads.withColumn("place", F.col("own") + F.col("at")).select("centre", F.col("x.item").alias("item"), "doc", "label", "n", "d", "bits", "place", "probe", "index"), "apart-heads")
+    kept = ("doc", "label", "n", "d", "bits", "place")
+    x = heads.filter("place < probe").select("centre", "item", *[F.col(c).alias(f"x_{c}") for c in kept])
+    y = heads.filter("place < index").select("centre", "item", *[F.col(c).alias(f"y_{c}") for c in kept])
+    bound = (F.col("x_n") + F.col("y_n")) * q + 1e-6
+    room = F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place"))
+    bits = sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
+    pairs = x.join(
+        y,
+        (x["centre"] == y["centre"]) & (x["item"] == y["item"]) & (F.col("x_label") != F.col("y_label"))
+        & ((F.col("y_d") < F.col("x_d")) | ((F.col("y_d") == F.col("x_d")) & (F.col("y_doc") < F.col("x_doc"))))
+        & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (2 * room >= F.col("x_d") + F.col("y_d") - bound) & (bits <= bound),
+    )
+    return pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """(key, hub, hub_n, centre, centre_n) of all buckets of ``members`` (doc, n_shingles, weight, keys)."""
+    each = members.select("doc", "n_shingles", "weight", F.explode("keys").alias("key"))
+    order = F.struct("weight", -F.col("doc"))
+    hubs = stash(each.groupBy("key").agg(F.max_by(F.struct("doc", "n_shingles", "weight"), order).alias("h")).select("key", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.weight").alias("hub_weight")), "hubs")
+    leading = each.join(hubs.select(F.col("hub").alias("doc")).distinct(), "doc", "left_semi")
+    best = F.max_by(F.struct("hub", "hub_n"), F.struct("hub_weight", -F.col("hub")))
+    up = stash(leading.select("doc", "key").join(hubs, "key").groupBy("doc").agg(best.alias("b")).select("doc", F.col("b.hub").alias("up"), F.col("b.hub_n").alias("up_n")), "best-hubs")
+    again = up.select(F.col("doc").alias("up"), F.col("up").alias("centre"), F.col("up_n").alias("centre_n"))
+    far = up.select("doc", "up").join(again, "up").select(F.col("doc").alias("hub"), "centre", "centre_n")
+    return stash(hubs.join(far, "hub").select("key", "hub", "hub_n", "centre", "centre_n"), "centres")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -195,52 +253,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = base.join(rep.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     rows_ = stash(heads.select(F.col("doc_id").alias("doc"), "n_shingles", F.explode("bands").alias("key")).distinct(), "bands")
 
-    full = rows_.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("far"), F.count(F.lit(1)).alias("n")).filter("hub < far")
-    buckets = stash(full, "buckets")
-    members = stash(rows_.join(buckets.filter("n > 2").select("key", "hub"), "key"), "members")
-    pairs = buckets.filter("n = 2").select(F.col("hub").alias("a"), F.col("far").alias("b"))
-    pairs = pairs.union(members.filter("hub < doc").select("hub", "doc")).distinct()
-    # One row a document from here on, so that what is known of it is joined once and not once a bucket.
-    members = stash(members.groupBy("doc", "n_shingles").agg(F.collect_list("key").alias("keys")), "members")
-
-    ends = stash(pairs.select("a").union(pairs.select("b")).toDF("doc_id").union(members.select("doc")).distinct(), "ends")
-    sets = stash(_sets(texts.join(checked_broadcast(ends), "doc_id", "left_semi"), shingle), "sets")
-    tested = stash(_confirm(pairs, sets, percent), "tested")
-    links = tested.filter("linked")
-    labels = components(links)
-
-    def unsettled(known: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold several components, a row for each bucket, with label and degree."""
-        at = members.join(known, "doc", "left").select(
-            "doc", "n_shingles", F.coalesce("label", "doc").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"), F.explode("keys").alias("key")
-        )
+    buckets = stash(rows_.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1"), "buckets")
+    # One row a document, so that what is known of it is joined once and not once a bucket.
+    members = stash(rows_.join(buckets, "key").groupBy("doc", "n_shingles").agg(F.collect_list("key").alias("keys"), F.sum("mates").alias("weight")), "members")
+    centres = _centres(members)
+    own_texts = texts.join(checked_broadcast(members.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
+    repeated = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    own_texts = own_texts.join(repeated, "doc_id", "left_anti").union(own_texts.join(repeated, "doc_id", "left_semi").distinct())
+    sets = stash(_sets(own_texts, shingle), "sets")
+
+    def near_sizes(star: DataFrame, hub: str, size: str) -> DataFrame:
+        """The star edges (a, b) from ``hub`` that the sizes allow."""
+        near = star.filter((F.col(hub) != F.col("doc")) & (100 * F.least("n_shingles", size) >= percent * F.greatest("n_shingles", size)))
+        return near.select(F.col(hub).alias("a"), F.col("doc").alias("b")).distinct()
+
+    at = members.select("doc", "n_shingles", "weight", F.explode("keys").alias("key")).join(centres, "key")
+    tested = stash(_confirm(stash(near_sizes(at, "centre", "centre_n"), "stars"), sets, percent), "tested")
+    labels = components(tested.filter("linked"))
+
+    def unsettled() -> DataFrame:
+        """Members of the buckets that still hold several components, a row for each bucket, with label."""
+        at = members.join(labels, "doc", "left").select("doc", "n_shingles", "weight", F.coalesce("label", "doc").alias("label"), F.explode("keys").alias("key"))
         mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         return at.join(mixed, "key")
 
-    def linked() -> DataFrame:
-        """(doc, label, degree) of the documents with confirmed links."""
-        ends = tested.filter("linked").select(F.explode(F.array("a", "b")).alias("doc"))
-        return labels.join(ends.groupBy("doc").agg(F.count(F.lit(1)).alias("degree")), "doc")
-
-    for _ in range(LEADING_ROUNDS):
-        at = stash(unsettled(linked()), "unsettled")
-        best = F.max_by(F.struct("doc", "n_shingles", "label"), F.struct("degree", -F.col("doc")))
-        hubs = at.groupBy("key").agg(best.alias("h")).select("key", F.col("h.doc").alias("h_doc"), F.col("h.n_shingles").alias("h_n"), F.col("h.label").alias("h_label"))
-        hubs = stash(hubs, "hubs")
-        star = at.join(hubs, "key").filter(
-            (F.col("label") != F.col("h_label")) & (100 * F.least("n_shingles", "h_n") >= percent * F.greatest("n_shingles", "h_n"))
-        )
-        star = star.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
-        fresh = stash(_confirm(star.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "tested")
-        left = at.join(hubs.select("key", F.col("h_doc").alias("doc")), ["key", "doc"], "left_anti")
-        members = stash(left.groupBy("doc", "n_shingles").agg(F.collect_list("key").alias("keys")), "members")
-        tested = tested.union(fresh)
-        if fresh.filter("linked").isEmpty():
-            break
+    of_hub = labels.select(F.col("doc").alias("hub"), F.col("label").alias("hub_label"))
+    hubs = centres.select("key", "hub", "hub_n").join(of_hub, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    at = stash(unsettled().join(hubs, "key"), "hub-members")
+    # A bucket's second hub is its weightiest member of another component than the hub's.
+    best = F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("label").alias("hub_label")), F.struct("weight", -F.col("doc")))
+    second = at.filter("label != hub_label").groupBy("key").agg(best.alias("h")).select("key", "h.*")
+    both_hubs = at.unionByName(at.drop("hub", "hub_n", "hub_label").join(second, "key")).filter("label != hub_label")
+    tried = tested.select("a", "b").union(tested.select("b", "a"))
+    fresh = stash(_confirm(stash(near_sizes(both_hubs, "hub", "hub_n").join(tried, ["a", "b"], "left_anti"), "stars"), sets, percent), "tested")
+    tested = tested.union(fresh)
+    if not fresh.filter("linked").isEmpty():
         labels = components(tested.filter("linked"))
 
-    rest = stash(unsettled(linked()).select("doc", "n_shingles", "label").distinct(), "rest")
-    pairs = _prefix_pairs(rest, sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    of_centre = labels.select(F.col("doc").alias("centre"), F.col("label").alias("centre_label"))
+    rest = unsettled().join(centres.select("key", "centre"), "key").select("centre", "doc", "label").distinct()
+    rest = rest.join(of_centre, "centre", "left").select("centre", F.coalesce("centre_label", "centre").alias("centre_label"), "doc", "label")
+    pairs = stash(_apart_pairs(stash(rest, "rest"), sets, percent), "pairs")
     fresh = stash(_confirm(pairs, sets, percent), "tested")
     if not fresh.filter("linked").isEmpty():
         labels = components(tested.union(fresh).filter("linked"))
@@ -251,8 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of which ``near_duplicates`` keeps the document; rows without an id stay.
-
-    An id goes if one of its rows is linked to a smaller id."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(checked_broadcast(stash(gone, "duplicates")), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns whatever their names, of which ``near_duplicates`` keeps the document; rows
+    without an id stay.  An id goes if one of its rows is linked to a smaller id."""
+    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select("doc_id").distinct()
+    return without(docs, id_col, stash(gone, "duplicates"))

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recfeat.llm import mixing, quality
+from recfeat.llm import decontam, mixing, neardup, quality
+
+from . import brute
 
 
 @pytest.mark.parametrize("weights", [{"hot": 10.0 ** 0.7, **{f"s{i:02}": 1.0 for i in range(19)}}, {"a": 0.37, "b": 999.63}, {"a": 1.0, "b": 2.0**0.5, "c": 3.3, "d": 0.01}])
@@ -70,3 +72,40 @@ def test_repeated_passage_of_five_words(copies, unique, kept):
     assert m["later_5"][0] == pytest.approx(5 * (copies - 1) / (unique + 5 * copies))
     assert m["dup_5"][0] < 0.3 or copies == 2
     assert bool(quality.verdicts(m)[1][0]) == kept
+
+
+def test_tested_pairs_grow_with_the_members(spark, monkeypatch):
+    """A family of copies without their original, most of them not linked: pairs tested stay a small multiple of the
+    members, and no link is lost."""
+    rng, tested = np.random.default_rng(5), []
+
+    def counted(pairs, *args, f=neardup._confirm):
+        tested.append(pairs.count())
+        return f(pairs, *args)
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    per_member = []
+    for n in (80, 320):
+        rows = []
+        for i in range(n):
+            words = [f"b{j}" for j in range(60)]
+            for j in rng.choice(60, 3, replace=False):
+                words[j] = f"x{i}-{j}"
+            rows.append((i, " ".join(words)))
+        tested.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, 2)
+        per_member.append(sum(tested) / n)
+    assert per_member[1] < 2 * per_member[0] and per_member[1] < 48
+
+
+def test_columns_whose_names_clash(spark, tmp_path):
+    """No stage loses or confuses a user's own columns."""
+    docs = spark.createDataFrame([(i, f"some text number {i} of ten words a b c d", "en", "s", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("gone_0", "_gone", "_dirty", "size", "curve", "mix_file", "mix_at", "_row", "shard", "slot")})
+    items = spark.createDataFrame([(1, "nothing of this kind stands there")], "item_id long, text string")
+    assert neardup.deduplicate(docs).columns == docs.columns and decontam.decontaminate(docs, items).count() == 6
+    docs.write.parquet(str(tmp_path / "d"))
+    out = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert {c for c in docs.columns if c not in ("shard", "slot")} <= set(out.columns)
+    assert {r["size"] for r in out.collect()} == {"size"} and {r.mix_at for r in out.collect()} == {"mix_at"}

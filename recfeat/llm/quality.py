@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import small_batches
 
-#: Largest share of word characters inside repeated n-grams, by n; every occurrence counts, the first included, so the
-#: limits are twice those of rules that count later occurrences only.
-NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: Largest share of word characters inside later occurrences of n-grams, by n; the verdict goes by these.
 LATER_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines that repeat an earlier line (later occurrences only).
@@ -68,7 +65,7 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     alive = np.arange(len(starts))  # places whose shorter grams all repeat
     repeats = np.zeros(len(starts) + 1, bool)
     step = 0
-    for n in (3, *NGRAM_LIMITS):
+    for n in (3, *LATER_LIMITS):
         for j in range(1, n - step + 1 if step else 1):
             alive = alive[repeats[np.minimum(alive + j, len(starts))]]
         alive = alive[alive + n <= stop[alive]]
@@ -120,7 +117,8 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the shares of
-    characters in repeated n-grams (dup_5 .. dup_10) and lines, base_failed and kept.
+    characters in repeated n-grams (dup_5 .. dup_10: every occurrence, later_5 .. later_10: all but the first) and lines,
+    base_failed and kept.
 
     Words stand between ASCII white space and keep their case.  A null text has no words and fails.  Every input
     row gives one row, repeated and null ids included; other columns are not read; an empty table gives none.
@@ -128,7 +126,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     small_batches(docs.sparkSession)
     ints = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    reals = [*(f"dup_{n}" for n in NGRAM_LIMITS), "dup_line_chars"]
+    reals = [*(f"dup_{n}" for n in LATER_LIMITS), *(f"later_{n}" for n in LATER_LIMITS), "dup_line_chars"]
 
     def work(batches):
         for batch in batches:

@@ -108,39 +108,54 @@ select d.doc_id, len(d.w)::bigint n_words, coalesce(words.n, 0) n_hit, coalesce(
 from d left join words using (doc_id) left join items using (doc_id)
 """
 
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]::varchar[]"
+
+
 _OP3_SQL = f"""
 with d as materialized (select row_number() over () r, doc_id, {_WORDS} w from documents),
 p(words, label) as (values {", ".join(f"(string_split('{p}', ' '), '{v}')" for p, v in licenses.PHRASES.items())}),
 places as (select r, label, i from (select r, w, unnest(range(1, len(w) + 1)) i from d), p where w[i:i + len(words) - 1] = words),
 base as (select r, count(*) n, min(i) - 1 lo, max(i) - 1 hi, list(distinct label) labels from places group by r),
-t(label, words) as (values {", ".join(f"('{k}', list_distinct(string_split('{v}', ' ')))" for k, v in licenses.NOTICES.items())}),
-b as (select r, list_distinct(w[s:s + {licenses.BLOCK} - 1]) x from (select r, w, unnest(range(1, greatest(1, len(w) - {licenses.BLOCK // 2}) + 1, {licenses.BLOCK // 2})) s from d)),
-m as (select r, label, len(list_intersect(x, words)) / len(words) share from b, t where len(list_intersect(x, words)) >= {licenses.THRESHOLD}::double * len(words) - 1e-9::double),
+t(id, label, step, words, needs, bars) as (values
+    {", ".join(f"({i}, '{t.label}', {licenses.step_of(t)}, list_distinct(string_split('{t.text}', ' ')), {_sql_list(t.needs)}, {_sql_list(t.bars)})" for i, t in enumerate(licenses.TEMPLATES))}),
+steps as (select distinct step from t),
+b as (
+    select r, step, list_distinct(w[s:s + 2 * step - 1]) x
+    from (select r, w, step, unnest(range(1, greatest(1, len(w) - step) + 1, step)) s from d, steps)),
+m as (
+    select r, label, len(list_intersect(x, words)) / len(words) share from b join t using (step)
+    where list_has_all(x, needs) and not list_has_any(x, bars) and len(list_intersect(x, words)) >= {licenses.THRESHOLD}::double * len(words) - 1e-9::double),
 found as (select r, count(*) n, max(share) best, list(distinct label) labels from m group by r)
-select doc_id, len(w)::bigint n_words, coalesce(base.n, 0) n_base, lo first_word, hi last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') base_labels,
+select doc_id, len(w)::bigint n_words, coalesce(base.n, 0) n_base, lo first_word, hi last_word,
+    array_to_string(list_sort(coalesce(base.labels, [])), ',') base_labels,
     array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') labels,
     case when base.n > 0 then 1.0::double else coalesce(best, 0.0::double) end score, coalesce(found.n, 0) n_blocks
 from d left join base using (r) left join found using (r)
 """
 
-_GRAMS = (3, *quality.NGRAM_LIMITS)
+_GRAMS = (3, *quality.LATER_LIMITS)
 _OP5_SQL = rf"""
 with d as materialized (
     select row_number() over () r, doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
 g as (select r, n, i, array_to_string(w[i:i + n - 1], ' ') k from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from d, (values {", ".join(f"({n})" for n in _GRAMS)}) v(n) where len(w) >= n)),
-c as (select r, n, i, count(*) over (partition by r, n, k) c from g),
+c as (select r, n, i, count(*) over (partition by r, n, k) c, row_number() over (partition by r, n, k order by i) nth from g),
 p as (select distinct r, n, unnest(range(i, i + n)) j from c where c > 1),
+q as (select distinct r, n, unnest(range(i, i + n)) j from c where nth > 1),
+later as (select q.r, n, sum(length(w[j])) chars from q join d using (r) group by q.r, n),
+laterpiv as (select r, {", ".join(f"coalesce(max(chars) filter (where n = {n}), 0) l{n}" for n in quality.LATER_LIMITS)} from later group by r),
 cov as (select p.r, n, count(*) words, sum(length(w[j])) chars from p join d using (r) group by p.r, n),
-piv as (select r, coalesce(max(words) filter (where n = 3), 0) rep, {", ".join(f"coalesce(max(chars) filter (where n = {n}), 0) c{n}" for n in quality.NGRAM_LIMITS)} from cov group by r),
+piv as (select r, coalesce(max(words) filter (where n = 3), 0) rep, {", ".join(f"coalesce(max(chars) filter (where n = {n}), 0) c{n}" for n in quality.LATER_LIMITS)} from cov group by r),
 l as (select r, line, row_number() over (partition by r, line) k from (select r, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
 lines as (select r, count(*) filter (where k > 1) dup, coalesce(sum(length(line)) filter (where k > 1), 0) dup_chars, sum(length(line)) chars from l group by r),
 f as (
     select doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
-        coalesce(dup, 0) n_dup_lines, coalesce(rep, 0) n_repeat_words, {", ".join(f"coalesce(c{n}, 0)::double / greatest(1, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)) dup_{n}" for n in quality.NGRAM_LIMITS)},
-        coalesce(dup_chars::double / greatest(1, chars), 0.0::double) dup_line_chars
-    from d left join piv using (r) left join lines using (r))
+        coalesce(dup, 0) n_dup_lines, coalesce(rep, 0) n_repeat_words, {", ".join(f"coalesce(c{n}, 0)::double / greatest(1, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)) dup_{n}" for n in quality.LATER_LIMITS)},
+        coalesce(dup_chars::double / greatest(1, chars), 0.0::double) dup_line_chars,
+        {", ".join(f"coalesce(l{n}, 0)::double / greatest(1, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)) later_{n}" for n in quality.LATER_LIMITS)}
+    from d left join piv using (r) left join laterpiv using (r) left join lines using (r))
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
-    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or dup_line_chars > {quality.LINE_CHAR_LIMIT}::double or {" or ".join(f"dup_{n} > {v}::double" for n, v in quality.NGRAM_LIMITS.items())}) kept
+    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or dup_line_chars > {quality.LINE_CHAR_LIMIT}::double or {" or ".join(f"later_{n} > {v}::double" for n, v in quality.LATER_LIMITS.items())}) kept
 from f
 """
 

@@ -81,16 +81,19 @@ def licenses(text):
     return len(w), len(at), min(at) if at else None, max(at) if at else None, ",".join(sorted(labels))
 
 
-def notices_matched(text, notices, threshold, block):
+def templates_matched(text, templates, threshold, step_of):
+    """(labels, number of matching blocks, best share), every block against every template."""
     w = alnum_words(text)
-    out = set()
-    for s in range(0, max(1, len(w) - block // 2), block // 2):
-        have = set(w[s : s + block])
-        for name, t in notices.items():
-            want = set(t.split())
-            if have and len(want & have) >= threshold * len(want) - 1e-9:
-                out.add(name)
-    return out
+    labels, n, best = set(), 0, 0.0
+    for t in templates:
+        step, want = step_of(t), set(t.text.split())
+        for s in range(0, max(1, len(w) - step), step):
+            have = set(w[s : s + 2 * step])
+            share = len(want & have) / len(want)
+            if share >= threshold - 1e-9 and set(t.needs) <= have and not set(t.bars) & have:
+                labels.add(t.label)
+                n, best = n + 1, max(best, share)
+    return labels, n, best
 
 
 def quality(text):

@@ -54,12 +54,38 @@ def test_licenses(docs, odd, empty):
     for df in (docs, odd):
         rows = licenses.scan(df).collect()
         same([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows], [(i, *brute.licenses(t)) for i, t in texts(df)])
-        want = [(i, ",".join(sorted(brute.notices_matched(t, licenses.NOTICES, licenses.THRESHOLD, licenses.BLOCK) | set(filter(None, brute.licenses(t)[4].split(",")))))) for i, t in texts(df)]
-        same([(r.doc_id, r.labels) for r in rows], want)
-        assert all(0 <= r.score <= 1 for r in rows)
+        want = []
+        for i, t in texts(df):
+            labels, n, best = brute.templates_matched(t, licenses.TEMPLATES, licenses.THRESHOLD, licenses.step_of)
+            phrases = set(filter(None, brute.licenses(t)[4].split(",")))
+            want.append((i, ",".join(sorted(labels | phrases)), n, 1.0 if phrases else round(best, 9)))
+        same([(r.doc_id, r.labels, r.n_blocks, round(r.score, 9)) for r in rows], want)
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_texts(spark):
+    """The commonest notices get their own label and no other, and whole texts are found inside other prose."""
+    mit = next(t.text for t in licenses.TEMPLATES if t.label == "mit" and len(t.text.split()) > 150)
+    prose = " ".join(f"p{i % 97}" for i in range(700)).split()
+    gappy = " ".join(w for i, w in enumerate(mit.split()) if i % 12)
+    rows = [
+        ("licensed under CC BY 4.0", {"cc-by"}), ("This work is licensed under CC BY-NC 4.0.", {"cc-by", "cc-by-nc"}),
+        ("It is licensed under a Creative Commons Attribution 4.0 International License", {"cc-by"}),
+        ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa"}),
+        ("licensed under the Mozilla Public License Version 2.0", {"mpl-2.0"}), ("licensed under the Eclipse Public License, version 2.0", {"epl-2.0"}),
+        ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", {"lgpl-notice"}),
+        (" ".join(prose[:333]) + " " + mit.upper() + " " + " ".join(prose[333:]), {"mit"}), (" ".join(prose[:100]) + " " + gappy + " " + " ".join(prose), {"mit"}),
+        (" ".join(mit.split()[:70]) + " " + " ".join(prose), {"mit"}), (" ".join(mit.split()[40:110]) + " " + " ".join(prose), set()),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    want = {i: ",".join(sorted(x | ({"gpl"} if "General Public" in t else set()))) for i, (t, x) in enumerate(rows)}
+    assert got == want
+    long = (licenses.Template("long", " ".join(f"q{i}" for i in range(160))),)
+    text = " ".join([*prose[:51], *(f"q{i}" for i in range(160) if i % 6), *prose])
+    assert [r.labels for r in licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), long).collect()] == ["long"]
+
+
 def test_quality(docs, odd, empty):
     for df in (docs, odd):
         rows = quality.repetition(df).collect()

@@ -14,16 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import small_batches
+from .common import small_batches, stash
 
 BUCKETS = 1 << 20
 #: Bytes of word beginnings that count beside whole words: inflected forms share them.
 BEGINNINGS = (4, 5, 6)
 #: Training documents at most (expected numbers of a hash sample of doc_id); whole texts are read.
 POSITIVES, UNLABELLED = 4000, 16_000
+#: Words that the classifier may use, the most telling ones; a training document reaches the driver as so many bits.
+WORDS = 4096
 #: A word counts if this many training documents hold it.
 LEAST_DOCS = 5
-STEPS, BATCH, RATE, DECAY, BOUND = 300, 4000, 0.2, 1e-3, 3.5
+STEPS, BATCH, RATE, DECAY, BOUND = 150, 4000, 0.2, 1e-3, 1.0
+#: Least share of the positives above a threshold that the estimate of the prior looks at.
+SURE = 0.5
 
 
 def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,46 +49,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class _Rows:
-    """Sparse rows of word presence."""
+def _batches(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The rows of a presence matrix, shuffled, in batches of BATCH or fewer: columns, row in the batch, rows."""
+    order = rng.permutation(len(rows))
+    out = []
+    for some in np.array_split(order, -(-len(rows) // BATCH)):
+        owner, column = np.nonzero(rows[some])
+        out.append((column, owner, len(some)))
+    return out
 
-    def __init__(self, rows: list[np.ndarray], size: int):
-        self.rows, self.size = rows, size
 
-    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = [self.rows[i] for i in which]
-        return np.concatenate(part) if part else np.zeros(0, np.int64), np.repeat(np.arange(len(part)), [len(r) for r in part])
-
-
-def _descend(pos: _Rows, unl: _Rows, prior: float, bound: float, rng: np.random.Generator) -> np.ndarray:
-    """Weights and, last, the bias that minimise the non-negative risk by proximal steps, scaled by each word's
-    frequency.  A weight stays 0 unless its gradient exceeds ``bound`` standard errors of what chance would give."""
-    size = pos.size
-    share = (np.bincount(np.concatenate([*unl.rows, *pos.rows]), minlength=size) + 1) / (len(unl.rows) + len(pos.rows))
-    hold = bound * prior * np.sqrt(share / len(pos.rows))
+def _descend(pos: np.ndarray, unl: np.ndarray, prior: float, bound: float, rng: np.random.Generator) -> np.ndarray:
+    """Weights and, last, the bias that minimise the non-negative risk over rows of word presence, by proximal steps
+    scaled by each word's frequency.  A weight stays 0 unless its gradient exceeds ``bound`` standard errors of chance."""
+    size = pos.shape[1]
+    share = (unl.sum(0, dtype=np.float64) + pos.sum(0, dtype=np.float64) + 1) / (len(unl) + len(pos))
+    hold = bound * prior * np.sqrt(share / len(pos))
     w = np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    total, order = np.zeros(size + 1), np.zeros(0, np.int64)
+    total, positives, others = np.zeros(size + 1), _batches(pos, rng), _batches(unl, rng)
     for step in range(STEPS):
-        if len(order) < min(BATCH, len(unl.rows)):
-            order = rng.permutation(len(unl.rows))
-        u, order = order[:BATCH], order[BATCH:]
-        p = rng.permutation(len(pos.rows))[:BATCH]
         grad = np.zeros(size + 1)
 
-        def risk(rows, which, sign, weight, grad=grad):
-            idx, owner = rows.take(which)
-            g = np.bincount(owner, w[idx], minlength=len(which)) + w[-1]
-            slope = -sign * _sigmoid(-sign * g) * weight / len(which)
-            grad[:size] += np.bincount(idx, slope[owner], minlength=size)
+        def risk(batch, sign, weight, grad=grad):
+            column, owner, n = batch
+            g = np.bincount(owner, w[column], minlength=n) + w[-1]
+            slope = -sign * _sigmoid(-sign * g) * weight / n
+            grad[:size] += np.bincount(column, slope[owner], minlength=size)
             grad[-1] += slope.sum()
             return weight * np.logaddexp(0, -sign * g).mean()
 
-        negative = risk(unl, u, -1, 1.0) + risk(pos, p, -1, -prior)
+        some = positives[step % len(positives)]
+        negative = risk(others[step % len(others)], -1, 1.0) + risk(some, -1, -prior)
         if negative < 0:
             grad *= -1.0
         else:
-            risk(pos, p, 1, prior)
+            risk(some, 1, prior)
         grad[:-1] += DECAY * share * w[:-1]
         w -= RATE * grad / np.append(share, 0.25)
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - RATE * hold / share, 0.0)
@@ -93,42 +93,71 @@ def _descend(pos: _Rows, unl: _Rows, prior: float, bound: float, rng: np.random.
     return w if bound else total / (STEPS - STEPS // 2)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights over BUCKETS hashed words and the bias.  A first descent finds the words that matter beyond chance, a
-    second one fits those alone."""
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 7) -> np.ndarray:
+    """Weights of the columns and the bias.  A first descent finds the words that matter beyond chance, a second one
+    fits those alone."""
     rng = np.random.default_rng(seed)
-    words = np.flatnonzero(np.bincount(np.concatenate([*positive, *unlabelled]), minlength=BUCKETS) >= LEAST_DOCS)
-    w = np.zeros(1)
-    for bound in (BOUND, 0.0):
-        place = np.full(BUCKETS, -1, np.int64)
-        place[words] = np.arange(len(words))
-        pos, unl = (_Rows([p[p >= 0] for p in (place[r] for r in rows)], len(words)) for rows in (positive, unlabelled))
-        w = _descend(pos, unl, prior, bound, rng)
-        if bound:
-            words = words[w[:-1] != 0]
-    out = np.zeros(BUCKETS, np.float32)
-    out[words] = w[:-1]
-    return out, float(w[-1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
-    """A classifier from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); both hold training rows only.
-
-    A document counts as confirmed toxic if any of its label rows says so.  Without positives or documents the
-    classifier scores everything at the prior's share (near 0).
+    words = np.flatnonzero(_descend(pos, unl, prior, BOUND, rng)[:-1])
+    out = np.zeros(pos.shape[1] + 1)
+    out[np.append(words, pos.shape[1])] = _descend(pos[:, words], unl[:, words], prior, 0.0, rng)
+    return out
+
+
+def _quotient(at_p: np.ndarray, at_u: np.ndarray) -> float:
+    """The least share of unlabelled scores above a threshold, as a part of the positives' share, with one standard
+    error of either allowed for."""
+    error = lambda share, n: np.sqrt((share * (1 - share) + 1 / n) / n)
+    cuts = np.unique(at_p)
+    above_p = 1 - np.searchsorted(np.sort(at_p), cuts) / len(at_p)
+    above_u = 1 - np.searchsorted(np.sort(at_u), cuts) / len(at_u)
+    high, low = above_u + error(above_u, len(at_u)), above_p - error(above_p, len(at_p))
+    return float(np.where((above_p >= SURE) & (low > 0), high / np.maximum(low, 1e-9), 1.0).min())
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 7, splits: int = 3, rounds: int = 3) -> float:
+    """The share of positives among the unlabelled rows, from positives and unlabelled rows alone.
+
+    No threshold of any score can leave a smaller share of the unlabelled above it than prior x the share of positives
+    above it, so each score bounds the prior by its least quotient; the better the score, the closer.  The first score
+    sums the words' log ratios of frequency, the next ones come from classifiers trained under the bound found before;
+    scores are made on one half of the rows and judged on the other, for several halves.
+    """
+    if len(pos) < 2 or len(unl) < 2:
+        return 0.5
+    often = lambda rows: (rows.sum(0, dtype=np.float64) + 0.5) / (len(rows) + 1)
+    least = 0.95
+    for split in range(splits):
+        rng = np.random.default_rng(seed + split)
+        p, u = rng.permutation(len(pos)), rng.permutation(len(unl))
+        weights, prior = np.log(often(pos[p[::2]]) / often(unl[u[::2]])), 0.95
+        for at in range(rounds):
+            if at:
+                weights = _descend(pos[p[::2]], unl[u[::2]], prior, 0.0, rng)[:-1]
+            at_p, at_u = (rows @ weights.astype(np.float32) for rows in (pos[p[1::2]], unl[u[1::2]]))
+            prior = min(prior, max(1e-4, _quotient(at_p, at_u)))
+        least = min(least, prior)
+    return least
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[np.ndarray, float]:
+    """Weights over BUCKETS hashed words and the bias, from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both
+    of training rows only.
+
+    A document counts as confirmed toxic if any of its label rows says so; labels of 0 are not used.  ``prior`` is the
+    share of toxic documents; without it, it is estimated from the confirmed and the unlabelled documents.  Words are
+    counted in the sample by Spark, and the driver gets WORDS bits a sampled document, whatever its length.  Without
+    positives or documents the classifier scores everything near 0.
     """
     small_batches(docs.sparkSession)
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    tally = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    total = docs.count()
-    if not tally.p or not total:
-        return np.zeros(BUCKETS, np.float32), -5.0
-    prior = min(0.95, max(1e-4, tally.p / tally.n))
+    nothing = np.zeros(BUCKETS, np.float32), -5.0
+    known = labels.filter("doc_id is not null and toxic = 1").select("doc_id").distinct()
+    n_known, total = known.count(), docs.count()
+    if not n_known or not total:
+        return nothing
     million = 1_000_000
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(million))
-    toxic_ids = known.filter((F.col("toxic") == 1) & (hashed < million * min(1.0, positives / tally.p)))
+    toxic_ids = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < million * min(1.0, positives / n_known))
     texts = docs.select("doc_id", "text").filter("text is not null")
-    picked = texts.join(F.broadcast(toxic_ids.select("doc_id")), "doc_id").select("text", F.lit(1).alias("kind"))
+    picked = texts.join(F.broadcast(toxic_ids), "doc_id").select("text", F.lit(1).alias("kind"))
     other = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(million)) < million * min(1.0, unlabelled / total)
     picked = picked.union(texts.filter(other).select("text", F.lit(0).alias("kind")))
 
@@ -136,16 +165,41 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         for batch in batches:
             for a, b, data, bounds in tb.slices(batch.column(0)):
                 idx, at = _features(data, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), pa.array([idx[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["kind", "words"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(idx, pa.int32()))], names=["kind", "words"])
+
+    rows = stash(picked.mapInArrow(work, "kind int, words array<int>"), "toxicity-sample")
+    sizes = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return nothing
+    # How far a word's share among the positives is from its share among the unlabelled, in standard errors of chance.
+    n_p, n_u = sizes[1], sizes[0]
+    tally = rows.select("kind", F.explode("words").alias("word")).groupBy("word").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
+    share = (F.col("p") + F.col("u") + 1) / float(n_p + n_u + 1)
+    apart = F.abs(F.col("p") / float(n_p) - F.col("u") / float(n_u)) / F.sqrt(share / float(n_p))
+    best = tally.filter(F.col("p") + F.col("u") >= LEAST_DOCS).orderBy(apart.desc(), "word").limit(WORDS)
+    words = np.sort(np.array([r.word for r in best.select("word").collect()], np.int64))
+    if not len(words):
+        return nothing
+
+    def bits(batches):
+        for batch in batches:
+            held = np.asarray(batch.column(1).values)
+            at = np.asarray(batch.column(1).offsets)
+            for s, e, kind in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(0).to_pylist(), strict=True):
+                dense = np.zeros(len(words), np.uint8)
+                place = np.searchsorted(words, held[s:e])
+                place = place[(place < len(words)) & (words[np.minimum(place, len(words) - 1)] == held[s:e])]
+                dense[place] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([np.packbits(dense).tobytes()], pa.binary())], names=["kind", "bits"])
 
     got: tuple[list, list] = ([], [])
-    for r in picked.mapInArrow(work, "kind int, words binary").toLocalIterator():  # bounded by positives + unlabelled
-        got[r.kind].append(np.frombuffer(r.words, np.int32))
-    if not got[0] or not got[1]:
-        return np.zeros(BUCKETS, np.float32), -5.0
-    return train(got[1], got[0], prior)
+    for r in rows.mapInArrow(bits, "kind int, bits binary").toLocalIterator():  # WORDS bits for each of the sample's documents
+        got[r.kind].append(np.frombuffer(r.bits, np.uint8))
+    unl, pos = (np.unpackbits(np.stack(x), axis=1)[:, : len(words)] for x in got)
+    w = train(pos, unl, estimate_prior(pos, unl) if prior is None else prior)
+    out = np.zeros(BUCKETS, np.float32)
+    out[words] = w[:-1]
+    return out, float(w[-1])
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

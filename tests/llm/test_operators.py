@@ -291,3 +291,34 @@ def test_toxicity(spark, odd, empty):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert toxicity.score(odd, *model).count() == odd.count() and toxicity.score(empty, *model).count() == 0
     assert {r.predicted for r in toxicity.score(odd, *toxicity.fit(empty, lab)).collect()} == {0}
+    # Labels of 0 are not needed: the prior comes from positives and unlabelled rows, or from the caller.
+    for prior in (None, 0.125):
+        model = toxicity.fit(df.filter(~held), lab.filter(~held).filter("toxic = 1"), prior=prior)
+        got = [r for r in toxicity.score(df, *model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+        assert sum((r.predicted == 1) == (r.doc_id % 8 == 0) for r in got) / len(got) > 0.97
+    tied = toxicity.score(spark.createDataFrame([(1, "foul vile"), (1, "foul vile"), (2, "vile foul")], "doc_id long, text string"), *model).collect()
+    assert len(tied) == 3 and len({r.score for r in tied}) == 1
+
+
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.4])
+def test_estimated_prior(share):
+    """Within a third of the true share of positives among the unlabelled, for words of which none is sure."""
+    rng = np.random.default_rng(11)
+    rates = rng.uniform(0.02, 0.1, 200), np.concatenate((rng.uniform(0.15, 0.5, 25), rng.uniform(0.02, 0.1, 175)))
+    toxic = rng.random(6000) < share
+    unl = (rng.random((6000, 200)) < np.where(toxic[:, None], rates[1], rates[0])).astype(np.uint8)
+    pos = (rng.random((800, 200)) < rates[1]).astype(np.uint8)
+    assert abs(toxicity.estimate_prior(pos, unl) / share - 1) < 1 / 3
+
+
+def test_toxicity_of_the_given_tables(spark, sf_dir):
+    """Held-out documents of the given tables, the size above the smallest one: toxic ones score above the others."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = queries.op10_toxicity(spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts(docs))
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
+    bad, good = ([r.score for r in rows if r.held_out and labels.get(r.doc_id) == k] for k in (1, 0))
+    wins = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / max(1, len(bad) * len(good))
+    assert wins > 0.9

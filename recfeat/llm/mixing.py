@@ -4,8 +4,8 @@ A source of weight w, its part of the sum of the weights, has the release time f
 ceil((j + 1) / w) for its block j.  Serving the released block with the earliest deadline in each slot keeps every
 source less than one block from its exact target at all times.  The weights are taken as whole numbers, without
 rounding, so the bound holds however long a phase is.  When a source has run out, the rest go on with their weights
-scaled up, as a new phase.  The driver works out the slot of each block (one step of a heap and 8 bytes a block); rows
-find their block's slot by a join.
+scaled up, as a new phase.  The driver works out the slot of each block, one step of a heap a block; blocks grow with
+the rows so that there are about MOST_BLOCKS at most, and rows find their block's slot by a join.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from array import array
 from fractions import Fraction
 from math import lcm
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, new_path, ranked
+from .common import ranked
+
+#: Rows of a block at least, and blocks at most (beside a last short one of each source): the size of the schedule.
+BLOCK_ROWS, MOST_BLOCKS = 32, 1 << 18
 
 
 def whole(weights: list[float]) -> list[int]:
@@ -62,7 +63,9 @@ def phases(blocks: dict, weights: dict) -> list[dict]:
     """
     left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     while active := [s for s in left if left[s] > 0]:
-        table = serve(whole([max(float(weights.get(s, 0)), 1e-9) for s in active]), [left[s] for s in active])
+        given = [float(weights.get(s) or 0) for s in active]
+        least = max(given) * 1e-9 or 1.0
+        table = serve(whole([max(w, least) for w in given]), [left[s] for s in active])
         phase = {"base": base, "sources": {}}
         for s, t in zip(active, table, strict=True):
             phase["sources"][s] = {"first": done[s], "n": len(t), "slots": t}
@@ -73,34 +76,28 @@ def phases(blocks: dict, weights: dict) -> list[dict]:
     return out
 
 
-def placed_blocks(spark: SparkSession, plan: list[dict], offset: dict, most: int = BROADCAST_ROWS) -> DataFrame:
-    """_g (the block's number over all sources, from ``offset``), phase and slot of each block; broadcast up to
-    ``most`` blocks, else written in pieces of that size for a shuffled join."""
-    pieces = [
-        pa.table({
-            "_g": offset[s] + x["first"] + np.arange(at, min(at + most, x["n"]), dtype=np.int64), "phase": np.full(min(most, x["n"] - at), p, np.int32),
-            "slot": phase["base"] + np.frombuffer(x["slots"], np.int64)[at : at + most],
-        })
-        for p, phase in enumerate(plan) for s, x in phase["sources"].items() for at in range(0, x["n"], most)
+def block_rows(rows: int) -> int:
+    """The rows of a block in a table of ``rows`` rows."""
+    return max(BLOCK_ROWS, -(-rows // MOST_BLOCKS))
+
+
+def placed_blocks(spark: SparkSession, plan: list[dict], offset: dict) -> DataFrame:
+    """_g (the block's number over all sources, from ``offset``), phase and slot of each block, to be broadcast: at most
+    MOST_BLOCKS and one for each source, of 20 bytes each."""
+    made = [
+        (offset[s] + x["first"] + i, p, phase["base"] + t)
+        for p, phase in enumerate(plan) for s, x in phase["sources"].items() for i, t in enumerate(x["slots"])
     ]
-    schema = "_g long, phase int, slot long"
-    if sum(x.num_rows for x in pieces) <= most:
-        return F.broadcast(spark.createDataFrame(pa.concat_tables(pieces), schema) if pieces else spark.createDataFrame([], schema))
-    path, held = new_path(spark, "blocks"), []
-    for at, piece in enumerate(pieces):
-        held.append(piece)
-        if at == len(pieces) - 1 or sum(x.num_rows for x in held) + pieces[at + 1].num_rows > most:
-            spark.createDataFrame(pa.concat_tables(held), schema).write.mode("append").parquet(path)
-            held = []
-    return spark.read.schema(schema).parquet(path)
-
-
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int = 32, keep: tuple[str, ...] = (), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    return F.broadcast(spark.createDataFrame(made, "_g long, phase int, slot long"))
+
+
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int | None = None, keep: tuple[str, ...] = (), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """doc_id, source, the columns ``keep``, phase, block, slot and position (0 .. rows-1 in the mixed order).
 
     ``weights`` gives each source's target weight; without it a source of n rows weighs n ** ``alpha``.  A weight of
-    zero or none counts as 1e-9.  No row is dropped or repeated: a source's rows go, in an
-    order that a hash of the id shuffles, into blocks of ``block`` rows (the last may be shorter).  The null source
+    zero or none counts as 1e-9 of the largest, so that its rows come last.  No row is dropped or repeated: a source's
+    rows go, in an order that a hash of the id shuffles, into blocks of ``block`` rows (by default BLOCK_ROWS, more in
+    tables of more than BLOCK_ROWS x MOST_BLOCKS rows; the last may be shorter).  The null source
     is a source of its own; null and repeated ids each keep their row.  An empty table gives an empty result.
     The number of distinct sources is metadata and is brought to the driver with one count each.
     """
@@ -109,6 +106,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block:
     order = ranked(rows.withColumn("_shuffle", F.xxhash64("doc_id")), ["source", "_shuffle", "doc_id"], "mix").drop("_shuffle")
     counts = {r.source: (r.n, r.start) for r in order.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("start")).collect()}
     sources = sorted(counts, key=lambda s: (s is not None, s))
+    block = block or block_rows(sum(n for n, _ in counts.values()))
     target = weights if weights is not None else {s: counts[s][0] ** alpha for s in sources}
     plan = phases({s: -(-counts[s][0] // block) for s in sources}, target)
 
@@ -134,7 +132,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block:
     return placed.select("doc_id", "source", *[c for c in keep if c not in (id_col, source_col)], "phase", "block", "slot", (F.col("slot") * block + F.col("_at") % block - lost).alias("position"))
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int = 32) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, whatever their names, in the mixed order: sorted in and across partitions."""
     packed = docs.select("doc_id", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     out = mix(packed, weights, alpha, block, keep=("_row",))

@@ -55,7 +55,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.7, block=32)
+    return mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.7)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     got: tuple[list, list] = ([], [])
     for r in rows.mapInArrow(bits, "kind int, bits binary").toLocalIterator():  # WORDS bits for each of the sample's documents
-        got[r.kind].append(np.frombuffer(r.bits, np.uint8))
-    unl, pos = (np.unpackbits(np.stack(x), axis=1)[:, : len(words)] for x in got)
+        got[r.kind].append(bytes(r.bits))
+    # In an order that doesn't depend on how Spark has cut the sample.
+    unl, pos = (np.unpackbits(np.frombuffer(b"".join(sorted(x)), np.uint8).reshape(len(x), -1), axis=1)[:, : len(words)] for x in got)
     w = train(pos, unl, estimate_prior(pos, unl) if prior is None else prior)
     out = np.zeros(BUCKETS, np.float32)
     out[words] = w[:-1]

@@ -312,8 +312,9 @@ def test_estimated_prior(share):
 
 
 def test_toxicity_of_the_given_tables(spark, sf_dir):
-    """Held-out documents of the given tables, the size above the smallest one: toxic ones score above the others."""
-    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    """Held-out documents of the largest given tables (the small ones hold a handful of toxic ones): toxic ones score
+    above the others."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = queries.op10_toxicity(spark, sf_dir).collect()
@@ -321,4 +322,4 @@ def test_toxicity_of_the_given_tables(spark, sf_dir):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
     bad, good = ([r.score for r in rows if r.held_out and labels.get(r.doc_id) == k] for k in (1, 0))
     wins = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / max(1, len(bad) * len(good))
-    assert wins > 0.9
+    assert wins > 0.95

@@ -27,15 +27,52 @@ def test_lag_against_the_exact_weights(weights):
         assert w * slots - x["n"] < 1
 
 
-def test_many_blocks_are_joined_without_broadcast(spark, monkeypatch):
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    """A table of many rows has a schedule of bounded size, and every row has its place in it."""
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.sqrt("id") / 5)).alias("source"))
-    one = mixing.mix(docs, block=4).collect()
-    monkeypatch.setattr(mixing, "placed_blocks", lambda *a, f=mixing.placed_blocks: f(*a, most=7))
-    assert sorted(map(tuple, mixing.mix(docs, block=4).collect())) == sorted(map(tuple, one))
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 60)
+    rows = mixing.mix(docs).collect()
+    sources = {r.source for r in rows}
+    assert mixing.block_rows(500) == 9 and len({r.slot for r in rows}) <= 60 + len(sources)
+    assert sorted(r.position for r in rows) == list(range(500))
     at = defaultdict(list)
-    for r in sorted(one, key=lambda r: r.position):
+    for r in sorted(rows, key=lambda r: r.position):
         at[r.source].append(r.block)
-    assert all(x == sorted(x) for x in at.values()) and sorted(r.position for r in one) == list(range(500))
+    assert all(x == sorted(x) for x in at.values())
+
+
+def _brute_mixture(rows, weights, block):
+    """(source, block, slot) by trying every slot: the released block with the least deadline, sources in order."""
+    left = {s: -(-n // block) for s, n in Counter(s for _, s in rows).items()}
+    done, out, slot = dict.fromkeys(left, 0), [], 0
+    while active := sorted(s for s in left if left[s]):
+        total, begin, served = sum(Fraction(weights[s]) for s in active), slot, dict.fromkeys(active, 0)
+        while all(left[s] for s in active):
+            share = {s: Fraction(weights[s]) / total for s in active}
+            due = [(-(-(served[s] + 1) // share[s]), s) for s in active if served[s] // share[s] <= slot - begin]
+            _, s = min(due)
+            out.append((s, done[s], slot))
+            served[s], done[s], left[s], slot = served[s] + 1, done[s] + 1, left[s] - 1, slot + 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"s0": 0.7, "s1": 0.2, "s2": 0.1}, {"s0": 1.0, "s1": 1.0, "s2": 5.0}, {"s0": 3**0.5, "s1": 2.0, "s2": 0.01}])
+def test_mixture_against_brute_force(spark, weights):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.sqrt("id") / 6)).alias("source"))
+    rows = mixing.mix(docs, weights, block=4).collect()
+    want = _brute_mixture([(r.doc_id, r.source) for r in rows], weights, 4)
+    assert {(r.source, r.block, r.slot) for r in rows} == set(want)
+
+
+def test_weights_of_zero_or_none(spark):
+    """A source without a weight comes after all others and loses no row; all without one share alike."""
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    rows = mixing.mix(docs, {"s0": 1.0, "s1": 0.0}, block=2).collect()
+    assert sorted(r.position for r in rows) == list(range(120))
+    assert {r.source for r in rows if 2 <= r.position < 40} == {"s0"} or sum(r.source == "s0" for r in rows if r.position < 42) >= 38
+    none = sorted(mixing.mix(docs, {}, block=2).collect(), key=lambda r: r.position)
+    assert Counter(r.source for r in none[:60]) == {"s0": 20, "s1": 20, "s2": 20}
 
 
 def _shards(spark, docs, weights, path):

@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over document metadata, with DataFrame operations only.
 
-Size, language and source are quantised, the cells are numbered along a three-dimensional Hilbert curve, documents
+Size, language and source are quantised in their order, the cells are numbered along a three-dimensional Hilbert curve, documents
 are sorted by that number and the order is cut into runs of equal row counts.  Neighbours on the curve are close in
 all three dimensions, so a shard's files span small ranges of each and readers can skip the others.
 """
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import ranked
+from .common import checked_broadcast, ranked, stash
 
 #: Bits of each dimension: 32 cells a side.
 BITS = 5
@@ -37,7 +38,10 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
         )
 
     turned = F.aggregate(steps, F.array(*[d.cast("int") for d in dims]), turn)
-    grays = F.transform(turned, lambda v, j: F.aggregate(F.slice(turned, 1, j + 1), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
+
+    def gray(t: Column) -> Column:
+        return F.transform(t, lambda v, j: F.aggregate(F.slice(t, 1, j + 1), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
+
     levels = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
 
     def unwind(g: Column) -> Column:
@@ -49,15 +53,25 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
             lambda acc, p: F.shiftleft(acc, 1).bitwiseOR(F.call_function("shiftright", F.get(axes, p["i"]), p["b"]).bitwiseAND(one)),
         )
 
-    return F.get(F.transform(F.array(grays), unwind), F.lit(0))
+    # One-element arrays name an intermediate result, so that it is worked out once.
+    return F.get(F.transform(F.transform(F.array(turned), gray), unwind), F.lit(0))
+
 
+def size_cell(size: Column, bits: int = BITS) -> Column:
+    """Twice the binary logarithm of a size in bytes, from 8 bytes on."""
+    return F.least(F.lit((1 << bits) - 1), F.greatest(F.lit(0), F.floor(2 * F.log2(size.cast("double"))).cast("int") - 6))
 
-def curve(size: Column, lang: Column, source: Column, bits: int = BITS) -> Column:
-    """The Hilbert place of a document: twice the binary logarithm of its size, and hashes of language and source."""
-    side = 1 << bits
-    scale = F.least(F.lit(side - 1), F.greatest(F.lit(0), F.floor(2 * F.log2(size.cast("double"))).cast("int") - 6))
-    cell = lambda c: F.coalesce((F.crc32(c.cast("string").cast("binary")) % side).cast("int"), F.lit(0))
-    return hilbert_index([scale, cell(lang), cell(source)], bits)
+
+def value_cells(docs: DataFrame, column: str, value: str, cell: str, bits: int = BITS) -> DataFrame:
+    """(``value``, ``cell``): the distinct values of a column in their order, cut into cells of about equal row counts.
+
+    Neighbouring cells hold neighbouring values, so a file's range of cells is a range of values.  Null comes first.
+    One row a distinct value meets in the running sum: languages and sources are few, however many documents.
+    """
+    counts = docs.groupBy(F.col(column).cast("string").alias(value)).agg(F.count(F.lit(1)).alias("n"))
+    upto = W.orderBy(F.col(value).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(value, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
+    return counts.select(value, F.floor(F.col("before") * (1 << bits) / F.col("total")).cast("int").alias(cell))
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), then: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", first: tuple[str, ...] = ()) -> DataFrame:
@@ -70,12 +84,18 @@ def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), th
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + 8
-    have = set(docs.columns)
-    column = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        curve(size, column("lang"), column("source")).alias("curve"), *[F.col(c) for c in dict.fromkeys([*keep, *first, *then]) if c != id_col],
+        *[(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(f"_{c}") for c in ("lang", "source")],
+        *[F.col(c) for c in dict.fromkeys([*keep, *first, *then]) if c != id_col],
     )
+    for c in ("lang", "source"):
+        cells = value_cells(docs, c, "_value", f"_{c}_cell") if c in docs.columns else None
+        rows = rows.join(checked_broadcast(cells), F.col(f"_{c}").eqNullSafe(F.col("_value"))).drop("_value") if cells is not None else rows.withColumn(f"_{c}_cell", F.lit(0))
+    place = hilbert_index([size_cell(F.col("size")), F.col("_lang_cell"), F.col("_source_cell")])
+    rows = rows.select("doc_id", "size", "text_crc32", place.alias("curve"), *[c for c in dict.fromkeys([*keep, *first, *then]) if c != id_col])
+    if not keep:  # narrow rows: stored, the sampling of ranges doesn't compute them again
+        rows = stash(rows, "places")
     order = ranked(rows, [*first, "curve", *then, "text_crc32", "doc_id"], "curve")
     total = max(1, order.count())
     return (
@@ -85,20 +105,36 @@ def shard_rows(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = (), th
     )
 
 
-def sharded(docs: DataFrame, shards: int = 24, then: tuple[str, ...] = (), first: tuple[str, ...] = ()) -> DataFrame:
-    """All columns of ``docs`` but ``first`` and ``then``, with size, curve, shard and slot; columns of those names are replaced."""
-    made = ("size", "curve", "shard", "slot")
-    own = [c for c in docs.columns if c not in (*made, *first, *then)]
+def _packed(docs: DataFrame, shards: int, then: tuple[str, ...], first: tuple[str, ...]) -> DataFrame:
+    """_row (the user's columns), size, curve, shard, slot."""
+    own = [c for c in docs.columns if c not in ("shard", "slot", *first, *then)]
     packed = docs.select(*[F.col(c) for c in ("doc_id", "text", "lang", "source") if c in docs.columns], *first, *then, F.struct(*[F.col(c) for c in own]).alias("_row"))
-    return shard_rows(packed, shards, keep=("_row",), then=then, first=first).select("_row.*", *made)
+    return shard_rows(packed, shards, keep=("_row",), then=then, first=first)
+
+
+def sharded(docs: DataFrame, shards: int = 24, then: tuple[str, ...] = (), first: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` but ``first`` and ``then``, with shard and slot; columns of these two names are replaced."""
+    return _packed(docs, shards, then, first).select("_row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:
     """Write all columns of ``docs`` as Parquet under ``path``, a folder a shard, rows in slot order; return the
-    manifest: rows, bytes and the ranges of size and curve place by shard, which readers prune by."""
-    rows = sharded(docs, shards)
-    rows.drop("size", "curve").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    manifest: rows, bytes and the ranges of size, language, source and curve place by shard, which readers prune by."""
+    rows = _packed(docs, shards, (), ())
+    out = rows.select("_row.*", "shard", "slot")
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ranges = [f(f"_row.{c}").alias(f"{name}_{c}") for c in ("lang", "source") if c in docs.columns for f, name in ((F.min, "first"), (F.max, "last"))]
+    nulls = [F.count(F.when(F.col(f"_row.{c}").isNull(), 1)).alias(f"null_{c}") for c in ("lang", "source") if c in docs.columns]
     return rows.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("bytes"), F.min("size").alias("least_size"), F.max("size").alias("most_size"),
-        F.min("curve").alias("first_curve"), F.max("curve").alias("last_curve"),
+        F.min("curve").alias("first_curve"), F.max("curve").alias("last_curve"), *ranges, *nulls,
     )
+
+
+def shards_with(manifest: DataFrame, lang: str | None = None, source: str | None = None, least_size: int | None = None) -> DataFrame:
+    """The shards of the manifest that can hold rows of the language, the source and at least the size asked for."""
+    out = manifest
+    for c, value in (("lang", lang), ("source", source)):
+        if value is not None:
+            out = out.filter((F.col(f"first_{c}") <= value) & (F.col(f"last_{c}") >= value))
+    return (out if least_size is None else out.filter(F.col("most_size") >= least_size)).select("shard")

@@ -185,6 +185,23 @@ def test_write_shards(odd, tmp_path):
     assert {r.shard: r.n_rows for r in manifest.collect()} == Counter(r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
 
+def test_readers_skip_shards(spark, sf_dir, tmp_path):
+    """Of 24 shards a reader of one language and source needs few, and finds all its rows there."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    path = str(tmp_path / "out")
+    manifest = sharding.write_shards(docs, path, 24)
+    out = spark.read.parquet(path)
+    need = []
+    for r in docs.filter("lang is not null and source is not null").groupBy("lang", "source").count().orderBy("lang", "source").collect():
+        shards = {x.shard for x in sharding.shards_with(manifest, r.lang, r.source).collect()}
+        held = out.filter((F.col("lang") == r.lang) & (F.col("source") == r.source) & F.col("shard").isin(shards)).count() if shards else 0
+        assert held == r["count"]
+        need.append(len(shards))
+    assert sum(need) / len(need) < 12
+    big = {x.shard for x in sharding.shards_with(manifest, least_size=20_000).collect()}
+    assert out.filter(F.octet_length("text") + 8 >= 20_000).filter(~F.col("shard").isin(big)).isEmpty() if big else True
+
+
 def test_mixing(docs, odd, empty):
     for df, block in ((docs, 4), (odd, 2)):
         rows = mixing.mix(df, block=block).collect()

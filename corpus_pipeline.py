@@ -6,13 +6,13 @@ stage's ``docs``.  All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recfeat.llm import decontam, langid, mixing, neardup, sharding
-from recfeat.llm.common import new_path
+from recfeat.llm.common import fresh_name, new_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +42,27 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut into 24 runs of equal row counts, a shard each, so that every shard has the proportions of its part of the
     mixture.  Inside a shard rows stand along the Hilbert curve, and inside a cell in the order of the mixture."""
     shards = 24
-    if not docs.inputFiles():
-        return sharding.sharded(docs, shards).drop("size", "curve")
-    docs = docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
-    files = docs.groupBy("mix_file").agg(F.count(F.lit(1)).alias("n")).orderBy("mix_file").collect()
-    *before, total = accumulate((r.n for r in files), initial=0)
-    starts = [(r.mix_file, n) for r, n in zip(files, before, strict=True)]
-    docs = docs.join(F.broadcast(spark.createDataFrame(starts, "mix_file string, mix_start long")), "mix_file").drop("mix_file")
-    docs = docs.withColumn("mix_at", F.col("mix_start") + F.col("mix_row")).withColumn("mix_run", F.expr(f"mix_at * {shards}L div {max(1, total)}L")).drop("mix_start", "mix_row")
-    return sharding.sharded(docs, shards, first=("mix_run",), then=("mix_at",)).drop("size", "curve")
+    if not _has_places(docs):
+        return sharding.sharded(docs, shards)
+    file, row, at, run = (fresh_name(docs.columns, stem) for stem in ("mix_file", "mix_row", "mix_at", "mix_run"))
+    docs = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    # Part files are numbered; the number, not the name, is in the order of the mixture beyond 100,000 of them.
+    number = F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long")
+    before = Window.orderBy(number, file).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = docs.groupBy(file).agg(F.count(F.lit(1)).alias("n"))  # one row a file
+    starts = sizes.select(file, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(at))
+    total = max(1, docs.count())
+    docs = docs.join(F.broadcast(starts), file).withColumn(at, F.col(at) + F.col(row)).drop(file, row)
+    return sharding.sharded(docs.withColumn(run, F.floor(F.col(at) * shards / total)), shards, first=(run,), then=(at,))
+
+
+def _has_places(docs: DataFrame) -> bool:
+    """Whether rows know their file and place in it: not so for tables that aren't read from files."""
+    try:
+        docs.select("_metadata.file_name")
+    except AnalysisException:
+        return False
+    return True
 
 
 STAGES = [

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -32,9 +32,6 @@ BUCKET = 20_000
 #: Pieces of text whose ids a Python worker remembers: about 200 MB, after which it starts afresh.
 REMEMBERED = 1_000_000
 
-_UNSAFE = re.compile(r"\s ")
-
-
 class _Pieces(dict):
     """Numbers of pieces of text; an unknown piece gets the next number and is noted as new."""
 
@@ -53,14 +50,16 @@ class Encoder:
 
     Byte-level pre-tokenisation never joins a character to a space that follows it, so a text falls into pieces
     before each space that stands after a non-space, and equal pieces have equal ids.  Each worker encodes a piece
-    once and remembers it.  A text with other runs of white space before a space is encoded in one go.
+    once and remembers it.  A text with other runs of white space before a space, or with the string of an added
+    token such as a document end, is encoded in one go.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = re.compile("|".join([r"\s ", *map(re.escape, filter(None, added))]))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
@@ -112,7 +111,7 @@ class Encoder:
         for t in texts:
             before = len(seen)
             seen.append(0)
-            if _UNSAFE.search(t):
+            if self.unsafe.search(t):
                 whole.append(t)
             else:
                 parts = t.split(" ")
@@ -142,21 +141,33 @@ def _encoder(path: str) -> Encoder:
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    """The file system and path of a qualified folder."""
+    return fs.FileSystem.from_uri(folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI: a plain path belongs to the cluster's default file system, not to a machine's own disk."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all texts under ``folder``; return (doc_id, copy, shard, at, n_tokens) in a stored table.
 
     ``at`` is the place of the first id in the shard, ``copy`` numbers rows that share a doc_id, and shards hold
-    ascending ids (nulls first).  A file is written under a name of its own and renamed when whole, so a repeated
-    task leaves the same bytes.
+    ascending ids (nulls first), equal ones by a hash of their text: rows without an id, or with one that is much
+    repeated, spread over as many shards as they fill.  A file is written under a name of its own and renamed when
+    whole, so a repeated task leaves the same bytes.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = qualified(spark, folder)
     filesystem, path = _open(folder)
     filesystem.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def work(batches):
         context = TaskContext.get()
@@ -191,7 +202,18 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_i
                     raise
                 files.delete_file(own)
 
-    return stash(rows.mapInArrow(work, "doc_id long, copy long, shard int, at long, n_tokens long"), "token-places")
+    places = stash(rows.mapInArrow(work, "doc_id long, copy long, shard int, at long, n_tokens long"), "token-places")
+    # Copies are counted in their shard so far; an id that goes on from earlier shards counts on.
+    ends = places.groupBy("shard").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max_by("copy", F.struct("doc_id", "copy")).alias("last"))
+    seen, ids, before = 0, None, []
+    for r in sorted(ends.collect(), key=lambda r: r.shard):  # one row a shard
+        if r.lo is not None and r.lo == ids:
+            before.append((r.shard, r.lo, seen))
+        seen, ids = r.last + 1 + (seen if r.hi == ids and r.lo == r.hi else 0), r.hi
+    if not before:
+        return places
+    more = F.broadcast(spark.createDataFrame(before, "shard int, doc_id long, before long"))
+    return places.join(more, ["shard", "doc_id"], "left").select("doc_id", (F.col("copy") + F.coalesce("before", F.lit(0))).alias("copy"), "shard", "at", "n_tokens")
 
 
 def key_hash(doc_id: np.ndarray, copy: np.ndarray) -> np.ndarray:
@@ -303,6 +325,7 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
 
 def read_ids(places: DataFrame, folder: str, digest: bool = True) -> DataFrame:
     """``places`` (doc_id, shard, at, n_tokens) with what the files hold there: ids_crc32, or the ids themselves."""
+    folder = qualified(places.sparkSession, folder)
 
     def work(batches):
         files, top = _open(folder)

@@ -133,19 +133,40 @@ def test_token_files(spark, docs, odd, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    extra = spark.createDataFrame([(50, " lead  two   three \n four\t five ", None, None, 1, 1), (51, "it's we'll  <|endoftext|>x  y", None, None, 1, 1)], brute.SCHEMA)
-    t.encode_special_tokens = True
+    extra = spark.createDataFrame([(50, " lead  two   three \n four\t five ", None, None, 1, 1), (51, "it's we'll  <|endoftext|>x  y", None, None, 1, 1), (52, "a <|endoftext|> b", None, None, 1, 1)], brute.SCHEMA)
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]  # no switch is set
     for df in (docs, odd.unionByName(extra)):
-        rows = sorted(texts(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        want, start = [], 0
-        for i, text in rows:
-            ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
-            want.append((i, start, len(ids), brute.crc_of(ids)))
-            start += len(ids)
-        same(tokenfiles.token_files(df, path).collect(), want)
+        rows = sorted(texts(df), key=lambda r: (r[0] is not None, r[0] or 0))
+        got = sorted(tokenfiles.token_files(df, path).collect(), key=lambda r: r.start)
+        start = 0
+        for (i, _), r in zip(rows, got, strict=True):
+            assert (r.doc_id, r.start) == (i, start)
+            start += r.n_tokens
+        digest = lambda text: (n := [*t.encode(text or "", add_special_tokens=False).ids, 0]) and (len(n), brute.crc_of(n))
+        same([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [(i, *digest(text)) for i, text in rows])
     assert tokenfiles.token_files(empty, path).count() == 0
 
 
+def test_token_files_of_repeated_and_missing_ids(spark):
+    """Hot ids spread over shards, each copy keeps a key of its own, and every row is read back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [((None, 7, i)[i % 3], f"text {i % 400}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        places = tokenfiles.write_ids(df, path, tokenfiles.new_path(spark, "tokens")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r.shard for r in places if r.doc_id is None}) > 1
+    assert sorted(r.copy for r in places if r.doc_id == 7) == list(range(300))
+    got = tokenfiles.token_files(df, path).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == list(np.cumsum([0, *(r.n_tokens for r in order)])[:-1])
+
+
 def test_perfect_hash():
     keys = tokenfiles.key_hash(np.arange(5000), np.zeros(5000, np.int64))
     perfect = tokenfiles.PerfectHash.load(tokenfiles.PerfectHash.build(keys).dump())

@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses, with DataFrame functions only.
 
-A Feistel network keyed by a secret permutes each value within its own format: a card number that passes the Luhn
-test becomes another that does, a date another date, a telephone number another of the same shape.  Equal values get
-equal pseudonyms in all documents, and different values of a kind get different ones.  What fails its validation
-(a long number without a right check digit, 2023-02-31, 999.1.2.3) is left as it is.
+A Feistel network keyed by a secret permutes each value within its own format: a card number of a known issuer that
+passes the Luhn test becomes another of that issuer that does, an account number (IBAN) another of its country with the
+right check digits, a date another date, a telephone number another of the same shape whose area and exchange are
+as valid as they were.  Equal values get equal pseudonyms in all documents, and different values of a kind get different
+ones.  What fails its validation (a long number without a right check digit or issuer, 2023-02-31, 999.1.2.3) is
+left as it is.
 """
 
 from __future__ import annotations
@@ -20,9 +22,17 @@ PATTERNS = {
     "phone": r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9+])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
 }
+#: Card numbers of known issuers: their first digits with the lengths in use.
+ISSUERS = (
+    r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}"
+    r"|3(?:0[0-5]|[689][0-9])[0-9]{11}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|6(?:011|5[0-9]{2}|4[4-9][0-9])[0-9]{12,15}|62[0-9]{14,17}|(?:50|5[6-8]|63|67)[0-9]{11,17})$"
+)
 KINDS = tuple(PATTERNS)
+#: Leading digits of a card number that tell its issuer and stay.
+ISSUER_DIGITS = 4
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -])", r"(?<sep>[ -])").replace(r"\1", r"\k<sep>")
 
 #: Days of 1900-01-01 .. 2099-12-31 are 17 x 4297; numbers of persons are 898 x 99 areas and groups x 9999 serials.
@@ -97,15 +107,40 @@ def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     n = F.length(d)
     # The check digit follows from the others, so permuting the others permutes the valid numbers.
-    body = _permute_digits(F.substring(d, F.lit(1), n - 1), key, "card")
+    head = F.substring(d, 1, ISSUER_DIGITS)
+    body = F.concat(head, _permute_digits(F.substring(d, F.lit(ISSUER_DIGITS + 1), n - ISSUER_DIGITS - 1), key, "card"))
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
-    return F.when((_luhn(d) == 0) & ~d.rlike("^0*$"), _refill(m, F.concat(body, check.cast("string")), "[0-9]")).otherwise(m)
+    return F.when(d.rlike(ISSUERS) & (_luhn(d) == 0), _refill(m, F.concat(body, check.cast("string")), "[0-9]")).otherwise(m)
+
+
+def _mod97(s: Column) -> Column:
+    """The remainder by 97 of a string of digits and letters, a letter counting as its number from 10 on."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(s, ""), F.lit(0), lambda acc, c: ((acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The digits of the account are permuted, country and letters stay, and the check digits follow."""
+    plain = F.regexp_replace(m, " ", "")
+    country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    digits = _digits(account)
+    new = F.when(F.length(digits).between(2, 36), _refill(account, _permute_digits(digits, key, "iban"), "[0-9]")).otherwise(account)
+    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = (_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
+    return F.when(valid, _refill(m, F.concat(country, check, new), "[A-Z0-9]")).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Area and exchange codes begin with 2 to 9; each stays on its side of that rule."""
     head = F.when(m.startswith("+1"), F.lit("+1")).otherwise(F.lit(""))
     rest = F.substring(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, _refill(rest, _permute_digits(_digits(rest), key, "phone"), "[0-9]"))
+    d = _digits(rest)
+    area, exchange, line = (F.substring(d, a, n).try_cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
+    low = [F.when(x < 200, 0).otherwise(200) for x in (area, exchange)]
+    many = [F.when(x < 200, 200).otherwise(800) for x in (area, exchange)]
+    out = feistel((area - low[0]) * many[1] + exchange - low[1], line, many[0] * many[1], F.lit(10_000), key, "phone")
+    new = [F.floor(out["a"] / many[1]) + low[0], out["a"] % many[1] + low[1], out["b"]]
+    return F.concat(head, _refill(rest, F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in zip(new, (3, 3, 4), strict=True)]), "[0-9]"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -141,11 +176,8 @@ def _date(m: Column, key: str) -> Column:
     return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), text).otherwise(m)
 
 
-def _email(m: Column, key: str) -> Column:
-    """Letters become letters and digits digits; the domain stays.  Case is folded, as it tells no addresses apart."""
-    local = F.lower(F.substring_index(m, "@", 1))
-    domain = F.lower(F.substring_index(m, "@", -1))
-    letters, digits = F.regexp_replace(local, "[^a-z]", ""), _digits(local)
+def _permute_letters(letters: Column, key: str, tweak: str) -> Column:
+    """Another string of as many letters a-z (0 to 26)."""
     n = F.length(letters)
     u = F.floor(n / 2).cast("int")
 
@@ -154,13 +186,30 @@ def _email(m: Column, key: str) -> Column:
 
     def word(x: Column, k: Column) -> Column:
         places = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-        return F.array_join(F.transform(places, lambda i: F.char(97 + F.floor((x - x % _letters26(k - i)) / _letters26(k - i)) % 26)), "")
+        return F.array_join(F.transform(places, lambda i: F.char(97 + F.call_function("div", x, _letters26(k - i)) % 26)), "")
 
-    out = feistel(number(F.substring(letters, F.lit(1), u)), number(F.substring(letters, u + 1, n)), _letters26(u), _letters26(n - u), key, "email")
-    name = F.when(n > 0, _refill(local, F.concat(word(out["a"], u), word(out["b"], n - u)), "[a-z]")).otherwise(local)
-    name = F.when(F.length(digits).between(1, 36), _refill(name, _permute_digits(digits, key, "email"), "[0-9]")).otherwise(name)
-    long = F.concat(F.lit("x"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), local).cast("binary"), 256), 1, 24))
-    return F.concat_ws("@", F.when((n > 26) | (F.length(digits) > 36), long).otherwise(name), domain)
+    out = feistel(number(F.substring(letters, F.lit(1), u)), number(F.substring(letters, u + 1, n)), _letters26(u), _letters26(n - u), key, tweak)
+    return F.when(n > 0, F.concat(word(out["a"], u), word(out["b"], n - u))).otherwise(F.lit(""))
+
+
+def _in_pieces(s: Column, size: int, most: int, permute) -> Column:
+    """``s`` permuted by pieces of ``size`` characters, each piece with a tweak of its own; up to ``most`` characters."""
+    first = permute(F.substring(s, 1, size), "email")
+    whole = first
+    for i in range(1, -(-most // size)):
+        piece = F.substring(s, i * size + 1, size)
+        whole = F.concat(whole, F.when(F.length(s) > i * size, permute(piece, f"email{i}")).otherwise(F.lit("")))
+    return F.when(F.length(s) > size, whole).otherwise(first)
+
+
+def _email(m: Column, key: str) -> Column:
+    """Letters become letters and digits digits; the domain stays.  Case is folded, as it tells no addresses apart."""
+    local = F.lower(F.substring_index(m, "@", 1))
+    domain = F.lower(F.substring_index(m, "@", -1))
+    letters, digits = F.regexp_replace(local, "[^a-z]", ""), _digits(local)
+    name = _refill(local, _in_pieces(letters, 26, 64, lambda p, t: _permute_letters(p, key, t)), "[a-z]")
+    name = F.when(F.length(digits) > 0, _refill(name, _in_pieces(digits, 36, 64, lambda p, t: _permute_digits(p, key, t)), "[0-9]")).otherwise(name)
+    return F.concat_ws("@", name, domain)
 
 
 def kind_of(m: Column) -> Column:
@@ -172,7 +221,7 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    make = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+    make = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "iban": _iban, "card": _card}
     out = m
     for k in KINDS:
         out = F.when(kind == k, make[k](m, key)).otherwise(out)

@@ -1,5 +1,6 @@
 """Plain-Python versions of the corpus operators' contracts, and rows with every awkward case."""
 
+import datetime
 import hashlib
 import re
 import zlib
@@ -145,3 +146,103 @@ def crc_of(ids):
     import numpy as np
 
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def feistel(a, b, of_a, of_b, key, tweak):
+    noise = lambda r, x: int(hashlib.sha256(f"{key}|{tweak}|{r}|{x}".encode()).hexdigest()[:14], 16)
+    for r in range(10):
+        if r % 2:
+            b = (b + noise(r, a)) % of_b
+        else:
+            a = (a + noise(r, b)) % of_a
+    return a, b
+
+
+def permuted(s, base, key, tweak):
+    """A string of digits (base 10) or letters (base 26) as another of the same length."""
+    zero = ord("0") if base == 10 else ord("a")
+    u = len(s) // 2
+    number = lambda t: sum((ord(c) - zero) * base**i for i, c in enumerate(reversed(t)))
+    spell = lambda x, n: "".join(chr(zero + x // base**i % base) for i in reversed(range(n)))
+    a, b = feistel(number(s[:u]), number(s[u:]), base**u, base ** (len(s) - u), key, tweak)
+    return spell(a, u) + spell(b, len(s) - u)
+
+
+def refill(m, new, kind):
+    new = iter(new)
+    return "".join(next(new) if re.fullmatch(kind, c) else c for c in m)
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def pseudonym(kind, m, key, issuers):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        local, domain = m.lower().split("@")
+        for base, size, wanted in ((26, 26, "[a-z]"), (10, 36, "[0-9]")):
+            own = "".join(re.findall(wanted, local))
+            pieces = [own[i : i + size] for i in range(0, len(own), size)]
+            local = refill(local, "".join(permuted(p, base, key, f"email{i or ''}") for i, p in enumerate(pieces)), wanted)
+        return f"{local}@{domain}"
+    if kind == "ip":
+        o = list(map(int, m.split(".")))
+        if max(o) > 255:
+            return m
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "phone":
+        head = "+1" if m.startswith("+1") else ""
+        d = d[-10:]
+        area, exchange, line = int(d[:3]), int(d[3:6]), int(d[6:])
+        (la, na), (le, ne) = ((0, 200) if x < 200 else (200, 800) for x in (area, exchange))
+        a, b = feistel((area - la) * ne + exchange - le, line, na * ne, 10_000, key, "phone")
+        return head + refill(m[len(head) :], f"{a // ne + la:03}{a % ne + le:03}{b:04}", "[0-9]")
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return m
+        a, b = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        at = a // 99
+        return f"{at + 1 + (at >= 665):03}-{a % 99 + 1:02}-{b + 1:04}"
+    if kind == "date":
+        y, mo, day = (m[:4], m[5:7], m[8:]) if "-" in m else (m[6:], m[:2], m[3:5])
+        try:
+            n = (datetime.date(int(y), int(mo), int(day)) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return m
+        if not 0 <= n < 17 * 4297:
+            return m
+        a, b = feistel(n // 4297, n % 4297, 17, 4297, key, "date")
+        new = datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b)
+        return new.strftime("%Y-%m-%d" if "-" in m else "%m/%d/%Y")
+    if kind == "iban":
+        plain = m.replace(" ", "")
+        if not 15 <= len(plain) <= 34 or mod97(plain[4:] + plain[:4]) != 1:
+            return m
+        own = re.sub("[^0-9]", "", plain[4:])
+        new = refill(plain[4:], permuted(own, 10, key, "iban"), "[0-9]") if len(own) > 1 else plain[4:]
+        return refill(m, f"{plain[:2]}{98 - mod97(new + plain[:2] + '00'):02}{new}", "[A-Z0-9]")
+    if not re.match(issuers, d) or luhn(d):
+        return m
+    body = d[:4] + permuted(d[4:-1], 10, key, "card")
+    return refill(m, body + str(-luhn(body + "0") % 10), "[0-9]")
+
+
+def pseudonymise(text, key, patterns, issuers):
+    """(text, {kind: values replaced})."""
+    counts = Counter()
+    whole = "|".join(f"(?:{p})" for p in patterns.values()).replace("([ -])", "(?P<sep>[ -])").replace(r"\1", "(?P=sep)")
+
+    def put(found):
+        kind = next(k for k, p in patterns.items() if re.fullmatch(p, found[0], re.A))
+        new = pseudonym(kind, found[0], key, issuers)
+        counts[kind] += new != found[0]
+        return new
+
+    return text and re.sub(whole, put, text, flags=re.A), counts

@@ -278,10 +278,35 @@ def test_pseudonyms(spark, docs, odd, empty):
         assert len(got) == frame.count()
         plain = Counter(texts(frame))
         assert all((r.doc_id, r.text) in plain for r in got if not r.n_pii)
+        want = []
+        for i, t in texts(frame):
+            text, n = brute.pseudonymise(t, "k", pii.PATTERNS, pii.ISSUERS)
+            want.append((i, text, *(n[k] for k in pii.KINDS), sum(n.values())))
+        same([(r.doc_id, r.text, *(r[f"n_{k}"] for k in pii.KINDS), r.n_pii) for r in got], want)
     assert any(r.n_pii for r in pii.pseudonymise(docs, "k").collect())
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_pseudonyms_by_kind(spark):
+    """Every kind against brute force; what isn't valid stays; long mail names keep their format and stay apart."""
+    name = "averylongmailboxnameofmorethantwentysixletters"
+    sample = [
+        f"{name}@x.org {name}s@x.org {name[:-1]}t.{'7' * 17}@x.org " + "9" * 40 + "a@x.org", "GB82 WEST 1234 5698 7654 32, DE89370400440532013000 and GB82 WEST 1234 5698 7654 33",
+        "visa 4111 1111 1111 1111 time 1700000000003 1700000000004 1700000000005 other 9999999999999995 amex 378282246310005 long 4222222222222", "(017) 555-7713 +1 (974) 155-3436 201-555-0123 911.911.9111",
+        "1.2.3.4 10.0.0.255 256.1.1.1", "001-01-0001 665-01-0001 667-99-9999 899-10-1000 900-10-1000 666-10-1000", "1900-01-01 2099-12-31 2100-01-01 02/29/2000 02/29/1900",
+    ]
+    df = spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    for i, t in enumerate(sample):
+        text, n = brute.pseudonymise(t, "k", pii.PATTERNS, pii.ISSUERS)
+        assert got[i].text == text and {k: got[i][f"n_{k}"] for k in pii.KINDS} == {k: n[k] for k in pii.KINDS}
+    mails = got[0].text.split()
+    assert [len(x) for x in mails] == [len(x) for x in sample[0].split()] and len(set(mails)) == 4 and got[0].n_email == 4
+    assert got[1].n_iban == 2 and got[1].text.endswith("GB82 WEST 1234 5698 7654 33") and all(x in got[2].text for x in ("1700000000003", "9999999999999995"))
+    areas = [int(x) for x in re.findall(r"\(([0-9]{3})\)", got[3].text)]
+    assert areas[0] < 200 <= areas[1]
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(17 * 41).select(pii.feistel(F.floor(F.col("id") / 41), F.col("id") % 41, F.lit(17), F.lit(41), "k", "t").alias("x")).select("x.*").collect()
     assert len({(r.a, r.b) for r in out}) == 17 * 41 and all(0 <= r.a < 17 and 0 <= r.b < 41 for r in out)

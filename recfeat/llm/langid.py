@@ -1,8 +1,8 @@
 """Language identification by multilingual mixture inference.
 
 Each language has smoothed probabilities of hashed byte trigrams.  A document is a mixture of languages: the
-proportions are found by expectation-maximisation, and languages are admitted one by one, in the order of their
-share, as long as the log-likelihood gains more than the penalty of another free proportion.
+proportions are found by expectation-maximisation, and languages are admitted one by one, each time the one that
+raises the log-likelihood most, as long as it gains more than the penalty of another free proportion.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ BUCKETS = 1 << 16
 SAMPLE = 2000
 #: Tasks that count the sample; a constant, as the sample is bounded.
 TASKS = 8
-ROUNDS = 12
+#: Expectation-maximisation stops when no proportion moves by STILL, or after ROUNDS.
+STILL, ROUNDS = 1e-3, 200
 UNDETERMINED = "und"
 
 
@@ -62,37 +63,55 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, np.ascontiguousarray((smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32))
 
 
-def _em(p: np.ndarray, c: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+def _em(p: np.ndarray, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions and log-likelihood of grams with probabilities ``p`` (grams x languages), counted ``c`` times."""
     share, n = start.astype(np.float32), c.sum()
-    for _ in range(rounds):
-        share = share * ((c / (p @ share)) @ p) / n
+    for _ in range(ROUNDS):
+        last, share = share, share * ((c / (p @ share)) @ p) / n
+        if np.abs(share - last).max() < STILL:
+            break
     return share, float(c @ np.log(p @ share))
 
 
 def mixture(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A document's language proportions; zero for languages that are not admitted."""
+    """A document's language proportions; zero for languages that are not admitted.
+
+    A language that isn't in can raise the likelihood only if the slope of its proportion at zero is above one, and
+    by no more than n log(slope); candidates whose bound doesn't exceed the penalty, or the best gain found, need no
+    trial.  Every language is looked at in each round.
+    """
     seen, c = np.unique(grams, return_counts=True)
     p, c = table[seen], c.astype(np.float32)
-    k = table.shape[1]
-    share, _ = _em(p, c, np.full(k, 1 / k), ROUNDS)
-    order = np.argsort(-share, kind="stable")
+    n, k = float(c.sum()), table.shape[1]
     single = c @ np.log(p)
     chosen, level = [int(single.argmax())], float(single.max())
-    out = np.zeros(k, np.float32)
-    out[chosen[0]] = 1
-    penalty = 0.5 * np.log(max(2.0, float(c.sum()))) + 3.0
-    for nxt in (int(i) for i in order if i != chosen[0] and share[i] > 0.02):
-        trial = [*chosen, nxt]
-        got, ll = _em(p[:, trial], c, np.full(len(trial), 1 / len(trial)), ROUNDS)
-        if (ll - level) / 3 <= penalty:  # a byte stands in three grams
+    share = np.ones(1, np.float32)
+    penalty = 3 * (0.5 * np.log(max(2.0, n)) + 3.0)  # a byte stands in three grams
+    while len(chosen) < k:
+        slope = (c / (p[:, chosen] @ share)) @ p / n
+        bound = n * np.log(np.maximum(slope, 1.0))
+        bound[chosen] = 0
+        best = None
+        for nxt in map(int, np.argsort(-bound, kind="stable")):
+            if bound[nxt] <= max(penalty, best[0] if best else 0.0):
+                break
+            trial = [*chosen, nxt]
+            got, ll = _em(p[:, trial], c, np.append(share * 0.5, 0.5))
+            if ll - level > max(penalty, best[0] if best else 0.0):
+                best = ll - level, trial, got, ll
+        if best is None:
             break
-        chosen, level = trial, ll
-        out[:] = 0
-        out[trial] = got
+        _, chosen, share, level = best
+    out = np.zeros(k, np.float32)
+    out[chosen] = share / share.sum()
     return out
 
 
+def _mixture_of(text: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The proportions of a text; one of fewer than three bytes is taken with a space at either end."""
+    return mixture(_grams(text if len(text) > 2 else np.concatenate(([0x20], text, [0x20])).astype(np.uint8)), table)
+
+
 def _has_letter(data: np.ndarray) -> bool:
     low = data | 0x20
     if ((low >= 0x61) & (low <= 0x7A)).any():
@@ -104,8 +123,8 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
     """One row a document: doc_id, lang_pred, score (the share of that language), mix (languages above zero, by share).
 
     A text that is null, has no letter, or meets no learned language is ``und`` with score 0.  A text of one or two
-    bytes has no trigram: it takes the first language with score 1 / languages.  Only the text is read; rows with
-    repeated or null ids give a row each, and an empty table an empty result.
+    bytes is taken with a space at either end.  Of equally likely languages the first by name counts.  Only the text
+    is read; rows with repeated or null ids give a row each, and an empty table an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -120,10 +139,8 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
                 text = data[a:b]
                 if not names or not _has_letter(text):
                     share = None
-                elif b - a < 3:
-                    share = np.full(len(names), 1 / len(names))
                 else:
-                    share = mixture(_grams(text), probs)
+                    share = _mixture_of(text, probs)
                 best = -1 if share is None else int(share.argmax())
                 preds.append(UNDETERMINED if best < 0 else names[best])
                 scores.append(0.0 if best < 0 else min(1.0, float(share[best])))
@@ -153,7 +170,7 @@ def reject(docs: DataFrame, langs: list[str], table: np.ndarray, least: float =
         for batch in batches:
             data, bounds = tb.buffers(batch.column(at))
             keep = [
-                bool(names) and _has_letter(data[a:b]) and (b - a < 3 or float(mixture(_grams(data[a:b]), probs).max()) >= least)
+                bool(names) and _has_letter(data[a:b]) and float(_mixture_of(data[a:b], probs).max()) >= least
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True)
             ]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -334,6 +334,44 @@ def test_language_mixture(docs):
     assert {langs[i] for i in np.flatnonzero(share > 0.25)} == set(two)
 
 
+def _brute_mixture(grams, table):
+    """Forward selection that tries every language in each round, by long expectation-maximisation in doubles."""
+    counts = Counter(grams.tolist())
+    p, c = table[list(counts)].astype(np.float64), np.array(list(counts.values()), np.float64)
+
+    def fit(langs):
+        share = np.full(len(langs), 1 / len(langs))
+        for _ in range(3000):
+            share = share * ((c / (p[:, langs] @ share)) @ p[:, langs]) / c.sum()
+        return c @ np.log(p[:, langs] @ share), share
+
+    best = max((fit([k]) + ([k],) for k in range(table.shape[1])), key=lambda x: x[0])
+    while len(best[2]) < table.shape[1]:
+        more = max((fit([*best[2], k]) + ([*best[2], k],) for k in range(table.shape[1]) if k not in best[2]), key=lambda x: x[0])
+        if more[0] - best[0] <= 3 * (0.5 * np.log(max(2.0, c.sum())) + 3.0):
+            break
+        best = more
+    out = np.zeros(table.shape[1])
+    out[best[2]] = best[1]
+    return out
+
+
+def test_mixtures_against_brute_force(docs):
+    """Texts of one, two and three languages, one of them a hundredth of a long text, and short ones."""
+    langs, table = langid.fit(docs.select("doc_id", "text", "lang"))
+    by = {r.lang: r.text for r in docs.filter("lang is not null and length(text) > 2500").orderBy("doc_id").collect()}
+    names = sorted(by)
+    made = [by[x][:2000] for x in names] + [by[a][:900] + " " + by[b][:400] for a in names for b in names if a != b]
+    made += [" ".join(by[x][:600] for x in names[:3]), by[names[0]] * 8 + " " + by[names[1]][:250], "a", "zu", "the", "der die das"]
+    for text in made:
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = langid._mixture_of(data, table)
+        want = _brute_mixture(langid._grams(data if len(data) > 2 else np.frombuffer(b" " + text.encode() + b" ", np.uint8)), table)
+        assert set(np.flatnonzero(got)) == set(np.flatnonzero(want)) and np.abs(got - want).max() < 0.03
+    small = langid._mixture_of(np.frombuffer(made[-5].encode(), np.uint8), table)
+    assert 0 < small[langs.index(names[1])] < 0.02 or len(by[names[0]]) < 2500
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]

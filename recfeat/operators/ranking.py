@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import clip, sd
-from recfeat.operators.recall import top_k
+from recfeat.operators.recall import quota, top_k
 
 #: Rows kept after each stage of the funnel.
 FUNNEL = {"recall": 10_000, "coarse": 1000, "fine": 100, "display": 20}
@@ -83,3 +83,16 @@ def fm_pairs(vectors: Column) -> Column:
     dims = F.sequence(F.lit(0), n - 1)
     at = lambda d, f: F.aggregate(vectors, F.lit(0.0), lambda s, v: s + f(F.get(v, d).cast("double")))
     return F.aggregate(dims, F.lit(0.0), lambda s, d: s + 0.5 * (at(d, lambda x: x) * at(d, lambda x: x) - at(d, lambda x: x * x)))
+
+
+def coarse_rank(candidates: DataFrame, recall: Column, ctr: Column, floor: float = 0.01, per_category: int = 200, k: int = 1000) -> DataFrame:
+    """.3 recall + .7 click rate, at least ``floor``; at most ``per_category`` of a category and ``k`` a user."""
+    rows = candidates.withColumn("score", F.round(0.3 * recall + 0.7 * ctr, 6)).filter(F.col("score") >= floor)
+    return quota(rows, per_category, k, ["user_id"])
+
+
+def video_preference(same_length: Column, liked: Column, genres: Column, cares: Column, quality: Column, same_platform: Column) -> Column:
+    """.3 for the preferred length, .4 x the share of liked genres, .2 x quality for who cares, .1 for the platform."""
+    shared = F.size(F.array_intersect(liked, genres)) / F.size(liked)
+    score = F.when(same_length, 0.3).otherwise(0.0) + 0.4 * F.when(F.size(liked) > 0, shared).otherwise(0.0)
+    return F.least(F.lit(1.0), score + F.when(cares, 0.2 * quality).otherwise(0.0) + F.when(same_platform, 0.1).otherwise(0.0))

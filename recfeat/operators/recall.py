@@ -159,3 +159,33 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_
 def score_parts(position: Column, length: Column, share: Column, popularity: Column, similarity: Column) -> Column:
     """.5 similarity + .2 position term + .2 category share + .1 popularity."""
     return 0.5 * similarity + 0.2 * F.when(position.isNull(), 0.0).otherwise(-(1 - position / length)) + 0.2 * share + 0.1 * popularity
+
+
+def grid(users: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every user with every item of a short list; a longer one than ``most`` raises."""
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"a grid takes a list of at most {most} items")
+    return users.crossJoin(F.broadcast(items))
+
+
+def range_join(left: DataFrame, right: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
+    """Left rows with every right row of their key whose [start, end] holds ``at``; rows without any stay, with nulls.
+
+    Both sides meet in slots of ``width`` on the time axis as well as on the key: a right row goes to each slot that it
+    touches, so no slot sees more than its own rows and the range is tested inside it.
+    """
+    slots = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+    r = right.select(F.col(key).alias("_key"), F.explode(slots).alias("_slot"), *[F.col(c) for c in right.columns if c != key])
+    a = left.withColumn("_at_slot", F.floor(F.col(at) / width))
+    on = (F.col(key) == F.col("_key")) & (F.col("_at_slot") == F.col("_slot")) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
+    return a.join(r, on, "left").drop("_key", "_slot", "_at_slot")
+
+
+def neighbour_recall(history: DataFrame, edges: DataFrame, popularity: DataFrame, k: int, neighbours: int = 5, boost: float = 1.2) -> DataFrame:
+    """An item's strongest edges lead to its neighbours; edges to them count ``boost`` times, and each adds half of the
+    neighbour's popularity.  Items of the history are left out."""
+    near = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), F.asc("dst"))) <= neighbours
+    out = edges.withColumn("near", near).join(popularity.select(F.col("item_id").alias("dst"), "popularity"), "dst")
+    part = F.col("weight") * F.when(F.col("near"), boost).otherwise(1.0) + F.when(F.col("near"), 0.5 * F.col("popularity")).otherwise(0.0)
+    reached = history.join(out, history.item_id == out.src).groupBy("user_id", F.col("dst").alias("item_id")).agg(F.round(F.sum(part), 6).alias("score"))
+    return top_k(reached.join(history, ["user_id", "item_id"], "left_anti"), k, "score", "item_id", ["user_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +28,29 @@ def latest(long: DataFrame, registry: DataFrame, now_s: int) -> DataFrame:
 
 
 def fuse(offline: Column, offline_age: Column, live: Column, live_age: Column, how: str = "latest") -> Column:
-    """The fresher value, or both weighted by exp(-age/3600) and exp(-age/300)."""
-    if how == "latest":
-        return F.when(live.isNotNull() & (live_age <= offline_age), live).otherwise(F.coalesce(offline, live))
-    a, b = F.exp(-offline_age / 3600), F.exp(-live_age / 300)
-    return sd(offline * a + live * b, a + b)
+    """Two values of a feature as one, by the strategy named in FUSIONS."""
+    return FUSIONS[how](offline, offline_age, live, live_age)
+
+
+def _latest(offline: Column, offline_age: Column, live: Column, live_age: Column) -> Column:
+    """The fresher value; either one where the other is missing."""
+    return F.when(live.isNotNull() & (live_age <= offline_age), live).otherwise(F.coalesce(offline, live))
+
+
+def _by_age(offline: Column, offline_age: Column, live: Column, live_age: Column) -> Column:
+    """Weighted by exp(-age / 3600) and exp(-age / 300); the weights' ratio stays finite at any age."""
+    share = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), live_age / 300 - offline_age / 3600))))
+    return F.coalesce(offline + (live - offline) * share, offline, live)
+
+
+def _by_confidence(offline: Column, offline_confidence: Column, live: Column, live_confidence: Column) -> Column:
+    """Weighted by confidence in place of age; the offline value without any."""
+    total = offline_confidence + live_confidence
+    return F.when(total > 0, (offline * offline_confidence + live * live_confidence) / total).otherwise(offline)
+
+
+#: S3: ways to fuse two values, by name; a caller may add its own.
+FUSIONS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {"latest": _latest, "weighted": _by_age, "confidence": _by_confidence}
 
 
 def freshness(long: DataFrame, now_s: int) -> DataFrame:

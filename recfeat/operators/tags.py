@@ -31,16 +31,71 @@ def auto_tag(items: DataFrame, tags: DataFrame) -> DataFrame:
     return items.join(F.broadcast(tags), rule).select("item_id", "tag", "dimension").distinct()
 
 
-def closure(tags: DataFrame, depth: int = 3) -> DataFrame:
-    """(tag, ancestor, distance) up to ``depth`` levels."""
+def closure(tags: DataFrame) -> DataFrame:
+    """(tag, ancestor, distance) over all levels.  The dictionary is small by nature; a tag that is its own ancestor
+    is a mistake in it and raises."""
     step = tags.select("tag", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).filter("ancestor is not null")
-    out, at = step, step
-    for d in range(2, depth + 1):
-        at = at.join(tags.select(F.col("tag").alias("ancestor"), "parent"), "ancestor").filter("parent is not null").select("tag", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.unionByName(at)
+    parents = tags.select(F.col("tag").alias("ancestor"), "parent").filter("parent is not null")
+    out, at, depth = step, step, 1
+    while not (at := at.join(parents, "ancestor").select("tag", F.col("parent").alias("ancestor"), F.lit(depth + 1).alias("distance"))).isEmpty():
+        if not at.filter("tag = ancestor").isEmpty():
+            raise ValueError("a tag is its own ancestor")
+        out, depth = out.unionByName(at), depth + 1
     return out
 
 
+def related(tags: DataFrame) -> DataFrame:
+    """(tag, other): the siblings and the children of a tag."""
+    own = tags.filter("parent is not null")
+    siblings = own.select("tag", "parent").join(own.select(F.col("tag").alias("other"), "parent"), "parent").filter("tag <> other").select("tag", "other")
+    return siblings.union(own.select(F.col("parent").alias("tag"), F.col("tag").alias("other"))).distinct()
+
+
+def with_related(interest: DataFrame, propagated: DataFrame, relations: DataFrame, part: float = 0.02) -> DataFrame:
+    """``propagated`` (user_id, tag, interest) plus ``part`` of each interest for its siblings and children that the
+    user's profile holds already."""
+    more = interest.join(F.broadcast(relations), "tag").select("user_id", F.col("other").alias("tag"), (part * F.col("interest")).alias("more"))
+    more = more.groupBy("user_id", "tag").agg(F.sum("more").alias("more"))
+    return propagated.join(more, ["user_id", "tag"], "left").select("user_id", "tag", F.round(F.col("interest") + F.coalesce("more", F.lit(0.0)), 3).alias("interest"))
+
+
+def implied_tags(item_tags: DataFrame, tree: DataFrame) -> DataFrame:
+    """(item_id, tag) that follow from an item's tags by the hierarchy and that it lacks."""
+    up = item_tags.join(F.broadcast(tree), "tag").select("item_id", F.col("ancestor").alias("tag")).distinct()
+    return up.join(item_tags.select("item_id", "tag"), ["item_id", "tag"], "left_anti")
+
+
+def missing_dependencies(item_tags: DataFrame, tree: DataFrame, requires: DataFrame) -> DataFrame:
+    """(item_id, tag, needs): tags that ask for another one, (tag, needs), which the item has neither itself nor by
+    the hierarchy."""
+    held = item_tags.select("item_id", "tag").union(item_tags.join(F.broadcast(tree), "tag").select("item_id", "ancestor"))
+    asked = item_tags.select("item_id", "tag").join(F.broadcast(requires), "tag")
+    return asked.join(held.toDF("item_id", "needs").distinct(), ["item_id", "needs"], "left_anti").select("item_id", "tag", "needs")
+
+
+def keyword_tags(items: DataFrame, templates: DataFrame) -> DataFrame:
+    """K2: (item_id, tag, confidence, source): keywords of ``templates`` (tag, own) found in title or category, .8 for tags
+    of the item's own kind and .6 for common ones, and rule tags by price (.9) and model (.95)."""
+    text = F.lower(F.concat_ws(" ", "title", "category"))
+    found = items.join(F.broadcast(templates), text.contains(F.replace("tag", F.lit("_"), F.lit(" "))) | text.contains(F.col("tag")))
+    found = found.select("item_id", "tag", F.when(F.col("own"), 0.8).otherwise(0.6).alias("confidence"), F.lit("keyword").alias("source"))
+    price = F.when(F.col("price") > 1500, F.array(F.lit("premium"), F.lit("high_end"))).when(F.col("price") > 500, F.array(F.lit("mid_range"))).otherwise(F.array(F.lit("budget")))
+    rules = items.select("item_id", F.explode(price).alias("tag"), F.lit(0.9).alias("confidence"), F.lit("rule").alias("source"))
+    model = items.filter(text.contains("anodized")).select("item_id", F.lit("professional").alias("tag"), F.lit(0.95).alias("confidence"), F.lit("rule").alias("source"))
+    return found.unionByName(rules).unionByName(model)
+
+
+def top_interests(interest: DataFrame, context: DataFrame, k: int = 20, least: float = 0.01) -> DataFrame:
+    """The ``k`` strongest interests of a user after the boosts of ``context`` (user_id, tag, recent, engagement,
+    categories, purchases): 1.5 for a recent interaction, 1.3 for engagement above .8, 1.2 for several categories and
+    .1 for each purchase up to .5."""
+    boost = F.when(F.col("recent"), 1.5).otherwise(1.0) * F.when(F.col("engagement") > 0.8, 1.3).otherwise(1.0) * F.when(F.col("categories") > 1, 1.2).otherwise(1.0)
+    boost = boost * (1 + F.least(0.1 * F.col("purchases"), F.lit(0.5)))
+    out = interest.join(context, ["user_id", "tag"]).withColumn("score", F.round(F.col("interest") * boost, 6)).filter(F.col("score") >= least)
+    w = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("tag"))
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("user_id", "tag", "score", "rank")
+
+
 def cooccurrence(item_tags: DataFrame) -> DataFrame:
     """K9: items by ordered tag pair."""
     a, b = item_tags.select("item_id", F.col("tag").alias("tag1")), item_tags.select("item_id", F.col("tag").alias("tag2"))

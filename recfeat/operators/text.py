@@ -41,3 +41,19 @@ def class_distribution(scored: DataFrame) -> DataFrame:
     out = scored.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     value = F.when(F.col("class") == "very_positive", 1.0).when(F.col("class") == "positive", 0.5).when(F.col("class") == "neutral", 0.0).when(F.col("class") == "negative", -0.5).otherwise(-1.0)
     return out.select("class", "n", (F.col("n") / F.sum("n").over(whole)).alias("share"), (F.sum(F.col("n") * value).over(whole) / F.sum("n").over(whole)).alias("overall"))
+
+
+def upgraded_class(score: Column, rating: Column) -> Column:
+    """M3: the text's class; a neutral text takes the class of its rating, where there is one."""
+    rated = F.when(rating >= 4.5, "very_positive").when(rating >= 3.5, "positive").when(rating >= 2.5, "neutral").when(rating >= 1.5, "negative").otherwise("very_negative")
+    return F.when((score == 0) & rating.isNotNull(), rated).otherwise(sentiment_class(score))
+
+
+def explicit_feedback(events: DataFrame, by: str) -> DataFrame:
+    """M5: ratings (count, mean, deviation, distribution) and likes of events (``by``, rating, liked), nulls for none."""
+    likes, dislikes, some = F.count(F.when(F.col("liked"), 1)), F.count(F.when(~F.col("liked"), 1)), F.count("liked")
+    return events.groupBy(by).agg(
+        F.count("rating").alias("ratings"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.stddev_pop("rating"), 6).alias("std_rating"),
+        *[F.count(F.when(F.col("rating") == i, 1)).alias(f"rated_{i}") for i in range(1, 6)], likes.alias("likes"), dislikes.alias("dislikes"),
+        F.round(likes / F.greatest(some, F.lit(1)), 6).alias("like_ratio"), F.round(some / F.count(F.lit(1)), 6).alias("engagement_ratio"),
+    )

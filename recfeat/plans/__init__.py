@@ -1,3 +1,3 @@
 """Plans: the library's operators as queries over the given tables."""
 
-from recfeat.plans import extra, features, final, metrics, models, more, profiles, recall, streams  # noqa: F401
+from recfeat.plans import extra, features, final, interests, metrics, models, more, profiles, recall, samples, streams  # noqa: F401

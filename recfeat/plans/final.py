@@ -34,28 +34,13 @@ def h6(spark, sf):
     return m.select("user_id", F.try_element_at("m", F.lit("view")).alias("views"), F.size("m").cast("long").alias("kinds"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"))
 
 
-@register("J12_fine_score", SQL_INTERACTIONS + """, l as (select user_id, item_id, category_id, row_number() over (partition by user_id order by ts desc, event_id desc) rn from interactions), f as (select user_id, item_id, min(rn) pos from l where rn <= 50 group by 1, 2),
-s as (select user_id, category_id, count(*) / 10 share from l where rn <= 10 group by 1, 2), p as (select item_id, count(*) / 1000 pop from interactions group by 1)
-select f.user_id, f.item_id, round(0.2::double * -(1 - (pos - 1) / 50) + 0.2::double * coalesce(share, 0) + 0.1::double * pop, 6) score from f left join s on s.user_id = f.user_id and s.category_id = f.item_id % 10 join p on p.item_id = f.item_id""")
-def j12(spark, sf):
-    it = views.interactions(spark, sf)
-    rn = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    late = it.withColumn("rn", rn).filter("rn <= 50")
-    first = late.groupBy("user_id", "item_id").agg(F.min("rn").alias("pos"))
-    share = late.filter("rn <= 10").groupBy("user_id", "category_id").agg((F.count(F.lit(1)) / 10).alias("share"))
-    pop = it.groupBy("item_id").agg((F.count(F.lit(1)) / 1000).alias("pop"))
-    x = first.withColumn("category_id", F.col("item_id") % 10).join(share, ["user_id", "category_id"], "left").join(pop, "item_id")
-    score = R.score_parts(F.col("pos") - 1, F.lit(50), F.coalesce("share", F.lit(0.0)), F.col("pop"), F.lit(0.0))
-    return x.select("user_id", "item_id", r6(score).alias("score"))
-
-
 @register("K5_tag_scores", _ITEM_TAGS + " select item_id, round(avg(case dimension when 'material' then 1.2 when 'finish' then 1.1 else 1.0 end::double), 6) score from item_tags group by 1")
 def k5(spark, sf):
     weight = F.when(F.col("dimension") == "material", 1.2).when(F.col("dimension") == "finish", 1.1).otherwise(1.0)
     return _item_tags(spark, sf).groupBy("item_id").agg(r6(F.avg(weight)).alias("score"))
 
 
-@register("K8_user_item_tag_similarity", _USER_TAGS + """, u as (select user_id, tag, count(*)::double w from interactions join item_tags using (item_id) group by 1, 2), un as (select user_id, sqrt(sum(w * w)) n from u group by 1), i as (select item_id, sqrt(count(*)) n from item_tags where item_id < 60 group by 1)
+@register("K8_user_item_tag_similarity", _USER_TAGS + """, u as (select user_id, tag, count(*)::double w from interactions join item_tags using (item_id) group by 1, 2), un as (select user_id, sqrt(sum(w * w)) n from u group by 1), i as (select item_id, sqrt(count(*)) n from item_tags group by 1)
 select u.user_id, t.item_id, round(sum(u.w) / (any_value(un.n) * any_value(i.n)), 6) similarity from u join item_tags t using (tag) join un on un.user_id = u.user_id join i on i.item_id = t.item_id group by 1, 2""")
 def k8(spark, sf):
     tags = _item_tags(spark, sf).select("item_id", "tag")
@@ -93,15 +78,6 @@ def l32(spark, sf):
     return recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"), r6(F.countDistinct(F.col("item_id") % 7) / 7).alias("brand_diversity"))
 
 
-@register("M3_rating_classes", "with r as (select event_id, 1 + (event_id % 5) rating from events) select rating::bigint rating, case when rating >= 4.5 then 'very_positive' when rating >= 3.5 then 'positive' when rating >= 2.5 then 'neutral' when rating >= 1.5 then 'negative' else 'very_negative' end as class, count(*) n from r group by 1, 2")
-def m3(spark, sf):
-    rating = (1 + F.col("event_id") % 5).cast("long")
-    r = views.table(spark, sf, "events").select(rating.alias("rating"))
-    c = F.col("rating")
-    cls = F.when(c >= 4.5, "very_positive").when(c >= 3.5, "positive").when(c >= 2.5, "neutral").when(c >= 1.5, "negative").otherwise("very_negative")
-    return r.groupBy("rating", cls.alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("M6_comment_buckets", _SENT + ", c as (select case when length(s.w::varchar) >= 0 and d.n_chars < 500 then 'short' when d.n_chars < 2000 then 'medium' else 'long' end size, score from s join documents d using (doc_id)) select size, count(*) n, count(*) filter (where abs(score) >= 0.1) clear, round(avg(score), 6) score from c group by 1")
 def m6(spark, sf):
     size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long")
@@ -145,15 +121,3 @@ def q5(spark, sf):
     return rounded(_watches(spark, sf).groupBy("video_id").agg(
         F.avg((F.col("watched") >= 0.95 * F.col("length")).cast("int")).alias("completion"), (1 - F.avg((F.col("watched") < 0.1 * F.col("length")).cast("int"))).alias("not_skipped"), F.avg(F.least(F.lit(1.0), share)).alias("watch_ratio"),
     ))
-
-
-@register("R6_training_samples", SQL_INTERACTIONS + """, w as (select event_id, user_id, item_id, (action in ('purchase', 'like'))::int label, hour(ts)::int as hour, count(*) filter (where action = 'click') over u clicks_1d, count(event_id) over u events_1d, count(event_id) over i item_events_1d from interactions
-  window u as (partition by user_id order by epoch_us(ts) range between 86400000000 preceding and 1 preceding), i as (partition by item_id order by epoch_us(ts) range between 86400000000 preceding and 1 preceding)) select * from w""")
-def r6_samples(spark, sf):
-    it = views.interactions(spark, sf).withColumn("us", F.unix_micros("ts"))
-    day = 86_400_000_000
-    u, i = (W.partitionBy(k).orderBy("us").rangeBetween(-day, -1) for k in ("user_id", "item_id"))
-    return it.select(
-        "event_id", "user_id", "item_id", F.col("action").isin("purchase", "like").cast("int").alias("label"), F.hour("ts").alias("hour"),
-        F.count(F.when(F.col("action") == "click", 1)).over(u).alias("clicks_1d"), F.count("event_id").over(u).alias("events_1d"), F.count("event_id").over(i).alias("item_events_1d"),
-    )

@@ -121,8 +121,11 @@ def l18(spark, sf):
 
 @register("L19_welch_test", SQL_INTERACTIONS + f""", g as (select {_BUCKET} grp, avg(price) m, var_pop(price) v, count(*)::double n from interactions where action = 'purchase' group by 1),
 a as (select max(m) filter (where grp = 0) m1, max(v) filter (where grp = 0) v1, max(n) filter (where grp = 0) n1, max(m) filter (where grp = 1) m2, max(v) filter (where grp = 1) v2, max(n) filter (where grp = 1) n2 from g),
-b as (select *, v1 / (n1 - 1) a, v2 / (n2 - 1) b from a), d as (select *, (m2 - m1) / sqrt(a + b) z from b), e as (select *, 1 / (1 + 0.3275911::double * abs(z) / sqrt(2.0::double)) t from d)
-select round(z, 5) t, round((a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)), 3) df, round(2 * (1 - 0.5::double * (1 + {_CDF})), 5) p_value, round((m2 - m1) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 5) cohens_d from e""")
+b as (select *, v1 / (n1 - 1) a, v2 / (n2 - 1) b from a), d as (select *, (m2 - m1) / sqrt(a + b) z from b), e as (select *, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) df from d),
+h as (select *, abs(z) / 2000 step, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) c from e),
+i as (select any_value(h) h, sum(case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end * pow(1 + pow(k * step, 2) / df, -(df + 1) / 2)) * any_value(step) / 3 * any_value(c) half from h, range(2001) r(k)),
+f as (select h.*, half from i)
+select round(z, 5) t, round(df, 3) df, round(1 - 2 * half, 5) p_value, round((m2 - m1) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 5) cohens_d from f""")
 def l19(spark, sf):
     it = views.interactions(spark, sf).filter("action = 'purchase'").withColumn("grp", X.hash_bucket(F.col("user_id"), 2))
     of = lambda f, g: f(F.when(F.col("grp") == g, F.col("price")))

@@ -31,7 +31,7 @@ def p6(spark, sf):
     return M.importance(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
 
 
-@register("R10_fm_pairs", """with g as (select label, list(embedding::double[] order by vec_id) e from embeddings where vec_id < 50 group by 1), d as (select label, e, unnest(range(1, len(e[1]) + 1)) i from g),
+@register("R10_fm_pairs", """with g as (select label, list(embedding::double[] order by vec_id) e from embeddings group by 1), d as (select label, e, unnest(range(1, len(e[1]) + 1)) i from g),
 s as (select label, list_sum(list_transform(e, lambda v: v[i])) a, list_sum(list_transform(e, lambda v: v[i] * v[i])) b from d) select label, round(sum(0.5::double * (a * a - b)), 4) pairs from s group by 1""")
 def r10(spark, sf):
     e = views.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "e"))

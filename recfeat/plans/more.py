@@ -212,22 +212,6 @@ _EDGE = f"""s as (select lag(item_id) over (partition by user_id order by ts, ev
 e as (select src, dst, sum(w) w from s where src is not null and src <> dst group by 1, 2), f as (select src, dst, w, round(w / sum(w) over (partition by src), 6) weight from e)"""
 
 
-@register("J5_graph_recall", SQL_INTERACTIONS + f", {_H}, {_EDGE}, g as (select user_id, dst item_id, round(sum(weight), 6) score from h join f on h.item_id = f.src where f.w > 0 group by 1, 2), k as (select g.* from g where not exists (select 1 from h where h.user_id = g.user_id and h.item_id = g.item_id)) select *, row_number() over (partition by user_id order by score desc, item_id) rank from k qualify row_number() over (partition by user_id order by score desc, item_id) <= 10")
-def j5(spark, sf):
-    it = views.interactions(spark, sf)
-    history = it.filter(F.col("ts") >= F.lit("2024-01-28").cast("timestamp")).select("user_id", "item_id").distinct()
-    return R.graph_recall(history, R.attention_edges(it, AS_OF), 10)
-
-
-@register("J14_funnel", SQL_INTERACTIONS + f""", c as (select user_id, item_id, sum({_weight('profile')}) score, avg(price) p from interactions group by 1, 2), r as (select * from c qualify row_number() over (partition by user_id order by score desc, item_id) <= 40),
-k as (select *, 0.3::double * score + 0.7::double * p / 500 coarse from r), l as (select *, row_number() over (partition by user_id order by coarse desc, item_id) cr from k), m as (select *, row_number() over (partition by user_id order by case when cr <= 20 then coarse + score end desc nulls last, item_id) fr from l)
-select user_id, item_id, case when cr <= 20 and fr <= 5 then 'display' when cr <= 20 and fr <= 10 then 'fine' when cr <= 20 then 'coarse' else 'recall' end stage from m""")
-def j14(spark, sf):
-    c = views.interactions(spark, sf).groupBy("user_id", "item_id").agg(F.sum(X.action_weight(F.col("action"), "profile")).alias("score"), F.avg("price").alias("p"))
-    out = K.funnel(c, 0.3 * F.col("score") + 0.7 * F.col("p") / 500, F.col("coarse") + F.col("score"), {"recall": 40, "coarse": 20, "fine": 10, "display": 5})
-    return out.select("user_id", "item_id", "stage")
-
-
 @register("J18_click_rules", SQL_INTERACTIONS + """ select event_id, round(least(1.0::double, greatest(0.0::double, 0.05::double + case when user_id % 60 < 25 then 0.1 else 0 end::double + case when user_id % 60 > 50 then -0.05 else 0 end::double + case when category_id = user_id % 10 then 0.3 else 0 end::double + case when brand_id = user_id % 7 then 0.2 else 0 end::double
   + case when price between 200 and 1000 then 0.075 else 0 end::double + case when hour(ts) between 18 and 22 then 0.05 else 0 end::double + case when platform = 'Mobile' then -0.02 else 0 end::double)), 6) score from interactions""")
 def j18(spark, sf):
@@ -308,16 +292,6 @@ def l31(spark, sf):
     return w.select("channel", r6(F.col("w") / F.sum("w").over(whole)).alias("weight"))
 
 
-@register("M11_sentiment_trend", _SENT + ", b as (select doc_id // 50 h, avg(score) y from s group by 1), i as (select row_number() over (order by h) - 1 x, y from b) select count(*) buckets, round(regr_slope(y, x), 6) slope from i")
-def m11(spark, sf):
-    b = views.table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("h")).agg(F.avg(M.sentiment(F.col("text"))).alias("y"))
-    b = b.withColumn("run", F.floor(F.col("h") / 4096))  # buckets are numbered in runs, each after the buckets of the runs before
-    runs = b.groupBy(F.col("run").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    starts = runs.select("r", (F.sum("n").over(W.orderBy("r")) - F.col("n")).alias("start"))
-    i = b.join(F.broadcast(starts), F.col("run").eqNullSafe(F.col("r"))).select((F.col("start") + F.row_number().over(W.partitionBy("run").orderBy("h")) - 1).alias("x"), "y")
-    return i.agg(F.count(F.lit(1)).alias("buckets"), r6(F.regr_slope("y", "x")).alias("slope"))
-
-
 @register("N4_feature_set", SQL_INTERACTIONS + f" select user_id, {_n('view')} as view, {_n('purchase')} purchase from interactions group by 1")
 def n4(spark, sf):
     long = views.interactions(spark, sf).groupBy("user_id", "action").agg(F.count(F.lit(1)).alias("n"))

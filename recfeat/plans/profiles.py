@@ -73,13 +73,6 @@ def k17(spark, sf):
     return T.decayed_interest(views.interactions(spark, sf), _item_tags(spark, sf), AS_OF)
 
 
-@register("K18_interest_with_parents", _INTEREST + """, up as (select user_id, tag, interest from r union all select user_id, d.parent, interest * 0.5::double from r join dict d using (tag) where d.parent is not null)
-select user_id, tag, round(sum(interest), 3) interest from up group by 1, 2""")
-def k18(spark, sf):
-    interest = T.decayed_interest(views.interactions(spark, sf), _item_tags(spark, sf), AS_OF)
-    return T.with_ancestors(interest, T.closure(T.dictionary(spark)))
-
-
 _TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '')"
 
 
@@ -152,12 +145,6 @@ def n3(spark, sf):
     return S.latest(S.to_long(_user_features(spark, sf), "user_id", "at", "offline"), registry, S.epoch(AS_OF))
 
 
-@register("N5_fusion", _UF + f", a as (select *, epoch_us({SQL_AS_OF}) / 1e6 - at_s age from u) select user_id, round((events * exp(-age / 3600) + purchases * exp(-(age / 2) / 300)) / (exp(-age / 3600) + exp(-(age / 2) / 300)), 6) fused from a where age < 7200")
-def n5(spark, sf):
-    u = _user_features(spark, sf).withColumn("age", F.lit(float(S.epoch(AS_OF))) - F.col("at")).filter("age < 7200")
-    return u.select("user_id", F.round(S.fuse(F.col("events"), F.col("age"), F.col("purchases"), F.col("age") / 2, "weighted"), 6).alias("fused"))
-
-
 @register("N8_freshness", _UF + f", a as (select epoch_us({SQL_AS_OF}) // 1000000 - at_s age from l) select 'offline' source, case when age < 300 then 'under_5m' when age < 3600 then 'under_1h' when age < 86400 then 'under_1d' else 'older' end age_class, count(*) n from a group by 2")
 def n8(spark, sf):
     return S.freshness(S.to_long(_user_features(spark, sf), "user_id", "at", "offline", ["events", "purchases"]), S.epoch(AS_OF))

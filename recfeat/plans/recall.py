@@ -211,17 +211,6 @@ def c9(spark, sf):
     return R.as_of_join(it.select("event_id", "user_id", F.unix_seconds("ts").alias("s")), w, "user_id", "s", "end_s", "window_events").drop("s")
 
 
-@register("C8_window_range_join", SQL_INTERACTIONS + """, w as (select item_id, epoch_us(time_bucket(interval 10 minutes, ts)) start_us, count(*) n from interactions group by 1, 2)
-select event_id, i.item_id, w.n window_n from interactions i join w on i.item_id = w.item_id and epoch_us(ts) >= start_us and epoch_us(ts) < start_us + 600000000""")
-def c8(spark, sf):
-    it = views.interactions(spark, sf)
-    start = F.unix_seconds(F.window("ts", "10 minutes").start)
-    w = windows.item_tumbling(it)
-    events = it.withColumn("start_s", start).select("event_id", "item_id", "start_s")
-    n = it.withColumn("start_s", start).groupBy("item_id", "start_s").agg(F.count(F.lit(1)).alias("window_n"))
-    return events.join(n.join(w.select("item_id", "start_s"), ["item_id", "start_s"]), ["item_id", "start_s"]).select("event_id", "item_id", "window_n")
-
-
 @register("C10_point_in_time", SQL_INTERACTIONS + """, s as (select event_id, user_id, epoch_us(ts) t from interactions where action = 'purchase'), h as (select user_id, epoch_us(ts) t, price from interactions)
 select s.event_id, """ + ", ".join(f"count(h.t) filter (where h.t >= s.t - {w}::bigint * 1000000) n_{n}" for n, w in (("1h", 3600), ("6h", 21_600), ("1d", 86_400), ("7d", 604_800))) + """ from s left join h on s.user_id = h.user_id and h.t < s.t and h.t >= s.t - 604800000000 group by 1""")
 def c10(spark, sf):

@@ -84,3 +84,11 @@ def ab_hourly(df: DataFrame, watermark: str | None = "5 seconds") -> DataFrame:
     return _span(late(df, watermark).withColumn("grp", hash_bucket(F.col("user_id"), 2)).groupBy(F.window("ts", "1 hour"), "grp").agg(
         F.count(F.lit(1)).alias("events"), sd(c, _n("view")).alias("ctr"), sd(p, c).alias("cvr"), F.avg("price").alias("avg_value"),
     ))
+
+
+def with_dimension(events: DataFrame, dimension: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """C11, A5: events, batch or stream, with the columns of a lookup table; events without a row there stay.
+
+    The table is read anew in each micro-batch; it is broadcast up to ``most`` rows, else both sides are shuffled."""
+    small = dimension.limit(most + 1).count() <= most
+    return events.join(F.broadcast(dimension) if small else dimension, key, "left")

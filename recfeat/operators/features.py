@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import action_weight, count_if, p1, r6, sd, seconds_between
+from recfeat.operators.quantiles import with_quantiles
 
 #: Seconds of the named windows.
 WINDOWS = {"1h": 3600, "6h": 21_600, "1d": 86_400, "3d": 259_200, "7d": 604_800, "14d": 1_209_600, "30d": 2_592_000}
@@ -207,11 +208,12 @@ def session_stats(interactions: DataFrame, least_events: int = 2) -> DataFrame:
 def session_summary(sessions: DataFrame) -> DataFrame:
     """Totals and the duration histogram of D12."""
     d = F.col("duration")
-    return sessions.agg(
-        F.count(F.lit(1)).alias("sessions"), F.avg("duration").alias("mean_duration"), F.percentile("duration", F.lit(0.5)).alias("median_duration"), F.avg("events").alias("events_per_session"),
+    out = sessions.agg(
+        F.count(F.lit(1)).alias("sessions"), F.avg("duration").alias("mean_duration"), F.avg("events").alias("events_per_session"),
         F.avg("items").alias("items_per_session"), F.avg("converted").alias("conversion"), F.avg((F.col("engagement") > 5).cast("int")).alias("high_engagement"),
         count_if(d < 60).alias("under_1m"), count_if((d >= 60) & (d < 300)).alias("under_5m"), count_if((d >= 300) & (d < 900)).alias("under_15m"), count_if(d >= 900).alias("longer"),
     )
+    return with_quantiles(out, sessions, d, (0.5,)).withColumn("median_duration", F.get("q", F.lit(0))).drop("q")
 
 
 def gaps(interactions: DataFrame) -> DataFrame:
@@ -224,9 +226,10 @@ def dwell_distribution(dwell: DataFrame, column: str = "dwell") -> DataFrame:
     """Mean, interpolated percentiles, population deviation, depth classes and score."""
     d = F.col(column)
     out = dwell.filter(d.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.percentile(d, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.9, 0.95)])).alias("p"), F.stddev_pop(d).alias("std"),
+        F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"),
         count_if(d < 5).alias("bounce"), count_if((d >= 5) & (d < 30)).alias("brief"), count_if((d >= 30) & (d < 120)).alias("engaged"), count_if(d >= 120).alias("deep"),
     )
+    out = with_quantiles(out, dwell, d, (0.25, 0.5, 0.75, 0.9, 0.95), "p")
     score = sd(0.3 * F.col("brief") + 0.7 * F.col("engaged") + F.col("deep"), F.col("n"))
     return out.select("n", "mean", *[F.get("p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((25, 50, 75, 90, 95))], "std", "bounce", "brief", "engaged", "deep", score.alias("score"))
 

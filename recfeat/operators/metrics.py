@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import count_if, m1, normal_cdf, sd
+from recfeat.operators.quantiles import quantiles
 
 
 def ranking_metrics(recs: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
@@ -143,8 +144,8 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
         long = long.unionByName(p)
     stats = long.groupBy("column").agg(
         F.count("x").alias("n"), count_if(F.col("x").isNull()).alias("nulls"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-    )
+        F.min("x").alias("min"), F.max("x").alias("max"),
+    ).join(quantiles(long, F.col("x"), (0.25, 0.5, 0.75), ("column",)), "column", "left")
     n = F.col("n").cast("double")
     stats = stats.select(
         "column", "n", "nulls", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"), "max",

@@ -10,6 +10,7 @@ from recfeat.functions import exprs as X
 from recfeat.functions.exprs import count_if, r6, sd
 from recfeat.operators import features as O
 from recfeat.operators import metrics as M
+from recfeat.operators.quantiles import quantiles, with_quantiles
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _DWELL, _n, _weight, rounded
 from recfeat.views import AS_OF, SQL_AS_OF, SQL_INTERACTIONS, SQL_PURCHASES, SQL_SESSIONS
@@ -165,9 +166,10 @@ select count(*) requests, round(avg(latency), 6) mean, round(quantile_cont(laten
 def l26(spark, sf):
     r = views.table(spark, sf, "events").select(F.col("value").alias("x"), (F.col("event_type") == "error").alias("failed"), F.col("ts").cast("timestamp").alias("ts"))
     a = r.agg(
-        F.count(F.lit(1)).alias("requests"), F.avg("x").alias("mean"), F.percentile("x", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("x").alias("max"), F.stddev_pop("x").alias("std"),
+        F.count(F.lit(1)).alias("requests"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.stddev_pop("x").alias("std"),
         F.avg((~F.col("failed")).cast("int")).alias("success_rate"), ((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6).alias("span"),
     )
+    a = with_quantiles(a, r, F.col("x"), (0.5, 0.95, 0.99), "p")
     p = [F.get("p", F.lit(i)) for i in range(3)]
     grade = F.when(p[1] < 100, "A").when(p[1] < 300, "B").when(p[1] < 500, "C").otherwise("D")
     return rounded(a.select("requests", "mean", p[0].alias("p50"), p[1].alias("p95"), p[2].alias("p99"), "max", "std", "success_rate", (F.col("requests") / F.col("span")).alias("per_second"), grade.alias("grade")))
@@ -202,7 +204,8 @@ c as (select customer_id, n / greatest(n_days / 30, 1) freq, spent / greatest(n,
 def d20(spark, sf):
     u = views.purchases(spark, sf).groupBy("customer_id").agg(F.countDistinct("order_id").alias("n"), F.sum("amount").alias("spent"), F.greatest(F.lit(1), F.datediff(F.max("ts"), F.min("ts"))).alias("days"))
     clv = (F.col("spent") / F.greatest("n", F.lit(1))) * (F.col("n") / F.greatest(F.col("days") / 30, F.lit(1.0))) * F.least(F.col("days") / 30 * 2, F.lit(24.0))
-    q = u.withColumn("clv", clv).agg(F.count(F.lit(1)).alias("customers"), F.avg("clv").alias("mean"), F.percentile("clv", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)])).alias("p"))
+    u = u.withColumn("clv", clv)
+    q = with_quantiles(u.agg(F.count(F.lit(1)).alias("customers"), F.avg("clv").alias("mean")), u, F.col("clv"), (0.25, 0.5, 0.75, 0.9), "p")
     return rounded(q.select("customers", "mean", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75", "p90"))]), 2)
 
 
@@ -210,7 +213,7 @@ def d20(spark, sf):
 select count(*) orders, round(sum(a), 2) revenue, round(avg(a), 2) aov, round(any_value(p80), 2) p80, round(sum(a) filter (where a >= p80) / sum(a), 6) high_value_share, round((sum(a) - 0.001::double * 1000000) / greatest(0.001::double * 1000000, 1) * 100, 2) roi from t, q""")
 def d21(spark, sf):
     t = views.purchases(spark, sf).groupBy("order_id").agg(F.sum("amount").alias("a"))
-    q = t.agg(F.percentile("a", F.lit(0.8)).alias("p80"))
+    q = quantiles(t, F.col("a"), (0.8,)).select(F.get("q", F.lit(0)).alias("p80"))
     out = t.crossJoin(F.broadcast(q)).agg(  # one row broadcast
         F.count(F.lit(1)).alias("orders"), F.sum("a").alias("revenue"), F.avg("a").alias("aov"), F.max("p80").alias("p80"), (F.sum(F.when(F.col("a") >= F.col("p80"), F.col("a"))) / F.sum("a")).alias("high_value_share"),
     )

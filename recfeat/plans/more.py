@@ -12,6 +12,7 @@ from recfeat.operators import features as O
 from recfeat.operators import ranking as K
 from recfeat.operators import recall as R
 from recfeat.operators import text as M
+from recfeat.operators.quantiles import quantiles
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _DWELL, _n, _weight, rounded
 from recfeat.plans.metrics import _RATE_COLS, _RATES, _RECS, _recs
@@ -149,7 +150,7 @@ def d28(spark, sf):
 @register("E8_above_p80", SQL_INTERACTIONS + ", c as (select item_id, count(*) n from interactions group by 1) select item_id, n from c where n >= (select quantile_cont(n, 0.8) from c)")
 def e8(spark, sf):
     c = views.interactions(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    q = c.agg(F.percentile("n", F.lit(0.8)).alias("q"))
+    q = quantiles(c, F.col("n"), (0.8,)).select(F.get("q", F.lit(0)).alias("q"))
     return c.join(F.broadcast(q), F.col("n") >= F.col("q")).select("item_id", "n")  # one row broadcast
 
 
@@ -377,6 +378,6 @@ def d16(spark, sf):
 @register("P3_outliers", "with q as (select quantile_cont(l_extendedprice, 0.25) a, quantile_cont(l_extendedprice, 0.75) b from lineitem) select count(*) n, count(*) filter (where l_extendedprice < a - 1.5 * (b - a) or l_extendedprice > b + 1.5 * (b - a)) outliers from lineitem, q")
 def p3(spark, sf):
     li = views.table(spark, sf, "lineitem")
-    q = li.agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
+    q = quantiles(li, F.col("l_extendedprice"), (0.25, 0.75)).select(F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
     x, reach = F.col("l_extendedprice"), 1.5 * (F.col("b") - F.col("a"))
     return li.crossJoin(F.broadcast(q)).agg(F.count(F.lit(1)).alias("n"), count_if((x < F.col("a") - reach) | (x > F.col("b") + reach)).alias("outliers"))  # one row broadcast

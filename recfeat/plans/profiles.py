@@ -11,6 +11,7 @@ from recfeat.operators import features as O
 from recfeat.operators import store as S
 from recfeat.operators import tags as T
 from recfeat.operators import text as M
+from recfeat.operators.quantiles import with_quantiles
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _n, _weight, rounded
 from recfeat.views import AS_OF, SQL_AS_OF, SQL_INTERACTIONS
@@ -114,8 +115,8 @@ def m8(spark, sf):
 @register("M9_comment_quality", """with c as (select length(coalesce(text, '')) n from conversations) select count(*) comments, round(avg(n), 6) mean_length, round(quantile_cont(n, 0.5), 6) median_length, round(avg((n > 100)::int), 6) detailed, round(var_pop(n), 4) variance from c""")
 def m9(spark, sf):
     c = views.table(spark, sf, "conversations").select(F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    out = c.agg(F.count(F.lit(1)).alias("comments"), F.avg("n").alias("mean_length"), F.percentile("n", F.lit(0.5)).alias("median_length"), F.avg((F.col("n") > 100).cast("int")).alias("detailed"), F.round(F.var_pop("n"), 4).alias("variance"))
-    return rounded(out)
+    out = c.agg(F.count(F.lit(1)).alias("comments"), F.avg("n").alias("mean_length"), F.avg((F.col("n") > 100).cast("int")).alias("detailed"), F.round(F.var_pop("n"), 4).alias("variance"))
+    return rounded(with_quantiles(out, c, F.col("n"), (0.5,)).withColumn("median_length", F.get("q", F.lit(0))).drop("q"))
 
 
 @register("M10_topics", _SENT + """, tp as (select * from (values """ + ", ".join(f"('{a}', '{b}')" for a, b in M.TOPICS) + """) t(topic, word)), h as (select distinct doc_id, score, topic from s, tp where list_contains(w, word))

@@ -138,3 +138,24 @@ def test_late_and_repeated_events(spark, tmp_path):
     df.write.parquet(source)
     out = _run(windows.dedup(spark.readStream.schema(df.schema).parquet(source)), tmp_path, "t_dedup")
     assert sorted(r.event_id for r in out.collect()) == [1, 2] and windows.dedup(df).count() == 2
+
+
+def test_exact_quantiles(spark):
+    """Against the interpolated percentile of each group, with ties, single values and nulls."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from recfeat.operators.quantiles import quantiles, with_quantiles
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0, 3.0], [900, 5, 95]), "c": np.array([7.0]), "d": rng.integers(0, 40, 500).astype(float)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    p = (0.0, 0.25, 0.5, 0.9, 0.999, 1.0)
+    got = {r.k: r.q for r in quantiles(df, F.col("x"), p, ("k",)).collect()}
+    assert set(got) == set(groups) and all(np.allclose(got[k], np.quantile(v, p)) for k, v in groups.items())
+    whole = quantiles(df, F.col("x"), p).collect()
+    assert len(whole) == 1 and np.allclose(whole[0].q, np.quantile(np.concatenate(list(groups.values())), p))
+    assert quantiles(df.limit(0), F.col("x"), p).count() == 0
+    one = with_quantiles(df.limit(0).agg(F.count("x").alias("n")), df.limit(0), F.col("x"), p).collect()
+    assert len(one) == 1 and one[0].n == 0 and one[0].q is None

@@ -14,7 +14,7 @@ def r5(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     rows = M.training_rows(views.interactions(spark, sf))
-    model = M.ctr_model(rows.filter(F.col("ts") < F.lit("2024-01-25").cast("timestamp")))
+    model = M.ctr_model(rows.filter(F.col("ts") < F.lit("2024-01-25").cast("timestamp")), "fm")
     scored = model.transform(rows.filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp")))
     return scored.select("event_id", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 

@@ -62,3 +62,19 @@ def importance(df: DataFrame, features: list[str], target: str, bins: int = 10)
     scaled = {k: [float(x) / (float(max(v)) or 1.0) for x in v] for k, v in parts.items()}
     rows = [(f, *[scaled[k][i] for k in parts], sum(scaled[k][i] for k in parts) / len(parts)) for i, f in enumerate(features)]
     return spark.createDataFrame(rows, "feature string, forest double, information double, lasso double, correlation double, mean double")
+
+
+def rating_sums(ratings: DataFrame, key: str) -> DataFrame:
+    """(``key``, total, n): what a bias needs of ratings (user_id, item_id, rating); sums of batches add up."""
+    return ratings.groupBy(key).agg(F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_sums(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The sums after another batch, without reading the earlier ones' ratings again."""
+    return old.unionByName(new).groupBy(key).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def biases(sums: DataFrame, key: str, shrink: float = 5.0) -> DataFrame:
+    """(``key``, bias): how far the mean rating of a user or an item is from the mean of all, shrunk towards 0."""
+    mean = sums.agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return sums.crossJoin(F.broadcast(mean)).select(key, ((F.col("total") - F.col("n") * F.col("mean")) / (F.col("n") + shrink)).alias("bias"))  # one row broadcast

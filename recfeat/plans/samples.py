@@ -9,6 +9,7 @@ from recfeat import views
 from recfeat.functions import exprs as X
 from recfeat.functions.exprs import count_if, r6, sd
 from recfeat.operators import features as O
+from recfeat.operators import models as L
 from recfeat.operators import ranking as K
 from recfeat.operators import recall as R
 from recfeat.operators import store as S
@@ -272,3 +273,13 @@ DIMENSIONS = 50
 def b13(spark, sf):
     values = [r6(F.expr(p).cast("double")) for p in _model_vector()]
     return _samples(spark, sf).select("event_id", F.concat(F.array(*values), F.array_repeat(F.lit(0.0), DIMENSIONS - len(values))).alias("vec"))
+
+
+@register("R7_incremental_biases", SQL_INTERACTIONS + f""", r as (select user_id, item_id, {_weight('profile')} rating from interactions), m as (select avg(rating) mean from r)
+select item_id, round((sum(rating) - count(*) * any_value(mean)) / (count(*) + 5), 6) bias, count(*) n from r, m group by 1""")
+def r7_biases(spark, sf):
+    """The sums of the first batch and of a later one are merged; the twin reads all ratings at once."""
+    it = views.interactions(spark, sf).select("user_id", "item_id", "ts", X.action_weight(F.col("action"), "profile").alias("rating"))
+    cut = F.lit("2024-01-20").cast("timestamp")
+    sums = L.merged_sums(L.rating_sums(it.filter(F.col("ts") < cut), "item_id"), L.rating_sums(it.filter(F.col("ts") >= cut), "item_id"), "item_id")
+    return L.biases(sums, "item_id").join(sums.select("item_id", "n"), "item_id").select("item_id", r6("bias").alias("bias"), "n")

@@ -13,6 +13,7 @@ from recfeat.operators import recall as R
 from recfeat.operators import text as M
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _n
+from recfeat.plans.metrics import _RECS, _recs
 from recfeat.plans.more import _WATCH, _watches
 from recfeat.plans.profiles import _ITEM_TAGS, _SENT, _item_tags
 from recfeat.views import AS_OF, SQL_AS_OF, SQL_INTERACTIONS, SQL_SESSIONS
@@ -298,3 +299,63 @@ def q5(spark, sf):
     )
     score = (F.col("completion") + F.least(F.lit(1.0), F.col("replays") * 10) + 1 - F.col("skips") + F.col("ratio")) / 4
     return a.join(replays, "video_id").select("video_id", r6(score).alias("engagement"), F.least(F.lit(30.0), F.col("length") * 0.1).alias("preview_s"))
+
+
+@register("L30_source_satisfaction", SQL_INTERACTIONS + f""", a as (select platform source, {_n('view')} v, {_n('click')} c, {_n('purchase')} p, {_n('add_cart')} k from interactions group by 1)
+select source, round(10 * (0.4::double * least(1, c / greatest(v, 1)) + 0.6::double * least(1, (p + k) / greatest(c, 1))), 6) satisfaction from a""")
+def l30(spark, sf):
+    """Out of ten: .4 for clicks a view and .6 for carts and purchases a click, each at most one."""
+    a = views.interactions(spark, sf).groupBy(F.col("platform").alias("source")).agg(*[O.n_action(x).alias(x) for x in ("view", "click", "purchase", "add_cart")])
+    one = F.lit(1.0)
+    score = 10 * (0.4 * F.least(one, m1(F.col("click"), F.col("view"))) + 0.6 * F.least(one, m1(F.col("purchase") + F.col("add_cart"), F.col("click"))))
+    return a.select("source", r6(score).alias("satisfaction"))
+
+
+@register("L32_list_novelty", _RECS + """, n as (select item_id, count(*) / sum(count(*)) over () share from interactions group by 1)
+select user_id, count(*) n, round(avg(-log2(share)), 6) novelty from recs join n using (item_id) group by 1""")
+def l32(spark, sf):
+    """The mean surprise of a list's items: minus the binary logarithm of their part of all interactions."""
+    recs, _ = _recs(spark, sf)
+    n = views.interactions(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
+    n = n.crossJoin(F.broadcast(n.agg(F.sum("m").alias("total")))).select("item_id", (-F.log2(F.col("m") / F.col("total"))).alias("surprise"))  # one row broadcast
+    return recs.join(n, "item_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("surprise")).alias("novelty"))
+
+
+@register("N7_trending_and_platform", SQL_INTERACTIONS + f""", i as (select item_id, count(*) filter (where {_sql_since(1)}) n1, count(*) filter (where {_sql_since(7)}) n7 from interactions group by 1),
+pl as (select item_id, platform from interactions group by 1, 2 qualify row_number() over (partition by item_id order by count(*) desc, platform) = 1), p as (select distinct user_id, item_id, platform mine from interactions)
+select user_id, item_id, round(case when n7 = 0 then 0 else n1 / (n7 / 7) end * ln(1 + n7), 6) trending, mine = platform platform_match from p join i using (item_id) join pl using (item_id)""")
+def n7(spark, sf):
+    it = views.interactions(spark, sf)
+    i = it.groupBy("item_id").agg(count_if(_since(1)).alias("n1"), count_if(_since(7)).alias("n7"))
+    pl = R.top_k(it.groupBy("item_id", "platform").agg(F.count(F.lit(1)).alias("n")), 1, "n", "platform", ["item_id"]).select("item_id", F.col("platform").alias("usual"))
+    p = it.select("user_id", "item_id", F.col("platform").alias("mine")).distinct()
+    trending = sd(F.col("n1"), F.col("n7") / 7) * F.log1p("n7")
+    return p.join(i, "item_id").join(pl, "item_id").select("user_id", "item_id", r6(trending).alias("trending"), (F.col("mine") == F.col("usual")).alias("platform_match"))
+
+
+_PERSONAS = {"gamer": 1, "creator": 4, "listener": 7}
+
+
+@register("O5_new_user_candidates", SQL_INTERACTIONS + f""", u as (select user_id, min(hour(ts)) h, min_by(item_id, (ts, event_id)) filter (where action = 'click') first_click from interactions group by 1),
+p as (select user_id, first_click, case when h >= 18 then 'gamer' when h >= 9 then 'creator' when h >= 1 then 'listener' end persona from u),
+ranked as (select category_id, item_id, row_number() over (partition by category_id order by count(*) desc, item_id) rn from interactions group by 1, 2),
+kinds(persona, category_id) as (values {", ".join(f"('{k}', {v})" for k, v in _PERSONAS.items())}),
+c as (
+  select user_id, item_id, 'persona' step, 1 as rank from p join kinds using (persona) join ranked using (category_id) where rn <= 3
+  union all select user_id, item_id, 'first_click', 2 from p join ranked on category_id = first_click % 10 where rn <= 3
+  union all select user_id, item_id, 'popular', 3 from p, ranked where rn = 1)
+select user_id, item_id, arg_min(step, rank) step from c group by 1, 2""")
+def o5(spark, sf):
+    """A new user's candidates: items of the persona's category, then of the first click's, then one item a category."""
+    it = views.interactions(spark, sf)
+    first = F.min_by(F.when(F.col("action") == "click", F.col("item_id")), F.when(F.col("action") == "click", F.struct("ts", "event_id")))
+    u = it.groupBy("user_id").agg(F.min(F.hour("ts")).alias("h"), first.alias("first_click"))
+    persona = F.when(F.col("h") >= 18, "gamer").when(F.col("h") >= 9, "creator").when(F.col("h") >= 1, "listener")
+    p = u.select("user_id", "first_click", F.try_element_at(F.create_map(*[F.lit(x) for kv in _PERSONAS.items() for x in kv]), persona).alias("own"))
+    ranked = R.top_k(it.groupBy("category_id", "item_id").agg(F.count(F.lit(1)).alias("n")), 3, "n", "item_id", ["category_id"])
+    parts = [
+        p.join(ranked, p.own == ranked.category_id).select("user_id", "item_id", F.lit("persona").alias("step"), F.lit(1).alias("at")),
+        p.join(ranked, p.first_click % 10 == ranked.category_id).select("user_id", "item_id", F.lit("first_click").alias("step"), F.lit(2).alias("at")),
+        R.grid(p.select("user_id"), ranked.filter("rank = 1").select("item_id")).select("user_id", "item_id", F.lit("popular").alias("step"), F.lit(3).alias("at")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("user_id", "item_id").agg(F.min_by("step", "at").alias("step"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, neardup, pii, quality, sharding, tokenfiles, toxicity
+from . import decontam, langid, licenses, mixing, neardup, pii, prefixtrie, quality, sharding, tokenfiles, toxicity, urlfilter, whitening
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key for the queries; a production run passes its own secret.
@@ -69,6 +69,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(_table(spark, sf_dir, "conversations"), family=5, modulus=9)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 _OP8_SQL = rf"""
 with recursive w as materialized (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
@@ -159,11 +171,88 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
 from f
 """
 
+# The checksum, bit by bit: each byte goes in before the first of its eight steps.
+_CRC32 = """
+    xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)))
+"""
+
+_OP12_SQL = f"""
+with raw as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+named as (select conv_id, turn, md5(strlen(r) || ':' || r || x) id, strlen(x) size from raw),
+t as materialized (select conv_id, id, size, row_number() over (partition by conv_id order by turn nulls first, id) i from named),
+c as materialized (select conv_id, count(*) n, {_CRC32} % 9 h from t group by conv_id),
+part as (
+    select c.conv_id, t.i pos, t.id, t.size from c join t on t.conv_id = c.conv_id - c.conv_id % 5 where t.i <= c.h
+    union all
+    select c.conv_id, least(c.h, coalesce(b.n, 0)) + t.i - c.h, t.id, t.size
+    from c join t on t.conv_id = c.conv_id left join c b on b.conv_id = c.conv_id - c.conv_id % 5 where t.i > c.h),
+made as (select conv_id, list(id order by pos) ids, list(size order by pos) sizes from part group by conv_id),
+seqs as (select conv_id, coalesce(ids, []) ids, coalesce(sizes, []) sizes from c left join made using (conv_id)),
+mem as (select conv_id, ids, sizes, unnest(range(0, len(ids) + 1)) d from seqs),
+node as materialized (
+    select d, ids[1:d] p, count(*) n, min(conv_id) least_id, any_value(sizes[d]) size,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(ids) = d), '')) ends
+    from mem group by d, ids[1:d]),
+kids as (select d - 1 d, p[1:d - 1] p, count(*) k from node where d > 0 group by all),
+own as (select node.d, node.p, (n - 1) * coalesce(size, 0) saved, (k is null)::bigint leaf from node left join kids on node.d = kids.d and node.p = kids.p),
+up as (select saved, leaf, p, unnest(range(0, d + 1)) e from own),
+sub as (select e d, p[1:e] p, sum(saved) saved, sum(leaf) leaves from up group by all)
+select node.least_id conv_id, node.d depth, above.least_id parent_conv_id, node.n n_convs, coalesce(k, 0) n_children,
+    leaves::bigint n_leaves, saved::bigint saved_tokens, node.ends ends_sha256
+from node join sub on node.d = sub.d and node.p = sub.p left join kids on node.d = kids.d and node.p = kids.p
+left join node above on node.d > 0 and above.d = node.d - 1 and above.p = node.p[1:node.d - 1]
+"""
+
+
+def _sql_url(url: str) -> str:
+    """SQL columns host, path and query of the expression ``url``."""
+    rest = f"case when position('://' in {url}) > 0 then substr({url}, position('://' in {url}) + 3) else '' end"
+    return (
+        f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) path, "
+        rf"regexp_extract({rest}, '^[^?#]*(\?[^#]*)', 1) query"
+    )
+
+
+_quoted = lambda pattern: pattern.replace("'", "''")
+_OP13_SQL = rf"""
+with recursive page as materialized (select page_id, {_sql_url("coalesce(url, '')")}, html from pages),
+mine as materialized (select *, case when host <> '' then host || rtrim(path, '/') || query end a from page),
+tag as (select a, host, path, unnest(regexp_extract_all(regexp_replace(html, '{urlfilter.COMMENT}', '', 'g'), '{urlfilter.TAGS}')) t from mine where a is not null),
+target as (
+    select a, host, path, replace(case when regexp_matches(t, '{_quoted(urlfilter.CANONICAL)}') then regexp_extract(t, '{_quoted(urlfilter.LINK_TARGET)}', 1)
+        when regexp_matches(t, '{_quoted(urlfilter.REFRESH)}') then regexp_extract(t, '{_quoted(urlfilter.REFRESH_TARGET)}', 1) else '' end, '&amp;', '&') t from tag),
+url as (
+    select a, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then 'x:' || t
+        when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(t, '#') then null
+        when starts_with(t, '/') then 'x://' || host || t when starts_with(t, '?') then 'x://' || host || path || t
+        else 'x://' || host || case when path = '' then '/' else regexp_extract(path, '(?s)^(.*/)?') end || t end u
+    from target where t <> ''),
+link as (select a, {_sql_url("u")} from url where u is not null),
+edge as materialized (select a, host, path, host || rtrim(path, '/') || query b from link where host <> ''),
+seen as (select host, path, a from mine where a is not null union select host, path, b from edge),
+rules(verdict, rh, rp) as (values {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urlfilter.RULES)}),
+fits as (
+    select seen.*, rh || rp rule, verdict rv, row_number() over (partition by host, path, a order by length(rh || rp) desc nulls last, length(rh) desc, verdict, rh || rp desc) k
+    from seen left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),
+said as materialized (select * from fits where k = 1),
+both_ways as materialized (select a, b from edge union select b, a from edge),
+reach(a, b) as (select a, a from said union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+alias as (
+    select r.a, max(rule) filter (where rv = 'block') via, coalesce(bool_or(rv = 'allow'), false) ok
+    from reach r join said on said.a = r.b group by r.a)
+select page_id, mine.host, mine.path, rule, coalesce(rv, case when via is not null and not ok then 'block' else 'allow' end) verdict,
+    case when rule is null and not ok then via end via
+from mine left join said on said.host = mine.host and said.path = mine.path and said.a = mine.a left join alias on alias.a = mine.a
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_pseudonyms, op2_decontamination, op3_license_scan, op4_token_files, op5_repetition_quality,
         op6_language_mixture, op7_hilbert_shards, op8_near_duplicates, op9_mixed_sources, op10_toxicity,
+        op11_embedding_whitening, op12_prefix_trie, op13_url_filter,
     )
 }
 ORACLE: dict[str, str] = {
@@ -171,4 +260,6 @@ ORACLE: dict[str, str] = {
     "op3_license_scan": _OP3_SQL,
     "op5_repetition_quality": _OP5_SQL,
     "op8_near_duplicates": _OP8_SQL,
+    "op12_prefix_trie": _OP12_SQL,
+    "op13_url_filter": _OP13_SQL,
 }

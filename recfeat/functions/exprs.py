@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 WEIGHTS: dict[str, tuple[dict[str, float], float]] = {
     "profile": ({"purchase": 5.0, "like": 3.0, "click": 2.0, "view": 1.0}, 0.5),
     "behaviour": ({"view": 1.0, "click": 2.0, "like": 3.0, "share": 3.5, "add_cart": 4.0, "purchase": 10.0, "favorite": 5.0}, 1.0),
+    "offline": ({"view": 1.0, "click": 2.0, "like": 3.5, "share": 4.0, "purchase": 10.0}, 1.0),
     "stream": ({"view": 1.0, "click": 2.0, "add_cart": 3.0, "purchase": 10.0, "favorite": 4.0}, 0.0),
     "engagement": ({"impression": 0.1, "click": 0.3, "view": 0.5, "like": 0.7, "comment": 0.75, "favorite": 0.8, "share": 0.85, "add_cart": 0.9, "purchase": 1.0}, 0.0),
     "graph": ({"view": 1.0, "click": 2.0, "cart": 3.0, "add_cart": 3.0, "purchase": 5.0}, 0.0),

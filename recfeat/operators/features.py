@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import action_weight, count_if, p1, r6, sd, seconds_between
 from recfeat.operators.quantiles import with_quantiles
+from recfeat.operators.running import Recent, exact, recent_sums, running_sums
 
 #: Seconds of the named windows.
 WINDOWS = {"1h": 3600, "6h": 21_600, "1d": 86_400, "3d": 259_200, "7d": 604_800, "14d": 1_209_600, "30d": 2_592_000}
@@ -77,38 +78,55 @@ def distinct_in_windows(base: DataFrame, key: str, values: dict[str, Column], st
     return last.groupBy(key).agg(*hits)
 
 
+def top_platforms(base: DataFrame, key: str, starts: dict[str, Column], prefix: str) -> DataFrame:
+    """How many platforms each key uses in each window, and the commonest (the greatest name of a tie)."""
+    each = base.groupBy(key, "platform").agg(*[count_if(F.col("ts") >= start).alias(w) for w, start in starts.items()]).filter("platform is not null")
+    hits = [f for w in starts for f in (
+        count_if(F.col(w) > 0).alias(f"{prefix}_platforms_{w}"), F.max_by("platform", F.when(F.col(w) > 0, F.struct(w, "platform"))).alias(f"{prefix}_platform_{w}"),
+    )]
+    return each.groupBy(key).agg(*hits)
+
+
 def user_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, int] | None = None) -> DataFrame:
-    """Per-window user behaviour from one filtered read: conditional sums, and distinct counts over latest times."""
+    """Sixteen aggregates a window and four ratios of user behaviour, and two trends, from one filtered read.
+
+    A window without events has counts of 0, no hours and days, and neither mean, deviation nor platform.
+    """
     windows = windows or WINDOWS
     starts = {w: since(as_of, s) for w, s in windows.items()}
     base = interactions.filter((F.col("ts") >= since(as_of, max(windows.values()))) & (F.col("ts") < F.lit(as_of).cast("timestamp")))
-    weight = action_weight(F.col("action"), "behaviour")
+    weight = action_weight(F.col("action"), "offline")
     aggs = []
     for w, start in starts.items():
         on = F.col("ts") >= start
         aggs += [
             count_if(on).alias(f"user_interactions_{w}"), F.coalesce(F.sum(F.when(on, weight)), F.lit(0.0)).alias(f"user_engagement_{w}"),
-            *[n_action(a, on).alias(f"user_{a}s_{w}") for a in ("view", "click", "purchase")],
+            F.avg(F.when(on, weight)).alias(f"user_avg_engagement_{w}"), F.stddev_samp(F.when(on, weight)).alias(f"user_std_engagement_{w}"),
+            *[n_action(a, on).alias(f"user_{a}s_{w}") for a in ("purchase", "view", "click", "like", "share")],
+            F.sort_array(F.collect_set(F.when(on, F.hour("ts")))).alias(f"user_hours_{w}"), F.sort_array(F.collect_set(F.when(on, F.dayofweek("ts")))).alias(f"user_weekdays_{w}"),
         ]
     distinct = distinct_in_windows(base, "user_id", {"items": F.col("item_id"), "sessions": F.col("session_id"), "days": F.to_date("ts")}, starts, "user")
-    out = base.groupBy("user_id").agg(*aggs).join(distinct, "user_id")
+    out = base.groupBy("user_id").agg(*aggs).join(distinct, "user_id").join(top_platforms(base, "user_id", starts, "user"), "user_id", "left")
     for w in windows:
         out = out.withColumns({
             f"user_conversion_{w}": p1(F.col(f"user_purchases_{w}"), F.col(f"user_views_{w}")),
             f"user_engagement_per_session_{w}": p1(F.col(f"user_engagement_{w}"), F.col(f"user_sessions_{w}")),
+            f"user_items_per_session_{w}": p1(F.col(f"user_items_{w}"), F.col(f"user_sessions_{w}")),
             f"user_intensity_{w}": p1(F.col(f"user_interactions_{w}"), F.col(f"user_days_{w}")),
         })
     if {"1d", "7d", "30d"} <= set(windows):
-        avg = lambda w: sd(F.col(f"user_engagement_{w}"), F.col(f"user_interactions_{w}"))
         out = out.withColumns({
-            "user_trend_engagement": avg("7d") / (avg("30d") + 0.001),
+            "user_trend_engagement": F.col("user_avg_engagement_7d") / (F.col("user_avg_engagement_30d") + 0.001),
             "user_trend_activity": F.col("user_interactions_1d") / (F.col("user_interactions_7d") / 7 + 0.001),
         })
     return out
 
 
 def item_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, int] | None = None) -> DataFrame:
-    """Per-window item features and trends from one filtered read."""
+    """Eight aggregates a window, purchase rate and popularity of items, and two trends, from one filtered read.
+
+    A window without events has counts of 0 and neither mean nor deviation.
+    """
     windows = windows or WINDOWS
     starts = {w: since(as_of, s) for w, s in windows.items()}
     base = interactions.filter((F.col("ts") >= since(as_of, max(windows.values()))) & (F.col("ts") < F.lit(as_of).cast("timestamp")))
@@ -116,14 +134,24 @@ def item_windows(interactions: DataFrame, as_of: datetime, windows: dict[str, in
     aggs = []
     for w, start in starts.items():
         on = F.col("ts") >= start
-        aggs += [count_if(on).alias(f"item_n_{w}"), F.coalesce(F.avg(F.when(on, weight)), F.lit(0.0)).alias(f"item_engagement_{w}"), n_action("purchase", on).alias(f"item_purchases_{w}")]
-    out = base.groupBy("item_id").agg(*aggs).join(distinct_in_windows(base, "item_id", {"users": F.col("user_id")}, starts, "item"), "item_id")
+        aggs += [
+            count_if(on).alias(f"item_n_{w}"), F.coalesce(F.sum(F.when(on, weight)), F.lit(0.0)).alias(f"item_engagement_{w}"),
+            F.avg(F.when(on, weight)).alias(f"item_avg_engagement_{w}"), F.stddev_samp(F.when(on, weight)).alias(f"item_std_engagement_{w}"),
+            n_action("purchase", on).alias(f"item_purchases_{w}"), n_action("view", on).alias(f"item_views_{w}"),
+        ]
+    distinct = distinct_in_windows(base, "item_id", {"users": F.col("user_id"), "platforms": F.col("platform")}, starts, "item")
+    out = base.groupBy("item_id").agg(*aggs).join(distinct, "item_id")
     for w in windows:
         out = out.withColumns({
-            f"item_purchase_rate_{w}": p1(F.col(f"item_purchases_{w}"), F.col(f"item_n_{w}")),
+            f"item_purchase_rate_{w}": p1(F.col(f"item_purchases_{w}"), F.col(f"item_views_{w}")),
             f"item_popularity_{w}": F.log1p(f"item_n_{w}") * F.log1p(f"item_users_{w}"),
         })
-    return out.withColumn("item_trend", F.col("item_engagement_7d") / (F.col("item_engagement_30d") + 0.001)) if {"7d", "30d"} <= set(windows) else out
+    if {"1d", "7d", "30d"} <= set(windows):
+        out = out.withColumns({
+            "item_trend_popularity": F.col("item_popularity_7d") / (F.col("item_popularity_30d") + 0.001),
+            "item_trend_engagement": F.col("item_avg_engagement_1d") / (F.col("item_avg_engagement_7d") + 0.001),
+        })
+    return out
 
 
 def pair_features(interactions: DataFrame) -> DataFrame:
@@ -150,22 +178,26 @@ def user_item_matrix(interactions: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def user_window_stats(interactions: DataFrame, as_of: datetime, windows: dict[str, int]) -> DataFrame:
-    """Long form, one row a user and window: action counts, rates, repeat purchases, active days, order values."""
-    names = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(s).alias("seconds")) for w, s in windows.items()])
-    age = seconds_between(F.lit(as_of).cast("timestamp"), F.col("ts"))
+    """Long form, one row a user and window that has events: action counts, rates, repeat purchases, active days,
+    order values.  Events are read once, not once a window; distinct counts come from each value's latest time."""
+    starts = {w: since(as_of, s) for w, s in windows.items()}
     base = interactions.filter((F.col("ts") >= since(as_of, max(windows.values()))) & (F.col("ts") < F.lit(as_of).cast("timestamp")))
-    long = base.withColumn("_w", F.explode(names)).filter(age <= F.col("_w.seconds")).withColumn("window", F.col("_w.window"))
-    buy = F.col("action") == "purchase"
-    out = long.groupBy("user_id", "window").agg(
-        *[n_action(a).alias(f"n_{a}") for a in ("impression", "click", "view", "add_cart", "purchase", "favorite", "share")],
-        F.countDistinct("item_id").alias("items"), F.countDistinct("category_id").alias("categories"), F.countDistinct(F.when(buy, F.col("item_id"))).alias("_bought"),
-        F.countDistinct(F.to_date("ts")).alias("active_days"), F.countDistinct("session_id").alias("sessions"),
-        F.coalesce(F.sum(F.when(buy, F.col("price"))), F.lit(0.0)).alias("order_sum"), F.coalesce(F.avg(F.when(buy, F.col("price"))), F.lit(0.0)).alias("order_avg"), F.coalesce(F.max(F.when(buy, F.col("price"))), F.lit(0.0)).alias("order_max"),
-    )
+    buy, actions = F.col("action") == "purchase", ("impression", "click", "view", "add_cart", "purchase", "favorite", "share")
+    aggs = []
+    for w, start in starts.items():
+        on = F.col("ts") >= start
+        paid = F.when(on & buy, F.col("price"))
+        aggs += [count_if(on).alias(f"u_n_{w}"), *[n_action(a, on).alias(f"u_n_{a}_{w}") for a in actions]]
+        aggs += [F.coalesce(f(paid), F.lit(0.0)).alias(f"u_order_{n}_{w}") for n, f in (("sum", F.sum), ("avg", F.avg), ("max", F.max))]
+    kinds = {"items": F.col("item_id"), "categories": F.col("category_id"), "bought": F.when(buy, F.col("item_id")), "active_days": F.to_date("ts"), "sessions": F.col("session_id")}
+    wide = base.groupBy("user_id").agg(*aggs).join(distinct_in_windows(base, "user_id", kinds, starts, "u"), "user_id")
+    names = ["n", *[f"n_{a}" for a in actions], *kinds, "order_sum", "order_avg", "order_max"]
+    each = F.array(*[F.struct(F.lit(w).alias("window"), *[F.col(f"u_{n}_{w}").alias(n) for n in names]) for w in windows])
+    out = wide.select("user_id", F.inline(each)).filter("n > 0")
     return out.withColumns({
-        "repeat_purchases": F.greatest(F.lit(0), F.col("n_purchase") - F.col("_bought")).cast("long"), "click_rate": sd(F.col("n_click"), F.col("n_view")),
+        "repeat_purchases": F.greatest(F.lit(0), F.col("n_purchase") - F.col("bought")).cast("long"), "click_rate": sd(F.col("n_click"), F.col("n_view")),
         "cart_rate": sd(F.col("n_add_cart"), F.col("n_click")), "purchase_rate": sd(F.col("n_purchase"), F.col("n_click")),
-    }).drop("_bought")
+    }).drop("bought", "n")
 
 
 def top_values(df: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
@@ -270,20 +302,26 @@ def sequence_steps(interactions: DataFrame) -> DataFrame:
 
 def rolling(interactions: DataFrame, seconds: int) -> DataFrame:
     """Counts, mean price and distinct items of a user in [t - seconds, t), events at t excluded."""
-    t = F.unix_micros("ts")
-    w = W.partitionBy("user_id").orderBy("us").rangeBetween(-seconds * 1_000_000, -1)
-    base = interactions.withColumn("us", t)
-    return base.select(
-        "event_id", F.count("event_id").over(w).alias("n"), F.avg("price").over(w).alias("avg_price"), F.size(F.collect_set("item_id").over(w)).cast("long").alias("items"),
-        F.count(F.when(F.col("action") == "purchase", 1)).over(w).alias("purchases"),
-    )
+    base = interactions.select("event_id", "user_id", "item_id", "action", "price", F.unix_micros("ts").alias("us"))
+    out = recent_sums(base, ["user_id"], "us", {
+        "n": Recent(seconds, F.lit(1)), "_sum": Recent(seconds, exact(F.col("price"))), "_priced": Recent(seconds, F.col("price").isNotNull().cast("int")),
+        "items": Recent(seconds, distinct="item_id"), "purchases": Recent(seconds, (F.col("action") == "purchase").cast("int")),
+    })
+    return out.select("event_id", "n", F.when(F.col("_priced") > 0, F.col("_sum") / F.col("_priced") / 1_000_000).alias("avg_price"), "items", "purchases")
+
+
+def bursts(interactions: DataFrame, seconds: int = 60, more_than: int = 20) -> DataFrame:
+    """Events up to which their user had more than ``more_than`` distinct items within ``seconds``."""
+    base = interactions.select("event_id", "user_id", "item_id", F.unix_micros("ts").alias("us"))
+    out = recent_sums(base, ["user_id"], "us", {"items": Recent(seconds, distinct="item_id")}, with_now=True)
+    return out.filter(F.col("items") > more_than).select("event_id", "user_id", "items")
 
 
 def running_rates(interactions: DataFrame) -> DataFrame:
     """E14, the batch twin of I7: an item's click and conversion rates after each event."""
-    w = W.partitionBy("item_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    n = lambda a: F.sum((F.col("action") == a).cast("int")).over(w)
-    return interactions.select("event_id", "item_id", n("view").alias("views"), n("click").alias("clicks"), n("purchase").alias("purchases")).withColumns({
+    base = interactions.select("event_id", "item_id", "action", F.unix_micros("ts").alias("us"))
+    sums = {f"{a}s": (F.col("action") == a).cast("int") for a in ("view", "click", "purchase")}
+    return running_sums(base, ["item_id"], "us", sums, ties=["event_id"]).drop("action", "us").withColumns({
         "ctr": sd(F.col("clicks"), F.col("views")), "cvr": sd(F.col("purchases"), F.col("clicks")),
     })
 

@@ -110,3 +110,13 @@ def epoch(at: datetime) -> int:
     from datetime import UTC
 
     return int(at.replace(tzinfo=UTC).timestamp())
+
+
+def hybrid_features(recent: Column, month: Column, recent_engagement: Column, mean_engagement: Column, hour: Column) -> list[Column]:
+    """Events of 300 s against the month's mean of 300 s, engagement against its mean, and a factor for the hour."""
+    ratio = F.when(month > 0, recent / (month / 8640)).when(recent > 0, 1.0).otherwise(0.0)
+    factor = F.when(hour.between(18, 22), 1.2).when(hour.between(2, 6), 0.8).otherwise(1.0)
+    return [
+        F.round(ratio, 6).alias("activity_trend_ratio"), F.round(F.when(mean_engagement > 0, recent_engagement / mean_engagement).otherwise(1.0), 6).alias("engagement_acceleration"),
+        factor.alias("time_context_multiplier"),
+    ]

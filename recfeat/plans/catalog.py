@@ -12,6 +12,8 @@ def register(name: str, sql: str | None = None):
     """Add a query (spark, sf_dir) -> DataFrame under ``name``, with its SQL twin if SQL can express it."""
 
     def add(fn):
+        if name in QUERIES:
+            raise ValueError(f"the name {name} is taken")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql

@@ -10,9 +10,10 @@ from recfeat.functions import exprs as X
 from recfeat.functions.exprs import count_if, m1, r6, sd
 from recfeat.operators import features as O
 from recfeat.operators import recall as R
+from recfeat.operators import store as S
 from recfeat.operators import text as M
 from recfeat.plans.catalog import register
-from recfeat.plans.features import _n
+from recfeat.plans.features import _n, _weight
 from recfeat.plans.metrics import _RECS, _recs
 from recfeat.plans.more import _WATCH, _watches
 from recfeat.plans.profiles import _ITEM_TAGS, _SENT, _item_tags
@@ -166,13 +167,11 @@ def d28(spark, sf):
     return x.groupBy("t").agg(of(F.sum, 1).alias("now_n"), r6(of(F.sum, 5) / 5).alias("mean_5"), of(F.max, 5).alias("peak_5"), of(F.sum, 60).alias("last_hour")).select((F.col("t") * 60).alias("at_s"), "now_n", "mean_5", "peak_5", "last_hour")
 
 
-@register("E13_bursts", SQL_INTERACTIONS + """, w as (select event_id, user_id, count(distinct item_id) over (partition by user_id order by epoch_us(ts) range between 3600000000 preceding and current row) items from interactions)
+@register("E13_bursts", SQL_INTERACTIONS + """, w as (select event_id, user_id, count(distinct item_id) over (partition by user_id order by epoch_us(ts) range between 86400000000 preceding and current row) items from interactions)
 select event_id, user_id, items from w where items > 3""")
 def e13(spark, sf):
-    """More than three distinct items within the hour before an event."""
-    w = W.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
-    items = F.size(F.collect_set("item_id").over(w)).cast("long")
-    return views.interactions(spark, sf).select("event_id", "user_id", items.alias("items")).filter("items > 3")
+    """More than three distinct items within a day; the given events have no burst of over twenty a minute, the operator's own limits."""
+    return O.bursts(views.interactions(spark, sf), seconds=86_400, more_than=3)
 
 
 @register("I8_cross_scores", SQL_INTERACTIONS + f""", u as (select user_id, count(*) act, avg(price) avgp from interactions where {_sql_since(7)} group by 1), i as (select item_id, count(*) pop, avg(price) p from interactions where {_sql_since(7)} group by 1),
@@ -240,14 +239,18 @@ def m9(spark, sf):
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "word")).cast("long"))  # twenty rows
 
 
-@register("N6_hybrid_features", SQL_INTERACTIONS + f""", a as (select user_id, count(*) filter (where {_sql_since(1)}) n1, count(*) filter (where {_sql_since(3)}) n3, count(*) filter (where {_sql_since(30)}) n30, max(ts) last from interactions group by 1)
-select user_id, round(case when n30 = 0 then n1 else n1 / (n30 / 30) end, 6) activity_ratio, n1 - (n3 - n1) / 2 acceleration, round(case when hour(last) between 18 and 22 then 1.2 when hour(last) between 2 and 6 then 0.8 else 1 end::double, 6) hour_multiplier from a""")
+@register("N6_hybrid_features", SQL_INTERACTIONS + f""", l as (select user_id, max(ts) last_ts, count(*) n30, avg({_weight('offline')}) e30 from interactions where {_sql_since(30)} group by 1),
+r as (select user_id, count(*) n5, sum({_weight('stream')}) e5 from interactions join l using (user_id) where epoch_us(ts) > epoch_us(last_ts) - 300000000 group by 1)
+select user_id, round(case when n30 > 0 then n5 / (n30 / 8640) when n5 > 0 then 1 else 0 end::double, 6) activity_trend_ratio, round(case when e30 > 0 then e5 / e30 else 1 end::double, 6) engagement_acceleration,
+  case when hour(last_ts) between 18 and 22 then 1.2 when hour(last_ts) between 2 and 6 then 0.8 else 1 end::double time_context_multiplier from l join r using (user_id)""")
 def n6(spark, sf):
-    """The last day against the daily mean of the month; the day's count against the mean of the two days before."""
-    a = views.interactions(spark, sf).groupBy("user_id").agg(*[count_if(_since(d)).alias(f"n{d}") for d in (1, 3, 30)], F.max("ts").alias("last"))
-    ratio = F.when(F.col("n30") == 0, F.col("n1").cast("double")).otherwise(F.col("n1") / (F.col("n30") / 30))
-    hour = F.hour("last")
-    return a.select("user_id", r6(ratio).alias("activity_ratio"), (F.col("n1") - (F.col("n3") - F.col("n1")) / 2).alias("acceleration"), F.when(hour.between(18, 22), 1.2).when(hour.between(2, 6), 0.8).otherwise(1.0).alias("hour_multiplier"))
+    """The five minutes up to a user's last event against thirty days: counts by the mean of five minutes, engagement
+    by the mean weight of an event; the hour is that of the last event."""
+    it = views.interactions(spark, sf).filter(_since(30))
+    l = it.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n30"), F.avg(X.action_weight(F.col("action"), "offline")).alias("e30"))
+    recent = it.select("user_id", "ts", "action").join(l, "user_id").filter(F.unix_micros("ts") > F.unix_micros("last_ts") - 300_000_000)
+    out = recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("n5"), F.sum(X.action_weight(F.col("action"), "stream")).alias("e5"), *[F.first(c).alias(c) for c in ("last_ts", "n30", "e30")])
+    return out.select("user_id", *S.hybrid_features(F.col("n5"), F.col("n30"), F.col("e5"), F.col("e30"), F.hour("last_ts")))
 
 
 @register("O6_new_item_targets", SQL_INTERACTIONS + f""", f as (select user_id, 'category_fan' as why from interactions group by user_id, category_id having category_id = 3 and count(*) >= 5), s as (select user_id, 'big_spender' from interactions group by 1 having sum(price) filter (where action = 'purchase') > 2000),

@@ -28,14 +28,6 @@ def b10(spark, sf):
     return it.select("event_id", doc.alias("payload"), X.action_weight(F.col("action"), "stream").alias("weight"))
 
 
-@register("B13_model_vector", SQL_INTERACTIONS + f", a as (select user_id, count(*) n, {_n('purchase')} p, avg(price) v from interactions group by 1) select user_id, round(least(1, ln(1 + n) / 10), 6) x0, round(least(1, ln(1 + p) / 5), 6) x1, round(least(1, v / 500), 6) x2 from a")
-def b13(spark, sf):
-    a = views.interactions(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), O.n_action("purchase").alias("p"), F.avg("price").alias("v"))
-    one = F.lit(1.0)
-    vec = F.array(F.least(one, F.log1p("n") / 10), F.least(one, F.log1p("p") / 5), F.least(one, F.col("v") / 500))
-    return a.select("user_id", *[r6(F.get(vec, F.lit(i))).alias(f"x{i}") for i in range(3)])
-
-
 @register("B15_lookup_encoding", "select o_orderkey order_id, case o_orderstatus when 'F' then 1.0 when 'O' then 0.5 else 0.2 end::double score from orders")
 def b15(spark, sf):
     table = F.create_map(F.lit("F"), F.lit(1.0), F.lit("O"), F.lit(0.5))

@@ -55,22 +55,32 @@ def d3(spark, sf):
 
 
 def _d4_sql() -> str:
-    w8 = _weight("behaviour")
+    weight = _weight("offline")
     parts, outs = [], []
     for w, s in O.WINDOWS.items():
         on = f"ts >= {SQL_AS_OF} - interval {s} seconds"
         parts += [
-            f"count(*) filter (where {on}) user_interactions_{w}", f"count(distinct item_id) filter (where {on}) user_items_{w}", f"count(distinct session_id) filter (where {on}) user_sessions_{w}",
-            f"count(distinct ts::date) filter (where {on}) user_days_{w}", f"coalesce(sum({w8}) filter (where {on}), 0) user_engagement_{w}", *[f"{_n(a, on)} user_{a}s_{w}" for a in ("view", "click", "purchase")],
+            f"count(*) filter (where {on}) user_interactions_{w}", f"count(distinct item_id) filter (where {on}) user_items_{w}",
+            f"count(distinct session_id) filter (where {on}) user_sessions_{w}", f"count(distinct ts::date) filter (where {on}) user_days_{w}",
+            f"coalesce(sum({weight}) filter (where {on}), 0) user_engagement_{w}", f"avg({weight}) filter (where {on}) user_avg_engagement_{w}",
+            f"stddev_samp({weight}) filter (where {on}) user_std_engagement_{w}", *[f"{_n(a, on)} user_{a}s_{w}" for a in ("purchase", "view", "click", "like", "share")],
+            f"coalesce(list_sort(list(distinct hour(ts)::int) filter (where {on})), []) user_hours_{w}",
+            f"coalesce(list_sort(list(distinct (dayofweek(ts) + 1)::int) filter (where {on})), []) user_weekdays_{w}",
+            f"count(distinct platform) filter (where {on}) user_platforms_{w}",
         ]
         outs += [
-            f"user_interactions_{w}, user_items_{w}, user_sessions_{w}, user_days_{w}, round(user_engagement_{w}, 6) user_engagement_{w}, user_views_{w}, user_clicks_{w}, user_purchases_{w}",
+            *[f"user_{c}_{w}" for c in ("interactions", "items", "sessions", "days", "purchases", "views", "clicks", "likes", "shares", "hours", "weekdays", "platforms")],
+            *[f"round(user_{c}_{w}, 6) user_{c}_{w}" for c in ("engagement", "avg_engagement", "std_engagement")], f"p_{w} user_platform_{w}",
             f"round(user_purchases_{w} / (user_views_{w} + 1), 6) user_conversion_{w}", f"round(user_engagement_{w} / (user_sessions_{w} + 1), 6) user_engagement_per_session_{w}",
-            f"round(user_interactions_{w} / (user_days_{w} + 1), 6) user_intensity_{w}",
+            f"round(user_items_{w} / (user_sessions_{w} + 1), 6) user_items_per_session_{w}", f"round(user_interactions_{w} / (user_days_{w} + 1), 6) user_intensity_{w}",
         ]
-    avg = lambda w: f"case when user_interactions_{w} = 0 then 0 else user_engagement_{w} / user_interactions_{w} end"
-    return SQL_SESSIONS + f""", a as (select user_id, {', '.join(parts)} from sessions where ts >= {SQL_AS_OF} - interval 2592000 seconds and ts < {SQL_AS_OF} group by 1)
-select user_id, {', '.join(outs)}, round(({avg('7d')}) / (({avg('30d')}) + 0.001::double), 6) user_trend_engagement, round(user_interactions_1d / (user_interactions_7d / 7 + 0.001::double), 6) user_trend_activity from a"""
+    counts = ", ".join(f"count(*) filter (where ts >= {SQL_AS_OF} - interval {s} seconds) n_{w}" for w, s in O.WINDOWS.items())
+    tops = ", ".join(f"max({{'n': n_{w}, 'p': platform}}) filter (where n_{w} > 0).p p_{w}" for w in O.WINDOWS)
+    span = f"ts >= {SQL_AS_OF} - interval 2592000 seconds and ts < {SQL_AS_OF}"
+    return SQL_SESSIONS + f""", a as (select user_id, {', '.join(parts)} from sessions where {span} group by 1),
+c as (select user_id, platform, {counts} from sessions where {span} group by 1, 2), t as (select user_id, {tops} from c group by 1)
+select user_id, {', '.join(outs)}, round(user_avg_engagement_7d / (user_avg_engagement_30d + 0.001::double), 6) user_trend_engagement,
+  round(user_interactions_1d / (user_interactions_7d / 7 + 0.001::double), 6) user_trend_activity from a join t using (user_id)"""
 
 
 @register("D4_user_windows", _d4_sql())
@@ -80,12 +90,20 @@ def d4(spark, sf):
 
 def _d5_sql() -> str:
     parts, outs = [], []
+    weight = "case action when 'purchase' then 10.0::double else 1.0::double end"
     for w, s in O.WINDOWS.items():
-        on = f"ts >= {SQL_AS_OF} - interval {s} seconds"
-        parts += [f"count(*) filter (where {on}) n_{w}", f"count(distinct user_id) filter (where {on}) u_{w}", f"coalesce(avg(case action when 'purchase' then 10.0::double else 1.0::double end) filter (where {on}), 0) e_{w}", f"{_n('purchase', on)} p_{w}"]
-        outs += [f"n_{w} item_n_{w}, u_{w} item_users_{w}, round(e_{w}, 6) item_engagement_{w}, p_{w} item_purchases_{w}, round(p_{w} / (n_{w} + 1), 6) item_purchase_rate_{w}, round(ln(1 + n_{w}) * ln(1 + u_{w}), 6) item_popularity_{w}"]
+        on = f"filter (where ts >= {SQL_AS_OF} - interval {s} seconds)"
+        parts += [
+            f"count(*) {on} n_{w}", f"count(distinct user_id) {on} u_{w}", f"count(distinct platform) {on} f_{w}", f"coalesce(sum({weight}) {on}, 0) e_{w}", f"avg({weight}) {on} a_{w}",
+            f"stddev_samp({weight}) {on} d_{w}", f"count(case when action = 'purchase' then 1 end) {on} p_{w}", f"count(case when action = 'view' then 1 end) {on} v_{w}",
+        ]
+        outs += [
+            f"n_{w} item_n_{w}, u_{w} item_users_{w}, f_{w} item_platforms_{w}, round(e_{w}, 6) item_engagement_{w}, round(a_{w}, 6) item_avg_engagement_{w}, round(d_{w}, 6) item_std_engagement_{w}",
+            f"p_{w} item_purchases_{w}, v_{w} item_views_{w}, round(p_{w} / (v_{w} + 1), 6) item_purchase_rate_{w}, round(ln(1 + n_{w}) * ln(1 + u_{w}), 6) item_popularity_{w}",
+        ]
     return SQL_INTERACTIONS + f""", a as (select item_id, {', '.join(parts)} from interactions where ts >= {SQL_AS_OF} - interval 2592000 seconds and ts < {SQL_AS_OF} group by 1)
-select item_id, {', '.join(outs)}, round(e_7d / (e_30d + 0.001::double), 6) item_trend from a"""
+select item_id, {', '.join(outs)}, round(ln(1 + n_7d) * ln(1 + u_7d) / (ln(1 + n_30d) * ln(1 + u_30d) + 0.001::double), 6) item_trend_popularity,
+  round(a_1d / (a_7d + 0.001::double), 6) item_trend_engagement from a"""
 
 
 @register("D5_item_windows", _d5_sql())

@@ -105,7 +105,7 @@ def c1(spark, sf):
 
 @register("C3_full_outer_merge", SQL_INTERACTIONS + ", a as (select user_id, count(*) buys from interactions where action = 'purchase' and ts >= timestamp '2024-01-28' group by 1), b as (select user_id, count(*) clicks from interactions where action = 'click' and ts >= timestamp '2024-01-28' group by 1) select user_id, coalesce(buys, 0) buys, coalesce(clicks, 0) clicks from a full join b using (user_id)")
 def c3(spark, sf):
-    it = views.interactions(spark, sf).filter(F.col("ts") >= F.lit("2024-01-28").cast("timestamp"))
+    it = views.interactions(spark, sf).filter(F.col("ts") >= O.since(AS_OF, 3 * 86_400))
     a = it.filter("action = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("buys"))
     b = it.filter("action = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("clicks"))
     return a.join(b, "user_id", "full_outer").select("user_id", F.coalesce("buys", F.lit(0)).cast("long").alias("buys"), F.coalesce("clicks", F.lit(0)).cast("long").alias("clicks"))
@@ -208,7 +208,7 @@ def i13(spark, sf):
     return x.groupBy("user_id", (F.col("d") + 1).cast("long").alias("dim")).agg(r6(F.sum(F.col("w") * F.col("v").cast("double"))).alias("ema"))
 
 
-_H = "h as (select distinct user_id, item_id from interactions where ts >= timestamp '2024-01-28')"
+_H = "h as (select distinct user_id, item_id from interactions where ts >= " + SQL_AS_OF + " - interval 3 days)"
 _EDGE = f"""s as (select lag(item_id) over (partition by user_id order by ts, event_id) src, item_id dst, {_weight('graph')} * exp(-0.1::double * (epoch_us({SQL_AS_OF}) - epoch_us(ts)) / 1e6 / 86400) w from interactions),
 e as (select src, dst, sum(w) w from s where src is not null and src <> dst group by 1, 2), f as (select src, dst, w, round(w / sum(w) over (partition by src), 6) weight from e)"""
 
@@ -299,13 +299,6 @@ def n4(spark, sf):
     return long.groupBy("user_id").pivot("action", ["view", "purchase"]).agg(F.first("n")).na.fill(0)
 
 
-@register("N6_hybrid_features", SQL_INTERACTIONS + f", a as (select user_id, count(*) filter (where ts >= {SQL_AS_OF} - interval 1 day) d, count(*) filter (where ts >= {SQL_AS_OF} - interval 30 days) m from interactions group by 1) select user_id, round(case when m = 0 then 0 else d / (m / 30) end, 6) ratio from a")
-def n6(spark, sf):
-    n = lambda d: count_if(F.col("ts") >= O.since(AS_OF, d * 86_400))
-    a = views.interactions(spark, sf).groupBy("user_id").agg(n(1).alias("d"), n(30).alias("m"))
-    return a.select("user_id", r6(sd(F.col("d").cast("double"), F.col("m") / 30)).alias("ratio"))
-
-
 @register("O4_personas", SQL_INTERACTIONS + f", a as (select user_id, {_n('purchase')} p, {_n('view')} v, count(distinct category_id) c from interactions group by 1) select user_id, case when p > 15 then 'buyer' when c >= 10 and v > 15 then 'explorer' when v > 15 then 'browser' else 'casual' end persona from a")
 def o4(spark, sf):
     a = views.interactions(spark, sf).groupBy("user_id").agg(O.n_action("purchase").alias("p"), O.n_action("view").alias("v"), F.countDistinct("category_id").alias("c"))

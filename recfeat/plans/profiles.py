@@ -207,7 +207,7 @@ def b7(spark, sf):
     return views.table(spark, sf, "events").groupBy(X.price_band(F.col("value")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("B12_cyclic_time", SQL_INTERACTIONS + " select event_id, round(sin(hour(ts) * 2 * pi() / 24), 6) hour_sin, round(cos(hour(ts) * 2 * pi() / 24), 6) hour_cos, round(sin((isodow(ts) - 1) * 2 * pi() / 7), 6) day_sin, round(cos((isodow(ts) - 1) * 2 * pi() / 7), 6) day_cos from interactions")
+@register("B12_cyclic_time", SQL_INTERACTIONS + " select event_id, round(sin(hour(ts) * 2 * pi() / 24), 6) + 0 hour_sin, round(cos(hour(ts) * 2 * pi() / 24), 6) + 0 hour_cos, round(sin((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0 day_sin, round(cos((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0 day_cos from interactions")
 def b12(spark, sf):
     hs, hc = X.cyclic(F.hour("ts"), 24)
     ds, dc = X.cyclic(F.weekday("ts"), 7)

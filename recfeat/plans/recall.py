@@ -7,8 +7,10 @@ from pyspark.sql.window import Window as W
 
 from recfeat import views
 from recfeat.functions import exprs as X
+from recfeat.functions.exprs import r6, sd
 from recfeat.operators import features as O
 from recfeat.operators import recall as R
+from recfeat.operators.running import Recent, exact, recent_sums
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _n, _weight, rounded
 from recfeat.plans.metrics import _RECS, _recs
@@ -167,13 +169,6 @@ def a17(spark, sf):
     return it.select("event_id", "user_id", "item_id", "action", F.hour("ts").alias("hour"), F.round("price", 6).alias("price"))
 
 
-@register("A18_hot_users", SQL_INTERACTIONS + f", v as (select user_id from interactions where action = 'purchase' group by 1 having sum(price) > 2000), a as (select distinct user_id from interactions where ts >= {SQL_AS_OF} - interval 1 day) select user_id from v union select user_id from a")
-def a18(spark, sf):
-    it = views.interactions(spark, sf)
-    vip = it.filter("action = 'purchase'").groupBy("user_id").agg(F.sum("price").alias("s")).filter("s > 2000").select("user_id")
-    return vip.union(it.filter(F.col("ts") >= O.since(AS_OF, 86_400)).select("user_id")).distinct()
-
-
 @register("A20_quality_gates", SQL_INTERACTIONS + """ select 'interactions' as check, count(*)::double as value, 1000.0::double threshold, count(*) >= 1000 passed from interactions union all select 'users', count(distinct user_id)::double, 10.0::double, count(distinct user_id) >= 10 from interactions
 union all select 'null_items', count(*) filter (where item_id is null)::double, 0.0::double, count(*) filter (where item_id is null) <= 0 from interactions""")
 def a20(spark, sf):
@@ -211,13 +206,24 @@ def c9(spark, sf):
     return R.as_of_join(it.select("event_id", "user_id", F.unix_seconds("ts").alias("s")), w, "user_id", "s", "end_s", "window_events").drop("s")
 
 
-@register("C10_point_in_time", SQL_INTERACTIONS + """, s as (select event_id, user_id, epoch_us(ts) t from interactions where action = 'purchase'), h as (select user_id, epoch_us(ts) t, price from interactions)
-select s.event_id, """ + ", ".join(f"count(h.t) filter (where h.t >= s.t - {w}::bigint * 1000000) n_{n}" for n, w in (("1h", 3600), ("6h", 21_600), ("1d", 86_400), ("7d", 604_800))) + """ from s left join h on s.user_id = h.user_id and h.t < s.t and h.t >= s.t - 604800000000 group by 1""")
+_C10 = {"1h": 3600, "6h": 21_600, "1d": 86_400, "7d": 604_800}
+
+
+@register("C10_point_in_time", SQL_INTERACTIONS + """, s as (select event_id, user_id, epoch_us(ts) t from interactions where action = 'purchase'), h as (select user_id, item_id, action, epoch_us(ts) t, price from interactions)
+select s.event_id, """ + ", ".join(
+    f"""count(h.t) filter (where h.t >= s.t - {w}::bigint * 1000000) n_{n}, count(h.t) filter (where h.t >= s.t - {w}::bigint * 1000000 and action = 'click') clicks_{n},
+  count(h.t) filter (where h.t >= s.t - {w}::bigint * 1000000 and action = 'purchase') purchases_{n}, count(distinct item_id) filter (where h.t >= s.t - {w}::bigint * 1000000) items_{n},
+  round(coalesce(avg(price) filter (where h.t >= s.t - {w}::bigint * 1000000), 0), 6) avg_price_{n}""" for n, w in _C10.items()
+) + """ from s left join h on s.user_id = h.user_id and h.t < s.t and h.t >= s.t - 604800000000 group by 1""")
 def c10(spark, sf):
-    it = views.interactions(spark, sf).withColumn("us", F.unix_micros("ts"))
-    w = W.partitionBy("user_id").orderBy("us")
-    n = [F.count("event_id").over(w.rangeBetween(-s * 1_000_000, -1)).alias(f"n_{k}") for k, s in (("1h", 3600), ("6h", 21_600), ("1d", 86_400), ("7d", 604_800))]
-    return it.select("event_id", "action", *n).filter("action = 'purchase'").drop("action")
+    """What was known of the user just before each purchase; a hot user's history is spread over tasks."""
+    it = views.interactions(spark, sf).select("event_id", "user_id", "item_id", "action", "price", F.unix_micros("ts").alias("us"))
+    priced, buys, clicks = F.col("price").isNotNull().cast("int"), *[(F.col("action") == a).cast("int") for a in ("purchase", "click")]
+    kinds = {"n": F.lit(1), "clicks": clicks, "purchases": buys, "_paid": exact(F.col("price")), "_priced": priced}
+    recent = {f"{k}_{w}": Recent(s, v) for w, s in _C10.items() for k, v in kinds.items()} | {f"items_{w}": Recent(s, distinct="item_id") for w, s in _C10.items()}
+    out = recent_sums(it, ["user_id"], "us", recent).filter("action = 'purchase'")
+    price = [r6(sd(F.col(f"_paid_{w}").cast("double"), F.col(f"_priced_{w}")) / 1_000_000).alias(f"avg_price_{w}") for w in _C10]
+    return out.select("event_id", *[f"{k}_{w}" for k in ("n", "clicks", "purchases", "items") for w in _C10], *price)
 
 
 @register("R3_negative_samples")

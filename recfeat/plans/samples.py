@@ -13,6 +13,7 @@ from recfeat.operators import models as L
 from recfeat.operators import ranking as K
 from recfeat.operators import recall as R
 from recfeat.operators import store as S
+from recfeat.operators.running import Recent, exact, recent_sums
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _n, _weight
 from recfeat.plans.more import _EDGE, _H, _WATCH, _watches
@@ -66,7 +67,7 @@ k as (select g.* from g where not exists (select 1 from h where h.user_id = g.us
 select *, row_number() over (partition by user_id order by score desc, item_id) rank from k qualify row_number() over (partition by user_id order by score desc, item_id) <= 10""")
 def j5(spark, sf):
     it = views.interactions(spark, sf)
-    history = it.filter(F.col("ts") >= F.lit("2024-01-28").cast("timestamp")).select("user_id", "item_id").distinct()
+    history = it.filter(F.col("ts") >= O.since(AS_OF, 3 * 86_400)).select("user_id", "item_id").distinct()
     popularity = it.groupBy("item_id").agg((F.count(F.lit(1)) / 1000).alias("popularity"))
     return R.neighbour_recall(history, R.attention_edges(it, AS_OF), popularity, 10)
 
@@ -221,17 +222,16 @@ def _samples(spark, sf):
     """Interactions with what was known just before each; user, item and category histories end before the event."""
     it = views.interactions(spark, sf).withColumn("us", F.unix_micros("ts"))
 
-    def before(keys: list[str], span: str):
-        return W.partitionBy(*keys).orderBy("us").rangeBetween(-_SPAN[span] * 1_000_000, -1)
-
-    counts = {
-        f"{side}_{name}_{w}": F.count(F.lit(1) if action is None else F.when(F.col("action") == action, 1)).over(before([f"{side}_id"], w))
-        for side, parts in _COUNTED.items() for name, action, spans in parts for w in spans
-    }
-    rows = it.withColumns(counts | {
-        "user_avg_price_1d": F.coalesce(F.avg("price").over(before(["user_id"], "1d")), F.lit(0.0)), "user_avg_price_7d": F.coalesce(F.avg("price").over(before(["user_id"], "7d")), F.lit(0.0)),
-        "own_category_7d": F.count(F.lit(1)).over(before(["user_id", "category_id"], "7d")),
-    })
+    of = lambda action: F.lit(1) if action is None else (F.col("action") == action).cast("int")
+    rows = it
+    for side, parts in _COUNTED.items():
+        recent = {f"{side}_{name}_{w}": Recent(_SPAN[w], of(action)) for name, action, spans in parts for w in spans}
+        if side == "user":
+            recent |= {f"_{kind}_{w}": Recent(_SPAN[w], x) for w in ("1d", "7d") for kind, x in (("paid", exact(F.col("price"))), ("priced", F.col("price").isNotNull().cast("int")))}
+        rows = recent_sums(rows, [f"{side}_id"], "us", recent)
+    rows = recent_sums(rows, ["user_id", "category_id"], "us", {"own_category_7d": Recent(_SPAN["7d"], F.lit(1))})
+    rows = rows.withColumns({f"user_avg_price_{w}": sd(F.col(f"_paid_{w}").cast("double"), F.col(f"_priced_{w}")) / 1_000_000 for w in ("1d", "7d")})
+    counts = [f"{side}_{name}_{w}" for side, parts in _COUNTED.items() for name, _, spans in parts for w in spans]
     c = F.col
     return rows.select(
         "event_id", "user_id", "item_id", c("action").isin("purchase", "like").cast("int").alias("label"), (c("user_id") % 7).alias("user_age_group"), (c("user_id") % 3).alias("user_gender"),
@@ -269,7 +269,7 @@ def _model_vector() -> list[str]:
 DIMENSIONS = 50
 
 
-@register("B13_model_vector", _sql_samples() + """, v as (select event_id, [""" + ", ".join(f"round(({p})::double, 6)" for p in _model_vector()) + ", 0.0::double" * (DIMENSIONS - len(_model_vector())) + """] vec from s) select event_id, vec from v""")
+@register("B13_model_vector", _sql_samples() + """, v as (select event_id, [""" + ", ".join(f"round(({p})::double, 6) + 0" for p in _model_vector()) + ", 0.0::double" * (DIMENSIONS - len(_model_vector())) + """] vec from s) select event_id, vec from v""")
 def b13(spark, sf):
     values = [r6(F.expr(p).cast("double")) for p in _model_vector()]
     return _samples(spark, sf).select("event_id", F.concat(F.array(*values), F.array_repeat(F.lit(0.0), DIMENSIONS - len(values))).alias("vec"))

@@ -27,7 +27,9 @@ def plain(v):
 
 def same(a, b):
     if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-6)
+        if a is None or b is None or not math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-6):
+            return False
+        return bool(a or b) or math.copysign(1, a) == math.copysign(1, b)  # 0.0 isn't -0.0
     if isinstance(a, tuple):
         return len(a) == len(b) and all(map(same, a, b))
     return a == b and type(a) is type(b)

@@ -8,6 +8,8 @@ turned round, so the classifier can't win by calling all positives negative.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +28,20 @@ WORDS = 4096
 #: A word counts if this many training documents hold it.
 LEAST_DOCS = 5
 STEPS, BATCH, RATE, DECAY, BOUND = 150, 4000, 0.2, 1e-3, 1.0
-#: Least share of the positives above a threshold that the estimate of the prior looks at.
-SURE = 0.5
+#: For the estimate of the prior: standard errors from which a word is telling, and shares of the positives reached.
+BEYOND, REACHED = (3.0, 4.0, 5.0, 6.0), np.arange(0.5, 0.96, 0.05)
+
+
+class Sample(NamedTuple):
+    """Presence of ``words`` in positives and unlabelled documents, and the half of each; columns by who chose them."""
+
+    words: np.ndarray
+    whole: np.ndarray
+    by_half: tuple[np.ndarray, np.ndarray]
+    pos: np.ndarray
+    pos_half: np.ndarray
+    unl: np.ndarray
+    unl_half: np.ndarray
 
 
 def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,103 +117,128 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 7) -> np.n
     return out
 
 
-def _quotient(at_p: np.ndarray, at_u: np.ndarray) -> float:
-    """The least share of unlabelled scores above a threshold, as a part of the positives' share, with one standard
-    error of either allowed for."""
-    error = lambda share, n: np.sqrt((share * (1 - share) + 1 / n) / n)
-    cuts = np.unique(at_p)
-    above_p = 1 - np.searchsorted(np.sort(at_p), cuts) / len(at_p)
-    above_u = 1 - np.searchsorted(np.sort(at_u), cuts) / len(at_u)
-    high, low = above_u + error(above_u, len(at_u)), above_p - error(above_p, len(at_p))
-    return float(np.where((above_p >= SURE) & (low > 0), high / np.maximum(low, 1e-9), 1.0).min())
+def _frequencies(rows: np.ndarray) -> np.ndarray:
+    return (rows.sum(0, dtype=np.float64) + 0.5) / (len(rows) + 1)
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 7, splits: int = 3, rounds: int = 3) -> float:
-    """The share of positives among the unlabelled rows, from positives and unlabelled rows alone.
+def estimate_prior(s: Sample) -> float:
+    """The share of positives among the unlabelled documents, from positives and unlabelled documents alone.
 
     No threshold of any score can leave a smaller share of the unlabelled above it than prior x the share of positives
-    above it, so each score bounds the prior by its least quotient; the better the score, the closer.  The first score
-    sums the words' log ratios of frequency, the next ones come from classifiers trained under the bound found before;
-    scores are made on one half of the rows and judged on the other, for several halves.
+    above it, so the quotient of the two bounds the prior from above, and comes down to it where only positives are left.
+    Scores sum the log ratios of words that one half of the documents shows to be telling; the quotient is taken in
+    the other half, at the scores that given shares of the positives reach.  Both ways round are averaged before the least of the
+    quotients, each with a standard error added, is taken, so that chance isn't picked out.  A half has the same
+    documents on both sides.  Without a bound below 0.95 nothing is known, and 0.5 is the answer.
     """
-    if len(pos) < 2 or len(unl) < 2:
+    least = 1.0
+    cells = [[(x[h == v], cols) for x, h in ((s.pos, s.pos_half), (s.unl, s.unl_half))] for v, cols in enumerate(s.by_half)]
+    if min(len(x) for half in cells for x, _ in half) < 2:
         return 0.5
-    often = lambda rows: (rows.sum(0, dtype=np.float64) + 0.5) / (len(rows) + 1)
-    least = 0.95
-    for split in range(splits):
-        rng = np.random.default_rng(seed + split)
-        p, u = rng.permutation(len(pos)), rng.permutation(len(unl))
-        weights, prior = np.log(often(pos[p[::2]]) / often(unl[u[::2]])), 0.95
-        for at in range(rounds):
-            if at:
-                weights = _descend(pos[p[::2]], unl[u[::2]], prior, 0.0, rng)[:-1]
-            at_p, at_u = (rows @ weights.astype(np.float32) for rows in (pos[p[1::2]], unl[u[1::2]]))
-            prior = min(prior, max(1e-4, _quotient(at_p, at_u)))
-        least = min(least, prior)
-    return least
-
-
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[np.ndarray, float]:
-    """Weights over BUCKETS hashed words and the bias, from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both
-    of training rows only.
-
-    A document counts as confirmed toxic if any of its label rows says so; labels of 0 are not used.  ``prior`` is the
-    share of toxic documents; without it, it is estimated from the confirmed and the unlabelled documents.  Words are
-    counted in the sample by Spark, and the driver gets WORDS bits a sampled document, whatever its length.  Without
-    positives or documents the classifier scores everything near 0.
+    known = []
+    for (pos, cols), (unl, _) in cells:
+        p, u = _frequencies(pos[:, cols]), _frequencies(unl[:, cols])
+        known.append((cols, np.log(p / u), (p - u) / np.sqrt((u + p / len(pos)) / len(pos))))
+    for beyond in BEYOND:
+        quotients, counts = [], 0.0
+        for (cols, ratio, errors), test in zip(known, cells[::-1], strict=True):
+            use = errors > beyond
+            at_p, at_u = (np.sort(x[:, cols[use]].astype(np.float32) @ ratio[use].astype(np.float32)) for x, _ in test)
+            cuts = np.quantile(at_p, 1 - REACHED, method="lower")
+            above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (at_p, at_u))
+            quotients.append(above_u / above_p)
+            counts = counts + above_u * len(at_u)
+        least = min(least, float((np.mean(quotients, 0) * (1 + 1 / np.sqrt(np.maximum(1, counts)))).min()))
+    return max(1e-4, least) if least < 0.95 else 0.5
+
+
+def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Sample | None:
+    """The words that a classifier may use, and which of them each sampled document holds.
+
+    Documents are dealt into two halves by a hash of the id; beside the words for the whole sample, those that each half
+    alone would choose are told.  None if there are no positives, no unlabelled documents or no words.
     """
     small_batches(docs.sparkSession)
-    nothing = np.zeros(BUCKETS, np.float32), -5.0
     known = labels.filter("doc_id is not null and toxic = 1").select("doc_id").distinct()
     n_known, total = known.count(), docs.count()
     if not n_known or not total:
-        return nothing
+        return None
     million = 1_000_000
     toxic_ids = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < million * min(1.0, positives / n_known))
+    half = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)), F.lit(0)).cast("int").alias("half")
     texts = docs.select("doc_id", "text").filter("text is not null")
-    picked = texts.join(F.broadcast(toxic_ids), "doc_id").select("text", F.lit(1).alias("kind"))
+    picked = texts.join(F.broadcast(toxic_ids), "doc_id").select("text", F.lit(1).alias("kind"), half)
     other = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(million)) < million * min(1.0, unlabelled / total)
-    picked = picked.union(texts.filter(other).select("text", F.lit(0).alias("kind")))
+    picked = picked.union(texts.filter(other).select("text", F.lit(0).alias("kind"), half))
 
     def work(batches):
         for batch in batches:
             for a, b, data, bounds in tb.slices(batch.column(0)):
                 idx, at = _features(data, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(idx, pa.int32()))], names=["kind", "words"])
-
-    rows = stash(picked.mapInArrow(work, "kind int, words array<int>"), "toxicity-sample")
-    sizes = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return nothing
-    # How far a word's share among the positives is from its share among the unlabelled, in standard errors of chance.
-    n_p, n_u = sizes[1], sizes[0]
-    tally = rows.select("kind", F.explode("words").alias("word")).groupBy("word").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
-    share = (F.col("p") + F.col("u") + 1) / float(n_p + n_u + 1)
-    apart = F.abs(F.col("p") / float(n_p) - F.col("u") / float(n_u)) / F.sqrt(share / float(n_p))
-    best = tally.filter(F.col("p") + F.col("u") >= LEAST_DOCS).orderBy(apart.desc(), "word").limit(WORDS)
-    words = np.sort(np.array([r.word for r in best.select("word").collect()], np.int64))
-    if not len(words):
-        return nothing
+                held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(idx, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), held], names=["kind", "half", "words"])
+
+    rows = stash(picked.mapInArrow(work, "kind int, half int, words array<int>"), "toxicity-sample")
+    sizes = {(r.kind, r.half): r.n for r in rows.groupBy("kind", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = [(kind, h) for kind in (0, 1) for h in (0, 1)]
+    if not any(sizes.get((0, h)) for h in (0, 1)) or not any(sizes.get((1, h)) for h in (0, 1)):
+        return None
+    each = rows.select("kind", "half", F.explode("words").alias("word"))
+    tally = each.groupBy("word").agg(*[F.count(F.when((F.col("kind") == k) & (F.col("half") == h), 1)).alias(f"n{k}{h}") for k, h in cells])
+    tally = stash(tally, "toxicity-words")
+
+    def telling(halves: tuple[int, ...]) -> np.ndarray:
+        """The words whose share among the positives is farthest from that among the unlabelled, in standard errors of chance."""
+        p, u = (sum((F.col(f"n{k}{h}") for h in halves), F.lit(0)) for k in (1, 0))
+        n_p, n_u = (float(sum(sizes.get((k, h), 0) for h in halves)) for k in (1, 0))
+        if not n_p or not n_u:
+            return np.zeros(0, np.int64)
+        share = (p + u + 1) / (n_p + n_u + 1)
+        apart = F.abs(p / n_p - u / n_u) / F.sqrt(share / n_p)
+        best = tally.filter(p + u >= LEAST_DOCS).orderBy(apart.desc(), "word").limit(WORDS)
+        return np.sort(np.array([r.word for r in best.select("word").collect()], np.int64))
+
+    chosen = [telling(halves) for halves in ((0, 1), (0,), (1,))]
+    if not len(chosen[0]):
+        return None
+    words = np.unique(np.concatenate(chosen))
 
     def bits(batches):
         for batch in batches:
-            held = np.asarray(batch.column(1).values)
-            at = np.asarray(batch.column(1).offsets)
-            for s, e, kind in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(0).to_pylist(), strict=True):
+            held = np.asarray(batch.column(2).values)
+            at = np.asarray(batch.column(2).offsets)
+            for s, e, kind, h in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 dense = np.zeros(len(words), np.uint8)
                 place = np.searchsorted(words, held[s:e])
                 place = place[(place < len(words)) & (words[np.minimum(place, len(words) - 1)] == held[s:e])]
                 dense[place] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([np.packbits(dense).tobytes()], pa.binary())], names=["kind", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bytes([h]) + np.packbits(dense).tobytes()], pa.binary())], names=["kind", "bits"])
 
     got: tuple[list, list] = ([], [])
-    for r in rows.mapInArrow(bits, "kind int, bits binary").toLocalIterator():  # WORDS bits for each of the sample's documents
+    for r in rows.mapInArrow(bits, "kind int, bits binary").toLocalIterator():  # 3 WORDS bits at most for each of the sample's documents
         got[r.kind].append(bytes(r.bits))
     # In an order that doesn't depend on how Spark has cut the sample.
-    unl, pos = (np.unpackbits(np.frombuffer(b"".join(sorted(x)), np.uint8).reshape(len(x), -1), axis=1)[:, : len(words)] for x in got)
-    w = train(pos, unl, estimate_prior(pos, unl) if prior is None else prior)
+    raw = [np.frombuffer(b"".join(sorted(x)), np.uint8).reshape(len(x), -1) for x in got]
+    unl, pos = (np.unpackbits(x[:, 1:], axis=1)[:, : len(words)] for x in raw)
+    whole, *by_half = (np.searchsorted(words, x) for x in chosen)
+    return Sample(words, whole, tuple(by_half), pos, raw[1][:, 0], unl, raw[0][:, 0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[np.ndarray, float]:
+    """Weights over BUCKETS hashed words and the bias, from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both
+    of training rows only.
+
+    A document counts as confirmed toxic if any of its label rows says so; labels of 0 are not used.  ``prior`` is the
+    share of toxic documents; without it, it is estimated from the confirmed and the unlabelled documents.  Words are
+    counted in the sample by Spark, and the driver gets WORDS bits a sampled document, whatever its length.  Without
+    positives or documents the classifier scores everything near 0.
+    """
+    got = sample(docs, labels, positives, unlabelled)
+    if got is None:
+        return np.zeros(BUCKETS, np.float32), -5.0
+    w = train(got.pos[:, got.whole], got.unl[:, got.whole], estimate_prior(got) if prior is None else prior)
     out = np.zeros(BUCKETS, np.float32)
-    out[words] = w[:-1]
+    out[got.words[got.whole]] = w[:-1]
     return out, float(w[-1])
 
 

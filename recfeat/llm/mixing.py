@@ -4,24 +4,25 @@ A source of weight w, its part of the sum of the weights, has the release time f
 ceil((j + 1) / w) for its block j.  Serving the released block with the earliest deadline in each slot keeps every
 source less than one block from its exact target at all times.  The weights are taken as whole numbers, without
 rounding, so the bound holds however long a phase is.  When a source has run out, the rest go on with their weights
-scaled up, as a new phase.  The driver works out the slot of each block, one step of a heap a block; blocks grow with
-the rows so that there are about MOST_BLOCKS at most, and rows find their block's slot by a join.
+scaled up, as a new phase.  The driver works out the slot of each block in steps that grow with the logarithm of the
+number of sources; a block is one of SLOTS equal runs of the rows, so the schedule is as long for every table, and rows
+find their block's slot by a join.
 """
 
 from __future__ import annotations
 
 import heapq
-from array import array
+from bisect import bisect_left
 from fractions import Fraction
 from math import lcm
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import BROADCAST_ROWS, ranked
 
-#: Rows of a block at least, and blocks at most (beside a last short one of each source): the size of the schedule.
-BLOCK_ROWS, MOST_BLOCKS = 32, 1 << 18
+#: Blocks of a table, beside a last short one of each source.
+SLOTS = 1 << 16
 
 
 def whole(weights: list[float]) -> list[int]:
@@ -31,64 +32,125 @@ def whole(weights: list[float]) -> list[int]:
     return [int(x * scale) for x in exact]
 
 
-def serve(parts: list[int], blocks: list[int] | None = None, slots: int | None = None) -> list[array]:
-    """For each source the slots of its blocks, earliest deadline first among released blocks, until a source has
-    served all of its ``blocks`` or ``slots`` are filled."""
-    total = sum(parts)
-    released: dict[int, list[int]] = {0: list(range(len(parts)))}
-    ready: list[tuple[int, int]] = []
-    out = [array("q") for _ in parts]
-    slot = 0
-    while slot != slots:
-        for i in released.pop(slot, ()):
-            heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // parts[i]), i))
-        _, i = heapq.heappop(ready)
-        out[i].append(slot)
-        slot += 1
-        if blocks is not None and len(out[i]) == blocks[i]:
-            break
-        released.setdefault(max(slot, len(out[i]) * total // parts[i]), []).append(i)
-    return out
-
-
-def period_table(parts: list[int]) -> list[array]:
-    """For each source the slots of its blocks in one period, in which it has as many as its part."""
-    return serve(parts, slots=sum(parts))
+class _Waiting:
+    """Sources that a phase hasn't served yet, found by earliest first deadline, then by place."""
+
+    def __init__(self, parts: list[int]):
+        self.by_part = sorted(range(len(parts)), key=lambda i: (-parts[i], i))
+        self.falling = [-parts[i] for i in self.by_part]
+        self.place = [0] * len(parts)
+        for at, i in enumerate(self.by_part):
+            self.place[i] = at
+        self.size = 1 << max(0, (len(parts) - 1).bit_length())
+        self.none = len(parts)
+        self.least = [self.none] * (2 * self.size)  # the least source of each range of places
+        self.heap: list[int] = []
+
+    def add(self, i: int) -> None:
+        heapq.heappush(self.heap, self.place[i])
+        self._put(i, i)
+
+    def take(self, i: int) -> None:
+        self._put(i, self.none)
+
+    def _put(self, i: int, value: int) -> None:
+        at = self.place[i] + self.size
+        self.least[at] = value
+        while at > 1:
+            at >>= 1
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def first(self, total: int) -> tuple[int, int] | None:
+        """(deadline, source): of those whose first deadline is earliest, the first one."""
+        while self.heap and self.least[self.heap[0] + self.size] == self.none:
+            heapq.heappop(self.heap)
+        if not self.heap:
+            return None
+        deadline = -(total // self.falling[self.heap[0]])
+        # Parts of total / deadline or more are due by then; they stand first.
+        lo, hi, found = self.size, self.size + bisect_left(self.falling, 1 - -(-total // deadline)), self.none
+        while lo < hi:
+            if lo & 1:
+                found, lo = min(found, self.least[lo]), lo + 1
+            if hi & 1:
+                hi -= 1
+                found = min(found, self.least[hi])
+            lo, hi = lo >> 1, hi >> 1
+        return deadline, found
 
 
 def phases(blocks: dict, weights: dict) -> list[dict]:
-    """The phases of the schedule: first slot, and for each source its first block, block count and slots.
+    """The phases of the schedule: first slot, and for each source that it serves the first block, block count and slots.
 
-    ``blocks`` has the number of blocks of each source.
+    ``blocks`` has the number of blocks of each source.  A phase ends when a source has run out; what it costs depends on
+    the blocks that it serves, not on the sources that wait.
     """
-    left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while active := [s for s in left if left[s] > 0]:
-        given = [float(weights.get(s) or 0) for s in active]
-        least = max(given) * 1e-9 or 1.0
-        table = serve(whole([max(w, least) for w in given]), [left[s] for s in active])
-        phase = {"base": base, "sources": {}}
-        for s, t in zip(active, table, strict=True):
-            phase["sources"][s] = {"first": done[s], "n": len(t), "slots": t}
-            done[s] += len(t)
-            left[s] -= len(t)
+    names = [s for s in blocks if blocks[s] > 0]
+    given = [float(weights.get(s) or 0) for s in names]
+    least = max(given, default=0.0) * 1e-9 or 1.0
+    parts = whole([max(w, least) for w in given])
+    left, done = [blocks[s] for s in names], [0] * len(names)
+    total, base, out, waiting = sum(parts), 0, [], _Waiting(parts)
+    for i in range(len(names)):
+        waiting.add(i)
+    while total:
+        served: dict[int, list[int]] = {}
+        ready: list[tuple[int, int]] = []
+        released: dict[int, list[int]] = {}
+        slot, over = 0, None
+        while over is None:
+            for i in released.pop(slot, ()):
+                heapq.heappush(ready, (-(-(len(served[i]) + 1) * total // parts[i]), i))
+            fresh = waiting.first(total)
+            if fresh is not None and (not ready or fresh < ready[0]):
+                i = fresh[1]
+                waiting.take(i)
+                served[i] = []
+            else:
+                i = heapq.heappop(ready)[1]
+            served[i].append(slot)
+            slot += 1
+            if len(served[i]) == left[i]:
+                over = i
+            else:
+                released.setdefault(max(slot, len(served[i]) * total // parts[i]), []).append(i)
+        out.append({"base": base, "sources": {names[i]: {"first": done[i], "n": len(t), "slots": t} for i, t in served.items()}})
+        for i, t in served.items():
+            done[i] += len(t)
+            left[i] -= len(t)
             base += len(t)
-        out.append(phase)
+            if left[i]:
+                waiting.add(i)
+        total -= parts[over]
     return out
 
 
-def block_rows(rows: int) -> int:
-    """The rows of a block in a table of ``rows`` rows."""
-    return max(BLOCK_ROWS, -(-rows // MOST_BLOCKS))
+def period_table(parts: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks in one period, in which it has as many as its part."""
+    total = sum(parts)
+    first = phases({i: 2 * x for i, x in enumerate(parts)}, dict(enumerate(parts)))[0]["sources"]
+    return [[t for t in first[i]["slots"] if t < total] for i in range(len(parts))]
 
 
-def placed_blocks(spark: SparkSession, plan: list[dict], offset: dict) -> DataFrame:
-    """_g (the block's number over all sources, from ``offset``), phase and slot of each block, to be broadcast: at most
-    MOST_BLOCKS and one for each source, of 20 bytes each."""
-    made = [
-        (offset[s] + x["first"] + i, p, phase["base"] + t)
-        for p, phase in enumerate(plan) for s, x in phase["sources"].items() for i, t in enumerate(x["slots"])
-    ]
-    return F.broadcast(spark.createDataFrame(made, "_g long, phase int, slot long"))
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table, broadcast if they are few enough."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= BROADCAST_ROWS else made
+
+
+def placed_blocks(spark: SparkSession, plan: list[dict], counts: dict, block: int, offset: dict) -> DataFrame:
+    """_g (the block's number over all sources, from ``offset``), phase, slot and first position of each block: SLOTS rows and
+    one for each source."""
+    made = []
+    for p, phase in enumerate(plan):
+        for s, x in phase["sources"].items():
+            for j, t in enumerate(x["slots"], x["first"]):
+                made.append((phase["base"] + t, p, offset[s] + j, min(block, counts[s] - j * block)))
+    rows, at = [], 0
+    for slot, p, g, n in sorted(made):
+        rows.append((g, p, slot, at))
+        at += n
+    return _small(spark, rows, "_g long, phase int, slot long, _first long")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int | None = None, keep: tuple[str, ...] = (), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -96,40 +158,33 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block:
 
     ``weights`` gives each source's target weight; without it a source of n rows weighs n ** ``alpha``.  A weight of
     zero or none counts as 1e-9 of the largest, so that its rows come last.  No row is dropped or repeated: a source's
-    rows go, in an order that a hash of the id shuffles, into blocks of ``block`` rows (by default BLOCK_ROWS, more in
-    tables of more than BLOCK_ROWS x MOST_BLOCKS rows; the last may be shorter).  The null source
-    is a source of its own; null and repeated ids each keep their row.  An empty table gives an empty result.
+    rows go, in an order that a hash of the id shuffles, into blocks of ``block`` rows (the last may be shorter), by
+    default a SLOTS-th of all rows.  The null source is a source of its own; null and repeated ids each keep their row,
+    those without an id in the order of the files.  An empty table gives an empty result.
     The number of distinct sources is metadata and is brought to the driver with one count each.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), *[F.col(c) for c in keep if c not in (id_col, source_col)])
-    order = ranked(rows.withColumn("_shuffle", F.xxhash64("doc_id")), ["source", "_shuffle", "doc_id"], "mix").drop("_shuffle")
-    counts = {r.source: (r.n, r.start) for r in order.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("start")).collect()}
-    sources = sorted(counts, key=lambda s: (s is not None, s))
-    block = block or block_rows(sum(n for n, _ in counts.values()))
-    target = weights if weights is not None else {s: counts[s][0] ** alpha for s in sources}
-    plan = phases({s: -(-counts[s][0] // block) for s in sources}, target)
-
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), *[F.col(c) for c in keep if c not in (id_col, source_col)],
+        F.monotonically_increasing_id().alias("_tie"),
+    )
+    order = ranked(rows.withColumn("_shuffle", F.xxhash64(F.coalesce("doc_id", "_tie"))), ["source", "_shuffle", "doc_id", "_tie"], "mix").drop("_shuffle", "_tie")
+    found = {r.source: (r.n, r.start) for r in order.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("start")).collect()}
+    sources = sorted(found, key=lambda s: (s is not None, s))
+    counts = {s: found[s][0] for s in sources}
+    block = block or max(1, -(-sum(counts.values()) // SLOTS))
+    target = weights if weights is not None else {s: counts[s] ** alpha for s in sources}
+    blocks = {s: -(-counts[s] // block) for s in sources}
     offset, before = {}, 0
     for s in sources:
-        offset[s] = before
-        before += -(-counts[s][0] // block)
-    ids = F.broadcast(spark.createDataFrame([(s, counts[s][1], offset[s]) for s in sources], "_s string, _start long, _offset long"))
+        offset[s], before = before, before + blocks[s]
+    ids = _small(spark, [(s, found[s][1], offset[s]) for s in sources], "_s string, _start long, _offset long")
     placed = (
         order.join(ids, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_at", F.col("rank") - F.col("_start"))
         .withColumn("block", F.expr(f"_at div {block}L")).withColumn("_g", F.col("_offset") + F.col("block"))
-        .join(placed_blocks(spark, plan, offset), "_g")
+        .join(placed_blocks(spark, phases(blocks, target), counts, block, offset), "_g")
     )
-    # The short last blocks, one a source, move everything after them forward.
-    short = []
-    for phase in plan:
-        for s, x in phase["sources"].items():
-            blocks = -(-counts[s][0] // block)
-            if x["n"] and x["first"] + x["n"] == blocks and counts[s][0] % block:
-                short.append((phase["base"] + x["slots"][blocks - 1 - x["first"]], block - counts[s][0] % block))
-    gaps = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(g).cast("long").alias("g")) for t, g in sorted(short)]) if short else None
-    lost = F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["t"] < F.col("slot"), x["g"]).otherwise(0)) if short else F.lit(0)
-    return placed.select("doc_id", "source", *[c for c in keep if c not in (id_col, source_col)], "phase", "block", "slot", (F.col("slot") * block + F.col("_at") % block - lost).alias("position"))
+    return placed.select("doc_id", "source", *[c for c in keep if c not in (id_col, source_col)], "phase", "block", "slot", (F.col("_first") + F.col("_at") % block).alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block: int | None = None) -> DataFrame:

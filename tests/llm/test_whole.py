@@ -1,5 +1,6 @@
 """The corpus operators' whole jobs on cases that a rounded or capped form gets wrong."""
 
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -28,13 +29,12 @@ def test_lag_against_the_exact_weights(weights):
 
 
 def test_blocks_grow_with_the_rows(spark, monkeypatch):
-    """A table of many rows has a schedule of bounded size, and every row has its place in it."""
+    """The schedule is as long for every table, and every row has its place in it."""
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.sqrt("id") / 5)).alias("source"))
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(mixing, "MOST_BLOCKS", 60)
+    monkeypatch.setattr(mixing, "SLOTS", 60)
     rows = mixing.mix(docs).collect()
     sources = {r.source for r in rows}
-    assert mixing.block_rows(500) == 9 and len({r.slot for r in rows}) <= 60 + len(sources)
+    assert len({r.slot for r in rows}) <= 60 + len(sources) and Counter(Counter(r.slot for r in rows).values()).most_common(1)[0][0] == 9
     assert sorted(r.position for r in rows) == list(range(500))
     at = defaultdict(list)
     for r in sorted(rows, key=lambda r: r.position):
@@ -42,6 +42,28 @@ def test_blocks_grow_with_the_rows(spark, monkeypatch):
     assert all(x == sorted(x) for x in at.values())
 
 
+def test_many_sources(spark):
+    """Twenty thousand sources of a few rows each, as if domains were sources: the work doesn't grow with their square."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("d"), F.floor(F.pow(F.rand(3), 3) * 20_000)).alias("source"))
+    docs = docs.union(spark.range(20_000).select(F.col("id") + 60_000, F.concat(F.lit("d"), F.col("id"))))
+    begin = time.time()
+    mixed = mixing.mix(docs).agg(F.count("*").alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.countDistinct("position").alias("places"), F.countDistinct("source").alias("sources")).first()
+    assert tuple(mixed) == (80_000, 0, 79_999, 80_000, 20_000) and time.time() - begin < 60
+    rng = np.random.default_rng(2)
+    weights = {i: float(w) for i, w in enumerate(rng.random(3000) ** 4 + 1e-6)}
+    (first, *_) = mixing.phases({i: 1 + int(9e4 * w / sum(weights.values())) for i, w in weights.items()}, weights)
+    exact, total = {i: Fraction(w) for i, w in weights.items()}, sum(map(Fraction, weights.values()))
+    for i, x in first["sources"].items():
+        assert all(exact[i] / total * t - j < 1 and j + 1 - exact[i] / total * (t + 1) < 1 for j, t in enumerate(x["slots"]))
+
+
+def test_rows_without_ids_are_split(spark):
+    """Rows of one source without an id have places of their own, and the range partitions can part them."""
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one").alias("source"))
+    rows = mixing.mix(docs, keep=()).select("position").collect()
+    assert sorted(r.position for r in rows) == list(range(3000))
+
+
 def _brute_mixture(rows, weights, block):
     """(source, block, slot) by trying every slot: the released block with the least deadline, sources in order."""
     left = {s: -(-n // block) for s, n in Counter(s for _, s in rows).items()}

@@ -81,7 +81,7 @@ _ARROW = pa.struct([("h", pa.int64()), ("n", pa.int32()), ("gram", pa.string()),
 
 def _print(ws: _Words, at: int, h: int, n: int, window: int) -> dict:
     gram, before, after = ws.around(at, n, window - GRAM if n == GRAM else 0)
-    return {"h": h, "n": n, "gram": gram.decode(), "before": [w.decode() for w in before], "after": [w.decode() for w in after]}
+    return {"h": h, "n": n, "gram": gram.decode("utf-8", "replace"), "before": [w.decode("utf-8", "replace") for w in before], "after": [w.decode("utf-8", "replace") for w in after]}
 
 
 def _item_prints(items: DataFrame, window: int) -> DataFrame:

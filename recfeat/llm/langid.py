@@ -22,8 +22,8 @@ BUCKETS = 1 << 16
 SAMPLE = 2000
 #: Tasks that count the sample; a constant, as the sample is bounded.
 TASKS = 8
-#: Expectation-maximisation stops when no proportion moves by STILL, or after ROUNDS.
-STILL, ROUNDS = 1e-3, 200
+#: Expectation-maximisation stops when no proportion moves by STILL; each step raises the likelihood, so it does.
+STILL = 1e-3
 UNDETERMINED = "und"
 
 
@@ -66,7 +66,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
 def _em(p: np.ndarray, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions and log-likelihood of grams with probabilities ``p`` (grams x languages), counted ``c`` times."""
     share, n = start.astype(np.float32), c.sum()
-    for _ in range(ROUNDS):
+    while True:
         last, share = share, share * ((c / (p @ share)) @ p) / n
         if np.abs(share - last).max() < STILL:
             break
@@ -116,7 +116,7 @@ def _has_letter(data: np.ndarray) -> bool:
     low = data | 0x20
     if ((low >= 0x61) & (low <= 0x7A)).any():
         return True
-    return bool((data >= 0x80).any()) and any(x.isalpha() for x in data.tobytes().decode())
+    return bool((data >= 0x80).any()) and any(x.isalpha() for x in data.tobytes().decode("utf-8", "replace"))
 
 
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

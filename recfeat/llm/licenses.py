@@ -3,7 +3,8 @@
 A template is the set of words of a license text or notice; a text is cut into blocks that overlap by half, for each
 template in the least of the lengths 48, 96, 192, .. words whose half holds the whole template, so that a notice that
 stands in a text lies in some block whole.  A block matches when it holds at least ``THRESHOLD`` of the template's
-words, all of its telling words and none that tell of another license.
+words.  The match gets the template's label if its telling words stand together, no farther from the first of them than
+the template is long, and no word that tells of another license stands there.
 
 Words are ordered by the number of documents that hold them, rarest first.  A block that misses all of a template's
 first m - o + 1 words (m its words, o the required overlap) can't reach o, so texts meet templates in an equi-join on
@@ -29,7 +30,8 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 
 class Template(NamedTuple):
-    """A text to look for: its label, its folded words, those that must all stand in a block and those that must not."""
+    """A text to look for: its label, its folded words, those that must all stand about the first of them, and those that
+    must not."""
 
     label: str
     text: str
@@ -60,11 +62,18 @@ TEMPLATES = (
         "possibility of such damage", ("redistributions", "retain"),
     ),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution", "binary")),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative", "commons", "attribution"), ("sharealike", "share", "noncommercial", "noderivatives", "noderivs")),
+    Template("agpl", "gnu affero general public license", ("affero", "gnu")),
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative", "commons", "attribution"), ("sharealike", "alike", "noncommercial", "commercial", "noderivatives", "noderivs", "derivatives")),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc", "by", "nc"), ("sa", "nd")),
-    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative", "commons", "noncommercial"), ("sharealike", "noderivatives")),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative", "commons", "noncommercial"), ("sharealike", "alike", "noderivatives", "noderivs", "derivatives")),
+    Template("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ("cc", "by", "nc", "nd")),
+    Template("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ("creative", "commons", "noncommercial", "noderivatives")),
+    Template("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ("cc", "by", "nc", "sa")),
+    Template("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative", "commons", "noncommercial", "sharealike")),
+    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc", "by", "nd"), ("nc",)),
+    Template("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ("creative", "commons", "noderivatives"), ("noncommercial", "commercial")),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc", "by", "sa"), ("nc",)),
-    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative", "commons", "sharealike"), ("noncommercial",)),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative", "commons", "sharealike"), ("noncommercial", "commercial")),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived", "neighboring")),
     Template("epl-2.0", "licensed under the eclipse public license version 2 0", ("eclipse", "public")),
     Template("gpl-notice", "this work is licensed under the gnu general public license version 3", ("gnu", "general", "public"), ("lesser", "affero")),
@@ -148,17 +157,17 @@ def document_frequencies(flat: DataFrame, words: list[str]) -> dict[str, int]:
 
 
 def _matches(texts: DataFrame, templates: tuple[Template, ...], rank: dict[str, int], threshold: float) -> DataFrame:
-    """(row, template, label, share, block) for every block of ``texts`` (row, tokens) that matches a template."""
+    """(row, template, label, share) for every block of ``texts`` (row, tokens) that matches a template; the label may be null."""
     made, leads = [], []
     for at, t in enumerate(templates):
         ranks = sorted({rank[w] for w in t.text.split()})
         need = max(1, ceil(threshold * len(ranks) - 1e-9))
         lead = ranks[: len(ranks) - need + 1]
-        made.append((at, t.label, step_of(t), need, ranks, lead, list(t.needs), list(t.bars)))
+        made.append((at, t.label, step_of(t), need, ranks, lead, list(t.needs), list(t.bars), len(t.text.split())))
         leads += [(at, r) for r in lead]
     spark = texts.sparkSession
     word = {r: w for w, r in rank.items()}
-    table = spark.createDataFrame(made, "template int, label string, step int, need int, words array<int>, lead array<int>, needs array<string>, bars array<string>")
+    table = spark.createDataFrame(made, "template int, label string, step int, need int, words array<int>, lead array<int>, needs array<string>, bars array<string>, reach int")
     prefixes = spark.createDataFrame([(word[r], r, at) for at, r in leads], "word string, word_rank int, template int").join(table, "template")
 
     vocabulary = _words(sorted(rank, key=rank.get))
@@ -175,8 +184,11 @@ def _matches(texts: DataFrame, templates: tuple[Template, ...], rank: dict[str,
     room = F.least(F.size("words") - F.array_position("words", F.col("word_rank")), F.size("known") - F.array_position("known", F.col("word_rank"))) + 1
     shared = F.size(F.array_intersect("words", "known"))
     met = met.filter(leading & (room >= F.col("need"))).withColumn("shared", shared).filter("shared >= need")
-    told = (F.size(F.array_except("needs", "block")) == 0) & ~F.arrays_overlap("bars", "block")
-    return met.filter(told).select("row", "template", "label", (F.col("shared") / F.size("words")).alias("share"))
+    # About some place of its first telling word all the others stand, and none that tells of another license.
+    places = F.filter(F.sequence(F.lit(1), F.size("block")), lambda i: F.get("block", i - 1) == F.get("needs", F.lit(0)))
+    around = lambda i: F.slice("block", F.greatest(F.lit(1), i - F.col("reach")), F.col("reach") + F.least(i, F.col("reach") + 1))
+    told = (F.size("needs") == 0) | F.exists(places, lambda i: (F.size(F.array_except("needs", around(i))) == 0) & ~F.arrays_overlap("bars", around(i)))
+    return met.select("row", "template", F.when(told, F.col("label")).alias("label"), (F.col("shared") / F.size("words")).alias("share"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +196,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
 
     n_base counts the places where a phrase of ``PHRASES`` stands; first_word and last_word are the least and
     greatest start, in words from 0, or null.  ``labels`` adds the labels of the templates that some block of the text
-    matches, n_blocks counts matching (block, template) pairs, and score is 1 with a phrase, else the best share of a
+    matches and that its telling words bear out, n_blocks counts matching (block, template) pairs, and score is 1 with a phrase, else the best share of a
     matched template, else 0.  A null text is empty.  Every input row gives one row, repeated and null ids included;
     other columns are not read; an empty table gives none.  Templates may be of any length.
     """

@@ -129,16 +129,17 @@ with d as materialized (select row_number() over () r, doc_id, {_WORDS} w from d
 p(words, label) as (values {", ".join(f"(string_split('{p}', ' '), '{v}')" for p, v in licenses.PHRASES.items())}),
 places as (select r, label, i from (select r, w, unnest(range(1, len(w) + 1)) i from d), p where w[i:i + len(words) - 1] = words),
 base as (select r, count(*) n, min(i) - 1 lo, max(i) - 1 hi, list(distinct label) labels from places group by r),
-t(id, label, step, words, needs, bars) as (values
-    {", ".join(f"({i}, '{t.label}', {licenses.step_of(t)}, list_distinct(string_split('{t.text}', ' ')), {_sql_list(t.needs)}, {_sql_list(t.bars)})" for i, t in enumerate(licenses.TEMPLATES))}),
+t(id, label, step, reach, words, needs, bars) as (values
+    {", ".join(f"({i}, '{t.label}', {licenses.step_of(t)}, {len(t.text.split())}, list_distinct(string_split('{t.text}', ' ')), {_sql_list(t.needs)}, {_sql_list(t.bars)})" for i, t in enumerate(licenses.TEMPLATES))}),
 steps as (select distinct step from t),
 b as (
-    select r, step, list_distinct(w[s:s + 2 * step - 1]) x
+    select r, step, w[s:s + 2 * step - 1] o, list_distinct(w[s:s + 2 * step - 1]) x
     from (select r, w, step, unnest(range(1, greatest(1, len(w) - step) + 1, step)) s from d, steps)),
 m as (
-    select r, label, len(list_intersect(x, words)) / len(words) share from b join t using (step)
-    where list_has_all(x, needs) and not list_has_any(x, bars) and len(list_intersect(x, words)) >= {licenses.THRESHOLD}::double * len(words) - 1e-9::double),
-found as (select r, count(*) n, max(share) best, list(distinct label) labels from m group by r)
+    select r, len(list_intersect(x, words)) / len(words) share, case when len(needs) = 0 or len(list_filter(range(1, len(o) + 1),
+        lambda p: o[p] = needs[1] and list_has_all(o[greatest(1, p - reach):p + reach], needs) and not list_has_any(o[greatest(1, p - reach):p + reach], bars))) > 0 then label end label
+    from b join t using (step) where len(list_intersect(x, words)) >= {licenses.THRESHOLD}::double * len(words) - 1e-9::double),
+found as (select r, count(*) n, max(share) best, coalesce(list(distinct label) filter (where label is not null), []) labels from m group by r)
 select doc_id, len(w)::bigint n_words, coalesce(base.n, 0) n_base, lo first_word, hi last_word,
     array_to_string(list_sort(coalesce(base.labels, [])), ',') base_labels,
     array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') labels,

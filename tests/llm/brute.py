@@ -91,9 +91,13 @@ def templates_matched(text, templates, threshold, step_of):
         for s in range(0, max(1, len(w) - step), step):
             have = set(w[s : s + 2 * step])
             share = len(want & have) / len(want)
-            if share >= threshold - 1e-9 and set(t.needs) <= have and not set(t.bars) & have:
+            if share < threshold - 1e-9:
+                continue
+            n, best = n + 1, max(best, share)
+            block, reach = w[s : s + 2 * step], len(t.text.split())
+            near = [set(block[max(0, i - reach) : i + reach + 1]) for i, x in enumerate(block) if x in t.needs[:1]]
+            if not t.needs or any(set(t.needs) <= x and not set(t.bars) & x for x in near):
                 labels.add(t.label)
-                n, best = n + 1, max(best, share)
     return labels, n, best
 
 

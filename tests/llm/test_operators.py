@@ -75,6 +75,12 @@ def test_license_texts(spark):
         ("licensed under the Mozilla Public License Version 2.0", {"mpl-2.0"}), ("licensed under the Eclipse Public License, version 2.0", {"epl-2.0"}),
         ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
         ("This work is licensed under the GNU Lesser General Public License, version 3", {"lgpl-notice"}),
+        ("It is licensed under CC BY-NC-SA 4.0.", {"cc-by", "cc-by-nc-sa"}), ("licensed under CC BY-ND 4.0", {"cc-by", "cc-by-nd"}), ("Licensed under CC BY-NC-ND 4.0", {"cc-by", "cc-by-nc-nd"}),
+        ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"cc-by-nc-sa"}),
+        ("licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", {"cc-by-nd"}),
+        ("You are free to share and adapt. This work is licensed under a Creative Commons Attribution 4.0 International License", {"cc-by"}),
+        ("GNU Affero General Public License version 3", {"agpl"}),
+        ("Text: licensed under CC BY-NC 4.0 " + " ".join(prose[:20]) + " pictures: licensed under CC BY-SA 4.0", {"cc-by", "cc-by-nc", "cc-by-sa"}),
         (" ".join(prose[:333]) + " " + mit.upper() + " " + " ".join(prose[333:]), {"mit"}), (" ".join(prose[:100]) + " " + gappy + " " + " ".join(prose), {"mit"}),
         (" ".join(mit.split()[:70]) + " " + " ".join(prose), {"mit"}), (" ".join(mit.split()[40:110]) + " " + " ".join(prose), set()),
     ]
@@ -472,3 +478,12 @@ def test_toxicity_of_the_given_tables(spark, sf_dir):
     bad, good = ([r.score for r in rows if r.held_out and labels.get(r.doc_id) == k] for k in (1, 0))
     wins = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / max(1, len(bad) * len(good))
     assert wins > 0.95
+
+
+def test_language_of_broken_bytes(spark, docs):
+    """A text of bytes that aren't UTF-8 has no letters; beside letters they count like any other."""
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    rows = spark.createDataFrame([(1, bytearray(b"\xc3  ")), (2, bytearray(b"\xc3\xc3 the and of that"))], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows, *model).collect()}
+    assert got[1] == "und" and got[2] != "und"
+    assert langid.reject(rows.select("doc_id", "text"), *model).filter("doc_id = 1").count() == 0

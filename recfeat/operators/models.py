@@ -78,3 +78,51 @@ def biases(sums: DataFrame, key: str, shrink: float = 5.0) -> DataFrame:
     """(``key``, bias): how far the mean rating of a user or an item is from the mean of all, shrunk towards 0."""
     mean = sums.agg((F.sum("total") / F.sum("n")).alias("mean"))
     return sums.crossJoin(F.broadcast(mean)).select(key, ((F.col("total") - F.col("n") * F.col("mean")) / (F.col("n") + shrink)).alias("bias"))  # one row broadcast
+
+
+def fold_in_sums(ratings: DataFrame, factors: DataFrame, rank: int) -> DataFrame:
+    """What a user's normal equations need of ratings (user_id, item_id, rating) and fixed item factors
+    (item_id, factors, bias): a_i_j and b_i, with the user's own bias as one more factor.  Sums of batches add up."""
+    z = [F.get("factors", F.lit(i)).cast("double") for i in range(rank)] + [F.lit(1.0)]
+    target = F.col("rating") - F.col("bias")
+    a = [F.sum(z[i] * z[j]).alias(f"a_{i}_{j}") for i in range(rank + 1) for j in range(i, rank + 1)]
+    return ratings.join(factors, "item_id").groupBy("user_id").agg(*a, *[F.sum(z[i] * target).alias(f"b_{i}") for i in range(rank + 1)])
+
+
+def added_sums(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The sums after another batch, and whether it touched the user; earlier ratings aren't read again."""
+    names = [c for c in old.columns if c != "user_id"]
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in names], (F.max("_new") == 1).alias("touched"))
+
+
+def fold_in(sums: DataFrame, rank: int, regularization: float) -> DataFrame:
+    """(user_id, factors, bias) that solve each user's regularised normal equations, in Arrow batches of users."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = rank + 1
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def work(batches):
+        for batch in batches:
+            columns = [np.asarray(batch.column(k)) for k in range(1, batch.num_columns)]
+            a = np.zeros((len(batch), size, size))
+            for (i, j), c in zip(cells, columns, strict=False):
+                a[:, i, j] = a[:, j, i] = c
+            b = np.stack(columns[len(cells) :], 1) if len(batch) else np.zeros((0, size))
+            x = np.linalg.solve(a + regularization * np.eye(size), b[..., None])[..., 0]
+            offsets = pa.array(np.arange(len(batch) + 1) * rank, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x[:, :rank].ravel())), pa.array(x[:, rank])], names=["user_id", "factors", "bias"])
+
+    ordered = sums.select(F.col("user_id").cast("long"), *[F.col(f"a_{i}_{j}").cast("double") for i, j in cells], *[F.col(f"b_{i}").cast("double") for i in range(size)])
+    return ordered.mapInArrow(work, "user_id long, factors array<double>, bias double")
+
+
+def predicted(pairs: DataFrame, users: DataFrame, items: DataFrame, base: float) -> DataFrame:
+    """Ratings of pairs (user_id, item_id) from factors and biases, within 1..5; unknown users and items count as 0."""
+    u, i = users.select("user_id", F.col("factors").alias("_u"), F.col("bias").alias("_ub")), items.select("item_id", F.col("factors").alias("_i"), F.col("bias").alias("_ib"))
+    dot = F.aggregate(F.zip_with("_u", "_i", lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    zero = F.lit(0.0)
+    value = base + F.coalesce("_ub", zero) + F.coalesce("_ib", zero) + F.coalesce(dot, zero)
+    return pairs.join(u, "user_id", "left").join(i, "item_id", "left").select(*pairs.columns, F.least(F.lit(5.0), F.greatest(F.lit(1.0), value)).alias("predicted"))

@@ -77,15 +77,7 @@ def watch_patterns(watches: DataFrame) -> DataFrame:
     return out.withColumns({"engagement": score, "category": kind})
 
 
-def fm_pairs(vectors: Column) -> Column:
-    """Half of (sum of vectors)^2 - sum of squares, summed over dimensions; ``vectors`` is an array of arrays."""
-    n = F.size(F.get(vectors, F.lit(0)))
-    dims = F.sequence(F.lit(0), n - 1)
-    at = lambda d, f: F.aggregate(vectors, F.lit(0.0), lambda s, v: s + f(F.get(v, d).cast("double")))
-    return F.aggregate(dims, F.lit(0.0), lambda s, d: s + 0.5 * (at(d, lambda x: x) * at(d, lambda x: x) - at(d, lambda x: x * x)))
-
-
-def coarse_rank(candidates: DataFrame, recall: Column, ctr: Column, floor: float = 0.01, per_category: int = 200, k: int = 1000) -> DataFrame:
+def coarse_rank(candidates: DataFrame, recall: Column, ctr: Column, floor: float = 0.001, per_category: int = 200, k: int = 1000) -> DataFrame:
     """.3 recall + .7 click rate, at least ``floor``; at most ``per_category`` of a category and ``k`` a user."""
     rows = candidates.withColumn("score", F.round(0.3 * recall + 0.7 * ctr, 6)).filter(F.col("score") >= floor)
     return quota(rows, per_category, k, ["user_id"])

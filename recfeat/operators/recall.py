@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -60,12 +59,6 @@ def attention_edges(interactions: DataFrame, as_of) -> DataFrame:
     return edges.withColumn("weight", F.col("w") / F.sum("w").over(W.partitionBy("src"))).filter("w > 0").select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-def graph_recall(history: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """Summed edge weights from a user's recent items to items that the user lacks."""
-    reached = history.join(edges, history.item_id == edges.src).groupBy("user_id", F.col("dst").alias("item_id")).agg(F.round(F.sum("weight"), 6).alias("score"))
-    return top_k(reached.join(history, ["user_id", "item_id"], "left_anti"), k, "score", "item_id", ["user_id"])
-
-
 def merge_channels(**channels: DataFrame) -> DataFrame:
     """Union with source tags; duplicates keep the best score and all sources."""
     parts = [df.select("user_id", "item_id", "score", F.lit(name).alias("source")) for name, df in channels.items()]
@@ -83,45 +76,6 @@ def quota(df: DataFrame, per_category: int, k: int, by: list[str]) -> DataFrame:
     return top_k(df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_category).drop("_rn"), k, "score", "item_id", by)
 
 
-def greedy_quota(df: DataFrame, per_category: int, per_brand: int, k: int) -> DataFrame:
-    """F5 with two independent quotas: rows in score order, a rejected row uses up no quota.  A user's group is bounded
-    by the candidate limit of the recall stage."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "item_id"], ascending=[False, True])
-        cats, brands, keep = {}, {}, []
-        for i, (c, b) in enumerate(zip(rows["category_id"], rows["brand_id"], strict=True)):
-            if cats.get(c, 0) < per_category and brands.get(b, 0) < per_brand:
-                cats[c], brands[b] = cats.get(c, 0) + 1, brands.get(b, 0) + 1
-                keep.append(i)
-                if len(keep) == k:
-                    break
-        return rows.iloc[keep].assign(rank=range(1, len(keep) + 1))
-
-    cols = df.select("user_id", "item_id", "score", "category_id", "brand_id")
-    return cols.groupBy("user_id").applyInPandas(pick, "user_id long, item_id int, score double, category_id int, brand_id int, rank long")
-
-
-def spread(df: DataFrame, k: int, per_brand: int = 3) -> DataFrame:
-    """no two neighbours of one category and at most ``per_brand`` of a brand; rows that fit nowhere are left out."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows.sort_values(["score", "item_id"], ascending=[False, True]).to_dict("records")
-        out, brands = [], {}
-        while left and len(out) < k:
-            last = out[-1]["category_id"] if out else None
-            at = next((i for i, r in enumerate(left) if r["category_id"] != last and brands.get(r["brand_id"], 0) < per_brand), None)
-            if at is None:
-                break
-            r = left.pop(at)
-            brands[r["brand_id"]] = brands.get(r["brand_id"], 0) + 1
-            out.append(r | {"rank": len(out) + 1})
-        return pd.DataFrame(out, columns=["user_id", "item_id", "score", "category_id", "brand_id", "rank"])
-
-    cols = df.select("user_id", "item_id", "score", "category_id", "brand_id")
-    return cols.groupBy("user_id").applyInPandas(walk, "user_id long, item_id int, score double, category_id int, brand_id int, rank long")
-
-
 def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
     """Exact cosine top-k of a query set.  Queries go in blocks of ``block`` rows: one block is broadcast; more are
     joined by block number, each vector row going to every block.  Only k rows a query and task are shuffled for the

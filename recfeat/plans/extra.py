@@ -93,17 +93,6 @@ def h9(spark, sf):
     return views.table(spark, sf, "events").groupBy(X.hash_bucket(F.col("user_id"), 2).alias("grp")).agg(F.countDistinct("user_id").alias("users"))
 
 
-@register("J10_multi_channel", _HOT + """, n as (select user_id, item_id, round(count(*)::double / 10, 6) score from interactions where action = 'purchase' group by 1, 2), t as (select * from h order by score desc, item_id limit 10), us as (select distinct user_id from interactions),
-u as (select user_id, item_id, score, 'bought' source from n union all select user_id, item_id, score, 'hot' from us, t), m as (select user_id, item_id, max(score) score, string_agg(distinct source, ',' order by source) sources from u group by 1, 2),
-q as (select *, row_number() over (partition by user_id, item_id % 10 order by score desc, item_id) c from m) select user_id, item_id, score, sources, row_number() over (partition by user_id order by score desc, item_id) rank from q where c <= 2 qualify row_number() over (partition by user_id order by score desc, item_id) <= 10""")
-def j10(spark, sf):
-    it = views.interactions(spark, sf)
-    bought = it.filter("action = 'purchase'").groupBy("user_id", "item_id").agg(F.round(F.count(F.lit(1)) / 10, 6).alias("score"))
-    hot = it.select("user_id").distinct().crossJoin(F.broadcast(R.hot_items(it, 10)))  # ten rows broadcast
-    merged = R.merge_channels(bought=bought, hot=hot).withColumn("category_id", F.col("item_id") % 10)
-    return R.quota(merged, 2, 10, ["user_id"]).select("user_id", "item_id", "score", "sources", "rank")
-
-
 @register("J16_affinity", SQL_INTERACTIONS + f", i as (select item_id, count(distinct user_id) filter (where ts >= {SQL_AS_OF} - interval 7 days) u7 from interactions group by 1), p as (select user_id, item_id, count(*) n from interactions group by 1, 2) select user_id, item_id, round(n * ln(1 + u7), 6) affinity from p join i using (item_id)")
 def j16(spark, sf):
     it = views.interactions(spark, sf)

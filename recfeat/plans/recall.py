@@ -53,21 +53,6 @@ def f5(spark, sf):
     return R.quota(s.select("user_id", "item_id", "score", "category_id"), 2, 10, ["user_id"])
 
 
-def _scored(spark, sf):
-    it = views.interactions(spark, sf)
-    return it.groupBy("user_id", "item_id", "category_id", "brand_id").agg(F.sum(X.action_weight(F.col("action"), "profile")).alias("score"))
-
-
-@register("F5_greedy_two_quotas")
-def f5g(spark, sf):
-    return R.greedy_quota(_scored(spark, sf), 2, 3, 10)
-
-
-@register("F6_spread")
-def f6(spark, sf):
-    return R.spread(_scored(spark, sf), 20)
-
-
 @register("F7_last_history", SQL_INTERACTIONS + """, r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from interactions)
 select user_id, string_agg(item_id::varchar, ',' order by rn desc) history from r where rn <= 50 group by 1""")
 def f7(spark, sf):

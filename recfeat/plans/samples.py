@@ -105,7 +105,7 @@ def _recalled(spark, sf):
 
 
 @register("J13_coarse_rank", _RECALL + """, s as (select user_id, item_id, category_id, round(0.3::double * recall + 0.7::double * ctr, 6) score from c),
-q as (select *, row_number() over (partition by user_id, category_id order by score desc, item_id) n from s where score >= 0.01)
+q as (select *, row_number() over (partition by user_id, category_id order by score desc, item_id) n from s where score >= 0.001)
 select user_id, item_id, score, row_number() over (partition by user_id order by score desc, item_id) rank from q where n <= 5 qualify row_number() over (partition by user_id order by score desc, item_id) <= 1000""")
 def j13(spark, sf):
     return K.coarse_rank(_recalled(spark, sf), F.col("recall"), F.col("ctr"), per_category=5).select("user_id", "item_id", "score", "rank")
@@ -283,3 +283,23 @@ def r7_biases(spark, sf):
     cut = F.lit("2024-01-20").cast("timestamp")
     sums = L.merged_sums(L.rating_sums(it.filter(F.col("ts") < cut), "item_id"), L.rating_sums(it.filter(F.col("ts") >= cut), "item_id"), "item_id")
     return L.biases(sums, "item_id").join(sums.select("item_id", "n"), "item_id").select("item_id", r6("bias").alias("bias"), "n")
+
+
+_FOLD = """with_a as (select user_id, sum(x * x) + 0.1::double a, sum(x * y) b, sum(x) c, sum(y * y) + 0.1::double d, sum(y) e, count(*) + 0.1::double f, sum(x * t) p, sum(y * t) q, sum(t) r from z group by 1),
+det as (select *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) det from with_a)
+select user_id, round((p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det, 6) factor_0, round((a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det, 6) factor_1,
+  round((a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det, 6) bias, touched from det join n using (user_id)"""
+
+
+@register("R7_folded_users", SQL_INTERACTIONS + f""", r as (select user_id, item_id, ts, {_weight('profile')} rating from interactions), m as (select item_id, avg(rating) bias from r group by 1),
+n as (select user_id, bool_or(ts >= timestamp '2024-01-20') touched from r join embeddings on vec_id = item_id group by 1),
+z as (select user_id, embedding[1]::double x, embedding[2]::double y, rating - bias t from r join m using (item_id) join embeddings on vec_id = item_id), """ + _FOLD)
+def r7_folded(spark, sf):
+    """Users' factors against fixed item factors (the given vectors' first two parts), from sums of an earlier batch and a later one."""
+    ratings = views.interactions(spark, sf).select("user_id", "item_id", "ts", X.action_weight(F.col("action"), "profile").alias("rating"))
+    bias = ratings.groupBy("item_id").agg(F.avg("rating").alias("bias"))
+    items = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.slice("embedding", 1, 2).alias("factors")).join(bias, "item_id")
+    cut = F.lit("2024-01-20").cast("timestamp")
+    sums = L.added_sums(*[L.fold_in_sums(ratings.filter(batch), items, 2) for batch in (F.col("ts") < cut, F.col("ts") >= cut)])
+    users = L.fold_in(sums, 2, 0.1).join(sums.select("user_id", "touched"), "user_id")
+    return users.select("user_id", *[r6(F.get("factors", F.lit(i))).alias(f"factor_{i}") for i in range(2)], r6("bias").alias("bias"), "touched")

@@ -104,3 +104,13 @@ def a11(spark, sf):
     w = windows.item_tumbling(views.interactions(spark, sf)).groupBy("item_id").agg(F.max_by(F.struct("views", "clicks", "end_s"), "end_s").alias("x")).select("item_id", "x.*")
     out = sinks.serving_map(w, "item", "item_id", "end_s", 3600)
     return out.select("feature_key", F.element_at("features", "views").alias("views"), F.element_at("features", "clicks").alias("clicks"), "expires_at")
+
+
+@register("I8_closed_windows", SQL_INTERACTIONS + """, e as (select *, epoch_us(ts) us from interactions),
+u as (select user_id, us // 300000000 w, count(*) act, avg(price) avgp from e group by 1, 2), i as (select item_id, us // 600000000 w, count(*) pop from e group by 1, 2),
+x as (select event_id, e.user_id, e.item_id, price, coalesce(act, 0) act, coalesce(avgp, 0) avgp, coalesce(pop, 0) pop from e
+  left join u on u.user_id = e.user_id and u.w = us // 300000000 - 1 left join i on i.item_id = e.item_id and i.w = us // 600000000 - 1)
+select event_id, user_id, item_id, (act * pop)::double activity_popularity_match, round(abs(avgp - price) / greatest(avgp, 1), 6) price_sensitivity,
+  round(0.3::double * least(act / 100, 1) + 0.3::double * least(pop / 1000, 1) + 0.4::double * (1 - least(abs(avgp - price) / greatest(avgp, 1), 1)), 6) personalized_score from x""")
+def i8(spark, sf):
+    return rounded(windows.cross_scores(views.interactions(spark, sf)).drop("ts"))

@@ -92,3 +92,33 @@ def with_dimension(events: DataFrame, dimension: DataFrame, key: str, most: int
     The table is read anew in each micro-batch; it is broadcast up to ``most`` rows, else both sides are shuffled."""
     small = dimension.limit(most + 1).count() <= most
     return events.join(F.broadcast(dimension) if small else dimension, key, "left")
+
+
+def _closed(df: DataFrame, key: str, size: str, watermark: str | None, **aggs: Column) -> DataFrame:
+    """Windows of ``key`` with the last instant that belongs to them, which is an event time again."""
+    out = late(df, watermark).groupBy(F.window("ts", size), F.col(key).alias(f"_{key}")).agg(*[c.alias(n) for n, c in aggs.items()])
+    return out.select(f"_{key}", F.window_time("window").alias(f"_{key}_at"), *aggs)
+
+
+def cross_scores(df: DataFrame, user_size: str = "5 minutes", item_size: str = "10 minutes", watermark: str | None = "5 seconds") -> DataFrame:
+    """I8: each event with what the closed windows just before it know of its user and its item.
+
+    A user's activity and mean price come from the tumbling window that ended last before the event, an item's popularity
+    likewise; what had no event there counts as 0.  On a stream two joins of watermarked streams with bounds on their times do it:
+    a window waits for events of the next one only, an event until its windows have closed, and both go as the
+    watermark passes; later rows are dropped.  A batch gives the same rows.
+    """
+    users = _closed(df, "user_id", user_size, watermark, activity=F.count(F.lit(1)), avg_price=F.avg("price"))
+    items = _closed(df, "item_id", item_size, watermark, popularity=F.count(F.lit(1)))
+    events = late(df, watermark).select("event_id", "ts", "user_id", "item_id", "price")
+    for side, key, size in ((users, "user_id", user_size), (items, "item_id", item_size)):
+        at = F.col(f"_{key}_at")
+        on = (F.col(key) == F.col(f"_{key}")) & (F.col("ts") > at) & (F.col("ts") <= at + F.expr(f"interval {size}"))
+        events = events.join(side, on, "left").drop(f"_{key}", f"_{key}_at")
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    activity, popularity, mean, one = zero("activity"), zero("popularity"), zero("avg_price"), F.lit(1.0)
+    apart = F.abs(mean - F.col("price")) / F.greatest(mean, one)
+    score = 0.3 * F.least(activity / 100, one) + 0.3 * F.least(popularity / 1000, one) + 0.4 * (1 - F.least(apart, one))
+    return events.select(
+        "event_id", "ts", "user_id", "item_id", (activity * popularity).alias("activity_popularity_match"), apart.alias("price_sensitivity"), score.alias("personalized_score"),
+    )

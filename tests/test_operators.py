@@ -8,6 +8,7 @@ from recfeat.functions import exprs as X
 from recfeat.operators import features as O
 from recfeat.operators import metrics as M
 from recfeat.operators import recall as R
+from recfeat.operators import rerank
 from recfeat.operators import store as S
 from recfeat.operators import tags as T
 from recfeat.streaming import sinks, state, windows
@@ -65,8 +66,8 @@ def test_rules(spark):
 def test_greedy_quota_rejects_without_using_quota(spark):
     rows = [(1, 1, 9.0, 1, 1), (1, 2, 8.0, 1, 2), (1, 3, 7.0, 2, 1), (1, 4, 6.0, 2, 2), (1, 5, 5.0, 2, 3)]
     df = spark.createDataFrame(rows, "user_id long, item_id int, score double, category_id int, brand_id int")
-    assert [r.item_id for r in R.greedy_quota(df, 1, 1, 10).orderBy("rank").collect()] == [1, 4]
-    walk = [r.category_id for r in R.spread(df, 10).orderBy("rank").collect()]
+    assert [r.item_id for r in rerank.greedy_quota(df, 1, 1, 10).orderBy("rank").collect()] == [1, 4]
+    walk = [r.category_id for r in rerank.spread(df, 10).orderBy("rank").collect()]
     assert all(a != b for a, b in zip(walk, walk[1:], strict=False))
 
 

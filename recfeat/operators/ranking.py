@@ -30,13 +30,6 @@ def click_score(rules: list[tuple[str, Column]], base: float = 0.05) -> tuple[Co
     return clip(total, 0.0, 1.0), F.array_join(F.array_compact(said), ",")
 
 
-def hybrid(collaborative: Column, content: Column, popularity: Column, cross_sell: Column, business: Column, out_of_stock: Column, on_sale: Column, returns: Column) -> Column:
-    """.35/.25/.15/.15/.10 of the parts, then the multiplicative adjustments, at most 1."""
-    s = 0.35 * collaborative + 0.25 * content + 0.15 * F.least(popularity / 10, F.lit(1.0)) + 0.15 * cross_sell + 0.1 * business
-    s = s * F.when(out_of_stock, 0.1).otherwise(1.0) * F.when(on_sale, 1.3).otherwise(1.0) * F.when(returns > 0.2, 0.8).otherwise(1.0)
-    return F.least(F.lit(1.0), s)
-
-
 def funnel(candidates: DataFrame, coarse: Column, fine: Column, sizes: dict[str, int] | None = None) -> DataFrame:
     """All users at once through recall, coarse and fine ranking to the display list, with the stage each row reached."""
     n = sizes or FUNNEL

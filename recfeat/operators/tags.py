@@ -139,3 +139,12 @@ def with_ancestors(interest: DataFrame, tree: DataFrame) -> DataFrame:
     """Interest of a tag plus half of each level's below it."""
     up = interest.join(F.broadcast(tree), "tag").select("user_id", F.col("ancestor").alias("tag"), (F.col("interest") * F.pow(F.lit(0.5), F.col("distance"))).alias("interest"))
     return interest.select("user_id", "tag", "interest").unionByName(up).groupBy("user_id", "tag").agg(F.round(F.sum("interest"), 3).alias("interest"))
+
+
+def tag_scores(item_tags: DataFrame, values: DataFrame, weights: dict[str, float], words: tuple[str, ...]) -> DataFrame:
+    """K5: the mean over an item's tags of the weight of the dimension (1 where none is given), raised by a tenth for each of
+    ``words`` in the dimension's business ``value`` (dimension, value: one row a dimension)."""
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("dimension")), F.lit(1.0))
+    bonus = 1 + sum((F.when(F.lower("value").contains(w), 0.1).otherwise(0.0) for w in words), F.lit(0.0))
+    rows = item_tags.join(F.broadcast(values), "dimension", "left").withColumn("value", F.coalesce("value", F.lit("")))
+    return rows.groupBy("item_id").agg(F.avg(weight * bonus).alias("score"))

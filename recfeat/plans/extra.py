@@ -34,15 +34,6 @@ def b15(spark, sf):
     return views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.coalesce(F.try_element_at(table, F.col("o_orderstatus")), F.lit(0.2)).alias("score"))
 
 
-@register("B16_product_features", "with c as (select p_type, avg(p_retailprice) m from part group by 1), s as (select l_partkey, count(*) n, avg(l_discount) d from lineitem group by 1) select p_partkey item_id, round(coalesce(d, 0), 6) discount, round(ln(1 + coalesce(n, 0)), 6) popularity, round((m - p_retailprice) / m, 6) price_edge from part join c using (p_type) left join s on l_partkey = p_partkey")
-def b16(spark, sf):
-    items = views.items(spark, sf)
-    c = items.groupBy("category").agg(F.avg("price").alias("m"))
-    s = views.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("d"))
-    out = items.join(c, "category").join(s, "item_id", "left")
-    return out.select("item_id", r6(F.coalesce("d", F.lit(0.0))).alias("discount"), r6(F.log1p(F.coalesce("n", F.lit(0)))).alias("popularity"), r6((F.col("m") - F.col("price")) / F.col("m")).alias("price_edge"))
-
-
 @register("C2_left_enrichment", SQL_INTERACTIONS + f", r as (select item_id, count(*) recent from interactions where ts >= {SQL_AS_OF} - interval 2 days group by 1), a as (select item_id, count(*) total from interactions group by 1) select item_id, total, coalesce(recent, 0) recent from a left join r using (item_id)")
 def c2(spark, sf):
     it = views.interactions(spark, sf)
@@ -93,27 +84,6 @@ def h9(spark, sf):
     return views.table(spark, sf, "events").groupBy(X.hash_bucket(F.col("user_id"), 2).alias("grp")).agg(F.countDistinct("user_id").alias("users"))
 
 
-@register("J16_affinity", SQL_INTERACTIONS + f", i as (select item_id, count(distinct user_id) filter (where ts >= {SQL_AS_OF} - interval 7 days) u7 from interactions group by 1), p as (select user_id, item_id, count(*) n from interactions group by 1, 2) select user_id, item_id, round(n * ln(1 + u7), 6) affinity from p join i using (item_id)")
-def j16(spark, sf):
-    it = views.interactions(spark, sf)
-    i = it.groupBy("item_id").agg(F.countDistinct(F.when(F.col("ts") >= O.since(AS_OF, 604_800), F.col("user_id"))).alias("u7"))
-    p = it.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    return p.join(i, "item_id").select("user_id", "item_id", r6(F.col("n") * F.log1p("u7")).alias("affinity"))
-
-
-@register("J17_hybrid_score", "select p_partkey item_id, round(least(1.0::double, (0.35::double * (p_size / 50) + 0.25::double * (p_retailprice / 2500) + 0.15::double * least(p_size / 10, 1) + 0.15::double * contains(p_type, 'STEEL')::int + 0.1::double * 0.5::double) * case when p_size < 3 then 0.1 else 1 end::double * case when contains(p_type, 'PROMO') then 1.3 else 1 end::double * case when p_size > 45 then 0.8 else 1 end::double), 6) score from part")
-def j17(spark, sf):
-    s = K.hybrid(F.col("size") / 50, F.col("price") / 2500, F.col("size").cast("double"), F.col("category").contains("STEEL").cast("int"), F.lit(0.5), F.col("size") < 3, F.col("category").contains("PROMO"), F.when(F.col("size") > 45, 0.3).otherwise(0.0))
-    return views.items(spark, sf).select("item_id", r6(s).alias("score"))
-
-
-@register("J20_fused_vectors", "with n as (select vec_id, list_concat(list_transform(embedding::double[], lambda x: 0.6::double * x), list_transform(embedding::double[], lambda x: 0.4::double * x)) f from embeddings) select vec_id, len(f) dims, round(f[1] / sqrt(list_dot_product(f, f)), 6) head from n")
-def j20(spark, sf):
-    e = F.col("embedding")
-    f = F.concat(F.transform(e, lambda x: 0.6 * x.cast("double")), F.transform(e, lambda x: 0.4 * x.cast("double")))
-    return views.table(spark, sf, "embeddings").select("vec_id", f.alias("f")).select("vec_id", F.size("f").cast("long").alias("dims"), r6(F.get("f", F.lit(0)) / X.norm(F.col("f"))).alias("head"))
-
-
 @register("K4_tag_pairs_capped", _ITEM_TAGS + ", p as (select a.item_id, a.tag || '+' || b.tag pair, row_number() over (partition by a.item_id order by a.tag, b.tag) rn from item_tags a join item_tags b on a.item_id = b.item_id and a.tag < b.tag) select item_id, pair from p where rn <= 10")
 def k4(spark, sf):
     t = _item_tags(spark, sf)
@@ -182,14 +152,6 @@ def m7(spark, sf):
     return g.groupBy("user_id").agg(r6(10 * (0.4 * F.least(F.avg("dwell") / 60, one) + 0.6 * F.avg(F.least(F.col("dwell") / 600, one)))).alias("satisfaction"))
 
 
-@register("M12_item_satisfaction", SQL_INTERACTIONS + f", e as (select item_id, avg(case action when 'purchase' then 9.0 when 'add_cart' then 7.0 when 'click' then 6.0 when 'view' then 5.0 else 3.0 end::double) b, {_n('purchase')} / count(*) * 10 x from interactions group by 1) select item_id, round(0.4::double * coalesce(x, 5) + 0.35::double * coalesce(b, 5) + 0.25::double * 5, 6) satisfaction from e")
-def m12(spark, sf):
-    a = F.col("action")
-    behaviour = F.when(a == "purchase", 9.0).when(a == "add_cart", 7.0).when(a == "click", 6.0).when(a == "view", 5.0).otherwise(3.0)
-    e = views.interactions(spark, sf).groupBy("item_id").agg(F.avg(behaviour).alias("b"), (O.n_action("purchase") / F.count(F.lit(1)) * 10).alias("x"))
-    return e.select("item_id", r6(0.4 * F.coalesce("x", F.lit(5.0)) + 0.35 * F.coalesce("b", F.lit(5.0)) + 0.25 * 5).alias("satisfaction"))
-
-
 @register("M14_insights", SQL_INTERACTIONS + f", m as (select {_n('click')} / greatest({_n('view')}, 1) ctr, {_n('purchase')} / greatest({_n('click')}, 1) cvr from interactions), l as (select 'ctr' metric, ctr v from m union all select 'cvr', cvr from m), r as (select * from (values ('ctr', 0.2, 'LOW_CLICKS'), ('ctr', 2.0, 'CLICKS_BELOW_TARGET'), ('cvr', 0.3, 'LOW_CONVERSION')) t(metric, lim, code)) select code insight_code, metric, round(v, 6) as value from l join r using (metric) where v < lim")
 def m14(spark, sf):
     m = views.interactions(spark, sf).agg(X.m1(O.n_action("click"), O.n_action("view")).alias("ctr"), X.m1(O.n_action("purchase"), O.n_action("click")).alias("cvr"))

@@ -34,12 +34,6 @@ def h6(spark, sf):
     return m.select("user_id", F.try_element_at("m", F.lit("view")).alias("views"), F.size("m").cast("long").alias("kinds"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"))
 
 
-@register("K5_tag_scores", _ITEM_TAGS + " select item_id, round(avg(case dimension when 'material' then 1.2 when 'finish' then 1.1 else 1.0 end::double), 6) score from item_tags group by 1")
-def k5(spark, sf):
-    weight = F.when(F.col("dimension") == "material", 1.2).when(F.col("dimension") == "finish", 1.1).otherwise(1.0)
-    return _item_tags(spark, sf).groupBy("item_id").agg(r6(F.avg(weight)).alias("score"))
-
-
 @register("K8_user_item_tag_similarity", _USER_TAGS + """, u as (select user_id, tag, count(*)::double w from interactions join item_tags using (item_id) group by 1, 2), un as (select user_id, sqrt(sum(w * w)) n from u group by 1), i as (select item_id, sqrt(count(*)) n from item_tags group by 1)
 select u.user_id, t.item_id, round(sum(u.w) / (any_value(un.n) * any_value(i.n)), 6) similarity from u join item_tags t using (tag) join un on un.user_id = u.user_id join i on i.item_id = t.item_id group by 1, 2""")
 def k8(spark, sf):
@@ -85,13 +79,6 @@ def m6(spark, sf):
     return rounded(c.groupBy("size").agg(F.count(F.lit(1)).alias("n"), count_if(F.abs("score") >= 0.1).alias("clear"), F.avg("score").alias("score")))
 
 
-@register("M13_satisfaction_grades", SQL_INTERACTIONS + f", e as (select item_id, 10 * {_n('purchase')} / greatest({_n('view')}, 1) s from interactions group by 1) select case when s >= 12 then 'A' when s >= 10 then 'B' when s >= 8 then 'C' when s >= 6 then 'D' else 'F' end grade, count(*) items from e group by 1")
-def m13(spark, sf):
-    e = views.interactions(spark, sf).groupBy("item_id").agg((10 * X.m1(O.n_action("purchase"), O.n_action("view"))).alias("s"))
-    s = F.col("s")
-    return e.groupBy(F.when(s >= 12, "A").when(s >= 10, "B").when(s >= 8, "C").when(s >= 6, "D").otherwise("F").alias("grade")).agg(F.count(F.lit(1)).alias("items"))
-
-
 @register("N7_cross_features", SQL_INTERACTIONS + f", u as (select user_id, avg(price) ap, {_n('purchase')} / count(*) cv from interactions group by 1), i as (select item_id, avg(price) ip, count(*) n from interactions group by 1), p as (select distinct user_id, item_id from interactions) select user_id, item_id, round(1 - least(abs(ap - ip) / greatest(ap, 1), 1), 6) alignment, round(cv * ln(1 + n), 6) propensity from p join u using (user_id) join i using (item_id)")
 def n7(spark, sf):
     it = views.interactions(spark, sf)
@@ -106,18 +93,3 @@ def n7(spark, sf):
 def o1(spark, sf):
     cond = S.compile_rule({"price": {"$gt": 100}, "action": {"$in": ["view", "click"]}, "category_id": {"$ne": 3}, "brand_id": {"$between": [1, 4]}})
     return views.interactions(spark, sf).filter(cond).select("event_id")
-
-
-@register("Q4_content_type", _WATCH + ", v as (select distinct video_id, length from w), p as (select * from (values ('clip', 0, 120), ('episode', 120, 400), ('feature', 400, 10000)) t(kind, lo, hi)) select video_id, kind, round((least(length, hi) - lo) / (hi - lo), 6) fit from v join p on length >= lo and length < hi")
-def q4(spark, sf):
-    p = F.broadcast(spark.createDataFrame([("clip", 0, 120), ("episode", 120, 400), ("feature", 400, 10_000)], "kind string, lo int, hi int"))
-    v = _watches(spark, sf).select("video_id", "length").distinct()
-    return v.join(p, (F.col("length") >= F.col("lo")) & (F.col("length") < F.col("hi"))).select("video_id", "kind", r6((F.least("length", "hi") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("fit"))
-
-
-@register("Q5_media_engagement", _WATCH + " select video_id, round(avg((watched >= 0.95::double * length)::int), 6) completion, round(1 - avg((watched < 0.1::double * length)::int), 6) not_skipped, round(avg(least(1.0::double, watched / length)), 6) watch_ratio from w group by 1")
-def q5(spark, sf):
-    share = F.col("watched") / F.col("length")
-    return rounded(_watches(spark, sf).groupBy("video_id").agg(
-        F.avg((F.col("watched") >= 0.95 * F.col("length")).cast("int")).alias("completion"), (1 - F.avg((F.col("watched") < 0.1 * F.col("length")).cast("int"))).alias("not_skipped"), F.avg(F.least(F.lit(1.0), share)).alias("watch_ratio"),
-    ))

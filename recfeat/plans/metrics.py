@@ -187,15 +187,6 @@ def d17(spark, sf):
     return a.select("n", r6(sd(c("c"), c("v"))).alias("click_to_view"), r6(sd(c("k"), c("c"))).alias("cart_to_click"), r6(sd(c("p"), c("k"))).alias("purchase_to_cart"), r6(satisfaction).alias("satisfaction"), grade.alias("quality"))
 
 
-@register("D19_customer_features", SQL_PURCHASES + """, b as (select customer_id, brand, sum(amount) a from purchases group by 1, 2), l as (select customer_id, max(a) / sum(a) loyalty from b group by 1)
-select customer_id, count(distinct order_id) orders, round(sum(amount), 2) lifetime_value, count(distinct brand) brands, round(any_value(loyalty), 6) brand_loyalty, date_diff('day', min(ts)::date, max(ts)::date) tenure_days from purchases join l using (customer_id) group by 1""")
-def d19(spark, sf):
-    p = views.purchases(spark, sf)
-    loyalty = p.groupBy("customer_id", "brand").agg(F.sum("amount").alias("a")).groupBy("customer_id").agg((F.max("a") / F.sum("a")).alias("brand_loyalty"))
-    out = p.groupBy("customer_id").agg(F.countDistinct("order_id").alias("orders"), F.round(F.sum("amount"), 2).alias("lifetime_value"), F.countDistinct("brand").alias("brands"), F.datediff(F.max("ts"), F.min("ts")).cast("long").alias("tenure_days"))
-    return out.join(loyalty, "customer_id").withColumn("brand_loyalty", r6("brand_loyalty"))
-
-
 _CLV = SQL_PURCHASES + """, u as (select customer_id, count(distinct order_id) n, sum(amount) spent, greatest(1, date_diff('day', min(ts)::date, max(ts)::date)) as n_days from purchases group by 1),
 c as (select customer_id, n / greatest(n_days / 30, 1) freq, spent / greatest(n, 1) aov, least(n_days / 30 * 2, 24) life from u), v as (select *, aov * freq * life clv from c)"""
 

@@ -285,14 +285,6 @@ def l29(spark, sf):
     return rounded(s.agg(F.avg((said.cast("int") == F.col("y")).cast("int")).alias("accuracy"), sd(hit, count_if(said)).alias("precision"), sd(hit, F.sum("y")).alias("recall"), F.avg("p").alias("mean_score"), F.avg("y").alias("base_rate")))
 
 
-@register("L31_channel_weights", SQL_INTERACTIONS + """, e as (select platform channel, count(*) filter (where action = 'click') / count(*) r from interactions group by 1), w as (select channel, (1.0::double / 3) * least(2.0::double, greatest(0.5::double, r / avg(r) over ())) w from e) select channel, round(w / sum(w) over (), 6) weight from w""")
-def l31(spark, sf):
-    e = views.interactions(spark, sf).groupBy(F.col("platform").alias("channel")).agg((O.n_action("click") / F.count(F.lit(1))).alias("r"))
-    whole = W.partitionBy()
-    w = e.withColumn("w", (1.0 / 3) * X.clip(F.col("r") / F.avg("r").over(whole), 0.5, 2.0))
-    return w.select("channel", r6(F.col("w") / F.sum("w").over(whole)).alias("weight"))
-
-
 @register("N4_feature_set", SQL_INTERACTIONS + f" select user_id, {_n('view')} as view, {_n('purchase')} purchase from interactions group by 1")
 def n4(spark, sf):
     long = views.interactions(spark, sf).groupBy("user_id", "action").agg(F.count(F.lit(1)).alias("n"))

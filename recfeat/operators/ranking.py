@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import clip, sd
+from recfeat.operators.quantiles import quantiles
 from recfeat.operators.recall import quota, top_k
 
 #: Rows kept after each stage of the funnel.
@@ -62,9 +63,9 @@ def watch_patterns(watches: DataFrame) -> DataFrame:
     users = watches.groupBy("video_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
     replay = users.groupBy("video_id").agg(F.avg((F.col("n") > 1).cast("int")).alias("replay_rate"))
     out = watches.groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("watches"), F.avg("watched").alias("mean_watched"), F.percentile("watched", F.lit(0.5)).alias("median_watched"),
+        F.count(F.lit(1)).alias("watches"), F.avg("watched").alias("mean_watched"), 
         F.avg((F.col("watched") >= 0.95 * F.col("length")).cast("int")).alias("completion"), F.avg(F.least(F.lit(1.0), F.col("watched") / F.col("length"))).alias("watch_ratio"), F.max("length").alias("length"),
-    ).join(replay, "video_id")
+    ).join(replay, "video_id").join(quantiles(watches, F.col("watched"), (0.5,), ("video_id",)).select("video_id", F.get("q", F.lit(0)).alias("median_watched")), "video_id", "left")
     score = F.least(F.lit(1.0), 0.4 * F.col("completion") + 0.3 * F.least(2 * F.col("replay_rate"), F.lit(1.0)) + 0.3 * F.col("watch_ratio"))
     kind = F.when(F.col("length") <= 15, "micro").when(F.col("length") <= 60, "short").when(F.col("length") <= 180, "medium").when(F.col("length") <= 600, "long").otherwise("extended")
     return out.withColumns({"engagement": score, "category": kind})

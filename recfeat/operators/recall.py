@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from recfeat.functions.exprs import action_weight, cosine, seconds_between
+from recfeat.functions.exprs import action_weight, dot, seconds_between
+
+#: Pivots at most that vectors are dealt to.
+PIVOTS = 1024
 
 
 def top_k(df: DataFrame, k: int, score: str, tie: str, by: list[str] | None = None) -> DataFrame:
@@ -76,19 +81,61 @@ def quota(df: DataFrame, per_category: int, k: int, by: list[str]) -> DataFrame:
     return top_k(df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_category).drop("_rn"), k, "score", "item_id", by)
 
 
-def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
-    """Exact cosine top-k of a query set.  Queries go in blocks of ``block`` rows: one block is broadcast; more are
-    joined by block number, each vector row going to every block.  Only k rows a query and task are shuffled for the
-    ranking, as Spark limits the groups before the exchange."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = -(-q.count() // block)
-    if blocks <= 1:
-        pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "_block").filter("vec_id <> query_id")
-    pairs = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    return top_k(pairs, k, "similarity", "vec_id", ["query_id"])
+def _placed(vectors: DataFrame, pivots, id_col: str, all_angles: bool) -> DataFrame:
+    """(id, unit vector, block, angle) of each vector: the nearest pivot and the angle to it, or with ``all_angles`` the angles to all."""
+
+    def work(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, pivots.shape[1]))
+            length = np.sqrt((x * x).sum(1, keepdims=True))
+            unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+            angles = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+            block = angles.argmin(1)
+            packed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+            last = packed(angles) if all_angles else pa.array(angles[np.arange(len(x)), block])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(unit), pa.array(block, pa.int32()), last], names=[id_col, "unit", "block", "angle"])
+
+    rows = vectors.filter("embedding is not null").select(F.col("vec_id").cast("long").alias(id_col), "embedding")
+    return rows.mapInArrow(work, f"{id_col} long, unit array<double>, block int, angle {'array<double>' if all_angles else 'double'}")
+
+
+def compared_vectors(queries: DataFrame, vectors: DataFrame, k: int, pivots: int | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity) of the pairs that J3 has to compare: all that can be among a query's ``k`` best.
+
+    Vectors are dealt to the nearest of some pivots, about the square root of their number and PIVOTS at most.  Angles obey the
+    triangle inequality, so a block, and a vector in it, is no nearer to a query than the difference of their angles to
+    the pivot.  A query is compared with the nearest blocks that hold k vectors beside it; elsewhere only with what
+    can beat the k-th of these.
+    """
+    count = pivots or max(1, min(PIVOTS, int(vectors.count() ** 0.5)))
+    first = vectors.filter("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()  # PIVOTS rows at most
+    if not first:
+        return vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity")).limit(0)
+    raw = np.array([r.embedding for r in first], np.float64)
+    length = np.sqrt((raw * raw).sum(1, keepdims=True))
+    units = np.divide(raw, length, out=np.zeros_like(raw), where=length > 0)
+    placed = _placed(vectors, units, "vec_id", False)
+    blocks = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))  # a row a pivot
+    q = _placed(queries, units, "query_id", True).select("query_id", F.col("unit").alias("q"), "angle")
+    near = q.join(F.broadcast(blocks)).withColumn("at", F.get("angle", F.col("block"))).drop("angle")
+    near = near.withColumn("least", F.greatest(F.lit(0.0), F.col("at") - F.col("hi"), F.col("lo") - F.col("at")))
+    order = W.partitionBy("query_id").orderBy("least", "at", "block").rowsBetween(W.unboundedPreceding, -1)  # a row a pivot
+    near = near.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    scored = lambda x: x.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("unit")), 6).alias("similarity"))
+    seeds = scored(near.filter(F.col("before") < k + 1).join(placed, "block").filter("query_id <> vec_id"))
+    bar = top_k(seeds, k, "similarity", "vec_id", ["query_id"]).groupBy("query_id").agg(F.min("similarity").alias("bar"), F.count(F.lit(1)).alias("held"))
+    # Similarities are rounded; the bar is lowered by as much.
+    rest = near.filter(F.col("before") >= k + 1).join(bar, "query_id").withColumn("bar", F.when(F.col("held") < k, -2.0).otherwise(F.col("bar") - 2e-6))
+    rest = rest.filter(F.cos("least") >= F.col("bar")).select("query_id", "q", "block", "at", "bar")
+    rest = rest.join(placed, "block").filter((F.cos(F.abs(F.col("at") - F.col("angle"))) >= F.col("bar")) & (F.col("query_id") != F.col("vec_id")))
+    return seeds.union(scored(rest))
+
+
+def similar_vectors(queries: DataFrame, vectors: DataFrame, k: int, pivots: int | None = None) -> DataFrame:
+    """Exact cosine top-k of a query set among ``vectors`` (vec_id, embedding), without comparing all pairs; null vectors
+    are nobody's neighbours and have none."""
+    return top_k(compared_vectors(queries, vectors, k, pivots), k, "similarity", "vec_id", ["query_id"])
 
 
 def ranked_list(df: DataFrame, key: str = "user_id") -> DataFrame:

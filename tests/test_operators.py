@@ -1,5 +1,6 @@
 """Hand-computed fixtures, properties, defect regressions and batch/stream parity."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,11 +72,32 @@ def test_greedy_quota_rejects_without_using_quota(spark):
     assert all(a != b for a, b in zip(walk, walk[1:], strict=False))
 
 
-def test_similar_vectors_in_blocks(spark, sf_dir):
+def test_similar_vectors(spark, sf_dir):
+    """The same neighbours for any number of pivots, and for vectors without a direction."""
     v = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    one = R.similar_vectors(v.filter("vec_id % 10 = 0"), v, 5)
-    many = R.similar_vectors(v.filter("vec_id % 10 = 0"), v, 5, block=3)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.select(*one.columns).collect()))
+    one, many, some = (R.similar_vectors(v.filter("vec_id % 10 = 0"), v, 5, pivots=n) for n in (1, 60, None))
+    want = sorted(map(tuple, one.collect()))
+    assert sorted(map(tuple, many.select(*one.columns).collect())) == want == sorted(map(tuple, some.select(*one.columns).collect()))
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [-1.0, 0.0]), (5, None)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.similarity for r in R.similar_vectors(odd, odd, 3, pivots=2).collect()}
+    assert got == {(1, 2): 0.0, (1, 3): 0.0, (1, 4): 0.0, (2, 3): 1.0, (2, 1): 0.0, (2, 4): -1.0, (3, 2): 1.0, (3, 1): 0.0, (3, 4): -1.0, (4, 1): 0.0, (4, 2): -1.0, (4, 3): -1.0}
+    assert R.similar_vectors(odd.limit(0), odd.limit(0), 3).count() == 0
+
+
+def test_similar_vectors_skip_far_clusters(spark):
+    """On clustered vectors less than a tenth of all pairs is compared, and no neighbour is lost."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=1200)] + 0.05 * rng.normal(size=(1200, 16))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = v.filter("vec_id % 20 = 0")
+    assert R.compared_vectors(queries, v, 5, pivots=120).count() < 0.1 * 60 * 1200
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    cos = np.round(unit[::20] @ unit.T, 6)
+    for r in R.similar_vectors(queries, v, 5, pivots=120).collect():
+        mine = cos[r.query_id // 20].copy()
+        mine[r.query_id] = -2
+        assert abs(np.sort(mine)[-r.rank] - r.similarity) < 2e-6
 
 
 def test_short_sequences_keep_all_items(spark, sf_dir):

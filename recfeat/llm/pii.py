@@ -10,7 +10,9 @@ left as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
@@ -228,13 +230,24 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def keep_secret(spark: SparkSession, key: str) -> None:
+    """Hide the key wherever the session shows plans: in explain, the UI and event logs it stands as redacted."""
+    name, hidden = "spark.sql.redaction.string.regex", re.escape(key)
+    before = spark.conf.get(name, None)
+    if not before:
+        spark.conf.set(name, hidden)
+    elif hidden not in before.split("|"):
+        spark.conf.set(name, f"{before}|{hidden}")
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_email .. n_card (values replaced, by kind) and n_pii.
 
-    ``key`` is the secret: the same key gives the same pseudonyms everywhere.  A null text stays null with counts 0;
+    ``key`` is the secret: the same key gives the same pseudonyms everywhere; the session's plans are shown without it.  A null text stays null with counts 0;
     an empty one stays empty.  Every input row gives one row, repeated and null ids included; other columns are not
     read; an empty table gives none.  Work is in the row alone: no shuffle, no Python.
     """
+    keep_secret(docs.sparkSession, key)
     text = F.col(text_col)
     maybe = text.rlike("[0-9@]")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.when(maybe, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).alias("_found"))

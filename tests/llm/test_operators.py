@@ -487,3 +487,12 @@ def test_language_of_broken_bytes(spark, docs):
     got = {r.doc_id: r.lang_pred for r in langid.identify(rows, *model).collect()}
     assert got[1] == "und" and got[2] != "und"
     assert langid.reject(rows.select("doc_id", "text"), *model).filter("doc_id = 1").count() == 0
+
+
+def test_the_key_is_not_shown(spark, capsys):
+    """Neither explain nor the plan that event logs hold has the key in it, whatever else the session hides."""
+    df = spark.createDataFrame([(1, "mail ann@x.org")], "doc_id long, text string")
+    out = pii.pseudonymise(df, "a (secret) key")
+    out.explain("extended")
+    assert "a (secret) key" not in capsys.readouterr().out and "secret" not in out._jdf.queryExecution().toString()
+    assert "other key" not in pii.pseudonymise(df, "other key")._jdf.queryExecution().toString() and "secret" not in out._jdf.queryExecution().toString()

@@ -35,7 +35,9 @@ def running_sums(df: DataFrame, keys: list[str], us: str, sums: dict[str, Column
     With ``ties`` a row's own value and those of rows before it in the order (``us``, ``ties``) count as well.
     """
     names = {name: f"_v{i}" for i, name in enumerate(sums)}
-    dealt = df.withColumns({"_bucket": F.floor(F.col(us) / F.lit(bucket * 1_000_000)), **{v: sums[name].cast("long") for name, v in names.items()}})
+    # Rows are shuffled before the columns to sum are made: one value may go into many sums.
+    dealt = df.withColumn("_bucket", F.floor(F.col(us) / F.lit(bucket * 1_000_000))).repartition(*keys, "_bucket")
+    dealt = dealt.withColumns({v: sums[name].cast("long") for name, v in names.items()})
     totals = dealt.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in names.values()])
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
     carried = totals.select(*keys, "_bucket", *[F.sum(v).over(earlier).alias(f"{v}c") for v in names.values()])

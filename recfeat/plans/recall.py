@@ -211,7 +211,16 @@ def c10(spark, sf):
     return out.select("event_id", *[f"{k}_{w}" for k in ("n", "clicks", "purchases", "items") for w in _C10], *price)
 
 
-@register("R3_negative_samples")
+_HEX = "('0x' || substr(md5({}), 1, 8))::bigint"
+
+
+@register("R3_negative_samples", SQL_INTERACTIONS + f""", x as (select * from interactions where user_id is not null and item_id is not null), seen as (select distinct user_id, item_id from x),
+items as (select item_id, row_number() over (order by {_HEX.format('item_id::varchar')} % 1024, md5(item_id::varchar), item_id) - 1 place from (select distinct item_id from x)),
+ps as (select user_id, count(distinct item_id) n from x where action = 'purchase' group by 1), met as (select user_id, count(*) met from seen group by 1),
+due as (select user_id, total - met unseen, least(n * 4, total - met) k from ps join met using (user_id), (select count(*) total from items)),
+draws as (select user_id, i, i * unseen // k lo, (i + 1) * unseen // k hi from (select *, unnest(range(0, k)) i from due where k > 0)),
+free as (select p.user_id, items.item_id, row_number() over (partition by p.user_id order by place) - 1 j from ps p, items where not exists (select 1 from seen s where s.user_id = p.user_id and s.item_id = items.item_id))
+select d.user_id, item_id, 0 as label from draws d join free f on f.user_id = d.user_id and f.j = lo + {_HEX.format("d.user_id || ':' || i")} % (hi - lo)""")
 def r3(spark, sf):
     """Four unseen items for each positive, or all unseen items where there are fewer.
 
@@ -221,10 +230,10 @@ def r3(spark, sf):
     it = views.interactions(spark, sf).filter("user_id is not null and item_id is not null")
     seen = it.select("user_id", "item_id").distinct()
     # The place of each item: its place in a bucket of the hash, after the items of the buckets before.
-    items = it.select("item_id").distinct().withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(1024)))
+    items = it.select("item_id").distinct().withColumn("b", X.hash_bucket(F.col("item_id"), 1024))
     sizes = items.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
     starts = sizes.select("b", (F.sum("size").over(W.orderBy("b")) - F.col("size")).alias("start"))
-    at = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("item_id"), "item_id")) - 1
+    at = F.row_number().over(W.partitionBy("b").orderBy(F.md5(F.col("item_id").cast("string").cast("binary")), "item_id")) - 1
     items = items.withColumn("at", at).join(F.broadcast(starts), "b").select("item_id", (F.col("start") + F.col("at")).alias("place"))
     positives = it.filter("action = 'purchase'").select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     met = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("met"))
@@ -232,7 +241,7 @@ def r3(spark, sf):
     due = due.withColumn("k", F.least(F.col("n") * 4, F.col("unseen"))).filter("k > 0")
     draws = due.select("user_id", "unseen", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
     draws = draws.withColumn("lo", F.expr("i * unseen div k")).withColumn("hi", F.expr("(i + 1) * unseen div k"))
-    draws = draws.select("user_id", (F.col("lo") + F.pmod(F.xxhash64("user_id", "i"), F.col("hi") - F.col("lo"))).alias("key"), F.lit(0).alias("is_seen"))
+    draws = draws.select("user_id", (F.col("lo") + X.hash_bucket(F.concat_ws(":", "user_id", "i"), F.col("hi") - F.col("lo"))).alias("key"), F.lit(0).alias("is_seen"))
     # Unseen place u stands at place u plus the number of seen places before it.
     own = seen.join(due.select("user_id"), "user_id", "left_semi").join(items, "item_id")
     own = own.select("user_id", (F.col("place") - F.row_number().over(W.partitionBy("user_id").orderBy("place")) + 1).alias("key"), F.lit(1).alias("is_seen"))

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Seconds of a bucket.
-BUCKET = 3600
+#: Seconds of a bucket; hotter keys may ask for fewer.
+BUCKET = 21_600
 
 
 class Recent(NamedTuple):
@@ -36,16 +36,15 @@ def running_sums(df: DataFrame, keys: list[str], us: str, sums: dict[str, Column
     """
     names = {name: f"_v{i}" for i, name in enumerate(sums)}
     # Rows are shuffled before the columns to sum are made: one value may go into many sums.
-    dealt = df.withColumn("_bucket", F.floor(F.col(us) / F.lit(bucket * 1_000_000))).repartition(*keys, "_bucket")
-    dealt = dealt.withColumns({v: sums[name].cast("long") for name, v in names.items()})
-    totals = dealt.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in names.values()])
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
-    carried = totals.select(*keys, "_bucket", *[F.sum(v).over(earlier).alias(f"{v}c") for v in names.values()])
-    own = W.partitionBy(*keys, "_bucket")
-    own = own.orderBy(us).rangeBetween(W.unboundedPreceding, -1) if ties is None else own.orderBy(us, *ties).rowsBetween(W.unboundedPreceding, 0)
-    zero = F.lit(0).cast("long")
-    out = dealt.withColumns({f"{v}w": F.sum(v).over(own) for v in names.values()}).join(carried, [*keys, "_bucket"], "left")
-    return out.select(*df.columns, *[(F.coalesce(f"{v}w", zero) + F.coalesce(f"{v}c", zero)).alias(name) for name, v in names.items()])
+    dealt = df.withColumn("_bucket", F.expr(f"floor({us} / {bucket * 1_000_000})")).repartition(*keys, "_bucket")
+    dealt = dealt.select("*", *[sums[name].cast("long").alias(v) for name, v in names.items()])
+    totals = dealt.groupBy(*keys, "_bucket").agg(*[F.expr(f"sum({v}) as {v}") for v in names.values()])
+    over = f"over (partition by {', '.join(keys)} order by _bucket rows between unbounded preceding and 1 preceding)"  # one row a bucket
+    carried = totals.selectExpr(*keys, "_bucket", *[f"sum({v}) {over} as {v}c" for v in names.values()])
+    frame = f"{us} range between unbounded preceding and 1 preceding" if ties is None else f"{', '.join([us, *ties])} rows between unbounded preceding and current row"
+    own = f"over (partition by {', '.join(keys)}, _bucket order by {frame})"
+    out = dealt.selectExpr("*", *[f"sum({v}) {own} as {v}w" for v in names.values()]).join(carried, [*keys, "_bucket"], "left")
+    return out.selectExpr(*df.columns, *[f"coalesce({v}w, 0L) + coalesce({v}c, 0L) as {name}" for name, v in names.items()])
 
 
 def recent_sums(events: DataFrame, keys: list[str], us: str, recent: dict[str, Recent], with_now: bool = False, bucket: int = BUCKET) -> DataFrame:
@@ -53,26 +52,25 @@ def recent_sums(events: DataFrame, keys: list[str], us: str, recent: dict[str, R
 
     Each event becomes one row and one for each window and distinct column that it leaves: no frame is read again.
     """
-    zero = F.lit(0).cast("long")
-    now = F.col(us)
-    counted = sorted({r.distinct for r in recent.values() if r.distinct})
-    base = events
+    base, counted = events, sorted({r.distinct for r in recent.values() if r.distinct})
     for i, c in enumerate(counted):  # when the value occurs next
         base = base.withColumn(f"_next{i}", F.lead(us).over(W.partitionBy(*keys, c).orderBy(us)) - F.lit(int(with_now)))
     leaves = sorted({(r.seconds, r.distinct or "") for r in recent.values()})
-    at = lambda s, c: F.least(now + s * 1_000_000, F.coalesce(f"_next{counted.index(c)}", now + s * 1_000_000)) if c else now + s * 1_000_000
-    mark = lambda when, kind: F.named_struct(F.lit("at"), when, F.lit("kind"), F.lit(kind))
-    marks = [mark(now, 0), *[mark(at(s, c), k + 1) for k, (s, c) in enumerate(leaves)], *([mark(now - 1, -1)] if with_now else [])]
-    adds, values = F.lit(-1 if with_now else 0), {name: F.lit(1) if r.distinct else r.value for name, r in recent.items()}
-    rows = base.select(
-        *keys, F.struct(*[F.col(c) for c in events.columns]).alias("_row"), *[v.cast("long").alias(f"_x{i}") for i, v in enumerate(values.values())], F.explode(F.array(*marks)).alias("_m"),
-    ).select("*", F.col("_m.at").alias("_at"), F.col("_m.kind").alias("_kind")).withColumn("_row", F.when(F.col("_kind") == 0, F.col("_row")))
+    later = lambda s: f"{us} + {s * 1_000_000}L"
+    marks = [f"named_struct('at', {us}, 'kind', 0)", *([f"named_struct('at', {us} - 1, 'kind', -1)"] if with_now else [])]
+    marks += [
+        f"named_struct('at', {f'least({later(s)}, coalesce(_next{counted.index(c)}, {later(s)}))' if c else later(s)}, 'kind', {k})" for k, (s, c) in enumerate(leaves, 1)
+    ]
+    values = list({id(r.value): r.value for r in recent.values() if not r.distinct}.values())  # one column for all windows of a value
+    row = ", ".join(f"'{c}', {c}" for c in events.columns)
+    rows = base.select(*keys, F.expr(f"named_struct({row})").alias("_row"), *[v.cast("long").alias(f"_x{i}") for i, v in enumerate(values)], F.expr(f"explode(array({', '.join(marks)}))").alias("_m"))
+    rows = rows.selectExpr(*keys, *[f"_x{i}" for i in range(len(values))], "case when _m.kind = 0 then _row end as _row", "_m.at as _at", "_m.kind as _kind")
     sums = {}
-    for i, (name, r) in enumerate(recent.items()):
-        x = F.coalesce(F.col(f"_x{i}"), zero)
-        sums[name] = F.when(F.col("_kind") == adds, x).when(F.col("_kind") == leaves.index((r.seconds, r.distinct or "")) + 1, -x).otherwise(zero)
-    out = running_sums(rows, keys, "_at", {f"_s{i}": c for i, c in enumerate(sums.values())}, bucket=bucket)
-    return out.filter("_kind = 0").select("_row.*", *[F.col(f"_s{i}").alias(name) for i, name in enumerate(sums)])
+    for i, r in enumerate(recent.values()):
+        x = "1L" if r.distinct else f"coalesce(_x{next(j for j, v in enumerate(values) if v is r.value)}, 0L)"
+        sums[f"_s{i}"] = F.expr(f"case when _kind = {-1 if with_now else 0} then {x} when _kind = {leaves.index((r.seconds, r.distinct or '')) + 1} then -{x} else 0L end")
+    out = running_sums(rows, keys, "_at", sums, bucket=bucket)
+    return out.filter("_kind = 0").selectExpr("_row.*", *[f"_s{i} as {name}" for i, name in enumerate(recent)])
 
 
 def exact(price: Column) -> Column:

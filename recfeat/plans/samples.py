@@ -222,12 +222,13 @@ def _samples(spark, sf):
     """Interactions with what was known just before each; user, item and category histories end before the event."""
     it = views.interactions(spark, sf).withColumn("us", F.unix_micros("ts"))
 
-    of = lambda action: F.lit(1) if action is None else (F.col("action") == action).cast("int")
+    of = {a: F.lit(1) if a is None else (F.col("action") == a).cast("int") for parts in _COUNTED.values() for _, a, _ in parts}
+    paid, priced = exact(F.col("price")), F.col("price").isNotNull().cast("int")
     rows = it
     for side, parts in _COUNTED.items():
-        recent = {f"{side}_{name}_{w}": Recent(_SPAN[w], of(action)) for name, action, spans in parts for w in spans}
+        recent = {f"{side}_{name}_{w}": Recent(_SPAN[w], of[action]) for name, action, spans in parts for w in spans}
         if side == "user":
-            recent |= {f"_{kind}_{w}": Recent(_SPAN[w], x) for w in ("1d", "7d") for kind, x in (("paid", exact(F.col("price"))), ("priced", F.col("price").isNotNull().cast("int")))}
+            recent |= {f"_{kind}_{w}": Recent(_SPAN[w], x) for w in ("1d", "7d") for kind, x in (("paid", paid), ("priced", priced))}
         rows = recent_sums(rows, [f"{side}_id"], "us", recent)
     rows = recent_sums(rows, ["user_id", "category_id"], "us", {"own_category_7d": Recent(_SPAN["7d"], F.lit(1))})
     rows = rows.withColumns({f"user_avg_price_{w}": sd(F.col(f"_paid_{w}").cast("double"), F.col(f"_priced_{w}")) / 1_000_000 for w in ("1d", "7d")})

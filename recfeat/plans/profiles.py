@@ -122,8 +122,10 @@ def m9(spark, sf):
 @register("M10_topics", _SENT + """, tp as (select * from (values """ + ", ".join(f"('{a}', '{b}')" for a, b in M.TOPICS) + """) t(topic, word)), h as (select distinct doc_id, score, topic from s, tp where list_contains(w, word))
 select topic, count(*) docs, round(avg(score), 6) score from h group by 1""")
 def m10(spark, sf):
+    """Only a topic's words become rows, so a text is scored once a word of the lexicon that it holds."""
     topics = F.broadcast(spark.createDataFrame(M.TOPICS, "topic string, word string"))
-    d = views.table(spark, sf, "documents").select("doc_id", M.sentiment(F.col("text")).alias("score"), F.explode(F.array_distinct(M.tokens(F.col("text")))).alias("word"))
+    words = F.array(*[F.lit(w) for w in sorted({w for _, w in M.TOPICS})])
+    d = views.table(spark, sf, "documents").select("doc_id", M.sentiment(F.col("text")).alias("score"), F.explode(F.array_intersect(M.tokens(F.col("text")), words)).alias("word"))
     return rounded(d.join(topics, "word").select("doc_id", "score", "topic").distinct().groupBy("topic").agg(F.count(F.lit(1)).alias("docs"), F.avg("score").alias("score")))
 
 

@@ -223,17 +223,33 @@ def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
 
 
+def _in_buckets(members: DataFrame, *columns: str) -> DataFrame:
+    """A row (doc, ``columns``, key, mates) for each bucket of each member."""
+    return members.select("doc", *columns, F.explode("keys").alias("bucket")).select("*", "bucket.key", "bucket.mates").drop("bucket")
+
+
+def _of_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (doc, key, mates, ..), one for each member of a bucket, with the columns of their bucket's row in ``buckets``.
+
+    A bucket of more than STAR members is spread over SALTS groups by doc, and its row goes to each of them.
+    """
+    salts = F.when(F.col("mates") > STAR, SALTS).otherwise(1)
+    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("mates")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc"), salts).cast("int")).join(each, ["key", "salt"]).drop("salt")
+
+
 def _centres(members: DataFrame) -> DataFrame:
-    """(key, hub, hub_n, centre, centre_n) of all buckets of ``members`` (doc, n_shingles, weight, keys)."""
-    each = members.select("doc", "n_shingles", "weight", F.explode("keys").alias("key"))
+    """(key, mates, hub, hub_n, centre, centre_n) of all buckets of ``members`` (doc, n_shingles, weight, keys)."""
+    each = _in_buckets(members, "n_shingles", "weight")
     order = F.struct("weight", -F.col("doc"))
-    hubs = stash(each.groupBy("key").agg(F.max_by(F.struct("doc", "n_shingles", "weight"), order).alias("h")).select("key", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.weight").alias("hub_weight")), "hubs")
+    heads = each.groupBy("key").agg(F.max("mates").alias("mates"), F.max_by(F.struct("doc", "n_shingles", "weight"), order).alias("h"))
+    hubs = stash(heads.select("key", "mates", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.weight").alias("hub_weight")), "hubs")
     leading = each.join(hubs.select(F.col("hub").alias("doc")).distinct(), "doc", "left_semi")
     best = F.max_by(F.struct("hub", "hub_n"), F.struct("hub_weight", -F.col("hub")))
-    up = stash(leading.select("doc", "key").join(hubs, "key").groupBy("doc").agg(best.alias("b")).select("doc", F.col("b.hub").alias("up"), F.col("b.hub_n").alias("up_n")), "best-hubs")
+    up = stash(_of_bucket(leading.select("doc", "key", "mates"), hubs).groupBy("doc").agg(best.alias("b")).select("doc", F.col("b.hub").alias("up"), F.col("b.hub_n").alias("up_n")), "best-hubs")
     again = up.select(F.col("doc").alias("up"), F.col("up").alias("centre"), F.col("up_n").alias("centre_n"))
     far = up.select("doc", "up").join(again, "up").select(F.col("doc").alias("hub"), "centre", "centre_n")
-    return stash(hubs.join(far, "hub").select("key", "hub", "hub_n", "centre", "centre_n"), "centres")
+    return stash(hubs.join(far, "hub").select("key", "mates", "hub", "hub_n", "centre", "centre_n"), "centres")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -255,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = stash(rows_.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1"), "buckets")
     # One row a document, so that what is known of it is joined once and not once a bucket.
-    members = stash(rows_.join(buckets, "key").groupBy("doc", "n_shingles").agg(F.collect_list("key").alias("keys"), F.sum("mates").alias("weight")), "members")
+    members = stash(rows_.join(buckets, "key").groupBy("doc", "n_shingles").agg(F.collect_list(F.struct("key", "mates")).alias("keys"), F.sum("mates").alias("weight")), "members")
     centres = _centres(members)
     own_texts = texts.join(checked_broadcast(members.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
     repeated = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
@@ -267,23 +283,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = star.filter((F.col(hub) != F.col("doc")) & (100 * F.least("n_shingles", size) >= percent * F.greatest("n_shingles", size)))
         return near.select(F.col(hub).alias("a"), F.col("doc").alias("b")).distinct()
 
-    at = members.select("doc", "n_shingles", "weight", F.explode("keys").alias("key")).join(centres, "key")
+    at = _of_bucket(_in_buckets(members, "n_shingles"), centres)
     tested = stash(_confirm(stash(near_sizes(at, "centre", "centre_n"), "stars"), sets, percent), "tested")
     labels = components(tested.filter("linked"))
 
     def unsettled() -> DataFrame:
         """Members of the buckets that still hold several components, a row for each bucket, with label."""
-        at = members.join(labels, "doc", "left").select("doc", "n_shingles", "weight", F.coalesce("label", "doc").alias("label"), F.explode("keys").alias("key"))
-        mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        return at.join(mixed, "key")
+        at = _in_buckets(members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "n_shingles", "weight", "label")
+        mixed = at.groupBy("key").agg(F.max("mates").alias("mates"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "mates")
+        return _of_bucket(at, mixed)
 
     of_hub = labels.select(F.col("doc").alias("hub"), F.col("label").alias("hub_label"))
-    hubs = centres.select("key", "hub", "hub_n").join(of_hub, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    at = stash(unsettled().join(hubs, "key"), "hub-members")
+    hubs = centres.select("key", "mates", "hub", "hub_n").join(of_hub, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    at = stash(_of_bucket(unsettled(), hubs), "hub-members")
     # A bucket's second hub is its weightiest member of another component than the hub's.
     best = F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("label").alias("hub_label")), F.struct("weight", -F.col("doc")))
-    second = at.filter("label != hub_label").groupBy("key").agg(best.alias("h")).select("key", "h.*")
-    both_hubs = at.unionByName(at.drop("hub", "hub_n", "hub_label").join(second, "key")).filter("label != hub_label")
+    second = at.filter("label != hub_label").groupBy("key").agg(F.max("mates").alias("mates"), best.alias("h")).select("key", "mates", "h.*")
+    both_hubs = at.unionByName(_of_bucket(at.drop("hub", "hub_n", "hub_label"), second)).filter("label != hub_label")
     tried = tested.select("a", "b").union(tested.select("b", "a"))
     fresh = stash(_confirm(stash(near_sizes(both_hubs, "hub", "hub_n").join(tried, ["a", "b"], "left_anti"), "stars"), sets, percent), "tested")
     tested = tested.union(fresh)
@@ -291,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(tested.filter("linked"))
 
     of_centre = labels.select(F.col("doc").alias("centre"), F.col("label").alias("centre_label"))
-    rest = unsettled().join(centres.select("key", "centre"), "key").select("centre", "doc", "label").distinct()
+    rest = _of_bucket(unsettled(), centres.select("key", "mates", "centre")).select("centre", "doc", "label").distinct()
     rest = rest.join(of_centre, "centre", "left").select("centre", F.coalesce("centre_label", "centre").alias("centre_label"), "doc", "label")
     pairs = stash(_apart_pairs(stash(rest, "rest"), sets, percent), "pairs")
     fresh = stash(_confirm(pairs, sets, percent), "tested")

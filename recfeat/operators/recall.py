@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import action_weight, dot, seconds_between
+from recfeat.functions.sized import listed
 
 #: Pivots at most that vectors are dealt to.
 PIVOTS = 1024
@@ -164,9 +165,7 @@ def score_parts(position: Column, length: Column, share: Column, popularity: Col
 
 def grid(users: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
     """Every user with every item of a short list; a longer one than ``most`` raises."""
-    if items.limit(most + 1).count() > most:
-        raise ValueError(f"a grid takes a list of at most {most} items")
-    return users.crossJoin(F.broadcast(items))
+    return users.crossJoin(listed(items, "a grid's items", most))
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recfeat.functions.exprs import sd
+from recfeat.functions.sized import small
 
 
 def to_long(wide: DataFrame, entity: str, at: str, source: str, registry: list[str] | None = None) -> DataFrame:
@@ -22,7 +23,7 @@ def to_long(wide: DataFrame, entity: str, at: str, source: str, registry: list[s
 def latest(long: DataFrame, registry: DataFrame, now_s: int) -> DataFrame:
     """The newest value of each (entity, feature), or the feature's default once it is older than its ttl."""
     last = long.groupBy("entity_id", "feature").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
-    out = last.join(F.broadcast(registry), "feature")
+    out = last.join(small(registry), "feature")
     stale = F.lit(now_s) - F.col("at") > F.col("ttl")
     return out.select("entity_id", "feature", F.when(stale, F.col("default")).otherwise(F.col("value")).alias("value"), stale.alias("stale"))
 

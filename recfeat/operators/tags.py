@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat.functions.exprs import action_weight, decay, seconds_between
+from recfeat.functions.sized import listed, small
 
 # Fixed dictionary: tag, dimension, parent, keyword (of the item's category), least and most price.
 DICTIONARY = [
@@ -25,10 +26,10 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DICTIONARY, "tag string, dimension string, parent string, keyword string, low double, high double")
 
 
-def auto_tag(items: DataFrame, tags: DataFrame) -> DataFrame:
-    """K1: distinct (item_id, tag) by keyword in the category or price range.  The dictionary is small by nature."""
+def auto_tag(items: DataFrame, tags: DataFrame, most: int = 10_000) -> DataFrame:
+    """K1: distinct (item_id, tag) by keyword in the category or price range; at most ``most`` tags, more raise."""
     rule = F.col("category").contains(F.col("keyword")) | ((F.col("price") >= F.col("low")) & (F.col("price") < F.col("high")))
-    return items.join(F.broadcast(tags), rule).select("item_id", "tag", "dimension").distinct()
+    return items.join(listed(tags, "tags", most), rule).select("item_id", "tag", "dimension").distinct()
 
 
 def closure(tags: DataFrame) -> DataFrame:
@@ -54,30 +55,30 @@ def related(tags: DataFrame) -> DataFrame:
 def with_related(interest: DataFrame, propagated: DataFrame, relations: DataFrame, part: float = 0.02) -> DataFrame:
     """``propagated`` (user_id, tag, interest) plus ``part`` of each interest for its siblings and children that the
     user's profile holds already."""
-    more = interest.join(F.broadcast(relations), "tag").select("user_id", F.col("other").alias("tag"), (part * F.col("interest")).alias("more"))
+    more = interest.join(small(relations), "tag").select("user_id", F.col("other").alias("tag"), (part * F.col("interest")).alias("more"))
     more = more.groupBy("user_id", "tag").agg(F.sum("more").alias("more"))
     return propagated.join(more, ["user_id", "tag"], "left").select("user_id", "tag", F.round(F.col("interest") + F.coalesce("more", F.lit(0.0)), 3).alias("interest"))
 
 
 def implied_tags(item_tags: DataFrame, tree: DataFrame) -> DataFrame:
     """(item_id, tag) that follow from an item's tags by the hierarchy and that it lacks."""
-    up = item_tags.join(F.broadcast(tree), "tag").select("item_id", F.col("ancestor").alias("tag")).distinct()
+    up = item_tags.join(small(tree), "tag").select("item_id", F.col("ancestor").alias("tag")).distinct()
     return up.join(item_tags.select("item_id", "tag"), ["item_id", "tag"], "left_anti")
 
 
 def missing_dependencies(item_tags: DataFrame, tree: DataFrame, requires: DataFrame) -> DataFrame:
     """(item_id, tag, needs): tags that ask for another one, (tag, needs), which the item has neither itself nor by
     the hierarchy."""
-    held = item_tags.select("item_id", "tag").union(item_tags.join(F.broadcast(tree), "tag").select("item_id", "ancestor"))
-    asked = item_tags.select("item_id", "tag").join(F.broadcast(requires), "tag")
+    held = item_tags.select("item_id", "tag").union(item_tags.join(small(tree), "tag").select("item_id", "ancestor"))
+    asked = item_tags.select("item_id", "tag").join(small(requires), "tag")
     return asked.join(held.toDF("item_id", "needs").distinct(), ["item_id", "needs"], "left_anti").select("item_id", "tag", "needs")
 
 
-def keyword_tags(items: DataFrame, templates: DataFrame) -> DataFrame:
+def keyword_tags(items: DataFrame, templates: DataFrame, most: int = 10_000) -> DataFrame:
     """K2: (item_id, tag, confidence, source): keywords of ``templates`` (tag, own) found in title or category, .8 for tags
-    of the item's own kind and .6 for common ones, and rule tags by price (.9) and model (.95)."""
+    of the item's own kind and .6 for common ones, and rule tags by price (.9) and model (.95); at most ``most`` templates, more raise."""
     text = F.lower(F.concat_ws(" ", "title", "category"))
-    found = items.join(F.broadcast(templates), text.contains(F.replace("tag", F.lit("_"), F.lit(" "))) | text.contains(F.col("tag")))
+    found = items.join(listed(templates, "templates", most), text.contains(F.replace("tag", F.lit("_"), F.lit(" "))) | text.contains(F.col("tag")))
     found = found.select("item_id", "tag", F.when(F.col("own"), 0.8).otherwise(0.6).alias("confidence"), F.lit("keyword").alias("source"))
     price = F.when(F.col("price") > 1500, F.array(F.lit("premium"), F.lit("high_end"))).when(F.col("price") > 500, F.array(F.lit("mid_range"))).otherwise(F.array(F.lit("budget")))
     rules = items.select("item_id", F.explode(price).alias("tag"), F.lit(0.9).alias("confidence"), F.lit("rule").alias("source"))
@@ -137,7 +138,7 @@ def decayed_interest(interactions: DataFrame, item_tags: DataFrame, as_of, rate:
 
 def with_ancestors(interest: DataFrame, tree: DataFrame) -> DataFrame:
     """Interest of a tag plus half of each level's below it."""
-    up = interest.join(F.broadcast(tree), "tag").select("user_id", F.col("ancestor").alias("tag"), (F.col("interest") * F.pow(F.lit(0.5), F.col("distance"))).alias("interest"))
+    up = interest.join(small(tree), "tag").select("user_id", F.col("ancestor").alias("tag"), (F.col("interest") * F.pow(F.lit(0.5), F.col("distance"))).alias("interest"))
     return interest.select("user_id", "tag", "interest").unionByName(up).groupBy("user_id", "tag").agg(F.round(F.sum("interest"), 3).alias("interest"))
 
 
@@ -146,5 +147,5 @@ def tag_scores(item_tags: DataFrame, values: DataFrame, weights: dict[str, float
     ``words`` in the dimension's business ``value`` (dimension, value: one row a dimension)."""
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("dimension")), F.lit(1.0))
     bonus = 1 + sum((F.when(F.lower("value").contains(w), 0.1).otherwise(0.0) for w in words), F.lit(0.0))
-    rows = item_tags.join(F.broadcast(values), "dimension", "left").withColumn("value", F.coalesce("value", F.lit("")))
+    rows = item_tags.join(small(values), "dimension", "left").withColumn("value", F.coalesce("value", F.lit("")))
     return rows.groupBy("item_id").agg(F.avg(weight * bonus).alias("score"))

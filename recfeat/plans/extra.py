@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from recfeat import views
 from recfeat.functions import exprs as X
 from recfeat.functions.exprs import count_if, r6, sd
+from recfeat.functions.sized import small
 from recfeat.operators import features as O
 from recfeat.operators import ranking as K
 from recfeat.operators import recall as R
@@ -110,7 +111,7 @@ def k11(spark, sf):
 def k21(spark, sf):
     interest = T.decayed_interest(views.interactions(spark, sf), _item_tags(spark, sf), AS_OF)
     tree = T.closure(T.dictionary(spark)).groupBy("tag").agg(F.max_by("ancestor", "distance").alias("top"))
-    x = interest.join(F.broadcast(tree), "tag", "left").withColumn("root", F.coalesce("top", "tag"))
+    x = interest.join(small(tree), "tag", "left").withColumn("root", F.coalesce("top", "tag"))
     return x.groupBy("user_id", "root").agg(F.round(F.sum("interest"), 3).alias("interest"))
 
 
@@ -119,7 +120,7 @@ def k22(spark, sf):
     interest = T.decayed_interest(views.interactions(spark, sf), _item_tags(spark, sf), AS_OF)
     d = T.dictionary(spark).select("tag", "dimension")
     near = d.join(d.select(F.col("tag").alias("other"), "dimension"), "dimension").filter("tag <> other").select("tag", "other")
-    s = interest.join(F.broadcast(near), "tag").groupBy("user_id", F.col("other").alias("tag")).agg(F.round(F.sum("interest") * 0.1, 3).alias("score"))
+    s = interest.join(small(near), "tag").groupBy("user_id", F.col("other").alias("tag")).agg(F.round(F.sum("interest") * 0.1, 3).alias("score"))
     return s.join(interest, ["user_id", "tag"], "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recfeat.functions.exprs import action_weight, count_if, hash_bucket, sd
+from recfeat.functions.sized import small
 
 
 def late(df: DataFrame, watermark: str | None) -> DataFrame:
@@ -90,8 +91,7 @@ def with_dimension(events: DataFrame, dimension: DataFrame, key: str, most: int
     """C11, A5: events, batch or stream, with the columns of a lookup table; events without a row there stay.
 
     The table is read anew in each micro-batch; it is broadcast up to ``most`` rows, else both sides are shuffled."""
-    small = dimension.limit(most + 1).count() <= most
-    return events.join(F.broadcast(dimension) if small else dimension, key, "left")
+    return events.join(small(dimension, most), key, "left")
 
 
 def _closed(df: DataFrame, key: str, size: str, watermark: str | None, **aggs: Column) -> DataFrame:

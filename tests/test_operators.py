@@ -182,3 +182,20 @@ def test_exact_quantiles(spark):
     assert quantiles(df.limit(0), F.col("x"), p).count() == 0
     one = with_quantiles(df.limit(0).agg(F.count("x").alias("n")), df.limit(0), F.col("x"), p).collect()
     assert len(one) == 1 and one[0].n == 0 and one[0].q is None
+
+
+def test_tables_too_large_for_a_broadcast(spark):
+    """Beyond the bound a lookup has no hint and the same rows; a list without an equi-join raises."""
+    from recfeat.functions.sized import listed, small
+    from recfeat.operators import tags
+
+    rows = spark.createDataFrame([(1, "steel"), (2, "metal"), (3, None)], "item_id long, tag string")
+    tree = tags.closure(tags.dictionary(spark)).select("tag", "ancestor")
+    hints = [d._jdf.queryExecution().analyzed().toString().count("broadcast") for d in (small(tree), small(tree, 1))]
+    assert hints == [1, 0]
+    assert rows.join(small(tree), "tag").collect() == rows.join(small(tree, 1), "tag").collect() == [("steel", 1, "metal")]
+    items = spark.createDataFrame([(1, "STEEL", 5.0)], "item_id long, category string, price double")
+    assert {r.tag for r in tags.auto_tag(items, tags.dictionary(spark)).collect()} == {"steel", "cheap"}
+    with pytest.raises(ValueError, match="tags"):
+        tags.auto_tag(items, tags.dictionary(spark), most=3)
+    assert listed(tree.limit(0), "none", 0).count() == 0

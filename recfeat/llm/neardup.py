@@ -185,6 +185,8 @@ def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     documents meet first in a place that leaves t of them in both; the one with more differences is probed with its first
     most + 1, the other indexed by its first d - t + 1 for the least t that a partner of the centre's family allows.
     Pairs that meet there must also pass the bitmaps: sets differ in no fewer items than their bitmaps in bits.
+    Differences that many documents have, such as the same word of the original changed, still let a share of a family's
+    pairs meet: the rows of that join, before its filters, grow with the square of a family that lost its original.
     """
     q = (100.0 - percent) / (100.0 + percent)
     apart = _beside(rest, sets, "centre", "doc").select(

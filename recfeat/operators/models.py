@@ -20,10 +20,13 @@ def training_rows(interactions: DataFrame) -> DataFrame:
 
 
 def ctr_model(rows: DataFrame, kind: str = "logistic", buckets: int = 1 << 14, seed: int = 7) -> PipelineModel:
-    """Factorisation machine or logistic regression over hashed categories and numbers."""
-    hasher = FeatureHasher(inputCols=["user_id", "item_id", "category_id", "brand_id", "platform", "hour", "log_price"], outputCol="features", numFeatures=buckets, categoricalCols=["user_id", "item_id", "category_id", "brand_id", "hour"])
+    """Factorisation machine or logistic regression over hashed categories and numbers.
+
+    A price of 0 is hashed to a stored zero, which the factorisation machine's gradient can't take; the assembler keeps what isn't zero.
+    """
+    hasher = FeatureHasher(inputCols=["user_id", "item_id", "category_id", "brand_id", "platform", "hour", "log_price"], outputCol="hashed", numFeatures=buckets, categoricalCols=["user_id", "item_id", "category_id", "brand_id", "hour"])
     model = FMClassifier(factorSize=4, maxIter=20, stepSize=0.05, seed=seed) if kind == "fm" else LogisticRegression(maxIter=20, regParam=0.01)
-    return Pipeline(stages=[hasher, model]).fit(rows)
+    return Pipeline(stages=[hasher, VectorAssembler(inputCols=["hashed"], outputCol="features"), model]).fit(rows)
 
 
 def factorise(interactions: DataFrame, rank: int = 8, seed: int = 7) -> ALSModel:

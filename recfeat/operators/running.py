@@ -76,3 +76,8 @@ def recent_sums(events: DataFrame, keys: list[str], us: str, recent: dict[str, R
 def exact(price: Column) -> Column:
     """A price in millionths, as a whole number: its sums don't depend on their order."""
     return F.round(price * 1_000_000).cast("long")
+
+
+def mean_exact(price: Column) -> Column:
+    """The mean of prices that doesn't depend on their order, so that one at a limit is always on the same side of it."""
+    return F.sum(exact(price)).cast("double") / F.count(price) / 1_000_000

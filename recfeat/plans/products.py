@@ -12,6 +12,7 @@ from recfeat.operators import features as O
 from recfeat.operators import products as P
 from recfeat.operators import tags as T
 from recfeat.operators import text as M
+from recfeat.operators.running import mean_exact
 from recfeat.operators.quantiles import quantiles, with_quantiles
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _n, _weight, rounded
@@ -63,7 +64,7 @@ def d19(spark, sf):
 
 
 _PRODUCTS = SQL_PURCHASES + ", " + SQL_INTERACTIONS.removeprefix("with ") + """,
-x as (select l_partkey item_id, count(*) n, avg(l_discount) discount, avg((l_returnflag = 'R')::int) returns, avg(case l_returnflag when 'A' then 5 when 'N' then 4 else 1 end) rating,
+x as (select l_partkey item_id, count(*) n, sum(round(l_discount * 1e6)::bigint)::double / count(l_discount) / 1e6::double discount, avg((l_returnflag = 'R')::int) returns, avg(case l_returnflag when 'A' then 5 when 'N' then 4 else 1 end) rating,
   count(*) filter (where l_returnflag <> 'N') reviews from lineitem group by 1),
 w as (select item_id, count(*) filter (where action = 'view') looks, count(*) filter (where action = 'add_cart') carts from interactions group by 1),
 g as (select p_type, avg(p_retailprice) m from part group by 1), r as (select p_brand, avg(p_retailprice) / max(avg(p_retailprice)) over () premium from part group by 1),
@@ -78,7 +79,7 @@ def _products(spark, sf):
     """Ratings and reviews are read from the return flags of order lines, variety from the words of the name."""
     li, flag = views.table(spark, sf, "lineitem"), F.col("l_returnflag")
     x = li.groupBy(F.col("l_partkey").alias("item_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("disc"), F.avg((flag == "R").cast("int")).alias("returns"), F.avg(F.when(flag == "A", 5).when(flag == "N", 4).otherwise(1)).alias("rating"), count_if(flag != "N").alias("reviews"),
+        F.count(F.lit(1)).alias("n"), mean_exact(F.col("l_discount")).alias("disc"), F.avg((flag == "R").cast("int")).alias("returns"), F.avg(F.when(flag == "A", 5).when(flag == "N", 4).otherwise(1)).alias("rating"), count_if(flag != "N").alias("reviews"),
     )
     w = views.interactions(spark, sf).groupBy("item_id").agg(count_if(F.col("action") == "view").alias("looks"), count_if(F.col("action") == "add_cart").alias("carts"))
     items = views.items(spark, sf)
@@ -114,7 +115,7 @@ def j17_rules(spark, sf):
 @register("J17_hybrid_score", _CUSTOMERS + ", " + _PRODUCTS.split(",\nx as (", 1)[1].join(["x as (", ""]) + ", " + _RULES.replace("b as (", "bk as (").replace("from b ", "from bk ").replace("join b ", "join bk ").replace("from b)", "from bk)") + """,
 own as (select distinct customer_id, item_id from purchases),
 cand as (select customer_id, other item_id, max(least(1, confidence)) cross_sell from own join rules using (item_id) group by 1, 2),
-sens as (select o_custkey customer_id, avg(l_discount) d from lineitem join orders on l_orderkey = o_orderkey group by 1),
+sens as (select o_custkey customer_id, sum(round(l_discount * 1e6)::bigint)::double / count(l_discount) / 1e6::double d from lineitem join orders on l_orderkey = o_orderkey group by 1),
 z as (select cand.customer_id, cand.item_id, cross_sell, case split_part(category, ' ', 1) """ + " ".join(f"when '{x}' then pref_{x.lower()}" for x in _KINDS) + """ else 0 end pref, loyalty, premium, review_quality, popularity, return_rate, price, size,
   category like 'PROMO%' promo, d >= 0.05::double sensitive, f.discount >= 0.05::double on_sale, spent / orders aov
   from cand join f using (item_id) join o using (customer_id) join l using (customer_id) join c using (customer_id) join sens using (customer_id)),
@@ -129,7 +130,7 @@ def j17(spark, sf):
     own = purchases.select("customer_id", "item_id").distinct()
     cand = own.join(P.association_rules(purchases), "item_id").groupBy("customer_id", F.col("other").alias("item_id")).agg(F.max(F.least(F.lit(1.0), "confidence")).alias("cross_sell"))
     li, orders = views.table(spark, sf, "lineitem"), views.table(spark, sf, "orders")
-    sensitive = li.join(orders, li.l_orderkey == orders.o_orderkey).groupBy(F.col("o_custkey").alias("customer_id")).agg((F.avg("l_discount") >= 0.05).alias("sensitive"))
+    sensitive = li.join(orders, li.l_orderkey == orders.o_orderkey).groupBy(F.col("o_custkey").alias("customer_id")).agg((mean_exact(F.col("l_discount")) >= 0.05).alias("sensitive"))
     z = cand.join(_products(spark, sf), "item_id").join(_customers(spark, sf).drop("conversion"), "customer_id").join(sensitive, "customer_id")
     on_sale, c = F.col("discount") >= 0.05, F.col
     pref = F.lit(0.0)

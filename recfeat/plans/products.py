@@ -353,10 +353,11 @@ def p5_types(spark, sf):
     return it.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(X.action_weight(F.col("action"), "engagement"))).alias("mean_engagement"))
 
 
-@register("P5_segments", SQL_INTERACTIONS + f""", u as (select user_id, avg({_weight('engagement')}) m from interactions group by 1), q as (select quantile_cont(m, 0.2) lo, quantile_cont(m, 0.8) hi from u)
+@register("P5_segments", SQL_INTERACTIONS + f""", u as (select user_id, sum(round({_weight('engagement')} * 1e6)::bigint)::double / count(*) / 1e6::double m from interactions group by 1), o as (select m, row_number() over (order by m) - 1 i from u), c as (select count(*) n from u),
+q as (select {", ".join(f"max(m) filter (where i = floor({p}::double * (n - 1))) + (max(m) filter (where i = ceil({p}::double * (n - 1))) - max(m) filter (where i = floor({p}::double * (n - 1)))) * max({p}::double * (n - 1) - floor({p}::double * (n - 1))) {x}" for p, x in ((0.2, "lo"), (0.8, "hi")))} from o, c)
 select count(*) filter (where m > hi) high, count(*) filter (where m < lo) low, count(*) - count(*) filter (where m > hi) - count(*) filter (where m < lo) medium from u, q""")
 def p5_segments(spark, sf):
-    u = views.interactions(spark, sf).groupBy("user_id").agg(F.avg(X.action_weight(F.col("action"), "engagement")).alias("m"))
+    u = views.interactions(spark, sf).groupBy("user_id").agg(mean_exact(X.action_weight(F.col("action"), "engagement")).alias("m"))
     both = with_quantiles(u.agg(F.count(F.lit(1)).alias("_n")), u, F.col("m"), (0.2, 0.8))
     x = P.segments(u.crossJoin(F.broadcast(both)), "m", F.get("q", F.lit(0)), F.get("q", F.lit(1)))  # one row broadcast
     return x.select("high", "low", (F.col("n") - F.col("high") - F.col("low")).alias("medium"))

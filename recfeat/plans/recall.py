@@ -10,6 +10,7 @@ from recfeat.functions import exprs as X
 from recfeat.functions.exprs import r6, sd
 from recfeat.operators import features as O
 from recfeat.operators import recall as R
+from recfeat.operators.products import frequent_pairs
 from recfeat.operators.running import Recent, exact, recent_sums
 from recfeat.plans.catalog import register
 from recfeat.plans.features import _n, _weight, rounded
@@ -165,9 +166,8 @@ def a20(spark, sf):
 
 @register("C4_co_purchases", """select a.l_partkey part1, b.l_partkey part2, count(distinct a.l_orderkey) orders from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2 having count(distinct a.l_orderkey) >= 2""")
 def c4(spark, sf):
-    li = views.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = li.toDF("k", "part1"), li.toDF("k", "part2")
-    return a.join(b, "k").filter("part1 < part2").groupBy("part1", "part2").agg(F.count(F.lit(1)).alias("orders")).filter("orders >= 2")
+    _, pairs = frequent_pairs(views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item_id")))
+    return pairs.toDF("part1", "part2", "orders")
 
 
 @register("C6_not_bought", SQL_INTERACTIONS + """ select distinct user_id, item_id from interactions where action = 'view' and (user_id, item_id) not in (select (user_id, item_id) from interactions where action = 'purchase' and item_id is not null)""")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from recfeat import views
 from recfeat.functions import exprs as X
 from recfeat.functions.exprs import r6, sd
+from recfeat.functions.sized import small, tasks
 from recfeat.operators import features as O
 from recfeat.operators import recall as R
 from recfeat.operators.products import frequent_pairs
@@ -118,8 +119,10 @@ def j9(spark, sf):
 x as (select user_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) d from r join embeddings on item_id = vec_id where rn <= 50), m as (select user_id, d, round(avg(v), 6) v from x group by 1, 2)
 select user_id, d::bigint dim, v mean from m""")
 def j11(spark, sf):
-    last = O.last_n(views.interactions(spark, sf), "user_id", 50)
+    it = views.interactions(spark, sf)
+    last = O.last_n(it.repartition(tasks(it.count(), 100_000), "user_id"), "user_id", 50)
     v = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    v = small(v.join(it.select("item_id").distinct(), "item_id", "left_semi"), 100_000)  # rows stay with their users
     x = last.join(v, "item_id").select("user_id", F.posexplode("embedding").alias("d", "v"))
     return x.groupBy("user_id", (F.col("d") + 1).cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recfeat.functions.exprs import action_weight
+from recfeat.functions.sized import tasks
 
 
 def training_rows(interactions: DataFrame) -> DataFrame:
@@ -36,16 +38,30 @@ def factorise(interactions: DataFrame, rank: int = 8, seed: int = 7) -> ALSModel
     return ALS(rank=rank, maxIter=5, implicitPrefs=True, userCol="user_id", itemCol="item_id", ratingCol="rating", seed=seed).fit(ratings)
 
 
-def importance(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
+def importance(df: DataFrame, features: list[str], target: str, bins: int = 10, each: int = 500_000) -> DataFrame:
     """Each feature's forest importance, mutual information of binned values, lasso weight and correlation, each
-    scaled to its largest, and their mean."""
+    scaled to its largest, and their mean.
+
+    The forest keeps its rows, with a count for each tree, in blocks as large as its tasks (some 220 bytes a row), so rows are
+    counted and dealt to tasks of ``each`` first; the order within a task is fixed, as the trees' samples are drawn in it.
+    """
     spark = df.sparkSession
-    data = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), MinMaxScaler(inputCol="raw", outputCol="features")]).fit(df)
-    data = data.transform(df).withColumn("label", F.col(target).cast("double"))
-    forest = RandomForestRegressor(numTrees=20, maxDepth=5, seed=7).fit(data).featureImportances.toArray()
-    lasso = abs(LinearRegression(elasticNetParam=1.0, regParam=0.01).fit(data).coefficients.toArray())
-    corr = data.agg(*[F.corr(f, "label").alias(f) for f in features]).first()
+    df = df.select(*features, target)
     ranges = df.agg(*[x for c in (*features, target) for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]).first()
+    corr = df.agg(*[F.corr(f, target).alias(f) for f in features]).first()
+
+    def scaled_of(c: str):
+        lo, hi = float(ranges[f"{c}_lo"]), float(ranges[f"{c}_hi"])
+        return (F.col(c) - lo) / (hi - lo) if hi > lo else F.lit(0.5)
+
+    dealt = df.repartition(tasks(df.count(), each)).sortWithinPartitions(*features, target)
+    dealt = dealt.select(*[scaled_of(c).alias(c) for c in features], F.col(target).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        data = VectorAssembler(inputCols=features, outputCol="features").transform(dealt)
+        forest = RandomForestRegressor(numTrees=20, maxDepth=5, seed=7).fit(data).featureImportances.toArray()
+        lasso = abs(LinearRegression(elasticNetParam=1.0, regParam=0.01).fit(data).coefficients.toArray())
+    finally:
+        dealt.unpersist()
 
     def bin_of(c: str):
         lo, hi = float(ranges[f"{c}_lo"]), float(ranges[f"{c}_hi"])

@@ -13,13 +13,21 @@ RANGES = 64
 def quantiles(df: DataFrame, value: Column, probabilities: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``by`` and ``q``, the interpolated percentiles of ``value`` in each group, in the order asked for.
 
-    Values are counted first, so that equal ones are one row.  An approximate sketch cuts each group's values into
-    RANGES ranges of about equal size; a value's rank is its rank in its range, in the order of a window over that range
-    alone, after the rows of the ranges before.  The sketch decides only how even the ranges are: ranks are exact.
-    Nulls are passed over; without rows there are no groups, and without ``by`` no row.
+    Values are counted first, so that equal ones are one row.  Nulls are passed over; without rows there are no groups,
+    and without ``by`` no row.
     """
-    by = list(by)
     counts = df.select(*by, value.cast("double").alias("v")).filter(F.col("v").isNotNull()).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    return counted_quantiles(counts, probabilities, by)
+
+
+def counted_quantiles(counts: DataFrame, probabilities: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """``quantiles`` of values that are counted already: one row (``by``, v, n) a value v that isn't null.
+
+    An approximate sketch cuts each group's values into RANGES ranges of about equal size; a value's rank is its rank in
+    its range, in the order of a window over that range alone, after the rows of the ranges before.  The sketch decides
+    only how even the ranges are: ranks are exact.
+    """
+    by = list(by)
     inner = [F.lit(i / RANGES) for i in range(1, RANGES)]
     cuts = counts.groupBy(*by).agg(F.approx_percentile("v", F.array(*inner), F.lit(1000)).alias("cuts"), F.sum("n").alias("total")).filter("total is not null")
     rows = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row broadcast

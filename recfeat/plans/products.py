@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recfeat import views
 from recfeat.functions import exprs as X
-from recfeat.functions.exprs import count_if, p1, r6, sd
+from recfeat.functions.exprs import count_if, p1, r6
 from recfeat.operators import features as O
 from recfeat.operators import products as P
 from recfeat.operators import tags as T
@@ -331,20 +334,14 @@ select feature, 'CONSIDER_LOG_TRANSFORM' code from p where abs(skewness) > 2 uni
 union all select column_name, 'CONSIDER_IMPUTATION' from g where n > 0""")
 def p4_recommendations(spark, sf):
     """Numbers by skewness, outliers and nulls, other columns by nulls."""
-    tables = [(views.table(spark, sf, "lineitem"), _NUMBERS), (views.table(spark, sf, "events"), ("value",)), (views.table(spark, sf, "documents"), ("n_chars",))]
-    long = None
-    for df, columns in tables:
-        part = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "feature", "x")
-        long = part if long is None else long.union(part)
-    q = quantiles(long, F.col("x"), (0.25, 0.75), ("feature",))
-    a, b = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    out = (F.col("x") < a - 1.5 * (b - a)) | (F.col("x") > b + 1.5 * (b - a))
-    numbers = long.join(F.broadcast(q), "feature").groupBy("feature").agg(  # one row a column
-        F.skewness("x").alias("skewness"), sd(count_if(out), F.count("x")).alias("outlier_share"), count_if(F.col("x").isNull()).alias("missing"),
-    )
-    rest = views.table(spark, sf, "documents").agg(*[count_if(F.col(c).isNull()).alias(c) for c in ("lang", "source", "text")]).unpivot([], ["lang", "source", "text"], "feature", "missing")
-    rest = rest.select("feature", F.lit(0.0).alias("skewness"), F.lit(0.0).alias("outlier_share"), "missing")
-    return P.data_recommendations(numbers.union(rest))
+    tables = (("lineitem", _NUMBERS, ()), ("events", ("value",), ()), ("documents", ("n_chars",), ("lang", "source", "text")))
+    counts, missing = [], []
+    for name, numbers, others in tables:
+        df = views.table(spark, sf, name)
+        counts.append(P.value_counts(df, numbers))
+        missing.append(P.missing_counts(df, (*numbers, *others)))
+    profile = reduce(DataFrame.union, missing).join(F.broadcast(P.number_profile(reduce(DataFrame.union, counts))), "feature", "left")  # one row a column
+    return P.data_recommendations(profile)
 
 
 @register("P5_engagement_by_type", SQL_INTERACTIONS + f" select category_id, count(*) n, round(avg({_weight('engagement')}), 6) mean_engagement from interactions group by 1")
